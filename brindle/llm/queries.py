@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from brindle.llm.chat import OP5_SQL, op5_chat
 from brindle.llm.pii import op7_pii
+from brindle.llm.secrets import op10_secrets
 
 QUERIES = {
+    "op5_chat": op5_chat,
     "op7_pii": op7_pii,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL}

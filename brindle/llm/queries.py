@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.llm.bpe import op9_bpe
 from brindle.llm.chat import OP5_SQL, op5_chat
 from brindle.llm.pii import op7_pii
 from brindle.llm.secrets import op10_secrets
@@ -9,6 +10,7 @@ from brindle.llm.secrets import op10_secrets
 QUERIES = {
     "op5_chat": op5_chat,
     "op7_pii": op7_pii,
+    "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
 }
 

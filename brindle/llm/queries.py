@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from brindle.llm.bpe import op9_bpe
 from brindle.llm.chat import OP5_SQL, op5_chat
+from brindle.llm.decontaminate import op1_decontamination
+from brindle.llm.fingerprint import op4_fingerprint
+from brindle.llm.langid import op2_langid
 from brindle.llm.pii import op7_pii
 from brindle.llm.secrets import op10_secrets
+from brindle.llm.tokencount import op6_tokencount
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_langid": op2_langid,
+    "op4_fingerprint": op4_fingerprint,
     "op5_chat": op5_chat,
+    "op6_tokencount": op6_tokencount,
     "op7_pii": op7_pii,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,

@@ -6,6 +6,7 @@ from brindle.llm.bpe import op9_bpe
 from brindle.llm.chat import OP5_SQL, op5_chat
 from brindle.llm.decontaminate import op1_decontamination
 from brindle.llm.fingerprint import op4_fingerprint
+from brindle.llm.jaccard import OP3_SQL, op3_jaccard
 from brindle.llm.langid import op2_langid
 from brindle.llm.pii import op7_pii
 from brindle.llm.secrets import op10_secrets
@@ -14,6 +15,7 @@ from brindle.llm.tokencount import op6_tokencount
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_langid": op2_langid,
+    "op3_jaccard": op3_jaccard,
     "op4_fingerprint": op4_fingerprint,
     "op5_chat": op5_chat,
     "op6_tokencount": op6_tokencount,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_chat": OP5_SQL}

@@ -11,6 +11,7 @@ from brindle.llm.langid import op2_langid
 from brindle.llm.pii import op7_pii
 from brindle.llm.secrets import op10_secrets
 from brindle.llm.tokencount import op6_tokencount
+from brindle.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_tokencount": op6_tokencount,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
 }

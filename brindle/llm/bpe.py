@@ -39,6 +39,8 @@ from brindle.llm.arrow import lists, slices
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Codes remembered by a task at most; beyond it the memory starts afresh.
 MEMORY = 300_000
+#: A rank holds its order above the 24 bits of the id that the pair becomes.
+ID_MASK, NONE = (1 << 24) - 1, 1 << 62
 #: Characters of a text pre-tokenised at once, cut where a cut is certain.
 STRETCH = 1_000_000
 _SPACES = re.compile(r"[\s\x1c-\x1f] ")
@@ -65,10 +67,10 @@ class Codec:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.rank: dict[int, tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
         for order, merge in enumerate(spec["model"]["merges"]):
             a, b = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
-            self.rank[vocab[a] << 32 | vocab[b]] = (order, vocab[a + b])
+            self.rank[vocab[a] << 32 | vocab[b]] = order << 24 | vocab[a + b]
         self.inside = bytearray(65536)
         for t in vocab:
             for a, b in zip(t, t[1:], strict=False):
@@ -76,32 +78,37 @@ class Codec:
         self.fragments: dict[bytes, list[int]] = {}
         self.words = _Words(self)
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes, known: list[int] | None = None) -> list[int]:
         """Ids of a fragment: the pair of least rank, leftmost first, until none is left."""
         if len(data) > 64:
             return self._merge_long(data)
-        rank, ids = self.rank, [self.single[b] for b in data]
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = rank.get(ids[i] << 32 | ids[i + 1])
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        ids, get = [self.single[b] for b in data], self.rank.get
+        ranks = known or self._ranks(ids)
+        while ranks and (least := min(ranks)) < NONE:
+            at = ranks.index(least)
+            joined = least & ID_MASK
+            ids[at] = joined
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 32 | joined, NONE)
+            if at < len(ranks):
+                ranks[at] = get(joined << 32 | ids[at + 1], NONE)
         return ids
 
+    def _ranks(self, ids: list[int]) -> list[int]:
+        get = self.rank.get
+        return [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+
     def _merge_long(self, data: bytes) -> list[int]:
         """The same with a heap over a linked list, near-linear in the length."""
         ids = [self.single[b] for b in data]
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := self.rank.get(ids[i] << 32 | ids[i + 1]))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(self._ranks(ids)) if r < NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, joined = heapq.heappop(heap)
-            j = right[i]
+            rank, i, a, b = heapq.heappop(heap)
+            j, joined = right[i], rank & ID_MASK
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
             ids[i], ids[j] = joined, -1
@@ -109,30 +116,39 @@ class Codec:
             if right[j] >= 0:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (r := self.rank.get(ids[x] << 32 | ids[y])):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
+                if x >= 0 and y >= 0 and (r := self.rank.get(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
     def unit(self, text: str) -> bytes:
         """int32 codes of a stretch that starts and ends at certain cuts."""
         out: list[int] = []
         for token in PRE_TOKEN.findall(text):
-            data, start = token.encode(), 0
-            for i in range(1, len(data)):
-                if not self.inside[data[i - 1] << 8 | data[i]]:
-                    out += self._fragment(data[start:i])
-                    start = i
-            out += self._fragment(data[start:])
+            data = token.encode()
+            ids = self.fragments.get(data)
+            out += self._pre_token(data) if ids is None else ids
         return array("i", out).tobytes()
 
-    def _fragment(self, data: bytes) -> list[int]:
-        ids = self.fragments.get(data)
-        if ids is None:
-            ids = self.merge(data)
-            if len(data) <= 64:
-                if len(self.fragments) >= MEMORY:
-                    self.fragments.clear()
-                self.fragments[data] = ids
+    def _pre_token(self, data: bytes) -> list[int]:
+        """Ids of a pre-token, cut at every byte pair that is in no token.
+
+        Only a pair without a rank of its own can be such a cut."""
+        ranks = self._ranks([self.single[b] for b in data])
+        cuts = [i for i, r in enumerate(ranks, 1) if r == NONE and not self.inside[data[i - 1] << 8 | data[i]]] if NONE in ranks else ()
+        if not cuts:
+            return self._kept(data, self.merge(data, ranks))
+        out: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True):
+            part = data[a:b]
+            ids = self.fragments.get(part)
+            out += self._kept(part, self.merge(part)) if ids is None else ids
+        return self._kept(data, out)
+
+    def _kept(self, data: bytes, ids: list[int]) -> list[int]:
+        if len(data) <= 64:
+            if len(self.fragments) >= MEMORY:
+                self.fragments.clear()
+            self.fragments[data] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:

@@ -117,25 +117,51 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, prototypes
 
 
+def _unit(prototypes: np.ndarray) -> np.ndarray:
+    return (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _judge(texts: list[str], langs: list[str], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and number of letters of each text."""
+    vectors, letters = bundles(texts)
+    length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+    cosines = np.clip(vectors @ unit.T / length[:, None], 0, 1) if langs else np.zeros((len(texts), 1))
+    best = np.where((letters > 0) & bool(langs), cosines.argmax(axis=1), len(langs))
+    score = np.where(letters > 0, cosines.max(axis=1), 0).astype(np.float64)
+    return np.asarray([*langs, UND], dtype=object)[best], score, letters.astype(np.int64)
+
+
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score, n_letters) for every row of ``docs``; score is the
     cosine with the language predicted, at least 0."""
-    unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    names = np.asarray([*langs, UND], dtype=object)
+    unit = _unit(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            vectors, letters = bundles(texts)
-            length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
-            cosines = np.clip(vectors @ unit.T / length[:, None], 0, 1) if langs else np.zeros((len(texts), 1))
-            best = np.where((letters > 0) & bool(langs), cosines.argmax(axis=1), len(langs))
-            score = np.where(letters > 0, cosines.max(axis=1), 0).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(names[best], pa.string()), pa.array(score), pa.array(letters.astype(np.int64))], [key, "lang_pred", "score", "n_letters"])
+            names, score, letters = _judge(texts, langs, unit)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(names, pa.string()), pa.array(score), pa.array(letters)], [key, "lang_pred", "score", "n_letters"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_letters long")
 
 
+def label(docs: DataFrame, langs: list[str], prototypes: np.ndarray, min_letters: int, min_score: float) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and, if it has ``min_letters`` of
+    them, a score of ``min_score`` or more; ``lang`` becomes the language predicted.
+
+    Rows pass through in one go, all other columns untouched, nothing is shuffled."""
+    unit = _unit(prototypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            names, score, letters = _judge(texts, langs, unit)
+            keep = (letters > 0) & ((letters < min_letters) | (score >= min_score))
+            place = batch.schema.get_field_index("lang")
+            yield batch.set_column(place, batch.schema.field(place), pa.array(names, pa.string())).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """True for the fifth of the documents that is never learned from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0

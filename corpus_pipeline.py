@@ -1,12 +1,67 @@
-"""The corpus pipeline: stages over the documents table, each written and reread."""
+"""The corpus pipeline: stages over the documents table, each written and reread.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep
+the columns of documents.  Stages see every row that the stage before has kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import bpe, decontaminate, jaccard, langid, pii
+from brindle.llm.work import Work
+
+#: A document goes if it has no letters, or at least MIN_LETTERS of them and a
+#: cosine with every language below MIN_SCORE.
+MIN_LETTERS, MIN_SCORE = 50, 0.1
+WORDS, NUM, DEN = 5, 80, 100
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; their lang becomes the predicted one."""
+    langs, prototypes = langid.learn(docs.filter(~F.coalesce(langid.held_out(), F.lit(True))))
+    return langid.label(docs, langs, prototypes, MIN_LETTERS, MIN_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of least id."""
+    return jaccard.keep_one(docs, WORDS, NUM, DEN)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind, n_chars renewed."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document: doc_id, lang, source, n_chars, n_tokens, ids, and
+    whether they decode to the text again."""
+    vocabulary = bpe.default_vocabulary()
+    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", contamination),
+    ("pii", personal_data),
+    ("bpe", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; every stage reads what the one before has written."""
+    work, docs = Work(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = work.saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,4 +1,8 @@
 """The registered queries and their equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from brindle.plans import corpus_queries, game_queries, search_queries, table_queries  # noqa: F401  (they register)
+from brindle.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -75,7 +75,7 @@ def skipped(url: Column) -> Column:
 
 
 def sitemap_urls(xml: Column) -> Column:
-    return F.array_distinct(F.transform(F.xpath(xml, F.lit("//*[local-name()='loc']/text()")), F.trim))
+    return F.array_distinct(F.transform(F.xpath(xml, F.lit("//*[local-name()='loc']/text()")), lambda u: F.trim(u)))
 
 
 @F.pandas_udf(T.StringType())

@@ -12,13 +12,15 @@ How it goes:
     the tasks is fixed; whatever the counts, the result is the same.
 3.  The prefix index: two sets can only link if they share one of their first
     n - ceil(t n) + 1 shingles.  Index lists of one entry go.
-4.  Answers of leaders: every set is compared with one leader, the least member of
-    most of its lists, and the overlap is kept.  Sets linked with it are done with
-    each other: a group of near copies costs one comparison a member.
+4.  Answers of leaders: the leader of a list is its member with the fewest shingles
+    that are in no other prefix, as the original of a group of copies has.  Every
+    set is compared with the leader of most of its lists, and the overlap is kept.
+    Sets linked with it are done with each other: a group of near copies costs one
+    comparison a member.
 5.  The rest of a list, the entries outside its leader's component, is compared
-    with its other entries.  Lists are blocked by size class, entries whose
-    positions leave too few shingles to share are skipped, and pairs must share
-    enough prefix shingles.  Where both ends were compared with the same leader,
+    with its other entries.  Lists are blocked by size class; entries whose
+    positions, or whose shingles that are in no other prefix, leave too few to
+    share are skipped; pairs must share enough prefix shingles.  Where both ends were compared with the same leader,
     their overlap is bounded by those answers: the pair is taken or left without
     looking at the sets, or else verified on the whole sets.
 
@@ -200,15 +202,20 @@ class _Join:
         index = work.saved(found.join(names, found.doc_id.eqNullSafe(names.rep) & (found.h1 == names.h1) & (found.h2 == names.h2)).select("node", "n", "last", "prefix"))
 
         entries = index.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = work.saved(entries.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("leader")).filter("k > 1").select("token", "leader"))
+        shared = work.saved(entries.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"))
         listed = work.saved(entries.join(shared, "token"))
+        # lone: how many of a prefix's shingles no other set has in its own
+        held = listed.groupBy("node").agg(F.count("*").alias("held"))
+        sizes = index.select("node", "n", "last", F.size("prefix").alias("p")).join(held, "node", "left")
+        sizes = sizes.withColumn("lone", F.col("p") - F.coalesce("held", F.lit(0))).drop("held")
+        sizes = work.saved(sizes.withColumn("rank", F.col("lone") * 1_000_000 + F.pmod(F.xxhash64("node"), F.lit(1_000_000))))
 
         # the answers of leaders
-        votes = listed.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+        leaders = listed.join(sizes.select("node", "rank"), "node").groupBy("token").agg(F.min_by("node", "rank").alias("leader"))
+        votes = listed.join(leaders, "token").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"), F.min("n").alias("n"))
         best = votes.groupBy("node").agg(F.max(F.struct("k", (-F.col("leader")).alias("minus"), "n")).alias("v"))
         asked = best.filter(F.col("v.k") * 4 * den > (den - num) * F.col("v.n")).select(F.col("node").alias("a"), (-F.col("v.minus")).alias("b"))
         answers = self.verified(work.saved(asked), classes)
-        sizes = index.select("node", "n", "last", F.size("prefix").alias("p"))
         n_a, n_b = (sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
         judged = work.saved(answers.join(n_a, "a").join(n_b, "b"))
         linked = judged.filter(self.links(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
@@ -219,7 +226,7 @@ class _Join:
         about = about.join(judged.select(F.col("a").alias("node"), F.col("b").alias("ref"), "overlap", F.col("nb").alias("ref_n")), "node", "left")
         about = work.saved(about)
         placed = listed.select("token", "node", "pos").join(about, "node")
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token", "c0")
+        mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "rank").alias("c0")).filter("low <> high").select("token", "c0")
         rest = work.saved(placed.join(mixed, "token"))
         pairs = self.left_over(rest)
         sure = pairs.filter("sure").select("a", "b")
@@ -247,13 +254,16 @@ class _Join:
         need = _needed(xn, yn, num, den)
         room = F.least("x_pos", "y_pos") + 1 + F.least(xn - F.col("x_pos") - 1, yn - F.col("y_pos") - 1)
         once = (F.col("y_comp") == F.col("y_c0")) | (F.col("x_node") < F.col("y_node"))
-        sized = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & (room >= need)
+        # the prefix that ends first in the global order: what of it is in the other set
+        # is in its prefix too, so its lone shingles are not shared
+        most = F.when(F.col("x_last") <= F.col("y_last"), xn - F.col("x_lone")).otherwise(yn - F.col("y_lone"))
+        sized = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & (room >= need) & (most >= need)
         met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("near") == F.col("y_sc")) & (F.col("x_comp") != F.col("y_comp")) & once & sized)
         # shingles past the prefix that ends first in the global order can still be shared
         past = F.when(F.col("x_last") <= F.col("y_last"), xn - F.col("x_p")).otherwise(yn - F.col("y_p"))
         xo, yo, same = F.col("x_overlap"), F.col("y_overlap"), F.col("x_ref") == F.col("y_ref")
-        most = F.least(xo, yo) + F.least(xn - xo, yn - yo)
-        derived = F.when(same & (most < need), -1).when(same & (xo + yo - F.col("x_ref_n") >= need), 1).otherwise(0)
+        through = F.least(xo, yo) + F.least(xn - xo, yn - yo)
+        derived = F.when(same & (through < need), -1).when(same & (xo + yo - F.col("x_ref_n") >= need), 1).otherwise(0)
         lone = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), (need - past).alias("least"), derived.alias("derived"))
         counted = lone.filter("derived >= 0").groupBy("a", "b", "least", "derived").agg(F.count("*").alias("k"))
         return self.work.saved(counted.filter("k >= least").select("a", "b", (F.col("derived") == 1).alias("sure")))

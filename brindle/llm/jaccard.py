@@ -14,15 +14,21 @@ How it goes:
     n - ceil(t n) + 1 shingles.  Index lists of one entry go.
 4.  Answers of leaders: the leader of a list is its member with the fewest shingles
     that are in no other prefix, as the original of a group of copies has.  Every
-    set is compared with the leader of most of its lists, and the overlap is kept.
-    Sets linked with it are done with each other: a group of near copies costs one
-    comparison a member.
-5.  The rest of a list, the entries outside its leader's component, is compared
+    set is compared with the leaders of most of its lists, and the overlap is kept.
+    Sets linked with one are done with each other: a group of near copies costs a
+    comparison or two a member.
+5.  Answers derived from a leader's: a set that is close to its leader is the leader
+    and a few differences, so two such sets differ in what is in one of their
+    differences alone.  If one of them is not linked with the leader, they can only
+    link if they share differences; those that do are found by a prefix index of
+    the differences, and their overlap follows from the differences alone.
+6.  The rest of a list, the entries outside its leader's component, is compared
     with its other entries.  Lists are blocked by size class; entries whose
     positions, or whose shingles that are in no other prefix, leave too few to
-    share are skipped; pairs must share enough prefix shingles.  Where both ends were compared with the same leader,
-    their overlap is bounded by those answers: the pair is taken or left without
-    looking at the sets, or else verified on the whole sets.
+    share are skipped; pairs must share enough prefix shingles.  Where both ends
+    were compared with the same leader, their overlap is bounded by those answers:
+    the pair is taken or left without looking at the sets, or else verified on the
+    whole sets.
 
 Every document is read four times and never shuffled; what shuffles are prefixes
 (about a sixth of the shingles) and the whole sets of candidates alone.
@@ -51,6 +57,12 @@ from brindle.llm.work import Work
 BUCKETS, CHUNK = 22, 16
 #: log2 of the bits of the filter that says which documents' sets are wanted.
 WANTED = 23
+#: Leaders that a set is compared with at most, and the length of a list from which
+#: on its members are compared however few lists they share with the leader.
+ASKED, LONG = 2, 16
+#: Most differences from a leader at which answers are derived from it; sets further
+#: away go the way of the rest of the lists.
+CLOSE = 256
 _SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
 
 
@@ -180,14 +192,20 @@ class _Join:
         return self.work.saved(named.select("h1", "h2", "rep", F.when(F.col("rep").isNotNull() & (F.col("h1") == F.col("h")), F.col("rep")).otherwise(F.col("h1")).alias("node"), "n"))
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(a, b, overlap) of pairs of nodes, on their whole sets."""
+        """(a, b, overlap, delta) of pairs of nodes, on their whole sets.
+
+        delta: what only a has, then what only b has, each in one order; null if
+        that is more than CLOSE, or than half as many as a has."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = self.work.saved(classes.join(ends, "node", "left_semi"))
         sets = _sets_of(self.docs, self.words, wanted).dropDuplicates(["doc_id", "h1", "h2"])
         owned = self.work.saved(sets.join(wanted, sets.doc_id.eqNullSafe(wanted.rep) & (sets.h1 == wanted.h1) & (sets.h2 == wanted.h2)).select("node", "shingles"))
         left = owned.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = owned.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        out = self.work.saved(pairs.join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap")))
+        both = pairs.join(right, "b").join(left, "a").withColumn("overlap", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        close = F.size("sa") + F.size("sb") - 2 * F.col("overlap") <= F.least(F.size("sa") / 2, F.lit(CLOSE))
+        delta = F.when(close, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+        out = self.work.saved(both.select("a", "b", "overlap", delta.alias("delta")))
         self.work.drop(wanted, owned)
         return out
 
@@ -211,10 +229,11 @@ class _Join:
         sizes = work.saved(sizes.withColumn("rank", F.col("lone") * 1_000_000 + F.pmod(F.xxhash64("node"), F.lit(1_000_000))))
 
         # the answers of leaders
-        leaders = listed.join(sizes.select("node", "rank"), "node").groupBy("token").agg(F.min_by("node", "rank").alias("leader"))
-        votes = listed.join(leaders, "token").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"), F.min("n").alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("k", (-F.col("leader")).alias("minus"), "n")).alias("v"))
-        asked = best.filter(F.col("v.k") * 4 * den > (den - num) * F.col("v.n")).select(F.col("node").alias("a"), (-F.col("v.minus")).alias("b"))
+        leaders = listed.join(sizes.select("node", "rank"), "node").groupBy("token").agg(F.min_by("node", "rank").alias("leader"), F.count("*").alias("size"))
+        votes = listed.join(leaders, "token").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.max("size").alias("size"))
+        likely = votes.filter((F.col("k") * 4 * den > (den - num) * F.col("n")) | (F.col("size") >= LONG))
+        best = likely.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", (-F.col("leader")).alias("minus"))), asc=False).alias("v"))
+        asked = best.select(F.col("node").alias("a"), F.explode(F.slice("v", 1, ASKED)).alias("v")).select("a", (-F.col("v.minus")).alias("b"))
         answers = self.verified(work.saved(asked), classes)
         n_a, n_b = (sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
         judged = work.saved(answers.join(n_a, "a").join(n_b, "b"))
@@ -223,27 +242,69 @@ class _Join:
 
         # what is left of each list
         about = sizes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        about = about.join(judged.select(F.col("a").alias("node"), F.col("b").alias("ref"), "overlap", F.col("nb").alias("ref_n")), "node", "left")
+        nearest = judged.groupBy("a").agg(F.max(F.struct("overlap", (-F.col("b")).alias("minus"), "nb", "delta")).alias("v"))
+        refs = work.saved(nearest.select(F.col("a").alias("node"), (-F.col("v.minus")).alias("ref"), F.col("v.overlap").alias("overlap"), F.col("v.nb").alias("ref_n"), F.col("v.delta").alias("delta")))
+        about = about.join(refs.select("node", "ref", "overlap", "ref_n", F.col("delta").isNotNull().alias("close")), "node", "left")
         about = work.saved(about)
         placed = listed.select("token", "node", "pos").join(about, "node")
         mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "rank").alias("c0")).filter("low <> high").select("token", "c0")
         rest = work.saved(placed.join(mixed, "token"))
+        derived = self.derived_links(about, refs.select("node", "delta"))
         pairs = self.left_over(rest)
         sure = pairs.filter("sure").select("a", "b")
         more = self.verified(work.saved(pairs.filter("not sure").select("a", "b")), classes).join(n_a, "a").join(n_b, "b")
-        edges = linked.union(sure).union(more.filter(self.links(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
+        edges = linked.union(derived).union(sure).union(more.filter(self.links(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
         groups = components(edges, work)
 
         named = classes.join(groups, "node", "left").select("h1", "h2", "rep", F.coalesce("comp", "node").alias("comp"))
         named = work.saved(named)
         least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         final = work.saved(named.join(least, "comp").select("h1", "h2", "component_id"))
-        work.drop(index, shared, listed, judged, about, rest)
+        work.drop(index, shared, listed, judged, refs, about, rest)
         rows = read.filter("chunk is null").select("doc_id", "n", "h1", "h2")
         return rows.join(final, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def derived_links(self, about: DataFrame, deltas: DataFrame) -> DataFrame:
+        """(a, b): links of sets close to the same leader, of different components.
+
+        With dX the differences of X to the leader R, X and Y differ in
+        |dX| + |dY| - 2 |dX and dY|, and link if that is at most c (|X| + |Y|), where
+        c = (den - num) / (den + num).  One of them, X, is not linked with R, so
+        |dX| = c (|X| + |R|) + e with e > 0; as |Y| <= |R| + |dY|, they share at least
+        (e + (1 - c) |dY|) / 2 differences, which is at least e / (1 + c).
+        """
+        num, den = self.num, self.den
+        c = (den - num) / (den + num)
+        d = F.size("delta")
+        close = about.filter("close").join(deltas, "node").withColumn("d", d).withColumn("far", ~self.links(F.col("overlap"), F.col("n"), F.col("ref_n")))
+        close = self.work.saved(close.join(close.filter("far").select("ref").distinct(), "ref", "left_semi").select("ref", "node", "comp", "n", "ref_n", "d", "far", "delta"))
+        least_x = F.ceil((F.col("d") - c * (F.col("n") + F.col("ref_n"))) / (1 + c) - 1e-9).cast("int")
+        least_y = F.ceil((1 - c) * F.col("d") / 2 - 1e-9).cast("int")
+
+        def entries(rows: DataFrame, least: Column, side: str) -> DataFrame:
+            head = F.slice("delta", F.lit(1), F.col("d") - F.greatest(least, F.lit(1)) + 1)
+            out = rows.filter("d > 0").select("ref", "node", "comp", "n", "d", "far", "delta", F.posexplode(head).alias("pos", "token"))
+            return out.select(*(F.col(k).alias(f"{side}_{k}") for k in out.columns))
+
+        x, y = entries(close.filter("far"), least_x, "x"), entries(close, least_y, "y")
+        xd, yd, xn, yn = (F.col(k) for k in ("x_d", "y_d", "x_n", "y_n"))
+        # twice the least number of shared differences
+        twice = xd + yd - (xn + yn) + 2 * _needed(xn, yn, num, den)
+        room = F.least("x_pos", "y_pos") + 1 + F.least(xd - F.col("x_pos") - 1, yd - F.col("y_pos") - 1)
+        once = ~F.col("y_far") | (F.col("x_node") < F.col("y_node"))
+        # a pair is judged where it meets, and given once: at the first difference it shares
+        both = F.array_intersect("x_delta", "y_delta")
+        judged = (2 * room >= twice) & (2 * F.size(both) >= twice) & (F.get(both, F.lit(0)) == F.col("x_token"))
+        met = x.join(y, (F.col("x_ref") == F.col("y_ref")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") != F.col("y_comp")) & once & judged)
+        out = self.work.saved(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+        self.work.drop(close)
+        return out
+
     def left_over(self, rest: DataFrame) -> DataFrame:
-        """(a, b, sure): pairs that may link, of different components; sure ones do."""
+        """(a, b, sure): pairs that may link, of different components; sure ones do.
+
+        Pairs of a set and its leader, and of two sets close to the same leader,
+        have had their answer."""
         num, den = self.num, self.den
         # any two linked sets are in the same size class or in neighbouring ones
         size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(den / num)) + 1e-9)
@@ -258,7 +319,8 @@ class _Join:
         # is in its prefix too, so its lone shingles are not shared
         most = F.when(F.col("x_last") <= F.col("y_last"), xn - F.col("x_lone")).otherwise(yn - F.col("y_lone"))
         sized = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & (room >= need) & (most >= need)
-        met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("near") == F.col("y_sc")) & (F.col("x_comp") != F.col("y_comp")) & once & sized)
+        known = (F.col("x_ref") == F.col("y_ref")) & F.col("x_close") & F.col("y_close")
+        met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("near") == F.col("y_sc")) & (F.col("x_comp") != F.col("y_comp")) & once & sized & ~F.coalesce(known, F.lit(False)))
         # shingles past the prefix that ends first in the global order can still be shared
         past = F.when(F.col("x_last") <= F.col("y_last"), xn - F.col("x_p")).otherwise(yn - F.col("y_p"))
         xo, yo, same = F.col("x_overlap"), F.col("y_overlap"), F.col("x_ref") == F.col("y_ref")

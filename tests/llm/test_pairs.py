@@ -83,6 +83,23 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.component_id for r in rows} == {0}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_copies_too_far_from_their_original(spark, seed):
+    """Most copies do not link with the original; some link with one another."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(100)]
+    docs, variant = [(0, " ".join(base))], base
+    for i in range(1, 120):
+        text = (variant if rng.random() < 0.5 else base)[:]
+        for at in rng.sample(range(100), rng.choice([1, 2, 3, 4, 5, 6])):
+            text[at] = f"x{rng.randrange(40)}"
+        variant = text if rng.random() < 0.3 else variant
+        docs.append((i, " ".join(text)))
+    want = components(docs, 4, 85, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_repeated_and_missing_ids(spark):
     docs = [(5, "a b c d e f"), (5, "g h i j k l"), (7, "g h i j k l"), (None, "a b c d e f"), (None, "q r s t u"), (3, ""), (2, None)]
     rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())

@@ -36,7 +36,7 @@ WORDS, GRAMS, WIDTH, HIDDEN = 32768, 65536, 8, 8
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 5
 #: Share of a batch's words that are read by their characters alone while learning.
 BLANKED = 0.5
-#: Words remembered by a task at most; windows scored at a time.
+#: Words remembered by a task at most; windows, or words, worked on at a time.
 MEMORY, BLOCK = 200_000, 4096
 _WORD = re.compile(r"\w+")
 _NONE = np.zeros(0, dtype=np.int64)
@@ -68,6 +68,13 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((whole >> np.uint64(37)) % np.uint64(WORDS)).astype(np.int64), np.concatenate(grams)[order].astype(np.int64), np.concatenate(owners)[order]
 
 
+def features_in_blocks(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many words, with the scratch memory of a block of them."""
+    parts = [features(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
+    owners = [o + i * BLOCK for i, (_, _, o) in enumerate(parts)]
+    return tuple(np.concatenate(x).astype(np.int32) if parts else _NONE for x in ([b for b, _, _ in parts], [g for _, g, _ in parts], owners))
+
+
 def starts_of(n: int) -> np.ndarray:
     """First words of the windows over n words; the last window ends with the text."""
     if n <= WINDOW:
@@ -167,6 +174,30 @@ class Network:
         return g, dx
 
 
+def scan(net: Network, rows: dict[str, np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and text number of every window; texts hold the numbers of their words' rows."""
+    flat = np.concatenate(texts) if texts else _NONE
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    logits, owners = [], []
+    full = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
+    if full:
+        starts = [starts_of(len(texts[i])) + begin[i] for i in full]
+        at = np.concatenate(starts)
+        for i in range(0, len(at), BLOCK):
+            logits.append(net.forward(rows, flat[at[i : i + BLOCK, None] + np.arange(WINDOW)], None))
+        owners.append(np.repeat(full, [len(s) for s in starts]))
+    short = [i for i, t in enumerate(texts) if len(t) < WINDOW]
+    for i in range(0, len(short), BLOCK):
+        some = short[i : i + BLOCK]
+        real = np.arange(WINDOW) < np.asarray([len(texts[j]) for j in some])[:, None]
+        ids = np.zeros(real.shape, dtype=np.int64)
+        ids[real] = np.concatenate([texts[j] for j in some])
+        padded = rows if len(rows["l"]) else {d: np.zeros((1, 3 * HIDDEN), dtype=np.float32) for d in "lr"}
+        logits.append(net.forward(padded, ids, real))
+        owners.append(np.asarray(some))
+    return np.concatenate(logits), np.concatenate(owners)
+
+
 class Scorer:
     """Scores whole texts; remembers the projections of the words met."""
 
@@ -188,27 +219,7 @@ class Scorer:
             self.number |= zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True)
             new = self.net.projected(self.net.inputs(*features(fresh)))
             self.rows = {d: np.concatenate((self.rows[d], new[d])) for d in "lr"}
-        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sum(map(len, texts)))
-        begin = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        logits, owners = [], []
-        full = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
-        starts = [starts_of(len(texts[i])) + begin[i] for i in full]
-        if full:
-            at, owner = np.concatenate(starts), np.repeat(full, [len(s) for s in starts])
-            for i in range(0, len(at), BLOCK):
-                ids = flat[at[i : i + BLOCK, None] + np.arange(WINDOW)]
-                logits.append(self.net.forward(self.rows, ids, None))
-            owners.append(owner)
-        short = [i for i, t in enumerate(texts) if len(t) < WINDOW]
-        for i in range(0, len(short), BLOCK):
-            some = short[i : i + BLOCK]
-            real = np.arange(WINDOW) < np.asarray([len(texts[j]) for j in some])[:, None]
-            ids = np.zeros(real.shape, dtype=np.int64)
-            ids[real] = np.concatenate([flat[begin[j] : begin[j + 1]] for j in some])
-            rows = self.rows if len(self.number) else {d: np.zeros((1, 3 * HIDDEN), dtype=np.float32) for d in "lr"}
-            logits.append(self.net.forward(rows, ids, real))
-            owners.append(np.asarray(some))
-        return np.concatenate(logits), np.concatenate(owners)
+        return scan(self.net, self.rows, [np.fromiter(map(self.number.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts])
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:
         """The greatest window score of each text."""
@@ -223,15 +234,20 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     y = np.asarray(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    docs = [words_of(t) for t in texts]
-    names = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(names)}
-    ids = [np.fromiter((number[w] for w in d), dtype=np.int64, count=len(d)) for d in docs]
-    buckets, grams, owners = features(names)
+    # words as numbers, text by text: the words themselves are held once
+    number: dict[str, int] = {}
+    ids = [np.asarray([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    names = sorted(number)
+    place_of = np.empty(len(names), dtype=np.int64)
+    place_of[[number[w] for w in names]] = np.arange(len(names))
+    ids = [place_of[d] for d in ids]
+    buckets, grams, owners = features_in_blocks(names)
+    n_names = len(names)
+    del number, names, place_of
     net = Network(seed)
 
     # first vectors: how much oftener a bucket occurs in toxic texts
-    edges = np.searchsorted(owners, np.arange(len(names) + 1))
+    edges = np.searchsorted(owners, np.arange(n_names + 1))
     for key, size, of in (("word", WORDS, lambda u: buckets[u]), ("gram", GRAMS, lambda u: np.concatenate([grams[edges[i] : edges[i + 1]] for i in u]) if len(u) else _NONE)):
         seen = np.zeros((2, size))
         for d, label in zip(ids, y, strict=True):
@@ -245,12 +261,18 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     starts = [starts_of(len(d)) for d in ids]
     rng, step = np.random.default_rng(seed), 0
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    scorer = None
+
+    def projections() -> dict[str, np.ndarray]:
+        parts = []
+        for i in range(0, n_names, BLOCK):
+            j = min(i + BLOCK, n_names)
+            parts.append(net.projected(net.inputs(buckets[i:j], grams[edges[i] : edges[j]], owners[edges[i] : edges[j]] - i)))
+        return {d: np.concatenate([p[d] for p in parts]) if parts else np.zeros((0, 3 * HIDDEN), dtype=np.float32) for d in "lr"}
+
     for epoch in range(epochs):
         if epoch:
-            scorer = Scorer(net)
-            logits, owner = scorer.windows(docs)
-            order = np.split(logits[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(docs)))[:-1])
+            logits, owner = scan(net, projections(), ids)
+            order = np.split(logits[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])
         else:
             order = [np.asarray([strength[d[s : s + WINDOW]].max() if len(d) else 0 for s in st]) for d, st in zip(ids, starts, strict=True)]
         chosen: list[tuple[int, int]] = []
@@ -297,8 +319,12 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").filter(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = {r["doc_id"]: r["toxic"] for c in (0, 1) for r in known.filter(F.col("toxic") == c).orderBy(*order).limit(size).collect()}
-    rows = docs.filter(F.col("doc_id").isin(*picked) & F.col("text").isNotNull()).select("doc_id", "text").collect() if picked else []
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    if not picked:
+        return [], []
+    # at most twice ``size`` rows are sent
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long"))
+    rows = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id", "left_semi").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [picked[r["doc_id"]] for r in rows]
 
 

@@ -316,18 +316,23 @@ class _Join:
         room = F.least("x_pos", "y_pos") + 1 + F.least(xn - F.col("x_pos") - 1, yn - F.col("y_pos") - 1)
         once = (F.col("y_comp") == F.col("y_c0")) | (F.col("x_node") < F.col("y_node"))
         # the prefix that ends first in the global order: what of it is in the other set
-        # is in its prefix too, so its lone shingles are not shared
-        most = F.when(F.col("x_last") <= F.col("y_last"), xn - F.col("x_lone")).otherwise(yn - F.col("y_lone"))
+        # is in its prefix too, so its lone shingles are not shared; where both end at
+        # one place, the looser bound, as a pair comes either way round
+        def first_end(of_x: Column, of_y: Column) -> Column:
+            return F.when(F.col("x_last") < F.col("y_last"), of_x).when(F.col("x_last") > F.col("y_last"), of_y).otherwise(F.greatest(of_x, of_y))
+
+        most = first_end(xn - F.col("x_lone"), yn - F.col("y_lone"))
         sized = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & (room >= need) & (most >= need)
         known = (F.col("x_ref") == F.col("y_ref")) & F.col("x_close") & F.col("y_close")
         met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("near") == F.col("y_sc")) & (F.col("x_comp") != F.col("y_comp")) & once & sized & ~F.coalesce(known, F.lit(False)))
         # shingles past the prefix that ends first in the global order can still be shared
-        past = F.when(F.col("x_last") <= F.col("y_last"), xn - F.col("x_p")).otherwise(yn - F.col("y_p"))
+        past = first_end(xn - F.col("x_p"), yn - F.col("y_p"))
         xo, yo, same = F.col("x_overlap"), F.col("y_overlap"), F.col("x_ref") == F.col("y_ref")
         through = F.least(xo, yo) + F.least(xn - xo, yn - yo)
         derived = F.when(same & (through < need), -1).when(same & (xo + yo - F.col("x_ref_n") >= need), 1).otherwise(0)
         lone = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), (need - past).alias("least"), derived.alias("derived"))
-        counted = lone.filter("derived >= 0").groupBy("a", "b", "least", "derived").agg(F.count("*").alias("k"))
+        # least and derived are the same in all rows of a pair
+        counted = lone.filter("derived >= 0").groupBy("a", "b").agg(F.min("least").alias("least"), F.min("derived").alias("derived"), F.count("*").alias("k"))
         return self.work.saved(counted.filter("k >= least").select("a", "b", (F.col("derived") == 1).alias("sure")))
 
 

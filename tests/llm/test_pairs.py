@@ -100,6 +100,32 @@ def test_copies_too_far_from_their_original(spark, seed):
     assert got == want
 
 
+def drifting(seed):
+    """Each a copy of an earlier one with a few words replaced, added or cut."""
+    rng = random.Random(seed)
+    pool = [f"v{seed}x{i}" for i in range(rng.choice([10, 40, 200]))]
+    docs = [[f"w{seed}x{i}" for i in range(rng.choice([30, 50, 80]))]]
+    for _ in range(29):
+        t = rng.choice(docs[-8:])[:]
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            at, kind = rng.randrange(len(t)), rng.random()
+            if kind < 0.4:
+                t[at] = rng.choice(pool)
+            elif kind < 0.7:
+                t[at:at] = rng.sample(pool, rng.choice([1, 2, 4]))
+            elif len(t) > 25:
+                del t[at : at + rng.choice([1, 2, 4])]
+        docs.append(t)
+    return [(seed * 100 + i, " ".join(t)) for i, t in enumerate(docs)]
+
+
+def test_prefixes_that_end_at_one_place(spark):
+    """Pairs that meet one way round in some lists and the other way in others."""
+    docs = [d for seed in (275, 314) for d in drifting(seed)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80, 100).collect()}
+    assert got == components(docs, 2, 80, 100)
+
+
 def test_repeated_and_missing_ids(spark):
     docs = [(5, "a b c d e f"), (5, "g h i j k l"), (7, "g h i j k l"), (None, "a b c d e f"), (None, "q r s t u"), (3, ""), (2, None)]
     rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())

@@ -16,8 +16,10 @@ from brindle.functions.vector import cosine, dot, literal, norm
 LIMIT, THRESHOLD = 3, 0.5
 
 
-def match_chunks(chunks: DataFrame, query: list[float], threshold: float = THRESHOLD, limit: int = LIMIT, category: str | None = None, include_unresolved: bool = True, *, vector: str = "embedding", key: str = "vec_id", category_col: str = "label") -> DataFrame:
-    """The ``limit`` rows most similar to ``query``, at or above ``threshold``; ties by key."""
+def match_chunks(chunks: DataFrame, query: list[float], threshold: float = THRESHOLD, limit: int | None = LIMIT, category: str | None = None, include_unresolved: bool = True, *, vector: str = "embedding", key: str = "vec_id", category_col: str = "label") -> DataFrame:
+    """The ``limit`` rows most similar to ``query``, at or above ``threshold``; ties by key.
+
+    Without a limit all such rows, in no order."""
     rows = chunks.filter(F.col(vector).isNotNull())
     if category is not None:
         rows = rows.filter(F.col(category_col) == category)
@@ -25,7 +27,8 @@ def match_chunks(chunks: DataFrame, query: list[float], threshold: float = THRES
         rows = rows.filter(~F.col("is_unresolved"))
     length = sum(x * x for x in query) ** 0.5
     found = rows.withColumn("similarity", F.try_divide(dot(F.col(vector), literal(query)), norm(F.col(vector)) * length))
-    return found.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), key).limit(limit)
+    found = found.filter(F.col("similarity") >= threshold)
+    return found if limit is None else found.orderBy(F.desc("similarity"), key).limit(limit)
 
 
 def match_many(queries: DataFrame, chunks: DataFrame, limit: int, *, query_key: str = "query_id", vector: str = "embedding", key: str = "vec_id", exclude_self: bool = True) -> DataFrame:
@@ -42,7 +45,7 @@ def match_many(queries: DataFrame, chunks: DataFrame, limit: int, *, query_key:
 
 
 def best_per_page(rows: DataFrame, page: str, score: str, key: str) -> DataFrame:
-    """The best row of each page."""
+    """The best row of each page; each task cuts its pages' rows before the shuffle."""
     return rows.withColumn("__rank", F.row_number().over(W.partitionBy(page).orderBy(F.desc(score), key))).filter("__rank = 1").drop("__rank")
 
 

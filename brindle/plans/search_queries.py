@@ -58,7 +58,7 @@ def d8_multi_query_topk(spark, sf_dir):
     f"SELECT label, vec_id, round(s, 6) AS similarity FROM (SELECT label, vec_id, {SIM} AS s FROM embeddings) QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1",
 )
 def f1_dedupe_best_per_page(spark, sf_dir):
-    found = search.match_chunks(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), -2.0, 1 << 30)
+    found = search.match_chunks(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), -2.0, None)
     return search.best_per_page(found, "label", "similarity", "vec_id").select("label", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 

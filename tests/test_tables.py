@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from brindle.functions import html
 from brindle.operators import audit, categorize, combat, crawl, mutations, ranking, search
+from brindle.plans import search_queries
 from brindle.sources import readers, schemas
 from brindle.streaming import fights
 
@@ -79,6 +80,13 @@ def test_rank_is_cut_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in search.match_many(q, e, 2)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_best_of_each_page_is_of_all_rows_and_in_no_single_task(spark, sf):
+    v = spark.createDataFrame([(i, [1.0, float(i)], i % 3) for i in range(50)] + [(50, [0.0, 0.0], 7)], "vec_id long, embedding array<float>, label int")
+    assert search.match_chunks(v, [1.0, 0.0], -2.0, None).count() == 50
+    plan = search_queries.f1_dedupe_best_per_page(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan and "GlobalLimit" not in plan
+
+
 def test_filters_reach_the_scan(spark, sf):
     d = search.by_category(spark.read.parquet(f"{sf}/part.parquet"), "p_brand", "Brand#2", ["p_name"], 3).select("p_name")
     plan = d._jdf.queryExecution().executedPlan().toString()

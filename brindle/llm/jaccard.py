@@ -94,6 +94,17 @@ def _read_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, chunk int, counts binary")
 
 
+def _with_identity(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` and the identities of their sets, as __h1 and __h2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            h1, h2 = _identity(shingle_sets(texts, words))
+            yield pa.RecordBatch.from_arrays([*batch.columns, h1, h2], [*batch.schema.names, "__h1", "__h2"])
+
+    return docs.mapInArrow(run, docs.withColumn("__h1", F.lit(0).cast("long")).withColumn("__h2", F.lit(0).cast("long")).schema)
+
+
 def _rarity(read: DataFrame) -> np.ndarray:
     """Level of every bucket: twice the log2 of its count over all documents."""
 
@@ -209,8 +220,8 @@ class _Join:
         self.work.drop(wanted, owned)
         return out
 
-    def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) for every row."""
+    def grouped(self) -> tuple[DataFrame, DataFrame]:
+        """The rows read, and (h1, h2, rep, comp) of every distinct set."""
         work, num, den = self.work, self.num, self.den
         read = work.saved(_read_sets(self.docs, self.words))
         classes = self.classes(read)
@@ -258,12 +269,30 @@ class _Join:
 
         named = classes.join(groups, "node", "left").select("h1", "h2", "rep", F.coalesce("comp", "node").alias("comp"))
         named = work.saved(named)
-        least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        final = work.saved(named.join(least, "comp").select("h1", "h2", "component_id"))
         work.drop(index, shared, listed, judged, refs, about, rest)
+        return read, named
+
+    def run(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) for every row."""
+        read, named = self.grouped()
+        least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        final = self.work.saved(named.join(least, "comp").select("h1", "h2", "component_id"))
         rows = read.filter("chunk is null").select("doc_id", "n", "h1", "h2")
         return rows.join(final, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def first_rows(self) -> DataFrame:
+        """One row of ``docs`` for each component, columns unchanged."""
+        _, named = self.grouped()
+        # the least id, null ids last
+        first = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("id"), "h1", "h2")).alias("v"))
+        keys = [f"__{k}" for k in ("none", "id", "h1", "h2")]
+        kept = self.work.saved(first.select(*(F.col(f"v.{k[2:]}").alias(k) for k in keys)))
+        own = self.docs.columns
+        rows = _with_identity(self.docs, self.words).withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+        # rows of equal id and equal set are one
+        one = rows.join(kept, keys).groupBy(*keys).agg(F.min(F.struct(*own)).alias("__row"))
+        return one.select("__row.*")
+
     def derived_links(self, about: DataFrame, deltas: DataFrame) -> DataFrame:
         """(a, b): links of sets close to the same leader, of different components.
 
@@ -342,11 +371,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, columns unchanged.
+    """The row of least id of each component, columns unchanged; null ids come last.
 
-    Of rows with equal ids in one component all stay if that id is the least."""
-    kept = jaccard_components(docs, words, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    One row stays of each component, also where ids are repeated or null; rows
+    without words, which link with nothing, all stay."""
+    words_in = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return _Join(docs.filter(words_in), words, num, den).first_rows().union(docs.filter(~words_in))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

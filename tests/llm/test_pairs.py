@@ -132,6 +132,15 @@ def test_repeated_and_missing_ids(spark):
     assert rows == [("2", 0, "2"), ("3", 0, "3"), ("5", 3, "5"), ("5", 3, "5"), ("7", 3, "5"), ("None", 2, "None"), ("None", 3, "5")]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = "a b c d e f g h", "g h i j k l m n", "q r s t u v w"
+    docs = [(5, a, 1), (5, a, 1), (5, a.upper(), 2), (5, b, 3), (3, b, 4), (None, c, 5), (None, c, 6), (None, a, 7), (None, "x y", 8), (None, "", 9), (None, None, 10), (4, " \n", 11), (4, " \n", 11)]
+    kept = jaccard.keep_one(spark.createDataFrame(docs, "doc_id int, text string, node int"))
+    assert kept.columns == ["doc_id", "text", "node"]
+    rows = sorted(r.node if r.node not in (5, 6) else 5 for r in kept.collect())
+    assert rows in ([1, 4, 5, 8, 9, 10, 11, 11], [2, 4, 5, 8, 9, 10, 11, 11])
+
+
 def test_sql_gives_the_same_rows(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "conversations"):

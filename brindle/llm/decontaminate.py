@@ -15,7 +15,8 @@ however many items there are.
 
 Edge cases: null and empty texts and items match nothing; texts of any length are
 searched whole; an item that occurs repeatedly in a text is reported once with
-its least distance; equal items are reported each; repeated rows give repeated
+its least distance; equal items are reported each; an item without id is searched
+like any other, reported with a null id and before the others; repeated rows give repeated
 results; empty tables give empty results; other columns of the documents pass
 untouched (one named as the new column is replaced).
 """
@@ -87,7 +88,7 @@ class Item:
 
 
 class Matcher:
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float):
+    def __init__(self, items: tuple[tuple[int | None, str], ...], rate: float):
         self.items = [Item(i, t, rate) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
@@ -110,7 +111,7 @@ class Matcher:
             for n, at in where:
                 near.setdefault(n, set()).add(last + 1 - size - at)
         out = []
-        for n, starts in sorted(near.items(), key=lambda x: self.items[x[0]].id):
+        for n, starts in sorted(near.items(), key=lambda x: (self.items[x[0]].id is not None, self.items[x[0]].id or 0)):
             if found := self._verified(self.items[n], text, sorted(starts)):
                 out.append({"item_id": self.items[n].id, "distance": found[0], "start": found[1], "end": found[2]})
         return out
@@ -134,15 +135,15 @@ class Matcher:
 
 
 @lru_cache(maxsize=4)
-def matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+def matcher(items: tuple[tuple[int | None, str], ...], rate: float) -> Matcher:
     """One matcher for each block of items and worker process."""
     return Matcher(items, rate)
 
 
-def blocks_of(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:
+def blocks_of(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int | None, str], ...]]:
     """The normalised items in blocks of at most ``limit`` characters (or one item)."""
     block, held = [], 0
-    for row in items.select("item_id", "text").filter("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
+    for row in items.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
         text = normal(row["text"])
         if not text:
             continue

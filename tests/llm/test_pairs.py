@@ -193,6 +193,14 @@ def test_leaks_and_clean_documents(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [12, 13, 15]
 
 
+def test_items_without_id(spark):
+    items = spark.createDataFrame([(None, "a passage that has no number of its own"), (1, "another passage that has a number"), (None, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a passage that has no number of its own, another passage that has a number"), (2, "oh yes"), (3, "neither")], "doc_id long, text string")
+    found = {r.doc_id: [(x.item_id, x.distance) for x in r.leaks] for r in decontaminate.with_leaks(docs, items).collect()}
+    assert found == {1: [(None, 0), (1, 0)], 2: [(None, 0)], 3: []}
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [3]
+
+
 def test_items_in_blocks(spark):
     items = spark.createDataFrame([(i, f"unique item number {i} of many words") for i in range(20)], "item_id long, text string")
     blocks = list(decontaminate.blocks_of(items, 100))

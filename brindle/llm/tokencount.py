@@ -89,7 +89,7 @@ class Automaton(dict):
         return count
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def automaton(source: bytes) -> Automaton:
     """Of a byte-level vocabulary: tokens that start with a space are initial
     pieces without it, as are all bytes; the rest are continuation pieces."""
@@ -107,10 +107,9 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
         own = automaton(source.value)
         for batch, texts in slices(batches, text):
             words = [t.split() for t in texts]
-            batch = _with(batch, "n_words", pa.array([len(w) for w in words], pa.int64()))
-            yield _with(batch, "n_tokens", pa.array([sum(map(own.__getitem__, w)) for w in words], pa.int64()))
+            yield _with(batch, {"n_words": pa.array(map(len, words), pa.int64()), "n_tokens": pa.array([sum(map(own.__getitem__, w)) for w in words], pa.int64())})
 
-    return df.mapInArrow(run, _extended(_extended(df.schema, "n_words", T.LongType()), "n_tokens", T.LongType()))
+    return df.mapInArrow(run, _extended(df.schema, ("n_words", T.LongType()), ("n_tokens", T.LongType())))
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

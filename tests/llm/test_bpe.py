@@ -49,6 +49,50 @@ def test_long_texts_are_cut_only_where_certain(library, own, monkeypatch):
     assert ids(own.encode(t)) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_memory_is_bounded_and_rotates(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 3000)
+    with open(PATH, "rb") as f:
+        own = bpe.Codec(f.read())
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = ["".join(rng.choice(PARTS) for _ in range(40)) for _ in range(5)]
+        codes = own.encode_all(texts)
+        assert [ids(c) for c in codes] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert own.held <= bpe.MEMORY // 2
+    own.forget()
+    assert not own.known and not own.before
+
+
+def test_unsupported_vocabularies_are_refused():
+    import json
+
+    with open(PATH, "rb") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "<x>", "id": 1, "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(spec | change).encode())
+
+
+def test_pattern_and_added_tokens_come_from_the_file():
+    import json
+
+    with open(PATH, "rb") as f:
+        spec = json.load(f)
+    split = {"type": "Split", "pattern": {"Regex": r"\s+|\S+"}, "behavior": "Isolated", "invert": False}
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    spec["added_tokens"].append({"id": 50257, "content": "<plain>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    own, whole = bpe.Codec(json.dumps(spec).encode()), tokenizers.Tokenizer.from_str(json.dumps(spec))
+    for t in ("don't  stop<plain>here", "a b\n c", "<plain>", "naïve 12x"):
+        found = ids(own.encode(t))
+        assert found == whole.encode(t, add_special_tokens=False).ids
+        assert own.decode(found) == whole.decode(found, skip_special_tokens=False)
+
+
+def test_null_and_unknown_ids_decode(spark):
+    df = spark.createDataFrame([(1, [50256, 99999999, -5]), (2, None), (3, [])], "k int, ids array<int>")
+    assert {r.k: r.decoded for r in bpe.decode(df, PATH).collect()} == {1: "<|endoftext|>", 2: "", 3: ""}
+
+
 def test_no_token_holds_a_cut(own):
     assert not own.inside[ord("a") << 8 | ord(" ")]
     assert own.inside[ord(" ") << 8 | ord("t")] and own.inside[ord("t") << 8 | ord("h")]

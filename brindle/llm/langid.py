@@ -10,7 +10,15 @@ code point; whatever is no letter is a word's edge, and trigrams centred on an
 edge are not taken.
 
 Bundles are sums, so every task sends one vector for each language and Spark adds
-them up; only (languages x DIM) numbers reach the driver.
+them up; only (languages x DIM) numbers reach the driver.  Texts are read STRETCH
+characters at a time and the vectors of PRESENT trigrams are held at once, so a
+task's memory depends neither on the length of a text nor on its alphabet.
+
+A text is in no language that was learned if its cosine is far below what a text of
+as many letters in that language would have.  A language whose trigrams meet with
+chance s gives n letters of it an expected cosine of sqrt(s n / (1 + s n)); random
+vectors blur every cosine by 1 / sqrt(DIM).  One rule for all lengths:
+score >= share * expected - 2 / sqrt(DIM).
 
 Edge cases: a null text and one without letters are ``und`` with score 0; ties go
 to the language first in order of name; documents without language are not learned
@@ -21,6 +29,7 @@ as often as they come; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +39,12 @@ from pyspark.sql import functions as F
 
 from brindle.llm.arrow import slices
 
-#: Length of the vectors, seed of the letters, documents bundled at a time.
+#: Length of the vectors, seed of the letters, rows bundled at a time.
 DIM, SEED, BUNDLE = 1024, 7, 256
+#: Characters read, and trigrams whose vectors are held, at a time.
+STRETCH, PRESENT = 1_000_000, 4096
+#: Share of the expected cosine from which on a text is in a language.
+SHARE = 0.3
 LETTERS = 64
 UND = "und"
 
@@ -39,7 +52,7 @@ UND = "und"
 @lru_cache(maxsize=1)
 def _letter_table() -> np.ndarray:
     """Letter number of every code point; 0: no letter."""
-    table = np.zeros(0x110000, dtype=np.int32)
+    table = np.zeros(0x110000, dtype=np.uint8)
     for cp in range(0x110000):
         ch = chr(cp)
         if ch.isalpha():
@@ -55,15 +68,16 @@ def _letter_vectors() -> tuple[np.ndarray, ...]:
     return tuple(np.roll(base, k, axis=1) for k in (2, 1, 0))
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram code and text number of every trigram, and letters of each text."""
+def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Trigram codes and, ascending, the numbers of their texts, a stretch at a time."""
     joined = " ".join(["", *texts, ""])
-    x = _letter_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    centre = np.flatnonzero(x[1:-1]) + 1
-    doc = owner[centre - 1]
-    return (x[centre - 1] * LETTERS + x[centre]) * LETTERS + x[centre + 1], doc, np.bincount(doc, minlength=len(texts))
+    starts = 1 + np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))[:-1] + 1))).astype(np.int64)
+    for at in range(0, len(joined) - 2, STRETCH):
+        x = _letter_table()[np.frombuffer(joined[at : at + STRETCH + 2].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
+        centre = np.flatnonzero(x[1:-1]) + 1
+        owner = np.repeat(np.arange(-1, len(texts)), np.diff(np.searchsorted(centre, starts - at), prepend=0, append=len(centre)))
+        if len(centre):
+            yield (x[centre - 1] * LETTERS + x[centre]) * LETTERS + x[centre + 1], owner
 
 
 def _vectors(codes: np.ndarray) -> np.ndarray:
@@ -71,93 +85,116 @@ def _vectors(codes: np.ndarray) -> np.ndarray:
     return (a[codes // LETTERS**2] * b[codes // LETTERS % LETTERS] * c[codes % LETTERS]).astype(np.float32)
 
 
-def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The documents' vectors (rows) and their numbers of letters."""
-    codes, doc, letters = _grams(texts)
-    out = np.zeros((len(texts), DIM), dtype=np.float32)
-    if len(codes):
+def bundles(texts: list[str], rows: np.ndarray | None = None, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bundled vectors and numbers of letters of ``n`` rows; rows[i] is the row that
+    text i is added to (by default each text has its own).
+
+    Sums stay below 2**24 within a stretch, so they are exact."""
+    rows, n = (np.arange(len(texts)), len(texts)) if rows is None else (rows, n)
+    out, letters = np.zeros((n, DIM)), np.zeros(n, dtype=np.int64)
+    for codes, owner in _grams(texts):
+        row = rows[owner]
+        letters += np.bincount(row, minlength=n)
+        if (np.diff(row) < 0).any():
+            order = np.argsort(row, kind="stable")
+            codes, row = codes[order], row[order]
         present = np.flatnonzero(np.bincount(codes, minlength=LETTERS**3))
-        place = np.zeros(LETTERS**3, dtype=np.int32)
+        place = np.zeros(LETTERS**3, dtype=np.int64)
         place[present] = np.arange(len(present))
-        vectors, where = _vectors(present), place[codes]
-        edges = np.searchsorted(doc, np.arange(0, len(texts) + BUNDLE, BUNDLE))
-        for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-            rows = min(BUNDLE, len(texts) - k * BUNDLE)
-            flat = (doc[i:j] - k * BUNDLE).astype(np.int64) * len(present) + where[i:j]
-            counts = np.bincount(flat, minlength=rows * len(present)).reshape(rows, len(present))
-            out[k * BUNDLE : k * BUNDLE + rows] = counts.astype(np.float32) @ vectors
+        where = place[codes]
+        for p in range(0, len(present), PRESENT):
+            some = present[p : p + PRESENT]
+            vectors = _vectors(some)
+            inside = slice(None) if len(some) == len(present) else np.flatnonzero((where >= p) & (where < p + PRESENT))
+            w, r = where[inside] - p, row[inside]
+            for k in range(int(r[0]), int(r[-1]) + 1, BUNDLE):
+                i, j = np.searchsorted(r, (k, k + BUNDLE))
+                height = min(BUNDLE, n - k)
+                counts = np.bincount((r[i:j] - k) * len(some) + w[i:j], minlength=height * len(some)).reshape(height, len(some))
+                out[k : k + height] += counts.astype(np.float32) @ vectors
     return out, letters
 
 
-def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their prototypes, from columns text and lang."""
+@dataclass
+class Profiles:
+    """Languages in order of name, their bundles (rows) and numbers of letters."""
+
+    langs: list[str]
+    vectors: np.ndarray
+    letters: np.ndarray
+
+    def unit(self) -> np.ndarray:
+        return self.vectors / np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
+
+    def chance(self) -> np.ndarray:
+        """Chance that two trigrams of a language are the same."""
+        return (self.vectors**2).sum(axis=1) / DIM / np.maximum(self.letters, 1) ** 2
+
+
+def learn(labelled: DataFrame) -> Profiles:
+    """Profiles of the languages in columns text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch, texts in slices(batches):
-            langs = np.asarray(batch.column(batch.schema.get_field_index("lang")).to_pylist(), dtype=object)
-            codes, doc, _ = _grams(texts)
-            for lang in set(langs.tolist()):
-                counts = np.bincount(codes[(langs == lang)[doc]], minlength=LETTERS**3)
-                found[lang] = found.get(lang, 0) + counts
-        for lang, counts in found.items():
-            present = np.flatnonzero(counts)
-            vector = np.zeros(DIM)
-            for i in range(0, len(present), 4096):
-                part = present[i : i + 4096]
-                vector += counts[part].astype(np.float64) @ _vectors(part)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(vector)], ["lang", "dim", "value"])
+            names, rows = np.unique(np.asarray(batch.column(batch.schema.get_field_index("lang")).to_pylist(), dtype=object), return_inverse=True)
+            vectors, letters = bundles(texts, rows, len(names))
+            for name, v, n in zip(names.tolist(), vectors, letters, strict=True):
+                found[name] = found.get(name, 0) + np.append(v, n)
+        for lang, v in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["lang", "dim", "value"])
 
     parts = labelled.select("text", "lang").filter("lang is not null and text is not null").mapInArrow(run, "lang string, dim int, value double")
-    rows = parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
-    langs = sorted({r["lang"] for r in rows})
-    prototypes = np.zeros((len(langs), DIM))
-    for r in rows:
-        prototypes[langs.index(r["lang"]), r["dim"]] = r["value"]
-    return langs, prototypes
-
-
-def _unit(prototypes: np.ndarray) -> np.ndarray:
-    return (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    sums = parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
+    langs = sorted({r["lang"] for r in sums})
+    table = np.zeros((len(langs), DIM + 1))
+    for r in sums:
+        table[langs.index(r["lang"]), r["dim"]] = r["value"]
+    return Profiles(langs, table[:, :DIM], table[:, DIM])
 
 
-def _judge(texts: list[str], langs: list[str], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language, score and number of letters of each text."""
+def _judge(texts: list[str], known: Profiles, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and number of letters of each text, and whether the score
+    is what the language's texts have."""
     vectors, letters = bundles(texts)
+    langs = known.langs
     length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
-    cosines = np.clip(vectors @ unit.T / length[:, None], 0, 1) if langs else np.zeros((len(texts), 1))
+    cosines = np.clip(vectors @ known.unit().T / length[:, None], 0, 1) if langs else np.zeros((len(texts), 1))
     best = np.where((letters > 0) & bool(langs), cosines.argmax(axis=1), len(langs))
-    score = np.where(letters > 0, cosines.max(axis=1), 0).astype(np.float64)
-    return np.asarray([*langs, UND], dtype=object)[best], score, letters.astype(np.int64)
+    score = np.where(letters > 0, cosines.max(axis=1), 0)
+    met = letters * np.append(known.chance(), 0)[best]
+    native = (letters > 0) & (score >= share * np.sqrt(met / (1 + met)) - 2 / DIM**0.5)
+    return np.asarray([*langs, UND], dtype=object)[best], score, letters, native
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score, n_letters) for every row of ``docs``; score is the
-    cosine with the language predicted, at least 0."""
-    unit = _unit(prototypes)
+def predict(docs: DataFrame, known: Profiles, key: str = "doc_id", share: float = SHARE) -> DataFrame:
+    """(key, lang_pred, score, n_letters, native) for every row of ``docs``; score is
+    the cosine with the language predicted, at least 0; native whether it is as high
+    as that language's texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            names, score, letters = _judge(texts, langs, unit)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(names, pa.string()), pa.array(score), pa.array(letters)], [key, "lang_pred", "score", "n_letters"])
+            names, score, letters, native = _judge(texts, known, share)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(names, pa.string()), pa.array(score), pa.array(letters), pa.array(native)], [key, "lang_pred", "score", "n_letters", "native"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_letters long")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_letters long, native boolean")
 
 
-def label(docs: DataFrame, langs: list[str], prototypes: np.ndarray, min_letters: int, min_score: float) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and, if it has ``min_letters`` of
-    them, a score of ``min_score`` or more; ``lang`` becomes the language predicted.
+def label(docs: DataFrame, known: Profiles, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` whose text is native in a language learned; ``lang``
+    becomes the language predicted.  Where no language was learned, all rows with
+    letters stay as they are.
 
     Rows pass through in one go, all other columns untouched, nothing is shuffled."""
-    unit = _unit(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            names, score, letters = _judge(texts, langs, unit)
-            keep = (letters > 0) & ((letters < min_letters) | (score >= min_score))
-            place = batch.schema.get_field_index("lang")
-            yield batch.set_column(place, batch.schema.field(place), pa.array(names, pa.string())).filter(pa.array(keep))
+            names, _, _, native = _judge(texts, known, share)
+            if known.langs:
+                place = batch.schema.get_field_index("lang")
+                batch = batch.set_column(place, batch.schema.field(place), pa.array(names, pa.string()))
+            yield batch.filter(pa.array(native))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -170,6 +207,5 @@ def held_out() -> Column:
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole document, learned from four fifths of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    langs, prototypes = learn(docs.filter(~F.coalesce(held_out(), F.lit(True))))
-    found = predict(docs, langs, prototypes)
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "lang_pred", "score", "n_letters")
+    known = learn(docs.filter(~F.coalesce(held_out(), F.lit(True))))
+    return predict(docs, known).select("doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "lang_pred", "score", "n_letters", "native")

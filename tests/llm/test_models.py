@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import langid, toxicity
 from brindle.llm.queries import QUERIES
@@ -31,9 +33,71 @@ def test_bundle_is_the_sum_of_bound_letters():
 
 def test_undetermined(spark):
     docs = spark.createDataFrame([(1, None), (2, "123 ..."), (3, "hello")], "doc_id long, text string")
-    langs, protos = ["en"], np.ones((1, langid.DIM))
-    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, langs, protos).collect()} == {1: "und", 2: "und", 3: "en"}
-    assert {r.lang_pred for r in langid.predict(docs, [], np.zeros((0, langid.DIM))).collect()} == {"und"}
+    known = langid.Profiles(["en"], np.ones((1, langid.DIM)), np.ones(1))
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, known).collect()} == {1: "und", 2: "und", 3: "en"}
+    nothing = langid.Profiles([], np.zeros((0, langid.DIM)), np.zeros(0))
+    assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+    assert [r.doc_id for r in langid.label(docs.withColumn("lang", F.lit("xx")), nothing).filter("lang = 'xx'").collect()] == [3]
+
+
+def by_hand(texts, langs, asked):
+    """Bundles, prototypes and predictions with one vector for each trigram."""
+    a, b, c = (t.astype(int) for t in langid._letter_vectors())
+    table = langid._letter_table().astype(int)
+
+    def bundle(text):
+        x = [table[ord(ch)] for ch in f" {text} "]
+        return sum((a[x[i - 1]] * b[x[i]] * c[x[i + 1]] for i in range(1, len(x) - 1) if x[i]), np.zeros(langid.DIM, dtype=int))
+
+    names = sorted(set(langs))
+    known = np.array([sum(bundle(t) for t, lang in zip(texts, langs, strict=True) if lang == name) for name in names])
+    out = []
+    for t in asked:
+        v = bundle(t)
+        cosines = known @ v / np.linalg.norm(known, axis=1) / max(np.linalg.norm(v), 1e-9)
+        out.append((names[int(cosines.argmax())], max(cosines.max(), 0)))
+    return out
+
+
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    """With stretches, trigrams and rows in small blocks."""
+    for name, value in (("STRETCH", 70), ("PRESENT", 9), ("BUNDLE", 3)):
+        monkeypatch.setattr(langid, name, value)
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list(abc), rng.integers(1, 7))) for _ in range(rng.integers(1, 30))) for abc in ("abcde", "cdefg", "щжзйé") * 7]
+    langs = ["x", "y", "z"] * 7
+    vectors, letters = langid.bundles(texts, np.array([2, 0, 1] * 7), 3)
+    known = langid.Profiles(["y", "z", "x"], vectors, letters)
+    names, scores, n, _ = langid._judge(texts, known, langid.SHARE)
+    want = by_hand(texts, langs, texts)
+    assert names.tolist() == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want])
+    assert n.tolist() == [sum(map(str.isalpha, t)) for t in texts]
+
+
+def test_memory_of_mixed_scripts():
+    """Texts of ever new trigrams: what is held at once is bounded."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 4000))) for _ in range(500)]
+    tracemalloc.start()
+    langid.bundles(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_other_languages_go_and_short_clean_texts_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null")
+    known = langid.learn(docs)
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(chr(97 + k) for k in rng.integers(0, 26, n))
+    odd = [" ".join(letters(rng.integers(3, 9)) for _ in range(1000)), letters(20000), "".join(chr(k) for k in rng.integers(0x4E00, 0x9FFF, 3000))]
+    gone = langid.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), known).collect()
+    assert not any(r.native for r in gone)
+    clean = langid.predict(docs, known).filter("not native and n_letters > 0").count()
+    assert clean <= 0.005 * docs.count()
+    starts = docs.select("doc_id", F.left("text", F.lit(25)).alias("text"))
+    short = langid.predict(starts, known).filter("not native and n_letters > 0").count()
+    assert short <= 0.02 * docs.count()
 
 
 def test_gradient_of_the_network():

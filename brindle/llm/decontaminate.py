@@ -10,8 +10,9 @@ letters and digits as one space.  Items too short for any edit (k = 0) must occu
 as whole words.  Items without letters or digits match nothing.
 
 Items are a stated query set: they are sent to the tasks in blocks of at most
-BLOCK_CHARS characters, each block against all rows, so what is sent is bounded
-however many items there are.
+BLOCK_CHARS characters, each block against all rows.  A worker holds one block at a
+time: rows found come from one scan of the documents for each block; where rows pass
+through, what one block leaves is written and reread before the next.
 
 Edge cases: null and empty texts and items match nothing; texts of any length are
 searched whole; an item that occurs repeatedly in a text is reported once with
@@ -25,18 +26,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.arrow import slices
+from brindle.llm.work import Work
 
-#: Edits allowed for each character of an item; characters of a block of items.
-RATE, BLOCK_CHARS = 0.08, 8_000_000
+#: Edits allowed for each character of an item; characters of a block of items
+#: (some 60 bytes of a worker's memory for each).
+RATE, BLOCK_CHARS = 0.08, 2_000_000
 _OTHER = re.compile(r"[\W_]+")
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -46,14 +50,19 @@ def normal(text: str) -> str:
 
 
 class Item:
-    """One test item with its bit masks."""
+    """One test item; its bit masks are made when it is first verified."""
 
-    def __init__(self, item_id: int, text: str, rate: float):
+    def __init__(self, item_id: int | None, text: str, rate: float):
         self.id, self.text, self.m = item_id, text, len(text)
         self.budget = int(rate * len(text))
-        self.masks: dict[str, int] = {}
-        for i, ch in enumerate(text):
-            self.masks[ch] = self.masks.get(ch, 0) | 1 << i
+
+    @cached_property
+    def masks(self) -> dict[str, int]:
+        """Of each letter, a bit for every place that holds it."""
+        found: dict[str, int] = {}
+        for i, ch in enumerate(self.text):
+            found[ch] = found.get(ch, 0) | 1 << i
+        return found
 
     def pieces(self) -> list[tuple[str, int]]:
         cuts = [self.m * i // (self.budget + 1) for i in range(self.budget + 2)]
@@ -101,20 +110,18 @@ class Matcher:
             self.search.make_automaton()
         self.empty = not places
 
-    def leaks(self, raw: str) -> list[dict]:
+    def leaks(self, raw: str) -> Iterator[dict]:
         """Every item found in a text, with offsets into the text compared."""
         text = normal(raw)
         if self.empty or not text:
-            return []
+            return
         near: dict[int, set[int]] = {}
         for last, (size, where) in self.search.iter(text):
             for n, at in where:
                 near.setdefault(n, set()).add(last + 1 - size - at)
-        out = []
         for n, starts in sorted(near.items(), key=lambda x: (self.items[x[0]].id is not None, self.items[x[0]].id or 0)):
             if found := self._verified(self.items[n], text, sorted(starts)):
-                out.append({"item_id": self.items[n].id, "distance": found[0], "start": found[1], "end": found[2]})
-        return out
+                yield {"item_id": self.items[n].id, "distance": found[0], "start": found[1], "end": found[2]}
 
     def _verified(self, item: Item, text: str, starts: list[int]) -> tuple[int, int, int] | None:
         best, reach = None, None
@@ -134,9 +141,9 @@ class Matcher:
         return best
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def matcher(items: tuple[tuple[int | None, str], ...], rate: float) -> Matcher:
-    """One matcher for each block of items and worker process."""
+    """The matcher of the block of items that a worker process is at."""
     return Matcher(items, rate)
 
 
@@ -156,17 +163,23 @@ def blocks_of(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tupl
         yield tuple(block)
 
 
+def _passed(docs: DataFrame, items: DataFrame, step) -> DataFrame:
+    """``docs`` after step(docs, block) for every block of items, written between."""
+    work, first = Work(docs.sparkSession), True
+    for block in blocks_of(items):
+        docs = step(docs if first else work.saved(docs), docs.sparkSession.sparkContext.broadcast(block))
+        first = False
+    return docs
+
+
 def with_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text", into: str = "leaks") -> DataFrame:
     """Adds array<struct<item_id, distance, start, end>>: the items found in ``text``.
 
-    Offsets count characters of the normalised text.  No shuffle: each block of
-    items adds to the rows as they pass.
+    Offsets count characters of the normalised text.  No shuffle.
     """
-    out = docs.withColumn(into, F.array().cast(T.ArrayType(LEAK)))
-    for block in blocks_of(items):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def step(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = matcher(sent.value, rate)
             for batch, texts in slices(batches, text):
                 place = batch.schema.get_field_index(into)
@@ -174,18 +187,51 @@ def with_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str
                 found = pa.array([[*b, *own.leaks(t)] for b, t in zip(before, texts, strict=True)], batch.schema.field(place).type)
                 yield batch.set_column(place, batch.schema.field(place), found)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return rows.mapInArrow(run, rows.schema)
+
+    return _passed(docs.withColumn(into, F.array().cast(T.ArrayType(LEAK))), items, step)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
     """The documents in which no item is found, with their columns unchanged."""
-    return with_leaks(docs, items, rate, into="__leaks").filter(F.size("__leaks") == 0).drop("__leaks")
+
+    def step(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = matcher(sent.value, rate)
+            for batch, texts in slices(batches, text):
+                yield batch.filter(pa.array([next(own.leaks(t), None) is None for t in texts], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return _passed(docs, items, step)
+
+
+def found_items(docs: DataFrame, items: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, item_id, distance, start, end): a row for every item found in a document;
+    one scan of the documents for each block of items."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, item_id long, distance int, start int, end int"
+    docs = docs.select(key, text)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for number, block in enumerate(blocks_of(items)):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = matcher(sent.value, rate)
+            for batch, texts in slices(batches, text):
+                rows = [(i, leak) for i, t in enumerate(texts) for leak in own.leaks(t)]
+                if rows:
+                    keys = batch.column(batch.schema.get_field_index(key)).take(pa.array([i for i, _ in rows]))
+                    fields = [pa.array([leak[f.name] for _, leak in rows], pa.int64() if f.name == "item_id" else pa.int32()) for f in LEAK.fields]
+                    yield pa.RecordBatch.from_arrays([keys, *fields], [key, *LEAK.names])
+
+        part = docs.mapInArrow(run, schema)
+        out = out.unionByName(part) if number else part
+    return out
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of document and benchmark item found in it, with the distance."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = with_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak"))
-    return found.select("doc_id", F.col("leak.item_id").alias("item_id"), F.col("leak.distance").cast("long").alias("distance"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = found_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", F.col("distance").cast("long").alias("distance"))

@@ -1,5 +1,10 @@
 """PII: patterns propose spans, checksums confirm them, context words set the score.
 
+A span's score starts from its kind and is raised or lowered by words within CONTEXT
+code points on either side.  Spans of the base kinds always stay; those of the kinds
+added stay from a score of MIN_SCORE on, so an account number beside a word such as
+"order" or "version" needs a word such as "bank" or "iban" beside it too.
+
 Built of SQL functions only.  Every pattern is written with possessive runs that
 start at the beginning of a run, so that a scan stays linear on very long texts
 without separators.
@@ -21,7 +26,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# Countries by the length of their account numbers (ISO 13616).
+ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNTS.items()) + ")(?![A-Za-z0-9])"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 # Start score of each kind, words nearby that raise or lower it.
@@ -34,8 +45,9 @@ RAISE = {
     "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
 }
 LOWER = r"(?i)\b(?:version|order|isbn|sku|build|release|example)\b"
-#: Code points on either side in which context words count.
-CONTEXT = 40
+#: Code points on either side in which context words count; least score of the kinds
+#: beyond BASE.
+CONTEXT, MIN_SCORE = 40, 0.7
 
 
 def _digits(c: Column) -> Column:
@@ -55,7 +67,7 @@ def mod97(code: Column) -> Column:
 
 
 def _iban(m: Column) -> Column:
-    return let(F.regexp_replace(m, " ", ""), lambda c: F.char_length(c).between(15, 34) & (mod97(c) == 1))
+    return mod97(F.regexp_replace(m, " ", "")) == 1
 
 
 #: kind -> (pattern, confirmation of a match), in the order of the results.
@@ -75,7 +87,7 @@ def _score(kind: str, s: Column) -> Column:
     return F.round(F.lit(START[kind]) + raised - F.when(around.rlike(LOWER), 0.2).otherwise(0.0), 2)
 
 
-def pii_spans(text: Column, min_score: float = 0.0) -> Column:
+def pii_spans(text: Column, min_score: float = MIN_SCORE) -> Column:
     """array<struct<kind, start, end, score>> of the confirmed spans, kind by kind.
 
     Spans of one kind never overlap; spans of several kinds may.  min_score only
@@ -107,4 +119,5 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_pii(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "pii")
     count = lambda k: F.size(F.filter("pii", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s.kind.isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: s.score.cast("string")), ",")
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), scores.alias("scores"))

@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements summed by one inner fold of prefix_sums; only a matter of speed.
-BLOCK = 128
+#: Elements folded by one inner fold of prefixes; code points of a piece of a text.
+#: Only a matter of speed.
+BLOCK, PIECE = 128, 512
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,8 +23,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(values: Column) -> Column:
-    """Inclusive running sums of an array<int>, folded block by block.
+def prefixes(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """combine() of the first i values (at least 0) for every i, block by block.
 
     Appending in a fold copies the result so far; two levels keep that cost
     near-linear for texts with very many matches.
@@ -31,8 +32,8 @@ def prefix_sums(values: Column) -> Column:
     empty = F.array().cast("array<int>")
 
     def running(xs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("sum"), empty.alias("out"))
-        step = lambda a, x: F.struct((a.sum + x).alias("sum"), F.array_append(a.out, a.sum + x).alias("out"))
+        start = F.struct(F.lit(0).alias("last"), empty.alias("out"))
+        step = lambda a, x: let(combine(a["last"], x), lambda y: F.struct(y.alias("last"), F.array_append(a.out, y).alias("out")))
         return F.aggregate(xs, start, step, lambda a: a.out)
 
     def blocks_of(xs: Column) -> Column:
@@ -41,11 +42,21 @@ def prefix_sums(values: Column) -> Column:
 
     def joined(blocks: Column) -> Column:
         totals = running(F.transform(blocks, lambda b: F.element_at(b, -1)))
-        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.when(i > 0, F.get(t, i - 1)).otherwise(0)))))
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: combine(F.when(i > 0, F.get(t, i - 1)).otherwise(0), x)))))
 
     return let(values, lambda xs: F.when(F.size(xs) == 0, empty).otherwise(let(blocks_of(xs), joined)))
 
 
+def prefix_sums(values: Column) -> Column:
+    """Inclusive running sums of an array<int>."""
+    return prefixes(values, lambda a, x: a + x)
+
+
+def prefix_max(values: Column) -> Column:
+    """Inclusive running maxima of an array<int>, at least 0."""
+    return prefixes(values, lambda a, x: F.greatest(a, x))
+
+
 def matches(text: Column, pattern: str, context: int = 0) -> Column:
     """array<struct<start int, end int, match string, before string, after string>>
     of the leftmost non-overlapping matches of ``pattern`` (never an empty match).
@@ -87,14 +98,25 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets, as [EMAIL].
 
     Overlapping spans are covered by the first of them and vanish as a whole.
-    A null text stays null.
+    A null text stays null.  Spark finds a place in a text by counting from its
+    start; here it is counted from the start of a piece of PIECE code points, so
+    the cost is linear in the text and in the number of spans.
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("rev"), s.kind.alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(cut: Column, a: Column, b: Column) -> Column:
+        """Code points a to b (exclusive) of the text."""
+        low, high = F.floor(a / PIECE).cast("int"), F.ceil(b / PIECE).cast("int")
+        return F.when(b > a, F.substr(F.array_join(F.slice(cut, low + 1, high - low), ""), a - low * PIECE + 1, b - a)).otherwise("")
+
+    def written(rows: Column, cut: Column, ends: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        part = lambda r, i: let(before(i), lambda at: F.when(r.start >= at, F.concat(between(cut, at, r.start), F.lit("["), F.upper(r.kind), F.lit("]"))).otherwise(""))
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(F.transform(rows, part), ""), between(cut, last, F.greatest(last, F.char_length(text))))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.struct((-s.rev).alias("at"), F.concat(a.out, F.substr(text, a["at"] + 1, s.start - a["at"]), F.lit("["), F.upper(s.kind), F.lit("]")).alias("out"))
-        return F.when(s.start >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], -s.rev).alias("at"), a.out.alias("out")))
+    def done(rows: Column) -> Column:
+        return let(pieces, lambda cut: let(prefix_max(F.transform(rows, lambda r: -r.rev)), lambda ends: written(rows, cut, ends)))
 
-    done = F.aggregate(ordered, zero, step, lambda a: F.concat(a.out, F.substr(text, a["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(ordered, done)).otherwise(text)

@@ -4,11 +4,12 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from brindle.llm import pii, secrets
-from brindle.llm.spans import matches
+from brindle.llm.spans import masked, matches
 
 TEXTS = [
     "write a.b@c.d.e or _x%@y-z.q@r.s, 1.2.3.4.5.6.7.8 and 256.1.1.1 0255.0.0.1",
@@ -71,6 +72,11 @@ def test_many_matches(spark):
 def test_account_numbers_and_context(spark):
     r = pii.with_pii(frame(spark, ["IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE89370400440532013001"])).first().pii
     assert [(s.kind, s.start, s.end) for s in r] == [("iban", 5, 32), ("iban", 37, 59)] and r[0].score == 1.0
+    known = lambda t: [s.kind for s in pii.with_pii(frame(spark, [t])).first().pii]
+    assert known("DE89370400440532013000 AND MORE") == ["iban"] and known("see NO9386011117947 or BE68 5390 0754 7034 NEXT") == ["iban", "iban"]
+    assert known("DE8937040044053201300 short") == [] and known("DE88370400440532013000 wrong") == []
+    # context decides on kinds beyond the base
+    assert known("order DE89370400440532013000") == [] and known("order, bank account DE89370400440532013000") == ["iban"]
     near, far = (pii.with_pii(frame(spark, [t])).first().pii[0].score for t in ("phone +1 555 123 4567", "build +1 555 123 4567"))
     assert near > 0.5 > far
 
@@ -80,11 +86,49 @@ def test_redact(spark):
     assert [r.text for r in rows] == ["é [EMAIL] and [CARD]!", None, "", "nothing"]
 
 
+def masked_by_hand(text, spans):
+    out, at = "", 0
+    for start, end, kind in sorted(((s.start, s.end, s.kind) for s in spans), key=lambda x: (x[0], -x[1], x[2])):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_equals_slicing(spark):
+    rng = random.Random(8)
+    bits = ["a.b@c.de", " 1.2.3.4 ", "4465758382889437", "+1 555 123 4567", "é", "😀 word ", "x" * 700, "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    df = frame(spark, texts)
+    spans = {r.doc_id: r.pii for r in pii.with_pii(df).collect()}
+    for r in pii.redact(df).collect():
+        assert r.text == masked_by_hand(texts[r.doc_id], spans[r.doc_id])
+
+
+def test_overlapping_spans(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("ab é😀") for _ in range(3000))
+    rows = [(k, [(a, a + rng.randint(1, 40), rng.choice(["x", "y"])) for a in (rng.randrange(2950) for _ in range(k * 20))]) for k in range(1, 20)]
+    df = spark.createDataFrame([(k, text, s) for k, s in rows], "k int, text string, spans array<struct<start:int,end:int,kind:string>>")
+    for r in df.select("k", "spans", masked(F.col("text"), F.col("spans")).alias("out")).collect():
+        assert r.out == masked_by_hand(text, r.spans)
+
+
+def test_redaction_is_linear(spark):
+    """80,000 spans in one text; copying the text for each would take hours."""
+    text = " ".join(f"u{i}@h.io" for i in range(80_000))
+    began = time.time()
+    out = pii.redact(frame(spark, [text])).first().text
+    assert out == " ".join(["[EMAIL]"] * 80_000)
+    assert time.time() - began < 60
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     rng = random.Random(11)
     b64 = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(40)]
     upper = [hashlib.sha1(rng.randbytes(8)).hexdigest().upper() for _ in range(20)]
-    plain = ["getElementByIdFromTheDocument2", "aaaaaaaaaaaaaaaaaaaaaaaaaaa1", "thethingthatwasoneverything1", "2024-01-01_report_final_version", "/usr/share/doc/python3/examples", "abcabcabcabcabcabcabcabc123", "0123456789ABCDEF0123456789ABCDEF"]
+    # none of these is of a base kind
+    plain = ["getElementByIdFromTheDocument2", "zzzzzzzzzzzzzzzzzzzzzzzzzzz1", "thethingthatwasoneverything1", "2024-01-01_report_final_version", "/usr/share/doc/python3/examples", "xyzxyzxyzxyzxyzxyzxyzxyz123", "0123456789ABCDEF0123456789ABCDEF"]
     texts = [f"see {x} there" for x in b64 + upper + plain]
     kinds = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.with_secrets(frame(spark, texts)).collect()}
     hit = [kinds[i] == ["random"] for i in range(len(b64) + len(upper))]

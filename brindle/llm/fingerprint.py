@@ -75,13 +75,13 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), BITS // 4, "0"))), "")
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[Column, dict[int, str], int]:
-    """Number of the id range of a row; the text that follows each range; ranges.
+def _with_ranges(docs: DataFrame, parts: int) -> DataFrame:
+    """The rows with the number of their id range, and once more the first row of each
+    range as the last of the range before it (``tail``; before the first comes the
+    last range that has rows).
 
-    Ranges hold about equally many rows.  The text after a range is the first of
-    the next range that has rows, after the last the first of all: one text for
-    each range reaches the driver.
-    """
+    Ranges hold about equally many rows, null ids are in the first.  Only their cuts
+    and first ids reach the driver: two numbers for each range."""
     cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else None
     bounds = np.unique(np.asarray(cuts or [], dtype=np.int64))
 
@@ -90,13 +90,12 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[Column, dict[int, str], int]:
         return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(dtype=np.int64), side="left")).astype(np.int32))
 
     number = place(F.col("doc_id"))
-    firsts = {r["r"]: r["id"] for r in docs.select("doc_id").groupBy(number.alias("r")).agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("id")).collect()}
-    ids = {i for i in firsts.values() if i is not None}
-    wanted = docs.filter(F.col("doc_id").isin(*ids) | (F.lit(len(ids) < len(firsts)) & F.col("doc_id").isNull()))
-    texts = {r["doc_id"]: r["text"] for r in wanted.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    order = sorted(firsts)
-    after = {r: texts[firsts[order[(i + 1) % len(order)]]] for i, r in enumerate(order)}
-    return number, after, len(bounds) + 1
+    low = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
+    firsts = sorted((r["range"], r["id"]) for r in docs.select("doc_id").groupBy(number.alias("range")).agg(low.alias("id")).collect())
+    # as many rows as there are ranges
+    before = F.broadcast(docs.sparkSession.createDataFrame([(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)], "range int, first long"))
+    heads = docs.join(before, docs["doc_id"].eqNullSafe(before["first"])).groupBy("range", "doc_id").agg(F.min("text").alias("text"))
+    return docs.select("doc_id", "text", number.alias("range"), F.lit(False).alias("tail")).union(heads.select("doc_id", "text", "range", F.lit(True)))
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -104,40 +103,29 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     row, next to its neighbour in ascending doc_id (the first follows the last).
 
     One shuffle of the texts by ranges of ids; every task reads its ranges in
-    order and knows the one text that follows each.
+    order, each followed by the first row of the next.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number, after, _ = _ranges(docs, RANGES * width)
-    later = docs.sparkSession.sparkContext.broadcast(after)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(ids: list, texts: list[str], nexts: list[str], own: list, follow: list) -> pa.RecordBatch:
-            edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, nexts, strict=True)]
-            columns = [pa.array(ids, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited])]
-            for s in (own, sketches(edited), follow):
-                columns.append(lists(np.concatenate(s), [len(x) for x in s]))
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch"])
-
         held: tuple | None = None
         for batch, texts in slices(batches):
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            ranges = batch.column(batch.schema.get_field_index("range")).to_pylist()
+            ids, tails = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "tail"))
             own = sketches(texts)
             if held:
-                ids, texts, ranges, own = [held[0], *ids], [held[1], *texts], [held[2], *ranges], [held[3], *own]
-            nexts, follow = texts[1:], own[1:]
-            ends = [i for i in range(len(ids) - 1) if ranges[i] != ranges[i + 1]]
-            for i, s in zip(ends, sketches([later.value[ranges[i]] for i in ends]), strict=True):
-                nexts[i], follow[i] = later.value[ranges[i]], s
-            held = (ids[-1], texts[-1], ranges[-1], own[-1])
-            if nexts:
-                yield rows(ids[:-1], texts[:-1], nexts, own[:-1], follow)
-        if held:
-            text = later.value[held[2]]
-            yield rows([held[0]], [held[1]], [text], [held[3]], sketches([text]))
-
-    ordered = docs.withColumn("range", number).repartition(width, "range").sortWithinPartitions("range", "doc_id", "text")
+                ids, texts, tails, own = [held[0], *ids], [held[1], *texts], [held[2], *tails], [held[3], *own]
+            held = (ids[-1], texts[-1], tails[-1], own[-1])
+            # a range ends with a tail, which is the next of the row before it
+            rows = [i for i in range(len(ids) - 1) if not tails[i]]
+            if rows:
+                edited = [texts[i][: len(texts[i]) - len(texts[i]) // 4] + texts[i + 1][: len(texts[i]) // 4] for i in rows]
+                columns = [pa.array([ids[i] for i in rows], pa.int64()), pa.array([len(texts[i]) for i in rows], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited])]
+                for s in ([own[i] for i in rows], sketches(edited), [own[i + 1] for i in rows]):
+                    columns.append(lists(np.concatenate(s), [len(x) for x in s]))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch"])
+
+    ordered = _with_ranges(docs, RANGES * width).repartition(width, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, sketch array<bigint>, edited_sketch array<bigint>, next_sketch array<bigint>")
 
 

@@ -1,7 +1,15 @@
 """The corpus pipeline: stages over the documents table, each written and reread.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep
-the columns of documents.  Stages see every row that the stage before has kept.
+the columns of documents, extra ones included.  Stages see every row that the stage
+before has kept.
+
+Edge cases: texts that are null, empty or without letters go in the first stage, as
+they are in no language; where no row has a lang, nothing can be learned and every
+text with letters stays with the lang it has; null and repeated ids are rows like
+others, and one row of each group of near copies stays; an empty or missing-text
+benchmark removes nothing; very long texts are read whole; an empty table gives an
+empty table; extra columns pass through, whatever their names, to the last stage.
 """
 
 from __future__ import annotations
@@ -12,18 +20,16 @@ from pyspark.sql import functions as F
 from brindle.llm import bpe, decontaminate, jaccard, langid, pii
 from brindle.llm.work import Work
 
-#: A document goes if it has no letters, or at least MIN_LETTERS of them and a
-#: cosine with every language below MIN_SCORE.
-MIN_LETTERS, MIN_SCORE = 50, 0.1
 WORDS, NUM, DEN = 5, 80, 100
 
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; their lang becomes the predicted one."""
-    langs, prototypes = langid.learn(docs.filter(~F.coalesce(langid.held_out(), F.lit(True))))
-    return langid.label(docs, langs, prototypes, MIN_LETTERS, MIN_SCORE)
+    """Documents in a language that was learned; their lang becomes the predicted one.
+
+    One rule for texts of all lengths (langid.SHARE of the score expected)."""
+    return langid.label(docs, langid.learn(docs.filter(~F.coalesce(langid.held_out(), F.lit(True)))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document: doc_id, lang, source, n_chars, n_tokens, ids, and
     whether they decode to the text again."""
-    vocabulary = bpe.default_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "n_chars", "text"), bpe.default_vocabulary())
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 

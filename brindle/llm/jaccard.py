@@ -239,6 +239,9 @@ class _Join:
         sizes = sizes.withColumn("lone", F.col("p") - F.coalesce("held", F.lit(0))).drop("held")
         sizes = work.saved(sizes.withColumn("rank", F.col("lone") * 1_000_000 + F.pmod(F.xxhash64("node"), F.lit(1_000_000))))
 
+        work.drop(index, shared)
+        work.release()
+
         # the answers of leaders
         leaders = listed.join(sizes.select("node", "rank"), "node").groupBy("token").agg(F.min_by("node", "rank").alias("leader"), F.count("*").alias("size"))
         votes = listed.join(leaders, "token").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.max("size").alias("size"))
@@ -250,6 +253,7 @@ class _Join:
         judged = work.saved(answers.join(n_a, "a").join(n_b, "b"))
         linked = judged.filter(self.links(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
         groups = work.saved(components(linked, work))
+        work.release()
 
         # what is left of each list
         about = sizes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -257,9 +261,16 @@ class _Join:
         refs = work.saved(nearest.select(F.col("a").alias("node"), (-F.col("v.minus")).alias("ref"), F.col("v.overlap").alias("overlap"), F.col("v.nb").alias("ref_n"), F.col("v.delta").alias("delta")))
         about = about.join(refs.select("node", "ref", "overlap", "ref_n", F.col("delta").isNotNull().alias("close")), "node", "left")
         about = work.saved(about)
-        placed = listed.select("token", "node", "pos").join(about, "node")
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "rank").alias("c0")).filter("low <> high").select("token", "c0")
-        rest = work.saved(placed.join(mixed, "token"))
+        # of all entries only the components are looked up; what is known about a set
+        # joins the entries of the lists that hold several components
+        joined = listed.select("token", "node", "pos").join(about.select("node", "comp", "rank"), "node")
+        mixed = joined.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rank", "comp"))["comp"].alias("c0")).filter("low <> high").select("token", "c0")
+        open_ones = work.saved(listed.select("token", "node", "pos").join(work.saved(mixed), "token"))
+        work.drop(listed)
+        work.release()
+        rest = work.saved(open_ones.join(about, "node"))
+        work.drop(open_ones)
+        work.release()
         derived = self.derived_links(about, refs.select("node", "delta"))
         pairs = self.left_over(rest)
         sure = pairs.filter("sure").select("a", "b")
@@ -269,7 +280,7 @@ class _Join:
 
         named = classes.join(groups, "node", "left").select("h1", "h2", "rep", F.coalesce("comp", "node").alias("comp"))
         named = work.saved(named)
-        work.drop(index, shared, listed, judged, refs, about, rest)
+        work.drop(judged, refs, about, rest)
         return read, named
 
     def run(self) -> DataFrame:

@@ -51,6 +51,11 @@ class Work:
             for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
                 _delete(self.spark, folder)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of jobs that are over, which it does when
+        the driver's JVM collects its garbage: in a long chain of jobs they would pile up."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         """Deletes all tables."""
         atexit.unregister(self.close)

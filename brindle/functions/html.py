@@ -1,23 +1,23 @@
 """HTML and URL expressions.
 
 Pages are read with regular expressions on the JVM after scripts, styles and
-comments are cut out; the record parser needs the nesting of elements and uses
-the standard library's parser in an Arrow-batched UDF.
+comments are cut out; what needs the nesting of elements is in pages.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from urllib.parse import quote, urljoin
+from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Thresholds of the page classes.
-LONG_PARAGRAPH, CONTENT_PARAGRAPH = 40, 80
-FOLLOW_LINKS, HUB_LINKS, LISTING_LINKS = 3, 5, 10
+# Length of a long paragraph; addresses that a crawl never follows, and
+# marks of addresses that a template left broken.
+LONG_PARAGRAPH = 40
+SKIPPED = ("kontakt.html", "impressum", "datenschutz", "index.html", "start.html", "javascript:", "mailto:", "#", "sitemap")
+BROKEN = ("{{", "}}", "{link_url", "|urlattr", "\ufffd", "%ef%bf%bd")
 
 
 def cleaned(html: Column) -> Column:
@@ -51,13 +51,8 @@ def is_internal(href: Column) -> Column:
     return href.startswith("/") & ~href.startswith("//")
 
 
-def page_state(n_long: Column, n_links: Column) -> Column:
-    """content, hybrid or crawl_only by long paragraphs and internal links."""
-    return F.when((n_long > 0) & (n_links >= LISTING_LINKS), "hybrid").when(n_long > 0, "content").otherwise("crawl_only")
-
-
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
 def first_query_value(url: Column) -> Column:
@@ -69,9 +64,34 @@ def item_id(url: Column, name: Column) -> Column:
     return F.coalesce(first_query_value(url), F.nullif(F.trim(name), F.lit("")), F.left(F.sha2(url, 256), F.lit(8)))
 
 
-def skipped(url: Column) -> Column:
-    """Links that a crawl never follows: mail, scripts, files, the search page."""
-    return url.rlike(r"(?i)^(?:mailto:|javascript:|tel:|#)|\.(?:pdf|jpe?g|png|gif|zip|css|js)(?:$|\?)|/suche\.html$")
+def skipped(url: Column, site: str) -> Column:
+    """Links that a crawl never follows (C15): other sites, and the site's own pages
+    such as imprint, contact and search."""
+    low = F.lower(url)
+    out = ~low.startswith(site.lower()) | F.coalesce(F.try_parse_url(low, F.lit("PATH")).endswith("/suche.html"), F.lit(False))
+    for mark in SKIPPED:
+        out = out | low.contains(mark)
+    return out
+
+
+def broken(url: Column) -> Column:
+    """Addresses with what is left of a template or of a wrong encoding."""
+    out = F.lit(False)
+    for mark in BROKEN:
+        out = out | F.lower(url).contains(mark)
+    return out
+
+
+def base_of(html: Column, url: Column) -> Column:
+    """The address that a page's links start from: its base element, else its own."""
+    base = F.regexp_extract(cleaned(html), r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1)
+    return F.coalesce(F.nullif(base, F.lit("")), url)
+
+
+def anchors(html: Column) -> Column:
+    """All link targets in either kind of quotes, entities of & resolved."""
+    found = F.regexp_extract_all(cleaned(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.transform(found, lambda a: F.replace(F.substr(a, F.lit(2), F.char_length(a) - 2), F.lit("&amp;"), F.lit("&")))
 
 
 def sitemap_urls(xml: Column) -> Column:
@@ -86,83 +106,38 @@ def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def encoded(url: pd.Series) -> pd.Series:
-    """Percent-encoded, reserved characters and existing escapes kept."""
-    return url.map(lambda u: None if u is None else quote(u, safe="/:?=&#%+,;@!$'()*~-._"))
-
-
-_TEXT = T.StringType()
-_PAIR = T.StructType([T.StructField("k", _TEXT), T.StructField("v", _TEXT)])
-RECORD = T.StructType(
-    [
-        T.StructField("name", _TEXT),
-        T.StructField("breadcrumbs", T.ArrayType(_TEXT)),
-        T.StructField("subcategory", _TEXT),
-        T.StructField("properties", T.ArrayType(_PAIR)),
-        T.StructField("description", _TEXT),
-        T.StructField("error", _TEXT),
-    ]
-)
-
-
-class _Record(HTMLParser):
-    """Collects name, breadcrumbs, label/value rows and paragraphs of one page."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.path: list[tuple[str, str]] = []
-        self.texts: dict[str, list[str]] = {"h1": [], "title": [], "crumb": [], "p": [], "label": [], "value": []}
-
-    def _open(self) -> str | None:
-        for tag, cls in reversed(self.path):
-            if tag in ("script", "style"):
-                return None
-            if "breadcrumb" in cls:
-                return "crumb"
-            if tag in ("dt", "th") or "label" in cls:
-                return "label"
-            if tag in ("dd", "td") or "value" in cls:
-                return "value"
-            if tag in ("h1", "title", "p"):
-                return tag
-        return None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        cls = dict(attrs).get("class") or ""
-        if tag == "p" and self.path and self.path[-1][0] == "p":
-            self.path.pop()
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self.path.append((tag, cls))
-        if tag in ("p", "h1", "title", "dt", "dd", "th", "td", "li", "a"):
-            if (slot := self._open()) and not (slot == "crumb" and tag != "a"):
-                self.texts[slot].append("")
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.path) - 1, -1, -1):
-            if self.path[i][0] == tag:
-                del self.path[i:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        if slot := self._open():
-            if not self.texts[slot]:
-                self.texts[slot].append("")
-            self.texts[slot][-1] += data
-
-
-@F.pandas_udf(RECORD)
-def record(html: pd.Series) -> pd.DataFrame:
-    """The record of each page; a page that fails has its error instead."""
-    rows = []
-    for page in html:
-        try:
-            parser = _Record()
-            parser.feed(page or "")
-            clean = {k: [" ".join(x.split()) for x in v] for k, v in parser.texts.items()}
-            name = next((n for n in [*clean["h1"][:1], *clean["title"][:1]] if len(n) > 1), None)
-            crumbs = [c for c in clean["crumb"] if c]
-            pairs = [{"k": k.rstrip(":"), "v": v} for k, v in zip(clean["label"], clean["value"], strict=False) if k]
-            long = [p for p in clean["p"] if len(p) >= LONG_PARAGRAPH]
-            rows.append({"name": name, "breadcrumbs": crumbs, "subcategory": crumbs[-2] if len(crumbs) > 1 else None, "properties": pairs, "description": "\n\n".join(long), "error": None})
-        except Exception as e:  # noqa: BLE001  a page that cannot be read is a row with its error
-            rows.append({"name": None, "breadcrumbs": [], "subcategory": None, "properties": [], "description": None, "error": str(e)})
-    return pd.DataFrame(rows, columns=["name", "breadcrumbs", "subcategory", "properties", "description", "error"])
+    """Percent-encoded part by part, each with its own safe characters."""
+
+    def one(u: str | None) -> str | None:
+        if u is None:
+            return None
+        p = urlsplit(u)
+        return urlunsplit((p.scheme, p.netloc, quote(p.path, safe="/%"), quote(p.query, safe="=&%+/:()-"), quote(p.fragment, safe="")))
+
+    return url.map(one)
+
+
+def decoded(url: Column) -> Column:
+    """Path and query, percent-decoded, in lower case."""
+    path, query = (F.coalesce(F.try_parse_url(url, F.lit(part)), F.lit("")) for part in ("PATH", "QUERY"))
+    return F.lower(F.coalesce(F.try_url_decode(F.replace(F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")), F.lit("+"), F.lit("%2B"))), F.concat(path, query)))
+
+
+def page_file(url: Column) -> Column:
+    """The file a page is kept in (I12): path and query, what a file name cannot hold
+    as underscores, at most 200 characters."""
+    path, query = (F.coalesce(F.try_parse_url(url, F.lit(part)), F.lit("")) for part in ("PATH", "QUERY"))
+    flat = F.regexp_replace(F.replace(path, F.lit("/"), F.lit("_")), "^_+|_+$", "")
+    name = F.when(query != "", F.concat(flat, F.lit("_"), F.translate(query, "/=", "__"))).otherwise(flat)
+    plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    return F.concat(F.left(F.regexp_replace(plain, r'[<>:"/\\|?*]', "_"), F.lit(200)), F.lit(".html"))
+
+
+def url_of_file(name: Column, site: str) -> Column:
+    """The address that a file name was made of (I12): page.html_key_value.html is
+    page.html?key=value; of others underscores are slashes."""
+    page, rest = F.split_part(name, F.lit(".html_"), F.lit(1)), F.split_part(name, F.lit(".html_"), F.lit(2))
+    key = F.regexp_extract(rest, "^([^_]*)_", 1)
+    value = F.regexp_replace(F.substr(rest, F.char_length(key) + 2), r"\.html$", "")
+    query = name.contains(".html_") & rest.contains("_")
+    return F.when(query, F.concat(F.lit(site), page, F.lit(".html?"), key, F.lit("="), value)).otherwise(F.concat(F.lit(site), F.replace(name, F.lit("_"), F.lit("/"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Outcomes of an attack.
@@ -66,3 +66,38 @@ def band(part: Column, whole: Column) -> Column:
 
 def evade_chance(value: Column) -> Column:
     return F.floor(value / 20 * 100 + 0.5)
+
+
+def roll(dice: Column, rolls: Column) -> Column:
+    """Sum of a notation's dice, which are the first of ``rolls`` (an array of numbers of
+    1 to its sides), and its bonus (R1); null where the notation is."""
+    return F.when(dice.isNotNull(), F.aggregate(F.slice(rolls, 1, dice["count"]), F.lit(0), lambda a, x: a + x.cast("int")) + dice.bonus)
+
+
+def die(seed: Column, sides: Column) -> Column:
+    """A number of 1 to ``sides`` that only depends on ``seed`` (I26); 1 for no sides."""
+    return F.when(sides > 0, F.pmod(F.xxhash64(seed), sides) + 1).otherwise(1)
+
+
+def spend(current: Column, amount: Column) -> Column:
+    """struct<value, error>: what is left, or the old value where that is too little."""
+    short = current < amount
+    return F.struct(F.when(short, current).otherwise(current - amount).alias("value"), F.when(short, "not enough").alias("error"))
+
+
+def restore(current: Column, most: Column, amount: Column) -> Column:
+    """struct<value, gained>, at most the maximum."""
+    value = F.least(current + amount, most)
+    return F.struct(value.alias("value"), (value - current).alias("gained"))
+
+
+def set_to(value: Column, most: Column) -> Column:
+    """A value kept between 0 and the maximum."""
+    return F.greatest(F.lit(0), F.least(value, most))
+
+
+def regeneration(rows: DataFrame, key: str, resources: dict[str, tuple[str, str, str]], modifier: Column, always: str) -> DataFrame:
+    """(key, resource, old, value) after a night (R7), a row for each resource that one
+    has: its columns are (current, most, roll); ``always`` is never left out."""
+    parts = [F.when(F.lit(name == always) | (F.col(most) > 0), F.struct(F.lit(name).alias("resource"), F.col(current).cast("long").alias("old"), F.least(F.col(most), F.col(current) + F.greatest(F.col(dice) + modifier, F.lit(0))).cast("long").alias("value"))) for name, (current, most, dice) in resources.items()]
+    return rows.select(key, F.inline(F.filter(F.array(*parts), lambda p: p.isNotNull())))

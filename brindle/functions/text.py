@@ -14,6 +14,7 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+# The prefix and length of document ids.
 def doc_id(c: Column) -> Column:
     """doc_ and the first 16 digits of the hash of a natural key."""
     return F.concat(F.lit("doc_"), F.left(sha256(c), F.lit(16)))
@@ -45,8 +46,59 @@ def sections(*parts: tuple[str, Column]) -> Column:
 
 
 def flattened(pairs: Column) -> Column:
-    """``key: value`` lines of an array<struct<k, v>>, empty values left out."""
-    return F.array_join(F.transform(F.filter(pairs, lambda p: F.coalesce(p.v, F.lit("")) != ""), lambda p: F.concat(p.k, F.lit(": "), p.v)), "\n")
+    """``key: value`` lines of an array<struct<k, v>>, blank values left out; '' of none."""
+    lines = F.transform(F.filter(pairs, lambda p: F.trim(F.coalesce(p.v, F.lit(""))) != ""), lambda p: F.concat(p.k, F.lit(": "), p.v))
+    return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
+
+
+def flattened_extensions(extensions: Column) -> Column:
+    """``name: description`` lines of an array<struct<name, description>>, stripped of
+    colons and spaces, empty ones left out (I7)."""
+    lines = F.transform(extensions, lambda e: F.regexp_replace(F.concat(F.coalesce(e["name"], F.lit("")), F.lit(": "), F.coalesce(e.description, F.lit(""))), "^[: ]+|[: ]+$", ""))
+    return F.coalesce(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), F.lit(""))
+
+
+def embedding_text(name: Column, category: Column, breadcrumbs: Column, subcategory: Column, properties: Column, description: Column, extensions: Column) -> Column:
+    """The text that stands for a record (I6): seven labelled sections, empty ones left
+    out; the last three start on a line of their own.  properties and extensions come
+    flattened."""
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    line = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
+    trail = F.when(F.size(breadcrumbs) > 0, F.concat(F.lit("Breadcrumbs: "), F.array_join(F.filter(breadcrumbs, lambda b: F.coalesce(b, F.lit("")) != ""), " > ")))
+    parts = [line("Title: ", bare(name)), line("Category: ", bare(category)), trail, line("Subcategory: ", bare(subcategory)), line("Properties:\n", properties), line("Description:\n", bare(description)), line("Extensions:\n", extensions)]
+    return bare(F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n\n"))
+
+
+def log_line(c: Column) -> Column:
+    """A fight's log line in short (I16): turn and end banners by name, known banners,
+    of others marks of bold dropped and spaces tidied."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    turn = F.regexp_extract(t, r"^---\s+(.+?)'s Turn\s+---$", 1)
+    ended = F.regexp_extract(t, r"^---\s+Combat Ended:\s+(.+?)\s+---$", 1)
+    tidy = F.regexp_replace(F.regexp_replace(t, r"\*\*", ""), r"\s+", " ")
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(tidy, r"\.\s+\|", " |"), r"\s+\|\s+", " | "))
+    return F.when(turn != "", F.concat(F.lit("Turn: "), turn)).when(t == "--- Combat Started! ---", "Combat started").when(t == "--- Combat Resumed ---", "Combat resumed").when(ended != "", F.concat(F.lit("Combat ended: "), ended)).otherwise(tidy)
+
+
+def level_bar(level: Column, most: int = 4) -> Column:
+    """Filled and open circles of a condition's level."""
+    n = F.least(F.greatest(F.coalesce(level, F.lit(0)), F.lit(0)), F.lit(most)).cast("int")
+    return F.concat(F.repeat(F.lit("●"), n), F.repeat(F.lit("○"), F.lit(most) - n))
+
+
+def source_url(markdown: Column) -> Column:
+    """The address a markdown text names as its source; null without one."""
+    return F.nullif(F.regexp_extract(markdown, r"\*Source: (https?://[^\s]+)", 1), F.lit(""))
+
+
+def first_heading(markdown: Column, default: Column) -> Column:
+    """The first heading of a markdown text, else ``default``."""
+    return F.coalesce(F.nullif(F.regexp_extract(markdown, r"(?m)^#+ (.+)", 1), F.lit("")), default)
+
+
+def embedding_input(c: Column, limit: int = 8000) -> Column:
+    """What is sent to be embedded: newlines as spaces, at most ``limit`` characters."""
+    return F.left(F.translate(c, "\n", " "), F.lit(limit))
 
 
 def cut_at_word(c: Column, limit: int, share: float = 0.6) -> Column:
@@ -89,15 +141,24 @@ def safe_name(c: Column, limit: int = 200) -> Column:
     return F.left(F.regexp_replace(bare, r"[^A-Za-z0-9._-]+", "_"), F.lit(limit))
 
 
-def dice(c: Column) -> Column:
-    """struct<count, sides, bonus> of a damage notation as 2W6+3 or a number.
+_NOTATION = {
+    "damage": r"(?i)^\s*(\d*)\s*[wd]\s*(\d+)\s*(?:(\+)\s*(\d+))?\s*$",
+    "roll": r"(?i)^(\d*)[wd](\d+)(?:([+-])(\d+))?$",
+    "effect": r"(?i)(\d*)w(\d+)(?:\s*([+-])\s*(\d+))?",
+}
+
+
+def dice(c: Column, dialect: str = "damage") -> Column:
+    """struct<count, sides, bonus> of a dice notation as 2W6+3.
 
-    Blank is nothing (all 0); a plain number is a bonus alone; others are null."""
-    n = lambda g: F.regexp_extract(c, r"(?i)^\s*(\d*)\s*[wd]\s*(\d+)\s*(?:\+\s*(\d+))?\s*$", g)
-    rolled = F.struct(
-        F.coalesce(n(1).try_cast("int"), F.lit(1)).alias("count"),
-        n(2).try_cast("int").alias("sides"),
-        F.coalesce(n(3).try_cast("int"), F.lit(0)).alias("bonus"),
-    )
+    damage: spaces allowed, a bonus is only added; blank is nothing (all 0), a plain
+    number is a bonus alone.  roll: no spaces, a bonus of either sign.  effect: the first
+    notation inside a text.  Others are null; a count of none or 0 is 1."""
+    n = lambda g: F.regexp_extract(c, _NOTATION[dialect], g)
+    count, bonus = F.coalesce(F.nullif(n(1).try_cast("int"), F.lit(0)), F.lit(1)), F.coalesce(n(4).try_cast("int"), F.lit(0))
+    rolled = F.struct(count.alias("count"), n(2).try_cast("int").alias("sides"), F.when(n(3) == "-", -bonus).otherwise(bonus).alias("bonus"))
+    found = F.when(n(2) != "", rolled)
+    if dialect != "damage":
+        return found
     fixed = lambda b: F.struct(F.lit(0).alias("count"), F.lit(0).alias("sides"), b.alias("bonus"))
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", fixed(F.lit(0))).when(c.rlike(r"(?i)^\s*\d*\s*[wd]\s*\d+"), F.when(n(2) != "", rolled)).when(c.rlike(r"^\s*\d+\s*$"), fixed(F.trim(c).try_cast("int")))
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", fixed(F.lit(0))).when(n(2) != "", rolled).when(c.rlike(r"^\s*\d+\s*$"), fixed(F.trim(c).try_cast("int")))

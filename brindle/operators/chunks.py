@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions import text as texts
+
 # Characters of a chunk, and shared by neighbours of a hard split.
 MAX_CHARS, OVERLAP = 1400, 200
 PIECE = "struct<text:string,start:int,end:int>"
@@ -68,19 +70,56 @@ def chunk_id(key: Column, index: Column) -> Column:
 
 def legacy_chunks(text: Column, max_tokens: int = 1500, least: int = 100) -> Column:
     """array<string>: sections of a markdown text packed up to an estimate of tokens
-    (1.3 a word); chunks of ``least`` characters or fewer go."""
-    parts = F.split(text, "\n(?=## )", -1)
-    tokens = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) * 1.3
-    empty = F.array().cast("array<string>")
-
-    def add(out: Column, p: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        return F.when((F.size(out) > 0) & (tokens(last) + tokens(p) <= max_tokens), F.array_append(F.slice(out, 1, F.size(out) - 1), F.concat(last, F.lit("\n"), p))).otherwise(F.array_append(out, p))
-
-    return F.filter(F.aggregate(parts, empty, add), lambda c: F.char_length(c) > least)
-
-
-def exclude_reason(name: Column, body: Column, unresolved: Column) -> Column:
-    """Why a document is not embedded, or null if it is."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    return F.when(blank(name), "missing_name").when(blank(body), "empty_text").when(unresolved, "unresolved")
+    (1.3 a word, counted once a section); trimmed chunks of ``least`` characters or
+    fewer go (T5).  A section that does not start with # gets its heading's marks back."""
+    sections = F.transform(F.split(text, "\n## ", -1), lambda p: F.when(p.startswith("#"), p).otherwise(F.concat(F.lit("## "), p)))
+    tokens = lambda p: F.size(F.split(p, r"\s+", -1)) * 1.3
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    # closed chunks, the open one, and the tokens it has
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0.0).alias("n"))
+
+    def step(a: Column, p: Column) -> Column:
+        full = (a.n + tokens(p) > max_tokens) & (a.open != "")
+        fresh = F.struct(F.array_append(a.done, a.open).alias("done"), p.alias("open"), tokens(p).alias("n"))
+        return F.when(full, fresh).otherwise(F.struct(a.done.alias("done"), F.concat(a.open, F.lit("\n"), p).alias("open"), (a.n + tokens(p)).alias("n")))
+
+    packed = F.aggregate(sections, zero, step, lambda a: F.array_append(a.done, a.open))
+    return F.filter(F.transform(packed, trim), lambda c: F.char_length(c) > least)
+
+
+def exclude_reason(name: Column, breadcrumbs: Column, properties: Column, description: Column, extensions: Column) -> Column:
+    """Why a document is not embedded (C14): it is if any of its parts says anything,
+    whether it is resolved or not.  properties and extensions come flattened."""
+    said = F.exists(F.array(name, properties, description, extensions, F.array_join(breadcrumbs, "")), lambda c: F.coalesce(F.regexp_replace(c, r"\s+", ""), F.lit("")) != "")
+    return F.when(~said, "no_informational_text")
+
+
+def canonical_documents(inventory: DataFrame, emitted: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Documents of 22 columns (T4): inventory rows with their first record; addresses
+    without a record go, and so do other categories than those asked for, except
+    unresolved ones.
+
+    ``emitted`` is (url, category, file_order, item), item with id, name, category,
+    breadcrumbs, subcategory, properties (array<struct<k, v>>), description, extensions."""
+    first = emitted.groupBy("url").agg(F.min_by(F.struct("category", "item"), F.struct("file_order", "category")).alias("first"))
+    d = inventory.filter(F.coalesce(F.col("url"), F.lit("")) != "").join(first, "url").withColumn("__own", F.col("first.category"))
+    if categories:
+        d = d.filter(F.col("__own").isin(*categories, "unresolved"))
+    i, none = F.col("first.item"), F.array().cast("array<string>")
+    crumbs = F.coalesce(i.breadcrumbs, none)
+    parts = texts.flattened(i.properties), texts.flattened_extensions(i.extensions)
+    body = texts.embedding_text(i["name"], i.category, crumbs, i.subcategory, parts[0], i.description, parts[1])
+    reason = exclude_reason(i["name"], crumbs, parts[0], i.description, parts[1])
+    blank = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(None).cast("string"))
+    out = d.select(
+        F.coalesce(blank(F.col("doc_id")), texts.doc_id(F.col("url"))).alias("doc_id"), i.id.alias("source_item_id"), "url",
+        F.coalesce(blank(F.col("url_hash")), texts.sha256(F.col("url"))).alias("url_hash"), F.coalesce(i["name"], F.lit("")).alias("title"),
+        F.coalesce(blank(i.category), F.col("__own")).alias("category"), "resolved_category",
+        (F.coalesce(i.category == "unresolved", F.lit(False)) | blank(F.col("resolved_category")).isNull()).alias("is_unresolved"),
+        crumbs.alias("breadcrumbs"), i.subcategory.alias("subcategory"), "page_state",
+        F.coalesce(blank(F.col("resolution_confidence")), i.resolution_confidence).alias("resolution_confidence"),
+        F.coalesce(F.when(F.size("resolution_evidence") > 0, F.col("resolution_evidence")), i.resolution_evidence, none).alias("resolution_evidence"),
+        i.properties.alias("properties"), F.coalesce(i.description, F.lit("")).alias("description"), i.extensions.alias("extensions"),
+        F.coalesce("crawl_sources", none).alias("crawl_sources"), "raw_html_path", body.alias("embedding_text"), reason.alias("exclude_reason"),
+    )
+    return out.withColumn("embedding_text_length", F.char_length("embedding_text")).withColumn("embeddable", F.col("exclude_reason").isNull())

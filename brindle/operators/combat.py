@@ -30,13 +30,15 @@ STATE = T.StructType(
 )
 
 
-def resolve(rows: DataFrame, *, roll: str, confirm: str, attack: str, defence_roll: str, parry: str, dice: str, bonus: Column, armour: str, critical_parried: bool = False) -> DataFrame:
+def resolve(rows: DataFrame, *, roll: str, confirm: str, attack: str, defence_roll: str, parry: str, dice: str, bonus: Column, armour: str, critical_parried: bool = False, botch_hurts: bool = True) -> DataFrame:
     """Adds outcome, raw and damage.  A critical hit is not parried unless said so;
-    a botch hurts oneself, past armour."""
+    a botch hurts oneself, past armour, unless said otherwise.  A plain attack (R9) has
+    critical_parried and no botch_hurts."""
     outcome = rules.attack(F.col(roll), F.col(confirm), F.col(attack))
     defended = rules.defence(F.col(defence_roll), F.col(parry))
     stopped = defended & (F.col("outcome").isin(rules.HIT, rules.CRITICAL) if critical_parried else (F.col("outcome") == rules.HIT))
-    raw = F.when(stopped, 0).otherwise(rules.combat_damage(F.col("outcome"), F.col(dice), bonus))
+    harmless = F.lit(not botch_hurts) & (F.col("outcome") == rules.BOTCH)
+    raw = F.when(stopped | harmless, 0).otherwise(rules.combat_damage(F.col("outcome"), F.col(dice), bonus))
     damage = F.when(F.col("outcome") == rules.BOTCH, F.col("raw")).otherwise(rules.soak(F.col("raw"), F.col(armour)))
     return rows.withColumn("outcome", outcome).withColumn("raw", raw.cast("long")).withColumn("damage", damage.cast("long"))
 

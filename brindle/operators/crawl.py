@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import html
 
 
 def links(pages: DataFrame, key: str, body: str, keep: list[str] | None = None) -> DataFrame:
-    """Distinct internal links of each page."""
+    """Distinct internal links of each page, as written."""
     targets = F.array_distinct(F.filter(html.hrefs(F.col(body)), html.is_internal))
     return pages.select(key, *(keep or []), F.explode(targets).alias("href"))
 
 
-def seeds(hubs: DataFrame, sitemap: DataFrame, url: str, pattern: str) -> DataFrame:
-    """Hub URLs and those of the sitemap that match a category."""
-    return hubs.select(url).union(sitemap.filter(F.col(url).rlike(pattern)).select(url)).distinct()
-
-
-def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(node, hop): nodes within ``hops`` links of ``start``, with the least number.
-
-    Each hop joins only the newest frontier and drops what was seen.  The plan has
-    one join for each hop, so hops is a small number.
-    """
-    seen = start.select("node").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
-    for hop in range(1, hops + 1):
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen
+def resolved_links(pages: DataFrame, key: str, body: str, url: str, site: Column) -> DataFrame:
+    """(key, target): the distinct addresses of a site that each page links to (X9), from
+    the page's base element where it has one; relative links count, anchors, mail and
+    scripts do not."""
+    told = pages.select(key, html.base_of(F.col(body), F.col(url)).alias("__base"), site.alias("__site"), F.explode(F.array_distinct(html.anchors(F.col(body)))).alias("__href"))
+    told = told.filter(~F.col("__href").rlike("(?i)^(?:#|mailto:|javascript:)"))
+    found = told.select(key, "__site", html.encoded(html.absolute(F.col("__base"), F.col("__href"))).alias("target"))
+    return found.filter(F.col("target").startswith(F.col("__site"))).select(key, "target").distinct()
+
+
+def seeds(hubs: DataFrame, sitemap: DataFrame, url: str, pattern: str, site: str | None = None) -> DataFrame:
+    """Hub addresses and those of the sitemap that match a category (X12), without what a
+    crawl of ``site`` skips."""
+    listed = sitemap.filter(html.decoded(F.col(url)).rlike(pattern))
+    if site is not None:
+        listed = listed.filter(~html.skipped(F.col(url), site))
+    return hubs.select(url).union(listed.select(url)).distinct()
+
+
+def reachable(edges: DataFrame, start: DataFrame, folder: str, hops: int | None = None) -> DataFrame:
+    """(node, hop, sources): nodes reachable from ``start`` (node, source), the least
+    number of links, and which of the sources they are reached from (X11).
+
+    Each round joins only what is new, (node, source) pairs not seen before, and is
+    written to ``folder``, so the lineage stays short; the crawl ends when nothing is
+    new, or after ``hops`` rounds if that is given."""
+    spark, at = edges.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    seen = start.select("node", "source").distinct().withColumn("hop", F.lit(0))
+    schema = seen.schema
+    seen.write.parquet(f"{at}/hop=0")
+    hop = 0
+    while hops is None or hop < hops:
+        seen = spark.read.schema(schema).parquet(*(f"{at}/hop={h}" for h in range(hop + 1)))
+        last = spark.read.schema(schema).parquet(f"{at}/hop={hop}")
+        hop += 1
+        step = edges.join(last.select(F.col("node").alias("src"), "source"), "src").select(F.col("dst").alias("node"), "source").distinct()
+        fresh = step.join(seen, (step["node"] == seen["node"]) & step["source"].eqNullSafe(seen["source"]), "left_anti")
+        fresh.withColumn("hop", F.lit(hop)).write.parquet(f"{at}/hop={hop}")
+        if spark.read.schema(schema).parquet(f"{at}/hop={hop}").isEmpty():
+            break
+    seen = spark.read.schema(schema).parquet(*(f"{at}/hop={h}" for h in range(hop + 1)))
+    return seen.groupBy("node").agg(F.min("hop").alias("hop"), F.array_sort(F.collect_set("source")).alias("sources"))

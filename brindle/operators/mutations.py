@@ -6,7 +6,10 @@ snapshot to the next; writing the result is one atomic step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -69,14 +72,55 @@ def select_one(table: DataFrame, owner: Column, chosen: Column, flag: str) -> Da
 
 
 def equip(slot: Column, equipped: Column, chosen: Column, wanted: str) -> tuple[Column, Column]:
-    """(equipped, slot) of an owner's rows after ``chosen`` is put in slot ``wanted``.
+    """(equipped, slot) of an owner's rows after ``chosen`` is put in slot ``wanted``.
 
-    A row in the same slot comes off; one that fits either slot moves to the other;
-    wanting either takes the whole set."""
+    A row worn in the same slot comes off and has no slot any more; one that fits either
+    slot moves to the other; wanting either takes the whole set off.  Rows that are not
+    worn stay as they are."""
     other = "DEFENSE" if wanted == "OFFENSE" else "OFFENSE"
-    moves = equipped & (slot == "ADAPTIVE") & (F.lit(wanted) != "ADAPTIVE")
     off = equipped & ((slot == wanted) | (F.lit(wanted) == "ADAPTIVE"))
-    return F.when(chosen, True).when(moves, True).when(off, False).otherwise(equipped), F.when(chosen, wanted).when(moves, other).otherwise(slot)
+    moves = equipped & (slot == "ADAPTIVE")
+    off, moves = (F.coalesce(c, F.lit(False)) for c in (off, moves))
+    return F.when(chosen, True).when(off, False).otherwise(equipped), F.when(chosen, wanted).when(off, F.lit(None).cast("string")).when(moves, other).otherwise(slot)
+
+
+def insert_returning(target: DataFrame, source: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot, and the new rows with the keys they were given (B7): the
+    numbers after the greatest there is, in the given order.  Rows to insert at once are
+    few; they are numbered in one task."""
+    last = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("__last"))
+    number = (F.row_number().over(W.orderBy(*order)) + F.col("__last")).cast(target.schema[key].dataType)
+    fresh = source.crossJoin(F.broadcast(last)).withColumn(key, number).drop("__last")
+    fresh = fresh.select(*(F.col(c) if c in fresh.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns))
+    return target.unionByName(fresh), fresh
+
+
+def swap(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes the next snapshot of several tables and then, in one step, makes it the
+    present one (B15): readers see all of it or nothing.
+
+    Each snapshot is a folder of its own; the file CURRENT, replaced by a rename, names
+    the one that holds."""
+    spark = next(iter(tables.values())).sparkSession
+    name = uuid.uuid4().hex
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{name}/{table}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    context = hadoop.fs.FileContext.getFileContext(hadoop.fs.Path(folder).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = hadoop.fs.Path(f"{folder}/CURRENT.{name}")
+    out = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fresh)
+    out.writeBytes(name)
+    out.close()
+    rename = hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    context.rename(fresh, hadoop.fs.Path(f"{folder}/CURRENT"), overwrite)
+
+
+def current(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of the snapshot that holds."""
+    name = spark.read.text(f"{folder}/CURRENT").first()["value"]
+    return spark.read.parquet(f"{folder}/{name}/{table}")
 
 
 def sync(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
@@ -87,6 +131,17 @@ def sync(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return a.join(b, key, "full").select(key, action.alias("action"))
 
 
+def sync_versions(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+    """The next snapshot of a table of versioned rows (P12): columns key, digest, version
+    and deleted of ``old``.  Rows that are new start at version 1, changed ones count on,
+    those that disappeared are marked deleted, those that came back live again."""
+    a = old.select(F.col(key), F.col(digest).alias("__old"), F.col("version").alias("__v"), F.col("deleted").alias("__gone"))
+    b = new.select(F.col(key), F.col(digest).alias("__new"), F.lit(True).alias("__b"))
+    j = a.join(b, key, "full")
+    version = F.when(F.col("__v").isNull(), 1).when(F.col("__b").isNotNull() & ~F.col("__old").eqNullSafe(F.col("__new")), F.col("__v") + 1).otherwise(F.col("__v"))
+    return j.select(key, F.when(F.col("__b"), F.col("__new")).otherwise(F.col("__old")).alias(digest), version.alias("version"), F.col("__b").isNull().alias("deleted"))
+
+
 def required(left: DataFrame, right: DataFrame, keys: list[str], probe: str) -> DataFrame:
     """A left join that fails where the right side is missing."""
     joined = left.join(right.withColumn("__there", F.lit(True)), keys, "left")

@@ -23,10 +23,26 @@ def next_alive(rows: DataFrame, session: str, position: Column, current: Column,
     return found.withColumn("place", rank).filter(F.col("place") <= take).withColumn("wrapped", position <= current)
 
 
-def batches(rows: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
-    """Numbers rows in batches of ``size`` within each group."""
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("batch", F.floor((rank - 1) / size))
+def batches(rows: DataFrame, group: list[str], order: str, size: int, ties: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """Numbers rows in batches of ``size`` within each group, by a numeric column.
+
+    A group is numbered in up to ``ranges`` ranges of the column, one task each, and
+    what comes before a range is counted, so a group of any size is no single task.
+    Null orders come first."""
+    cuts = rows.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] or []
+    range_of = F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    ranged = rows.withColumn("__range", range_of)
+    # at most ``ranges`` rows a group
+    counts = ranged.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    keys = {c: f"__k{i}" for i, c in enumerate([*group, "__range"])}
+    offsets = counts.select(*(F.col(c).alias(k) for c, k in keys.items()), before.alias("__before"))
+    same = F.lit(True)
+    for c, k in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    met = ranged.join(offsets, same).drop(*keys.values())
+    rank = F.row_number().over(W.partitionBy(*group, "__range").orderBy(order, *(ties or []))) + F.col("__before")
+    return met.withColumn("batch", F.floor((rank - 1) / size)).drop("__range", "__before")
 
 
 def parts(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -35,6 +51,22 @@ def parts(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return rows.withColumn("part", F.row_number().over(by.orderBy(*order))).withColumn("n_parts", F.count("*").over(by))
 
 
+def part_titles(rows: DataFrame, title: str, doc: str, part: Column, n_parts: Column) -> DataFrame:
+    """Adds part_title (F9): the title, which part of how many it is, and the document
+    where several documents have the title."""
+    several = rows.select(title, doc).distinct().groupBy(title).agg(F.count("*").alias("__docs"))
+    told = F.concat(F.col(title), F.when(n_parts > 1, F.concat(F.lit(" (part "), part.cast("string"), F.lit("/"), n_parts.cast("string"), F.lit(")"))).otherwise(""), F.when(F.col("__docs") > 1, F.concat(F.lit(" ["), F.col(doc).cast("string"), F.lit("]"))).otherwise(""))
+    return rows.join(several, title).withColumn("part_title", told).drop("__docs")
+
+
+def roster(rows: DataFrame, session: str, order: list[Column], shown: int, alive: Column) -> DataFrame:
+    """(session, shown, active, down): how many of the members after the first ``shown``
+    are up and down (E17, F10)."""
+    placed = rows.select(session, alive.alias("__up"), F.row_number().over(W.partitionBy(session).orderBy(*order)).alias("__r"))
+    rest = F.col("__r") > shown
+    return placed.groupBy(session).agg(F.count_if(~rest).alias("shown"), F.count_if(rest & F.col("__up")).alias("active"), F.count_if(rest & ~F.col("__up")).alias("down"))
+
+
 def tail(log: Column, n: int = 20) -> Column:
     """The last ``n`` elements of an array, or all if it has fewer."""
     return F.slice(log, F.greatest(F.size(log) - n + 1, F.lit(1)), n)

@@ -7,17 +7,30 @@ from pyspark.sql import functions as F
 
 from brindle.functions import html, text
 from brindle.operators import audit, categorize, chunks, crawl, mutations, ranking
-from brindle.plans.base import query, table
+from brindle.plans.base import query, shared_folder, table
 
 
-@query("t1_paragraph_pack")
+FOLD = r"""WITH RECURSIVE d AS (SELECT doc_id, string_split("text", chr(10)) AS ps FROM documents WHERE "text" IS NOT NULL),
+ r AS (SELECT doc_id, ps, 0::BIGINT AS i, 0::BIGINT AS pos, NULL::VARCHAR AS o, 0::BIGINT AS o_start, 0::BIGINT AS o_end, []::STRUCT(t VARCHAR, a BIGINT, b BIGINT)[] AS made FROM d
+ UNION ALL SELECT doc_id, ps, i + 1, pos + length(p) + 1,
+  CASE WHEN t = '' THEN o WHEN length(t) > 1400 THEN NULL WHEN fits THEN o || chr(10) || t ELSE t END,
+  CASE WHEN t = '' OR fits THEN o_start ELSE start END, CASE WHEN t = '' THEN o_end ELSE start + length(t) END,
+  CASE WHEN t = '' OR fits THEN [] ELSE list_concat(CASE WHEN o IS NULL THEN [] ELSE [{'t': o, 'a': o_start, 'b': o_end}] END,
+   CASE WHEN length(t) <= 1400 THEN [] ELSE list_transform(range(ceil((length(t) - 1400) / 1200.0)::BIGINT + 1), lambda k: {'t': substring(t, k * 1200 + 1, 1400), 'a': start + k * 1200, 'b': start + least(k * 1200 + 1400, length(t))}) END) END
+  FROM (SELECT *, (o IS NOT NULL AND t <> '' AND length(t) <= 1400 AND length(o) + 1 + length(t) <= 1400) AS fits FROM (SELECT *, trim(p, W) AS t, pos + length(p) - length(ltrim(p, W)) AS start FROM (SELECT *, ps[i + 1] AS p FROM r WHERE i < len(ps))))),
+ made AS (SELECT doc_id, i, unnest(made) AS c, generate_subscripts(made, 1) AS j FROM r UNION ALL SELECT doc_id, i + 1, {'t': o, 'a': o_start, 'b': o_end}, 1 FROM r WHERE i = len(ps) AND o IS NOT NULL),
+ c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS k, c.t AS t, c.a AS a, c.b AS b FROM made)""".replace("W)", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+
+@query("t1_paragraph_pack", f"""{FOLD} SELECT d.doc_id, count(c.t) AS n_chunks, sha256(coalesce(string_agg(c.t, chr(1) ORDER BY k), '')) AS chunks_sha256 FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def t1_paragraph_pack(spark, sf_dir):
     """Lines packed into chunks: number of chunks and hash of their texts."""
     packed = table(spark, sf_dir, "documents").select("doc_id", chunks.pack(F.col("text"), "\n").alias("c"))
     return packed.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.sha2(F.array_join(F.transform("c", lambda c: c.text), "\x01"), 256).alias("chunks_sha256"))
 
 
-@query("t3_build_chunks")
+@query("t3_build_chunks", f"""{FOLD}, w AS (SELECT doc_id, k, t, a, b FROM c UNION ALL SELECT doc_id, 0, coalesce("text", ''), 0, length(coalesce("text", '')) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c))
+SELECT doc_id, k AS chunk_index, doc_id || '_chunk_' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR))::INT, '0') AS chunk_id, sha256(t) AS chunk_sha256, a AS char_start, b AS char_end FROM w""")
 def t3_build_chunks(spark, sf_dir):
     built = chunks.build_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n")
     return built.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", F.sha2("chunk_text", 256).alias("chunk_sha256"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
@@ -34,24 +47,19 @@ def t2_hard_split(spark, sf_dir):
     return rows.select("doc_id", chunks.chunk_id(F.concat(F.lit("d"), F.col("doc_id")), F.col("i")).alias("chunk_id"), F.col("c.start").cast("long").alias("char_start"), F.col("c.end").cast("long").alias("char_end"), F.sha2("c.text", 256).alias("chunk_sha256"))
 
 
-@query("t5_legacy_chunks")
-def t5_legacy_chunks(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", chunks.legacy_chunks(F.col("text")).alias("c"))
-    return found.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.sha2(F.array_join("c", "\x01"), 256).alias("chunks_sha256"))
+SECTIONED = r"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(replace("text", '. ', chr(10) || '## '), chr(10) || '## '), lambda p: CASE WHEN starts_with(p, '#') THEN p ELSE '## ' || p END) AS ps FROM documents WHERE "text" IS NOT NULL),
+ r AS (SELECT doc_id, ps, 0::BIGINT AS i, ''::VARCHAR AS o, 0.0::DOUBLE AS n, NULL::VARCHAR AS made FROM d
+ UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN full_up THEN p ELSE o || chr(10) || p END, CASE WHEN full_up THEN q ELSE n + q END, CASE WHEN full_up THEN o END
+  FROM (SELECT *, (n + q > 60 AND o <> '') AS full_up FROM (SELECT *, ps[i + 1] AS p, (len(string_split_regex(ps[i + 1], '[\x20\t\n\r\f\x0B]+')) * 1.3)::DOUBLE AS q FROM r WHERE i < len(ps)))),
+ c AS (SELECT doc_id, i, trim(made, W) AS t FROM r WHERE made IS NOT NULL UNION ALL SELECT doc_id, i + 1, trim(o, W) FROM r WHERE i = len(ps))""".replace("W)", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
 
-@query(
-    "t4_canonical_docs",
-    """SELECT d.doc_id, coalesce(d.lang, 'unresolved') AS category, (l.doc_id IS NULL) AS is_unresolved,
-  (l.doc_id IS NOT NULL AND trim(coalesce("text", '')) <> '') AS embeddable,
-  CASE WHEN trim(coalesce(source, '')) = '' THEN 'missing_name' WHEN trim(coalesce("text", '')) = '' THEN 'empty_text' WHEN l.doc_id IS NULL THEN 'unresolved' END AS exclude_reason,
-  sha256(coalesce("text", '')) AS content_hash FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""",
-)
-def t4_canonical_docs(spark, sf_dir):
-    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    d = table(spark, sf_dir, "documents").join(known, "doc_id", "left").withColumn("is_unresolved", F.col("known").isNull())
-    reason = chunks.exclude_reason(F.col("source"), F.col("text"), F.col("is_unresolved"))
-    return d.select("doc_id", F.coalesce("lang", F.lit("unresolved")).alias("category"), "is_unresolved", reason.isNull().alias("embeddable"), reason.alias("exclude_reason"), text.sha256(F.coalesce("text", F.lit(""))).alias("content_hash"))
+@query("t5_legacy_chunks", f"""{SECTIONED} SELECT d.doc_id, count(t)::BIGINT AS n_chunks, sha256(coalesce(string_agg(t, chr(1) ORDER BY i), '')) AS chunks_sha256 FROM documents d LEFT JOIN (SELECT * FROM c WHERE length(t) > 100) c USING (doc_id) WHERE d."text" IS NOT NULL GROUP BY d.doc_id""")
+def t5_legacy_chunks(spark, sf_dir):
+    """Sentences as sections, packed to 60 tokens."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    found = d.select("doc_id", chunks.legacy_chunks(F.replace("text", F.lit(". "), F.lit("\n## ")), 60).alias("c"))
+    return found.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.sha2(F.array_join("c", "\x01"), 256).alias("chunks_sha256"))
 
 
 @query(
@@ -107,11 +115,13 @@ def i15_truncate_fixed(spark, sf_dir):
 
 @query(
     "i16_log_normalize",
-    r"""SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace("text", '[*_`#]+', '', 'g'), '[0-9]+', 'N', 'g'), '[\x20\t\n\r\f\x0B]+', ' ', 'g'))) AS line_sha256 FROM conversations""",
+    """SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Turn: ' || role WHEN 1 THEN 'Combat started' WHEN 2 THEN 'Combat ended: ' || role || ' won' ELSE role || ' hits | ' || turn END AS line FROM conversations""",
 )
 def i16_log_normalize(spark, sf_dir):
-    line = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[*_`#]+", ""), "[0-9]+", "N"), r"\s+", " ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sha256(F.trim(line)).alias("line_sha256"))
+    """Log lines of all shapes, made of role and turn."""
+    k, role = F.col("conv_id") % 5, F.col("role")
+    made = F.when(k == 0, F.concat(F.lit("--- "), role, F.lit("'s Turn ---"))).when(k == 1, "--- Combat Started! ---").when(k == 2, F.concat(F.lit(" --- Combat Ended: "), role, F.lit(" won ---"))).otherwise(F.concat(F.lit("**"), role, F.lit("** hits.  |  "), F.col("turn")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.log_line(made).alias("line"))
 
 
 @query("i9_status_code", r"SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '\b(\d{3})\b', 1), '') AS INTEGER) AS status FROM pages")
@@ -147,13 +157,6 @@ def x5_long_paragraphs(spark, sf_dir):
     return found.select("page_id", F.size("p").cast("long").alias("n_paragraphs"), text.sha256(F.array_join("p", "\n\n")).alias("description_sha256"))
 
 
-@query("x8_page_records")
-def x8_page_records(spark, sf_dir):
-    """The record of each page, read with a parser of nested elements."""
-    r = table(spark, sf_dir, "pages").select("page_id", html.record(F.col("html")).alias("r"))
-    return r.select("page_id", "r.name", F.size("r.breadcrumbs").alias("n_breadcrumbs"), F.size("r.properties").alias("n_properties"), F.sha2("r.description", 256).alias("description_sha256"), "r.error")
-
-
 HREFS = f"""regexp_extract_all({CLEAN}, '<a[^>]+href="([^"]*)"', 1)"""
 
 
@@ -162,26 +165,17 @@ def x9_link_edges(spark, sf_dir):
     return crawl.links(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "href")
 
 
-@query("i11_absolute_links")
+@query(
+    "i11_absolute_links",
+    rf"""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || replace(replace(url_encode(regexp_extract(href, '^[^?#]*', 0)), '%2F', '/'), '%25', '%')
+ || CASE WHEN regexp_extract(href, '^[^?#]*[?]([^#]*)', 1) <> '' THEN '?' || url_encode(regexp_extract(href, '^[^?#]*[?]([^#]*)', 1)) ELSE '' END || CASE WHEN regexp_extract(href, '#(.*)$', 1) <> '' THEN '#' || url_encode(regexp_extract(href, '#(.*)$', 1)) ELSE '' END AS target
+FROM (SELECT DISTINCT page_id, url, href FROM (SELECT page_id, url, unnest({HREFS}) AS href FROM pages) WHERE starts_with(href, '/') AND NOT starts_with(href, '//'))""",
+)
 def i11_absolute_links(spark, sf_dir):
     found = crawl.links(table(spark, sf_dir, "pages"), "page_id", "html", keep=["url"])
     return found.select("page_id", html.encoded(html.absolute(F.col("url"), F.col("href"))).alias("target"))
 
 
-N_LONG = f"len(list_filter(list_transform(regexp_extract_all({CLEAN}, '(?s)<p>(.*?)</p>', 1), lambda p: {BARE('p')}), lambda p: length(p) >= 80))"
-N_LINKS = f"len(list_filter({HREFS}, lambda h: starts_with(h, '/') AND NOT starts_with(h, '//')))"
-
-
-@query(
-    "x10_page_state",
-    f"SELECT page_id, n_long, n_links, CASE WHEN n_long > 0 AND n_links >= 10 THEN 'hybrid' WHEN n_long > 0 THEN 'content' ELSE 'crawl_only' END AS page_state FROM (SELECT page_id, {N_LONG}::BIGINT AS n_long, {N_LINKS}::BIGINT AS n_links FROM pages)",
-)
-def x10_page_state(spark, sf_dir):
-    n_long = F.size(html.paragraphs(F.col("html"), html.CONTENT_PARAGRAPH)).cast("long")
-    n_links = F.size(F.filter(html.hrefs(F.col("html")), html.is_internal)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", n_long.alias("n_long"), n_links.alias("n_links")).withColumn("page_state", html.page_state(F.col("n_long"), F.col("n_links")))
-
-
 # Example rules for the driver's pages: category and words, in order.
 URL_RULES = [("french", ["/fr/"]), ("german", ["/de/"]), ("spanish", ["/es/"]), ("mobile", ["://m."]), ("tracked", ["ref=", "utm_"])]
 
@@ -212,23 +206,27 @@ CRUMBS = "SELECT page_id, 'french' AS category, 80 AS points FROM pages WHERE co
     f"""WITH s AS (SELECT page_id, category, sum(points)::BIGINT AS score FROM (SELECT page_id, category, points FROM ({VOTES}) UNION ALL ({CRUMBS})) GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY page_id ORDER BY score DESC, category)),
  c AS (SELECT *, CASE WHEN score < 60 THEN 'low' WHEN second >= score - 10 THEN 'ambiguous' WHEN score >= 100 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE rk = 1)
-SELECT page_id, CASE WHEN confidence IN ('high', 'medium') THEN category ELSE 'unresolved' END AS category, score, confidence FROM c""",
+SELECT p.page_id, CASE WHEN confidence IN ('high', 'medium') THEN category ELSE 'unresolved' END AS category, coalesce(score, 0)::BIGINT AS score, coalesce(confidence, 'none') AS confidence FROM pages p LEFT JOIN c USING (page_id)""",
 )
 def f3_resolve_category(spark, sf_dir):
     lang = categorize.pattern_votes(table(spark, sf_dir, "pages"), "page_id", F.col("html"), [("french", 'lang="fr"'), ("german", 'lang="de"'), ("spanish", 'lang="es"')], categorize.CRUMB_ONE, categorize.CRUMB_ONE, "lang")
-    return categorize.resolve(_votes(spark, sf_dir).unionByName(lang), "page_id")
+    keys = table(spark, sf_dir, "pages").select("page_id")
+    return categorize.resolve(_votes(spark, sf_dir).unionByName(lang), "page_id", keys).select("page_id", "category", "score", "confidence")
 
 
 @query(
     "x11_reachability",
-    """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS s, n_nationkey AS d FROM nation UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation),
- r(node, hop) AS (SELECT 0, 0 UNION SELECT e.d, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 3)
-SELECT node, min(hop) AS hop FROM r GROUP BY node""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS s, n_nationkey AS d FROM nation WHERE n_nationkey > 4 UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation),
+ r(node, source, hop) AS (SELECT k, 'from ' || k, 0 FROM (VALUES (0), (7)) t(k) UNION SELECT e.d, r.source, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 25)
+SELECT node, min(hop) AS hop, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM r GROUP BY node""",
 )
 def x11_reachability(spark, sf_dir):
+    """All that can be reached from two starts, until nothing new is found."""
     n = table(spark, sf_dir, "nation")
-    edges = n.select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst")).union(n.select("n_nationkey", (F.col("n_nationkey") * 3 + 1) % 25)).distinct()
-    return crawl.reachable(edges, spark.range(1).select(F.lit(0).alias("node")), 3)
+    edges = n.filter("n_nationkey > 4").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst")).union(n.select("n_nationkey", (F.col("n_nationkey") * 3 + 1) % 25)).distinct()
+    start = spark.createDataFrame([(0, "from 0"), (7, "from 7")], "node int, source string")
+    found = crawl.reachable(edges, start, shared_folder(spark))
+    return found.select("node", "hop", F.array_join("sources", ",").alias("sources"))
 
 
 @query(
@@ -313,7 +311,7 @@ def p12_hash_sync(spark, sf_dir):
 
 @query("f7_batches", "SELECT source, batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 AS batch FROM documents) GROUP BY 1, 2")
 def f7_batches(spark, sf_dir):
-    return ranking.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 50).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return ranking.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", 50).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 @query(

@@ -159,10 +159,27 @@ def f5_next_alive(spark, sf_dir):
     return found.select("l_orderkey", "pos", F.col("place").cast("long").alias("place"), "wrapped")
 
 
-@query("p7_equip_slots", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 1 THEN true WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN true WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN false ELSE l_linestatus = 'O' END AS equipped, CASE WHEN l_linenumber = 1 THEN 'OFFENSE' WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 'DEFENSE' WHEN l_returnflag = 'N' THEN 'OFFENSE' WHEN l_returnflag = 'R' THEN 'DEFENSE' ELSE 'ADAPTIVE' END AS slot FROM lineitem")
+SLOT = "CASE l_returnflag WHEN 'N' THEN 'OFFENSE' WHEN 'R' THEN 'DEFENSE' ELSE 'ADAPTIVE' END"
+
+
+@query(
+    "p7_equip_slots",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 1 THEN true WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN false ELSE l_linestatus = 'O' END AS equipped, CASE WHEN l_linenumber = 1 THEN 'OFFENSE' WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 'DEFENSE' ELSE {SLOT} END AS slot FROM lineitem",
+)
 def p7_equip_slots(spark, sf_dir):
-    slot = F.when(F.col("l_returnflag") == "N", "OFFENSE").when(F.col("l_returnflag") == "R", "DEFENSE").otherwise("ADAPTIVE")
-    worn, place = mutations.equip(slot, F.col("l_linestatus") == "O", F.col("l_linenumber") == 1, "OFFENSE")
+    """What comes off has no slot any more."""
+    return _equipped(spark, sf_dir, "OFFENSE")
+
+
+@query("p7_equip_adaptive", f"SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber = 1 AS equipped, CASE WHEN l_linenumber = 1 THEN 'ADAPTIVE' WHEN l_linestatus = 'O' THEN NULL ELSE {SLOT} END AS slot FROM lineitem")
+def p7_equip_adaptive(spark, sf_dir):
+    """Wanting either slot takes everything else off."""
+    return _equipped(spark, sf_dir, "ADAPTIVE")
+
+
+def _equipped(spark, sf_dir, wanted):
+    slot = F.expr(SLOT)
+    worn, place = mutations.equip(slot, F.col("l_linestatus") == "O", F.col("l_linenumber") == 1, wanted)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", worn.alias("equipped"), place.alias("slot"))
 
 
@@ -184,7 +201,16 @@ def j1_session_fold(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_events"), F.count_if(F.col("role") == "user").alias("round"), last.alias("last_role"), F.max("turn").alias("last_turn"), F.when(last == "assistant", "ENDED").otherwise("RUNNING").alias("state"))
 
 
-@query("p4_combat_fold")
+FIGHT = """WITH RECURSIVE e AS (SELECT user_id, (event_id % 4)::INTEGER AS target, floor(value / 10)::INTEGER AS damage, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 1 AS round, 0 AS turn, 'RUNNING' AS state, NULL::VARCHAR AS winner, [30, 30, 30, 30] AS hp, []::VARCHAR[] AS log FROM e
+ UNION ALL SELECT user_id, k + 1, CASE WHEN even AND odd AND next <= turn THEN round + 1 ELSE round END, CASE WHEN even AND odd THEN next ELSE turn END, CASE WHEN even AND odd THEN 'RUNNING' ELSE 'ENDED' END,
+  CASE WHEN even AND odd THEN NULL WHEN even THEN 'even' WHEN odd THEN 'odd' ELSE 'draw' END, now, list_append(log, 'R' || round || ' ' || turn || '>' || target || ' -' || damage)
+  FROM (SELECT *, now[1] > 0 OR now[3] > 0 AS even, now[2] > 0 OR now[4] > 0 AS odd, CASE WHEN now[(turn + 1) % 4 + 1] > 0 THEN (turn + 1) % 4 WHEN now[(turn + 2) % 4 + 1] > 0 THEN (turn + 2) % 4 WHEN now[(turn + 3) % 4 + 1] > 0 THEN (turn + 3) % 4 ELSE turn END AS next
+   FROM (SELECT r.*, e.target, e.damage, list_transform([1, 2, 3, 4], lambda i: CASE WHEN i = e.target + 1 THEN greatest(0, r.hp[i] - e.damage) ELSE r.hp[i] END) AS now FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1 WHERE r.state = 'RUNNING')))
+SELECT user_id AS session, arg_max(round, k) AS round, arg_max(turn, k) AS turn, arg_max(state, k) AS state, max(winner) AS winner, max(len(log)) AS n_log, array_to_string(arg_max(hp, k), ',') AS hp, sha256(array_to_string(list_slice(arg_max(log, k), -20, -1), chr(10))) AS log_sha256 FROM r GROUP BY user_id"""
+
+
+@query("p4_combat_fold", FIGHT)
 def p4_combat_fold(spark, sf_dir):
     """Every user's events as hits in turn, folded to the state of a fight."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).cast("int").alias("target"), F.floor(F.col("value") / 10).cast("int").alias("damage"))

@@ -53,9 +53,11 @@ def d4_lookup_required(spark, sf_dir):
     return found.filter(F.col("o_orderkey").isNotNull()).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("d6_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("d6_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000.0)")
 def d6_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without a large order."""
+    large = table(spark, sf_dir, "orders").filter("o_totalprice > 300000.0").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(large, "c_custkey", "left_anti")
 
 
 @query("d7_semi_filter", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")

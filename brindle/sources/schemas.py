@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -33,15 +34,50 @@ TABLES: dict[str, T.StructType] = {
     "rule_chunks": _struct("id string, chunk_id string, page_id string, version int, chunk_index int, title string, category string, chunk_text string, char_start int, char_end int, embedding float[], is_active bool, metadata string"),
 }
 
-# What the enumerated columns may hold.
-ENUMS = {
-    "selected": ("NO", "YES"),
-    "action_type": ("MELEE", "RANGED", "MAGIC"),
-    "is_equipped": ("Y", "N"),
-    "equipped_slot": ("ADAPTIVE", "OFFENSE", "DEFENSE"),
-    "state": ("SETUP", "RUNNING", "PAUSED", "ENDED"),
+# The skills every character has, with their three attributes.
+TALENTS = """
+Alchemie MU KL FF; Bekehren & Überzeugen MU KL CH; Betören MU CH CH; Boote & Schiffe FF GE KK; Brett & Glücksspiel KL KL IN;
+Einschüchtern MU IN CH; Etikette MU IN CH; Fährtensuchen MU IN CH; Fahrzeuge CH FF KO; Fesseln KL FF KK; Fischen & Angeln FF GE KO;
+Fliegen MU IN GE; Gassenwissen KL IN CH; Gaukeleien MU CH FF; Geographie KL KL IN; Geschichtswissen KL KL IN; Götter & Kulte KL KL IN;
+Handel KL IN CH; Heilkunde: Gift MU KL IN; Heilkunde: Krankheiten MU IN KO; Heilkunde: Wunden KL FF FF; Heilkunde: Seele IN CH KO;
+Holzbearbeitung FF GE KK; Klettern MU GE KK; Körperbeherrschung GE GE KO; Kraftakt KO KK KK; Kriegskunst MU KL IN;
+Lebensmittelbearbeitung IN FF FF; Lederbearbeitung FF GE KO; Magiekunde KL KL IN; Malen & Zeichnen IN FF FF; Mechanik KL KL FF;
+Menschenkenntnis KL IN CH; Metallbearbeitung FF KO KK; Musizieren CH FF KO; Orientierung KL IN IN; Pflanzenkunde KL FF KO;
+Rechnen KL KL IN; Rechtskunde KL KL IN; Reiten CH GE KK; Sagen & Legenden KL KL IN; Schlösserknacken IN FF FF; Schwimmen GE KO KK;
+Selbstbeherrschung MU MU KO; Singen KL CH KO; Sinnesschärfe KL IN IN; Spährenkunde KL KL IN; Steinbearbeitung FF FF KK;
+Sternkunde KL KL IN; Stoffbearbeitung KL FF FF; Tanzen KL CH GE; Taschendiebstahl MU FF GE; Tierkunde MU MU CH; Überreden MU IN CH;
+Verbergen MU IN GE; Verkleiden IN CH GE; Wildnisleben MU GE KO; Willenskraft MU IN CH; Zechen KL KO KK
+"""
+
+# Maneuvers, with the technique they need and what they change.
+MANEUVERS = (
+    ("Wuchtschlag", "MELEE", "Hiebwaffen", 10, '{"type": "power_attack", "at_modifier": -2, "damage_bonus": 2}'),
+    ("Finte", "MELEE", "Hiebwaffen", 12, '{"type": "feint", "at_modifier": -2, "opponent_pa_modifier": -2}'),
+)
+
+# Conditions by group, and statuses.
+CONDITIONS = {
+    "Körperlich": ("schmerz", "betaeubung", "paralyse", "belastung", "ueberanstrengung"),
+    "Geistig": ("verwirrung", "furcht", "berauscht", "entrueckung", "trance"),
 }
+STATUSES = ("blutend", "bewusstlos", "blind", "brennend", "handlungsunfaehig", "liegend", "stumm", "taub", "ueberrascht", "unsichtbar", "vergiftet", "fixiert", "bewegungsunfaehig")
+
+# Words in a file's name and the category they stand for, in order.
+FILE_CATEGORIES = (("conditions", "condition"), ("status", "status"), ("wound", "combat"), ("maneuver", "maneuver"), ("spell", "spell"), ("talent", "talent"), ("combat", "combat"))
+
+
+def talents(spark: SparkSession) -> DataFrame:
+    """(name, stat1, stat2, stat3) of the skills."""
+    rows = [tuple(line.strip().rsplit(" ", 3)) for line in TALENTS.strip().split(";")]
+    return spark.createDataFrame(rows, "name string, stat1 string, stat2 string, stat3 string")
+
+
+def maneuvers(spark: SparkSession) -> DataFrame:
+    """(name, action_type, technique, least, rules) of the maneuvers."""
+    return spark.createDataFrame(list(MANEUVERS), "name string, action_type string, technique string, least int, rules string")
+
 
-ITEM = _struct("url string, name string, category string, subcategory string, description string")
-PAGE_INDEX = _struct("url string, category string, page_state string, title string")
-CANONICAL = _struct("doc_id string, url string, title string, category string, is_unresolved bool, embeddable bool, exclude_reason string, embedding_text string, content_hash string")
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """(kind, category, name) of conditions and statuses."""
+    rows = [("condition", group, name) for group, names in CONDITIONS.items() for name in names]
+    return spark.createDataFrame([*rows, *(("status", None, name) for name in STATUSES)], "kind string, category string, name string")

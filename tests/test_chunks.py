@@ -62,6 +62,14 @@ def test_build_chunks_keeps_empty_documents(spark):
 
 def test_legacy_chunks(spark):
     section = "## " + "word " * 60
-    df = spark.createDataFrame([("\n".join([section] * 3),), ("short",)], "text string")
-    sizes = [len(r.c) for r in df.select(chunks.legacy_chunks(F.col("text"), 170).alias("c")).collect()]
-    assert sizes == [2, 0]
+    df = spark.createDataFrame([("\n".join([section] * 3),), ("short",), ("no heading " * 20 + "\n## short",)], "text string")
+    found = [r.c for r in df.select(chunks.legacy_chunks(F.col("text"), 170).alias("c")).collect()]
+    assert [len(c) for c in found] == [2, 0, 1]
+    assert found[2][0].startswith("## no heading") and found[2][0].endswith("## short")
+
+
+def test_documents_without_any_information(spark):
+    none = F.array().cast("array<string>")
+    reason = lambda **k: spark.range(1).select(chunks.exclude_reason(k.get("n", F.lit("")), k.get("b", none), k.get("p", F.lit("")), k.get("d", F.lit(None).cast("string")), F.lit(" ")).alias("r")).first().r
+    assert reason() == "no_informational_text" and reason(b=F.array(F.lit(" "))) == "no_informational_text"
+    assert reason(n=F.lit("x")) is None and reason(b=F.array(F.lit("x"))) is None and reason(d=F.lit("x")) is None and reason(p=F.lit("k: v")) is None

@@ -1,14 +1,19 @@
 from __future__ import annotations
 
 import json
+import math
+import random
+import re
+from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions import html
-from brindle.operators import audit, categorize, combat, crawl, mutations, ranking, search
+from brindle.functions import html, pages
+from brindle.operators import audit, categorize, combat, crawl, imports, mutations, ranking, search, sessions
 from brindle.plans import search_queries
+from brindle.plans.registry import QUERIES
 from brindle.sources import readers, schemas
 from brindle.streaming import fights
 
@@ -50,7 +55,7 @@ def test_exactly_one(spark):
 def test_equip_moves_what_fits_either_slot(spark):
     t = spark.createDataFrame([(1, "ADAPTIVE", True), (2, "OFFENSE", True), (3, "OFFENSE", False), (4, "DEFENSE", True)], "k int, slot string, worn boolean")
     worn, slot = mutations.equip(F.col("slot"), F.col("worn"), F.col("k") == 3, "OFFENSE")
-    assert rows(t.select("k", worn, slot)) == [(1, True, "DEFENSE"), (2, False, "OFFENSE"), (3, True, "OFFENSE"), (4, True, "DEFENSE")]
+    assert rows(t.select("k", worn, slot)) == [(1, True, "DEFENSE"), (2, False, None), (3, True, "OFFENSE"), (4, True, "DEFENSE")]
 
 
 def test_resolve_confidence(spark):
@@ -74,10 +79,20 @@ def test_zero_vectors_are_dropped_and_top_k_is_not_a_sort(spark):
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
 
 
-def test_rank_is_cut_before_the_shuffle(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = e.orderBy("vec_id").limit(3).select(F.col("vec_id").alias("query_id"), "embedding")
-    assert "WindowGroupLimit" in search.match_many(q, e, 2)._jdf.queryExecution().executedPlan().toString()
+def test_many_queries_equal_brute_force(spark):
+    rng = random.Random(2)
+    data = [(i, [float(rng.randint(-2, 2)) for _ in range(3)] if i % 17 else None) for i in range(200)] + [(900, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    q = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = []
+    for a, x in data:
+        if a % 20 == 0 and x and any(x):
+            scored = sorted((-round(sum(p * r for p, r in zip(x, y)) / math.sqrt(sum(p * p for p in x)) / math.sqrt(sum(r * r for r in y)), 9), b) for b, y in data if y and any(y) and b != a)[:4]
+            want += [(a, b, k + 1) for k, (_, b) in enumerate(scored)]
+    for block in (3, 4096):
+        got = search.match_many(q, df, 4, block=block).withColumn("similarity", F.round("similarity", 9))
+        assert {(r.query_id, r.similarity) for r in got.collect()} and sorted((r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == sorted(want)
+    assert search.match_many(q.limit(0), df, 4).count() == 0
 
 
 def test_the_best_of_each_page_is_of_all_rows_and_in_no_single_task(spark, sf):
@@ -100,9 +115,11 @@ def test_inventory_and_duplicates(spark):
     assert rows(audit.duplicates(b.na.fill(7), [F.col("k")], "k")) == [(2, 2, 2, 2)]
 
 
-def test_reachable(spark):
+def test_reachable(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src int, dst int")
-    assert rows(crawl.reachable(edges, spark.createDataFrame([(1,)], "node int"), 3)) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    start = spark.createDataFrame([(1, "a"), (4, "b")], "node int, source string")
+    assert rows(crawl.reachable(edges, start, str(tmp_path))) == [(1, 0, ["a"]), (2, 1, ["a"]), (3, 2, ["a"]), (4, 0, ["a", "b"]), (5, 1, ["a", "b"])]
+    assert rows(crawl.reachable(edges, start.filter("node = 1"), str(tmp_path), 2)) == [(1, 0, ["a"]), (2, 1, ["a"]), (3, 2, ["a"])]
 
 
 def test_next_alive_goes_round(spark):
@@ -116,24 +133,132 @@ def test_tail_of_short_arrays(spark):
     assert [r.t for r in df.select(ranking.tail(F.col("a"), 2).alias("t")).collect()] == [[2, 3], []]
 
 
-def test_html_pieces(spark):
-    page = '<html><head><title>T</title><script>var p="</p><p>not a paragraph at all, but longer than forty characters</p>";</script></head><body><div class="breadcrumb"><a>Home</a><a>Rules</a><a>Fire</a></div><h1>Fire <b>bolt</b></h1><dl><dt>Cost:</dt><dd>4 AsP</dd></dl><p>' + "long " * 10 + '</p><a href="/x">x</a><a href="//far/y">y</a></body></html>'
-    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
-    r = {x.id: x.r for x in df.select("id", html.record(F.col("html")).alias("r")).collect()}
+PAGE = """<!DOCTYPE html><html><head><title>Fire - DSA Regel-Wiki</title><script>var p="</p><p>no";</script></head><body><nav><a href="/x">x</a></nav>
+<div class="breadcrumb_boxed"><a>Home</a> <a>Rules</a> <a> Fire </a></div><div id="main"><div class="header">Fire <b>bolt</b></div><div class="body">
+<div class="spalte1">Cost:</div><div class="spalte2">4 <i>AsP</i></div><div class="spalte1">Wirkung:</div><div>Burns &amp; hurts</div><div class="spalte1">Alone</div><div class="spalte1">Next:</div><div></div>
+<div class="body_einzeln">Zaubererweiterungen</div><p>intro</p><p>#More</p><p>hotter</p><p>still</p><p># Far</p><div class="line_separator"></div><p>#Not this</p></div></div></body></html>"""
+
+
+def test_page_records(spark):
+    article = "<html><body><h1>Plain</h1><p>short<p>" + "long " * 10 + "<p>" + "more " * 10 + "</body></html>"
+    nested = f'<html><body><h1>Outside</h1><div class="ce_text">{PAGE}</div></body></html>'
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, article), (5, nested), (6, "<p><b><div")], "id int, html string")
+    r = {x.id: x.r for x in df.select("id", pages.record(F.col("html")).alias("r")).collect()}
     assert r[1].name == "Fire bolt" and r[1].breadcrumbs == ["Home", "Rules", "Fire"] and r[1].subcategory == "Rules"
-    assert [tuple(p) for p in r[1].properties] == [("Cost", "4 AsP")] and r[2].name is None and r[3].error is None
-    one = df.filter("id = 1").select(html.heading(F.col("html")).alias("h"), html.paragraphs(F.col("html")).alias("p"), F.filter(html.hrefs(F.col("html")), html.is_internal).alias("l")).first()
-    assert one.h == "Fire bolt" and len(one.p) == 1 and one.l == ["/x"]
+    assert [tuple(p) for p in r[1].properties] == [("Cost", "4 AsP"), ("Wirkung", "Burns & hurts")] and r[1].description == "Burns & hurts"
+    assert [tuple(e) for e in r[1].extensions] == [("More", "hotter still"), ("Far", "")]
+    assert r[2].name == "" and r[3].error is None and r[4].name == "Plain" and r[4].description == ("long " * 10).strip() + "\n\n" + ("more " * 10).strip()
+    assert r[5].name == "Fire bolt" and len(r[5].properties) == 2
+
+
+def test_page_classes(spark):
+    text = "<p>" + "word " * 20 + "</p>"
+    link = '<a href="/a">a</a>'
+    found = {
+        "content": text, "content with few links": text + link * 2, "hybrid": text + link * 3, "hub": link * 5, "properties": '<div class="body"><div class="spalte1">A</div></div>',
+        "listing": "<select><option>[Alle]</option></select>" + text + link * 10, "filter": "<select><option>Tradition</option></select>", "filter with text": '<div class="filter"><select></select></div>' + text,
+        "marked": "<h1>Name</h1>Kosten", "unmarked": "<h1>Name</h1>", "far links": text + '<a href="http://far/x">x</a>' * 9, "select": "<select><option>one</option></select>" + text,
+    }
+    df = spark.createDataFrame(list(found.items()), "name string, html string").select("name", pages.features(F.col("html"), "https://site/", ["kosten"]).alias("f"))
+    got = {r.name: r.s for r in df.select("name", pages.page_class(F.col("f")).page_state.alias("s")).collect()}
+    assert got == {"content": "content", "content with few links": "content", "hybrid": "hybrid", "hub": "crawl_only", "properties": "content", "listing": "crawl_only", "filter": "crawl_only", "filter with text": "hybrid", "marked": "content", "unmarked": "crawl_only", "far links": "hybrid", "select": "content"}
+
+
+def test_links_of_a_page(spark):
+    site = "https://h/"
+    body = "<base href='https://h/sub/'><a href=\"a.html\">1</a><a class=x href='/b?x=ü&amp;y=1'>2</a><a href='#top'>3</a><a href='mailto:x'>4</a><a href='https://far/z'>5</a><a href='a.html'>6</a><!-- <a href='/no'> -->"
+    df = spark.createDataFrame([(1, "https://h/page", body), (2, "https://h/dir/page", "<a href='c'>c</a>")], "id int, url string, html string")
+    assert rows(crawl.resolved_links(df, "id", "html", "url", F.lit(site))) == [(1, "https://h/b?x=%C3%BC&y=1"), (1, "https://h/sub/a.html"), (2, "https://h/dir/c")]
+    hubs = spark.createDataFrame([("https://h/hub",)], "url string")
+    listed = spark.createDataFrame([("https://h/zauber/a%20b.html",), ("https://h/impressum-zauber",), ("https://far/zauber",), ("https://h/x",)], "url string")
+    assert rows(crawl.seeds(hubs, listed, "url", "zauber/a b", site)) == [("https://h/hub",), ("https://h/zauber/a%20b.html",)]
+
+
+def test_resolved_links_equal_urllib(spark, sf):
+    found = {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        site = re.match("[a-z]+://[^/?#]+", r.url)[0]
+        for href in re.findall(r'<a[^>]+href="([^"]*)"', re.sub(r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "", r.html)):
+            p = urlsplit(urljoin(r.url, href.replace("&amp;", "&")))
+            full = urlunsplit((p.scheme, p.netloc, quote(p.path, safe="/%"), quote(p.query, safe="=&%+/:()-"), quote(p.fragment, safe="")))
+            if full.startswith(site):
+                found.setdefault(r.page_id, set()).add(full)
+    got = {}
+    for r in QUERIES["x9_resolved_links"](spark, sf).collect():
+        got.setdefault(r.page_id, set()).add(r.target)
+    assert got == found and found
 
 
 def test_url_pieces(spark):
     df = spark.createDataFrame([("https://h/a b/ü.html?id=7&x=1", "../c")], "u string, l string")
-    r = df.select(html.encoded(F.col("u")).alias("e"), html.absolute(F.col("u"), F.col("l")).alias("a"), html.item_id(F.col("u"), F.lit("n")).alias("i"), html.skipped(F.lit("mailto:x")).alias("s")).first()
-    assert r.e == "https://h/a%20b/%C3%BC.html?id=7&x=1" and r.a == "https://h/c" and r.i == "7" and r.s
+    r = df.select(html.encoded(F.col("u")).alias("e"), html.absolute(F.col("u"), F.col("l")).alias("a"), html.item_id(F.col("u"), F.lit("n")).alias("i")).first()
+    assert r.e == "https://h/a%20b/%C3%BC.html?id=7&x=1" and r.a == "https://h/c" and r.i == "7"
+    urls = spark.createDataFrame([("https://h/Suche.html",), ("https://h/a/suche.html?x",), ("https://h/nosuche.html",), ("https://far/a",), ("https://h/index.html",), ("https://h/{{x}}",)], "u string")
+    assert [(r.s, r.b) for r in urls.select(html.skipped(F.col("u"), "https://h/").alias("s"), html.broken(F.col("u")).alias("b")).collect()] == [(True, False), (True, False), (False, False), (True, False), (True, False), (False, True)]
+    files = spark.createDataFrame([("https://h/zauber.html?zauber=A%20b",), ("https://h/a/b/",)], "u string").select(html.page_file(F.col("u")).alias("f"))
+    assert [r.f for r in files.collect()] == ["zauber.html_zauber_A b.html", "a_b.html"]
+    assert files.limit(1).select(html.url_of_file(F.col("f"), "https://h/").alias("u")).first().u == "https://h/zauber.html?zauber=A b"
     xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://h/1 </loc></url><url><loc>https://h/1</loc></url></urlset>'
     assert spark.createDataFrame([(xml,)], "x string").select(html.sitemap_urls(F.col("x")).alias("l")).first().l == ["https://h/1"]
 
 
+def test_final_category_by_address_words(spark):
+    df = spark.createDataFrame([(1, "https://h/Z%C3%A4uber/feuer.html?a=1", "zauber feuer", ["kap"]), (2, "https://h/x", "", [])], "id int, url string, folded string, labels array<string>")
+    none = F.array().cast("array<string>")
+    got = categorize.final_category(df, "id", url=F.col("url"), folded_url=F.col("folded"), folded_crumbs=F.lit(""), labels=F.col("labels"), crawl_sources=none, provisional=F.lit(None).cast("string"), url_rules=[("magic", ["z[aä]uber/", "nothing"]), ("fire", ["^feuer"])], crumb_rules=[("magic", ["zauber"])], label_rules={"gods": ["kap"]})
+    assert [(r.id, r.category, r.score, r.confidence, r.evidence) for r in got.orderBy("id").collect()] == [(1, "magic", 90, "medium", ["url_pattern"]), (2, "unresolved", 0, "none", [])]
+
+
+def test_swap_is_all_or_nothing(spark, tmp_path):
+    a, b = spark.range(3), spark.range(2).withColumnRenamed("id", "k")
+    mutations.swap({"a": a, "b": b}, str(tmp_path))
+    assert mutations.current(spark, str(tmp_path), "a").count() == 3
+    with pytest.raises(Exception, match="boom"):
+        mutations.swap({"a": spark.range(9), "b": b.select(F.raise_error(F.lit("boom")).alias("k"))}, str(tmp_path))
+    assert mutations.current(spark, str(tmp_path), "a").count() == 3
+    mutations.swap({"a": spark.range(4), "b": b}, str(tmp_path))
+    assert mutations.current(spark, str(tmp_path), "a").count() == 4 and mutations.current(spark, str(tmp_path), "b").count() == 2
+
+
+def test_distinct_pages_in_order(spark):
+    found = spark.createDataFrame([("c1", "p1", "d1", 0.9), ("c2", "p1", "d2", 0.8), ("c3", "p3", "d2", 0.7), ("c4", None, "d1", 0.6), ("c5", None, None, 0.5), ("c6", None, None, 0.4)], "chunk_id string, page_id string, doc_id string, similarity double")
+    assert [r.chunk_id for r in search.distinct_pages(found, 9).orderBy("chunk_id").collect()] == ["c1", "c3", "c5", "c6"]
+    assert [r.chunk_id for r in search.distinct_pages(found, 1).collect()] == ["c1"]
+
+
+def test_imports_fail_on_a_miss_and_replace(spark):
+    docs = spark.createDataFrame([("d1", "u1", "T", "c", "body", False), ("d2", "u2", "", "", " x ", False)], "doc_id string, url string, title string, category string, embedding_text string, is_unresolved boolean").withColumns({c: F.lit(None).cast("string") for c in ("url_hash", "resolved_category", "page_state")})
+    chunk = lambda d, i: (d, f"{d}_{i}", i, "t", "c", False, f"chunk {i}", 0, 1)
+    schema = "doc_id string, chunk_id string, chunk_index int, title string, category string, is_unresolved boolean, chunk_text string, char_start int, char_end int"
+    rows_ = spark.createDataFrame([chunk("d1", 0), chunk("d1", 1), chunk("d2", 0)], schema)
+    now = F.lit("2024-01-01").cast("timestamp")
+    empty_pages = imports.page_rows(docs, now).limit(0)
+    out = imports.run_import(docs, rows_, (empty_pages, imports.chunk_rows(rows_, imports.page_rows(docs, now)).limit(0)), None, now)
+    assert {(r.doc_id, r.title, r.category, r.normalized_content, r.canonical_slug) for r in out["rule_pages"].collect()} == {("d1", "T", "c", "body", "d1"), ("d2", "d2", "general", "x", "d2")}
+    assert out["rule_chunks"].count() == 3
+    with pytest.raises(Exception, match="missing page row"):
+        imports.chunk_rows(spark.createDataFrame([chunk("d9", 0)], schema), imports.page_rows(docs, now)).collect()
+    old = spark.createDataFrame([("T (part 1/2)", "u1", "old"), ("kept", "u", "k")], "title string, source_url string, content string")
+    legacy = imports.run_import(docs, rows_, None, old, now)["rule_documents"]
+    assert rows(legacy.select("title", "content")) == [("T (part 1/2)", "chunk 0"), ("T (part 2/2)", "chunk 1"), ("d2", "chunk 0"), ("kept", "k")]
+    with pytest.raises(ValueError):
+        imports.run_import(docs, rows_, None, None, now)
+
+
+def test_sessions_refuse_and_change_nothing(spark):
+    held = spark.createDataFrame([("s", "SETUP", ["a", "b"], 0, None), ("r", "RUNNING", ["c"], 0, ["x"])], "id string, state string, turn_order array<string>, current_turn_index int, combat_log array<string>")
+    members = spark.createDataFrame([("a", "s", 0, False), ("b", "s", 0, False), ("c", "r", 0, True)], "id string, session_id string, initiative_roll int, is_active_turn boolean")
+    asked = spark.createDataFrame([("s", ["b", "a"], {"a": 3, "b": 7}), ("r", ["c", "c"], {}), ("none", ["c", "c"], {})], "session_id string, turn_order array<string>, initiatives map<string,int>")
+    step = sessions.start(held, members, asked)
+    assert rows(step.refused.select("session_id", "reason")) == [("none", "session not found"), ("r", "not in setup")]
+    assert rows(step.sessions.select("id", "state", "turn_order", "combat_log")) == [("r", "RUNNING", ["c"], ["x"]), ("s", "RUNNING", ["b", "a"], ["--- Combat Started! ---"])]
+    assert rows(step.combatants.select("id", "initiative_roll", "is_active_turn")) == [("a", 3, False), ("b", 7, True), ("c", 0, True)]
+    bad = sessions.turn(held, members, spark.createDataFrame([("s", "jump"), ("r", "start")], "session_id string, action string"))
+    assert rows(bad.refused.select("session_id", "reason")) == [("r", "not in setup"), ("s", "invalid action")] and rows(bad.combatants) == rows(members)
+    over = sessions.turn(held, members, spark.createDataFrame([("r", "end"), ("s", "start")], "session_id string, action string"))
+    assert rows(over.sessions.select("id", "state")) == [("r", "ENDED"), ("s", "RUNNING")] and rows(over.combatants.select("id", "is_active_turn")) == [("a", True), ("b", False), ("c", False)]
+
+
 def test_sources(spark, tmp_path):
     schema = T.StructType([T.StructField("url", T.StringType())])
     assert readers.json_array(spark, str(tmp_path / "none.json"), schema).count() == 0
@@ -147,7 +272,15 @@ def test_sources(spark, tmp_path):
     assert rows(t["failed"]) == [("v", "404")] and rows(t["pending"]) == [("c", "w"), ("c", "x")]
     readers.write_json(readers.json_lines(spark, str(tmp_path / "l.jsonl"), schema), str(tmp_path / "out"), by=None)
     assert rows(readers.json_lines(spark, str(tmp_path / "out"), schema)) == [("a",), ("b",)]
-    assert len(schemas.TABLES) == 15 and readers.ready(spark)
+    readers.write_json(spark.createDataFrame([("a", "x"), ("b", "y")], "url string, category string"), str(tmp_path / "by"), by="category")
+    assert rows(spark.read.json(str(tmp_path / "by")).select("url", "category")) == [("a", "x"), ("b", "y")]
+    for k in (1, 2):
+        readers.append_run(spark.createDataFrame([(k,)], "n int"), str(tmp_path / "runs"), F.lit(f"2024-01-0{k}"))
+    assert rows(spark.read.json(str(tmp_path / "runs")).select("n", "run_at")) == [(1, "2024-01-01"), (2, "2024-01-02")]
+    (tmp_path / "p.md").write_text("# A\n\ntext")
+    assert rows(readers.whole_files(spark, str(tmp_path / "*.md"))) == [("p.md", "# A\n\ntext")] and readers.whole_files(spark, str(tmp_path / "*.htm")).count() == 0
+    spark.range(1).createOrReplaceTempView("seen_here")
+    assert ("seen_here", True) in rows(readers.catalogue(spark)) and len(schemas.TABLES) == 15 and readers.ready(spark)
     assert readers.table_or(spark, "no_such_table", spark.range(3)).count() == 3
 
 

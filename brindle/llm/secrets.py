@@ -5,9 +5,11 @@ characters is a candidate.  Its encoding is inferred from its characters; the ru
 must then look uniform on that alphabet in three tests (chi-squared of the symbol
 counts, Wald-Wolfowitz runs about the middle symbol, lag-1 serial correlation).
 How unlike words it is enters as the likelihood ratio of the uniform model to a
-model of word characters.  Such a ratio is an e-value, so the e-value form of
-Benjamini-Hochberg, weighted by length, bounds the share of false discoveries
-among a text's candidates.
+model of word characters, whose shares are counted over the whole table (but never
+below LEAST, which allows for identifiers).  Such a ratio is an e-value; it is divided
+by what the three tests say against randomness, an e-value too where it is above 1, and
+so stays one.  The e-value form of Benjamini-Hochberg, weighted by length, bounds the
+share of false discoveries among a text's candidates.
 
 Edge cases: a null or empty text has no spans; repeated rows give repeated
 results; an empty table gives an empty table; other columns pass untouched.
@@ -35,8 +37,23 @@ ALPHABETS = {
     "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base64": ("^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
-#: Shares of the character classes in words, spread evenly over a class.
-WORD_MODEL = {"[a-z]": 0.85 / 26, "[A-Z]": 0.08 / 26, "[0-9]": 0.05 / 10, "[+/]": 0.02 / 2}
+#: Character classes of words with their number of characters, and least shares.
+CLASSES = {"[a-z]": 26, "[A-Z]": 26, "[0-9]": 10, "[+/]": 2}
+LEAST = {"[a-z]": 0.5, "[A-Z]": 0.08, "[0-9]": 0.05, "[+/]": 0.02}
+#: Shares assumed where no table is given.
+WORD_MODEL = {"[a-z]": 0.85, "[A-Z]": 0.08, "[0-9]": 0.05, "[+/]": 0.02}
+
+
+def word_model(df: DataFrame, text: str = "text") -> dict[str, float]:
+    """Shares of the character classes among the token characters of all texts, each
+    at least LEAST; four numbers reach the driver."""
+    names = list(CLASSES)
+    row = df.agg(*(F.sum(F.regexp_count(text, F.lit(c))).alias(f"n{i}") for i, c in enumerate(names))).first()
+    counts = [row[f"n{i}"] or 0 for i in range(len(names))]
+    if not sum(counts):
+        return WORD_MODEL
+    shares = {c: max(n / sum(counts), LEAST[c]) for c, n in zip(names, counts, strict=True)}
+    return {c: s / sum(shares.values()) for c, s in shares.items()}
 
 
 def _tail(z: Column) -> Column:
@@ -86,13 +103,18 @@ def _order_tests(code: Column, alphabet: str) -> Column:
     return F.aggregate(values, zero, step, verdict)
 
 
-def _log_e(code: Column, alphabet: str) -> Column:
+def _log_e(code: Column, alphabet: str, model: dict[str, float]) -> Column:
     """log likelihood ratio of a uniform code to the characters of words."""
     of = lambda cls, q: (F.char_length(code) - F.char_length(F.regexp_replace(code, cls, ""))) * F.log(F.lit(1 / len(alphabet) / q))
-    return sum((of(cls, q) for cls, q in WORD_MODEL.items()), F.lit(0.0))
+    return sum((of(cls, share / CLASSES[cls]) for cls, share in model.items()), F.lit(0.0))
+
 
+def _against(p: Column) -> Column:
+    """log of the e-value 1 / (2 sqrt(p)) against randomness, at least 0."""
+    return F.greatest(F.lit(0.0), -F.log(2 * F.sqrt(F.greatest(p, F.lit(1e-12)))))
 
-def random_spans(text: Column, level: float = 0.001, rate: float = 0.01) -> Column:
+
+def random_spans(text: Column, level: float = 0.001, rate: float = 0.01, model: dict[str, float] = WORD_MODEL) -> Column:
     """array<struct<start, end, encoding, p, log_e>> of the runs that pass the battery.
 
     level: a run goes when the Bonferroni p-value of the three tests is below it.
@@ -102,14 +124,17 @@ def random_spans(text: Column, level: float = 0.001, rate: float = 0.01) -> Colu
     def judged(s: Column) -> Column:
         plain = F.translate(F.regexp_replace(s.match, "=++$", ""), "-_", "+/")
 
+        def row(name: str, alphabet: str, code: Column) -> Column:
+            as_is = F.lower(code) if name == "hex" else code
+            p = F.least(F.lit(1.0), 3 * F.least(_chi_squared(as_is, alphabet), _order_tests(as_is, alphabet)))
+            evidence = lambda q: (_log_e(code, alphabet, model) - _against(q)).alias("log_e")
+            return let(p, lambda q: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(name).alias("encoding"), q.alias("p"), evidence(q)))
+
         def by_encoding(code: Column) -> Column:
             out = None
             for name, (shape, alphabet) in ALPHABETS.items():
-                as_is = F.lower(code) if name == "hex" else code
-                p = F.least(F.lit(1.0), 3 * F.least(_chi_squared(as_is, alphabet), _order_tests(as_is, alphabet)))
-                row = F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(name).alias("encoding"), p.alias("p"), _log_e(code, alphabet).alias("log_e"))
                 hit = code.rlike(shape) & code.rlike("[0-9]") & code.rlike("[A-Za-z]") & (F.char_length(code) >= 20)
-                out = F.when(hit, row) if out is None else out.when(hit, row)
+                out = F.when(hit, row(name, alphabet, code)) if out is None else out.when(hit, row(name, alphabet, code))
             return out
 
         return let(plain, by_encoding)
@@ -130,7 +155,7 @@ def random_spans(text: Column, level: float = 0.001, rate: float = 0.01) -> Colu
     return let(F.filter(candidates, lambda r: r.p >= level), discoveries)
 
 
-def secret_spans(text: Column) -> Column:
+def secret_spans(text: Column, model: dict[str, float] = WORD_MODEL) -> Column:
     """array<struct<start, rank, end, kind, encoding, log_e>>, by start, then kind.
 
     Random runs that overlap a base span are left out: the base span stands for them.
@@ -143,16 +168,16 @@ def secret_spans(text: Column) -> Column:
     )
 
     def added(b: Column) -> Column:
-        fresh = F.filter(random_spans(text), lambda r: ~F.exists(b, lambda s: (s.start < r.end) & (s.end > r.start)))
+        fresh = F.filter(random_spans(text, model=model), lambda r: ~F.exists(b, lambda s: (s.start < r.end) & (s.end > r.start)))
         more = F.transform(fresh, lambda r: F.struct(r.start.alias("start"), F.lit(KINDS.index("random")).alias("rank"), r.end.alias("end"), F.lit("random").alias("kind"), r.encoding.alias("encoding"), r.log_e.alias("log_e")))
         return F.array_sort(F.concat(b, more))
 
     return let(base, added)
 
 
-def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
+def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", model: dict[str, float] = WORD_MODEL) -> DataFrame:
     """Adds the spans of ``text`` as column ``into``, replacing one of that name."""
-    return df.withColumn(into, secret_spans(F.col(text)))
+    return df.withColumn(into, secret_spans(F.col(text), model))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
@@ -163,7 +188,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, digested."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = with_secrets(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "secrets")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = with_secrets(docs, model=word_model(docs)).select("doc_id", "secrets")
     count = lambda k: F.size(F.filter("secrets", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     base = F.filter("secrets", lambda s: s.kind.isin(*BASE))
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.llm import pii, secrets
@@ -136,6 +137,64 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert not any(kinds[i] for i in range(len(hit), len(texts)))
 
 
+def test_chi_squared_against_simulation(spark):
+    """p-values of the symbol counts: exact only by simulation at these lengths."""
+    rng = np.random.default_rng(4)
+    for name, (_, alphabet) in secrets.ALPHABETS.items():
+        size = len(alphabet)
+        statistic = lambda ids, size=size: (np.bincount(ids, minlength=size) ** 2).sum() * size / len(ids) - len(ids)
+        for n in (24, 40, 80):
+            simulated = np.sort([statistic(rng.integers(0, size, n)) for _ in range(4000)])
+            codes = [rng.integers(0, size, n) for _ in range(60)] + [rng.integers(0, max(4, size // 2), n) for _ in range(20)]
+            df = spark.createDataFrame([(i, "".join(alphabet[k] for k in c)) for i, c in enumerate(codes)], "i int, code string")
+            got = {r.i: r.p for r in df.select("i", secrets._chi_squared(F.col("code"), alphabet).alias("p")).collect()}
+            for i, c in enumerate(codes):
+                want = 1 - np.searchsorted(simulated, statistic(c) - 1e-9) / len(simulated)
+                assert abs(got[i] - want) < 0.12, (name, n, got[i], want)
+                if want > 0.02:
+                    assert got[i] >= secrets_level, (name, n, want)
+
+
+secrets_level = 0.001
+
+
+def test_order_tests_against_simulation(spark):
+    """Few uniform codes are refused, whatever the encoding and length."""
+    rng = np.random.default_rng(5)
+    for _, (_, alphabet) in secrets.ALPHABETS.items():
+        codes = ["".join(alphabet[k] for k in rng.integers(0, len(alphabet), n)) for n in (20, 32, 64) for _ in range(300)]
+        df = spark.createDataFrame(list(enumerate(codes)), "i int, code string")
+        p = np.array([r.p for r in df.select(secrets._order_tests(F.col("code"), alphabet).alias("p")).collect()])
+        # the lesser of two p-values: at most twice the level, and not far below
+        assert (p < 0.05).mean() <= 0.13 and (p < 0.05).mean() >= 0.03 and (p < secrets_level / 3).mean() <= 0.005
+    ordered = spark.createDataFrame([("0123456789abcdef0123456789abcdef",), ("0f0f0f0f0f0f0f0f0f0f0f0f0f0f0f0f",), ("00000000000000ffffffffffffffff00",)], "code string")
+    assert all(r.p < secrets_level / 3 for r in ordered.select(secrets._order_tests(F.col("code"), secrets.ALPHABETS["hex"][1]).alias("p")).collect())
+
+
+def test_false_discoveries_are_few(spark):
+    """Identifiers made of words, and random strings, in one text.  36 characters among
+    660 candidates: the control costs some of them (51 of 60 found when written)."""
+    rng = random.Random(6)
+    words = "get set file name value index user count total offset buffer stream reader writer parse token list array build config".split()
+    some = lambda: "".join(rng.choice(words).capitalize() for _ in range(rng.randint(4, 6))) + rng.choice(["", "2", "V1"])
+    names = [f"{rng.choice(words)}{some()}" for _ in range(600)]
+    keys = [base64.b64encode(rng.randbytes(27)).decode() for _ in range(60)]
+    both = names + keys
+    rng.shuffle(both)
+    text = " ".join(both)
+    df = frame(spark, [text])
+    for model in (secrets.WORD_MODEL, secrets.word_model(df)):
+        found = [text[s.start : s.end] for s in secrets.with_secrets(df, model=model).first().secrets if s.kind == "random"]
+        wrong = [f for f in found if f not in keys]
+        assert len(found) - len(wrong) >= 0.8 * len(keys) and len(wrong) <= 0.05 * len(found)
+
+
+def test_the_word_model_is_counted(spark):
+    model = secrets.word_model(frame(spark, ["abcdefghij", "ABCD", None, "1234567890 /", ""]))
+    assert abs(sum(model.values()) - 1) < 1e-9 and model["[0-9]"] > model["[A-Z]"] > model["[+/]"]
+    assert secrets.word_model(frame(spark, ["", "  "])) == secrets.WORD_MODEL
+
+
 def test_random_spans_do_not_repeat_base_spans(spark):
     s = secrets.with_secrets(frame(spark, ["f33e61083db5dbdf4bd2369d2f80176e57f7fda2"])).first().secrets
     assert [x.kind for x in s] == ["hex"]

@@ -9,7 +9,8 @@ greatest of them.
 Labels hold for whole texts, so training picks each text's highest windows with
 the present weights, learns from those, and picks again.  It is fitted on the
 driver to a bounded sample: at most SAMPLE labelled texts of each class, those of
-least hashed id.  Scoring covers every word of every text, in the tasks.
+least hashed id, and at most SAMPLE_CHARS characters in all (a text that would exceed
+them is passed over).  Scoring covers every word of every text, in the tasks.
 
 Edge cases: a null text, an empty one and one without words are one empty window;
 texts shorter than a window are padded; with one class or none to learn from the
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from brindle.llm.arrow import slices
 
 WINDOW, STRIDE, SAMPLE = 20, 10, 1500
 WORDS, GRAMS, WIDTH, HIDDEN = 32768, 65536, 8, 8
+SAMPLE_CHARS = 40_000_000
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 5
 #: Share of a batch's words that are read by their characters alone while learning.
 BLANKED = 0.5
@@ -314,16 +316,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``size`` documents of each class."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``size`` documents of each class and ``chars``
+    characters, taken from the classes in turn."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").filter(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = {r["doc_id"]: r["toxic"] for c in (0, 1) for r in known.filter(F.col("toxic") == c).orderBy(*order).limit(size).collect()}
+    by_class = [[r["doc_id"] for r in known.filter(F.col("toxic") == c).orderBy(*order).limit(size).collect()] for c in (0, 1)]
+    picked = {i: c for pair in zip_longest(*by_class) for c, i in enumerate(pair) if i is not None}
     if not picked:
         return [], []
     # at most twice ``size`` rows are sent
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long"))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id", "left_semi").collect()
+    wanted = lambda ids: docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    long = {r["doc_id"]: r["n"] for r in wanted(picked).groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("n")).collect()}
+    chosen, held = [], 0
+    for i in picked:
+        if i in long and held + long[i] <= chars:
+            chosen.append(i)
+            held += long[i]
+    if not chosen:
+        return [], []
+    rows = wanted(chosen).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [picked[r["doc_id"]] for r in rows]
 

@@ -145,6 +145,42 @@ def test_toxic_windows_anywhere_are_found():
     assert 0 <= scorer.texts([[]])[0] <= 1
 
 
+def area(scores, labels):
+    """Chance that a toxic text scores higher than another, ties half."""
+    bad, good = ([s for s, y in zip(scores, labels, strict=True) if y == v] for v in (1, 0))
+    return np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
+
+
+def test_quality_on_held_out_documents(spark, tmp_path):
+    """Toxic documents hold one of a few words somewhere, some of them misspelt."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 8))) for _ in range(3000)]
+    bad = ["vilescum", "filthrag", "worthless"]
+    docs, labels = [], []
+    for i in range(900):
+        text = rng.choice(words, rng.integers(5, 200)).tolist()
+        if i % 3 == 0:
+            w = bad[rng.integers(3)]
+            at = rng.integers(1, len(w) - 1)
+            text.insert(rng.integers(len(text)), w if rng.random() < 0.8 else w[:at] + w[at] + w[at:])
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 3 == 0)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = [r for r in QUERIES["op8_toxicity"](spark, str(tmp_path)).collect() if r.held_out]
+    assert area([r.score for r in held], [int(r.doc_id % 3 == 0) for r in held]) >= 0.95
+    assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in held]) >= 0.9
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i == 7 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, ys = toxicity.sample(docs, labels, 50, 200)
+    assert sum(map(len, texts)) == 200 and len(texts) == 20 and 8 <= sum(ys) <= 12
+    texts, ys = toxicity.sample(docs, labels, 3)
+    assert len(texts) == 6 and sum(ys) == 3
+
+
 def test_nothing_to_learn_from():
     assert toxicity.fit([], []) == 0.0 and toxicity.fit(["a"], [1]) == 1.0
 

@@ -123,7 +123,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     rows = table.unionByName(planted)
     out = format_chat(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")))
-    read = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    read = out.select("conv_id", "formatted", "attachments", "n_extra_tokens", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss")).alias("learned"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -132,6 +132,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "n_extra_tokens",
     )
 
 
@@ -148,6 +150,6 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY turn, role, et)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(txt) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN txt END, '' ORDER BY turn, role, et), '')) AS loss_sha256,
-  sum(4 + length(er) + 2 + length(et) + 8)::BIGINT AS formatted_chars
+  sum(4 + length(er) + 2 + length(et) + 8)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS n_extra_tokens
 FROM e GROUP BY conv_id
 """

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 LONG = "The quick brown fox jumps. " * 6000
 
@@ -21,7 +22,8 @@ def odd(spark):
         (8, "😀 é漢 \x00 ok", "fr", "s", 9, "x", 7),
         (None, "no id here at all, only words and words", "en", "s", 3, "x", 8),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, node long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, node long")
+    return docs.withColumns({c: F.lit("mine") for c in ("leaks", "ids", "decoded", "sketch", "range", "tail", "pii", "secrets", "lang_pred", "h1", "n", "component_id")})
 
 
 @pytest.fixture

@@ -9,6 +9,7 @@ import pytest
 
 from brindle.llm import decontaminate, fingerprint, jaccard
 from brindle.llm.queries import ORACLE_SQL, QUERIES
+from brindle.llm.shingles import shingle_sets
 
 
 def shingles(text, size):
@@ -193,6 +194,42 @@ def test_leaks_and_clean_documents(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [12, 13, 15]
 
 
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch):
+    """op1 on documents with items left as they are, changed within and beyond the budget."""
+    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", (120,))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
+    items = [(k, " ".join(word() for _ in range(rng.randint(1, 12)))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(rng.randint(0, 20))]
+        q = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            q[rng.randrange(len(q))] = rng.choice("abcxyz")
+        text.insert(rng.randint(0, len(text)), "".join(q))
+        docs.append((i, " ".join(text)))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = []
+    for i, t in docs:
+        for k, q in items:
+            p, n = decontaminate.normal(q), decontaminate.normal(t)
+            budget = int(decontaminate.RATE * len(p))
+            distance = edits(p, n) if budget else 0 if f" {p} " in f" {n} " else 99
+            if distance <= budget:
+                want.append((i, k, distance))
+    got = sorted(tuple(r) for r in QUERIES["op1_decontamination"](spark, str(tmp_path)).collect())
+    assert got == sorted(want) and len(want) > 30
+    kept = decontaminate.decontaminate(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in docs} - {w[0] for w in want})
+
+
+def test_columns_named_like_ours_stay(spark):
+    items = spark.createDataFrame([(1, "some words of an item that leaks")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "clean", "mine")], "doc_id long, text string, __leaks string")
+    assert tuple(decontaminate.decontaminate(docs, items).first()) == (1, "clean", "mine")
+
+
 def test_items_without_id(spark):
     items = spark.createDataFrame([(None, "a passage that has no number of its own"), (1, "another passage that has a number"), (None, "yes")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x a passage that has no number of its own, another passage that has a number"), (2, "oh yes"), (3, "neither")], "doc_id long, text string")
@@ -225,6 +262,27 @@ def test_fingerprints(spark, sf):
         assert by_text.setdefault(text, rows[i].fingerprint) == rows[i].fingerprint
 
 
+def test_sketches_equal_brute_force():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "d", "e"]) for _ in range(n)) for n in (0, 1, 4, 5, 6, 80, 3000)] + ["é " * 300, "x"]
+    for text, sketch in zip(texts, fingerprint.sketches(texts), strict=True):
+        words = text.split()
+        # the hash of a shingle is that of a text of its words alone
+        grams = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {" ".join(words)} - {""}
+        least = sorted({int(h) >> 16 for g in grams for h in shingle_sets([g], 5)[0]})[: fingerprint.K]
+        assert sketch.tolist() == least
+
+
+def test_neighbours_of_repeated_and_missing_ids(spark):
+    docs = [(3, "c"), (None, "n"), (1, "b"), (1, "a"), (9, ""), (4, None)]
+    rows = fingerprint.compare_with_next(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    order = [(None, "n"), (1, "a"), (1, "b"), (3, "c"), (4, ""), (9, "")]
+    want = sorted((str(i), fingerprint.sketches([t])[0].tolist(), fingerprint.sketches([order[(k + 1) % 6][1]])[0].tolist()) for k, (i, t) in enumerate(order))
+    assert sorted((str(r.doc_id), r.sketch, r.next_sketch) for r in rows) == want
+    one = fingerprint.compare_with_next(spark.createDataFrame([(5, "only one")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0].sketch == one[0].next_sketch
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(300))
     df = fingerprint.with_sketch(spark.createDataFrame([(a, b, f"{a}\n{b}")], "x string, y string, z string"), "x", "sx")

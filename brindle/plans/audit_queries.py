@@ -273,3 +273,16 @@ def i7_flattened(spark, sf_dir):
     pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     pairs = F.array(pair("lang", F.col("lang")), pair("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" ")))
     return table(spark, sf_dir, "documents").select("doc_id", text.flattened(pairs).alias("lines"))
+
+
+@query("i8_first_of", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE lang END), ''), nullif(trim(source), ''), 'none') AS label FROM documents")
+def i8_first_of(spark, sf_dir):
+    lang = F.when(F.col("doc_id") % 2 == 0, " ").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_of(lang, F.col("source"), F.lit("none")).alias("label"))
+
+
+@query("i10_decoded_urls", "SELECT page_id, lower('/%41' || page_id || 'A +b' || CASE WHEN page_id % 2 = 0 THEN '?q=ü&r=1' ELSE '' END) AS decoded FROM (SELECT page_id FROM pages)".replace("/%41", "/A"))
+def i10_decoded_urls(spark, sf_dir):
+    """Path and query, escapes of bytes resolved, plus signs kept."""
+    url = F.concat(F.lit("https://h/%41"), F.col("page_id"), F.lit("A%20+b"), F.when(F.col("page_id") % 2 == 0, "?q=%C3%BC&r=1").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", html.decoded(url).alias("decoded"))

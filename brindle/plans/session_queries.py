@@ -257,6 +257,22 @@ def r11_vocabulary(spark, sf_dir):
     return schemas.vocabulary(spark).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
+@query("b14_log_export", "SELECT conv_id, sha256(string_agg(role || ': ' || length(\"text\"), chr(10) ORDER BY turn)) AS log_sha256 FROM conversations GROUP BY conv_id")
+def b14_log_export(spark, sf_dir):
+    """A log as one text of lines."""
+    line = F.concat("role", F.lit(": "), F.char_length("text"))
+    logs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("log"))
+    return logs.select("conv_id", text.sha256(F.array_join(F.transform("log", lambda x: x.line), "\n")).alias("log_sha256"))
+
+
+@query("i23_arrays", "SELECT p_partkey, p_size || ',' || (p_size + 1) || ',9' AS appended, 5 IN (p_size, p_size + 1, 9) AS has_five, CASE WHEN p_size % 2 = 0 THEN p_size || ',9' ELSE (p_size + 1) || ',9' END AS kept FROM part")
+def i23_arrays(spark, sf_dir):
+    n = F.col("p_size")
+    joined = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    a = F.array_append(F.array(n, n + 1), F.lit(9))
+    return table(spark, sf_dir, "part").select("p_partkey", joined(a).alias("appended"), F.array_contains(a, 5).alias("has_five"), joined(F.concat(F.filter(F.array(n, n + 1), lambda x: x % 2 == 0), F.slice(a, -1, 1))).alias("kept"))
+
+
 # Pages and chunks of the search: a page for each part, chunks dealt out to the first 97.
 PAGES = "SELECT p_partkey AS page_id, 'd' || (p_partkey % 60) AS doc_id, p_name AS title, p_brand AS category, CASE WHEN p_partkey % 2 = 0 THEN 'r' ELSE '' END AS resolved_category, 'u' || p_partkey AS source_url, p_partkey % 5 = 0 AS is_unresolved, CASE WHEN p_partkey % 11 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS deleted_at FROM part"
 CHUNKS = "SELECT 'c' || lpad(vec_id::VARCHAR, 7, '0') AS chunk_id, (vec_id % 97 + 1) AS page_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE 'text ' || vec_id END AS chunk_text, embedding, vec_id % 7 <> 0 AS is_active FROM embeddings"

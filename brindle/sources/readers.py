@@ -76,6 +76,11 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, is_temporary boolean")
 
 
+def has_function(spark: SparkSession, name: str) -> bool:
+    """Whether a function, built in or registered, exists."""
+    return spark.catalog.functionExists(name)
+
+
 def ready(spark: SparkSession) -> bool:
     return spark.range(1).count() == 1
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where rounds of a crawl are written: spark.checkpoint.dir, which the driver and all
-    executors share; a folder of this machine only where Spark runs on it alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
+    """Where rounds of a crawl are written: a folder of our own below spark.checkpoint.dir,
+    which the driver and all executors share; below a folder of this machine only where
+    Spark runs on it alone.  It goes when the driver's Python ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not top and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/brindle"
+    folder = f"{top or f'file://{tempfile.gettempdir()}/brindle'}/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+
+    def remove() -> None:
+        try:
+            path = hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the driver's JVM is gone: what is left is a folder of files
+            pass
+
+    atexit.register(remove)
+    return folder
 
 
 def query(name: str, sql: str | None = None):

@@ -17,8 +17,9 @@ task's memory depends neither on the length of a text nor on its alphabet.
 A text is in no language that was learned if its cosine is far below what a text of
 as many letters in that language would have.  A language whose trigrams meet with
 chance s gives n letters of it an expected cosine of sqrt(s n / (1 + s n)); random
-vectors blur every cosine by 1 / sqrt(DIM).  One rule for all lengths:
-score >= share * expected - 2 / sqrt(DIM).
+vectors blur every cosine by 1 / sqrt(DIM), and n trigrams are a sample that strays by
+up to 1 / sqrt(n).  One rule for all lengths:
+score >= share * expected - 2 / sqrt(DIM) - 1 / sqrt(n).
 
 Edge cases: a null text and one without letters are ``und`` with score 0; ties go
 to the language first in order of name; documents without language are not learned
@@ -163,7 +164,8 @@ def _judge(texts: list[str], known: Profiles, share: float) -> tuple[np.ndarray,
     best = np.where((letters > 0) & bool(langs), cosines.argmax(axis=1), len(langs))
     score = np.where(letters > 0, cosines.max(axis=1), 0)
     met = letters * np.append(known.chance(), 0)[best]
-    native = (letters > 0) & (score >= share * np.sqrt(met / (1 + met)) - 2 / DIM**0.5)
+    blur = 2 / DIM**0.5 + 1 / np.sqrt(np.maximum(letters, 1))
+    native = (letters > 0) & (score >= share * np.sqrt(met / (1 + met)) - blur)
     return np.asarray([*langs, UND], dtype=object)[best], score, letters, native
 
 

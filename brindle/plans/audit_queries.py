@@ -47,7 +47,7 @@ inv AS (SELECT k.url, sha256(k.url) AS url_hash, 'doc_' || left(sha256(k.url), 1
  (em.url IS NOT NULL AND NOT list_contains(cats, 'unresolved')) AS resolved, em.url IS NOT NULL AS emitted, CASE WHEN error = 'status 404 x' THEN 404 END AS http_status, error AS fetch_error, page_state,
  CASE WHEN exp.url IS NULL THEN '' ELSE lang || '|' || exp.source END AS crawl_sources, provisional_category, coalesce(resolved_category, CASE WHEN cats[1] <> 'unresolved' THEN cats[1] END) AS resolved_category,
  coalesce(resolution_confidence, CASE WHEN em.url IS NOT NULL THEN 'medium' END) AS resolution_confidence, CASE WHEN exp.doc_id % 2 = 0 THEN exp.source ELSE '' END AS resolution_evidence, name AS title, coalesce(name, '') AS breadcrumbs,
- filepath AS raw_html_path, length(trim(coalesce(description, ''))) AS text_length, coalesce(n > 1, false) AS is_duplicate, array_to_string(coalesce(cats, []), '|') AS emitted_categories
+ filepath AS raw_html_path, length(trim(coalesce(description, '')))::INTEGER AS text_length, coalesce(n > 1, false) AS is_duplicate, array_to_string(coalesce(cats, []), '|') AS emitted_categories
  FROM keys k LEFT JOIN exp ON exp.url = k.url LEFT JOIN em ON em.url = k.url LEFT JOIN done ON done.url = k.url LEFT JOIN fail ON fail.url = k.url)"""
 
 
@@ -126,7 +126,7 @@ CANON = f"""{INVENTORY}, c AS (SELECT doc_id, i.url, title, em.first_category AS
  FROM inv i JOIN em ON em.url = i.url)"""
 
 
-@query("t4_canonical_docs", f"{CANON} SELECT doc_id, url, title, category, resolved_category, is_unresolved, sha256(embedding_text) AS text_sha256, length(embedding_text) AS embedding_text_length, true AS embeddable, NULL::VARCHAR AS exclude_reason FROM c")
+@query("t4_canonical_docs", f"{CANON} SELECT doc_id, url, title, category, resolved_category, is_unresolved, sha256(embedding_text) AS text_sha256, length(embedding_text)::INTEGER AS embedding_text_length, true AS embeddable, NULL::VARCHAR AS exclude_reason FROM c")
 def t4_canonical_docs(spark, sf_dir):
     return _canonical(spark, sf_dir).select("doc_id", "url", "title", "category", "resolved_category", "is_unresolved", text.sha256(F.col("embedding_text")).alias("text_sha256"), "embedding_text_length", "embeddable", "exclude_reason")
 

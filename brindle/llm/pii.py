@@ -32,7 +32,7 @@ ACCOUNTS = {
     23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
     29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
 }
-IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNTS.items()) + ")(?![A-Za-z0-9])"
+IBAN = "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNTS.items()) + ")(?![A-Za-z0-9])"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 # Start score of each kind, words nearby that raise or lower it.

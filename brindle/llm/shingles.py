@@ -7,6 +7,8 @@ one, is one shingle; a text without words has none.  Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Bytes of text hashed at once (a longer text is hashed alone); bounds memory.
@@ -18,6 +20,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_SAME = np.arange(256, dtype=np.uint8)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,15 +43,15 @@ def _powers(n: int, known: dict[str, np.ndarray] = {}) -> np.ndarray:  # noqa: B
     return table[:n]
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word."""
+def _word_hashes(data: np.ndarray, letter: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word, each byte read as ``letter`` says."""
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), starts
     gaps = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, gaps)
-    letters = np.where(space, 0, _LOWER[data].astype(np.uint16) + 1)[starts[0] :].astype(np.uint64)
+    letters = np.where(space, 0, letter[data].astype(np.uint16) + 1)[starts[0] :].astype(np.uint64)
     return mix(np.add.reduceat(letters * _powers(int(gaps.max()))[place], starts - starts[0])), starts
 
 
@@ -81,3 +85,22 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
         chunk.append(data)
         held += len(data)
     return out + (_chunk(chunk, size) if chunk else [])
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, unchanged, of all texts in a row, and the number of
+    words of each text.  Long texts are hashed in pieces cut between words."""
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) + 1
+    data = b" ".join([*coded, b""])
+    ends, parts, starts, at = np.cumsum(sizes), [], [], 0
+    while at < len(data):
+        cut = _GAP.search(data, min(at + CHUNK, len(data) - 1))
+        stop = cut.end()
+        hashes, first = _word_hashes(np.frombuffer(data[at:stop], dtype=np.uint8), _SAME)
+        parts.append(hashes)
+        starts.append(first + at)
+        at = stop
+    first = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.searchsorted(first, ends), prepend=0)
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)), counts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.llm.audit import OP13_SQL, op13_audit
 from brindle.llm.bpe import op9_bpe
 from brindle.llm.chat import OP5_SQL, op5_chat
 from brindle.llm.decontaminate import op1_decontamination
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
     "op12_repeats": op12_repeats,
+    "op13_audit": op13_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_chat": OP5_SQL, "op12_repeats": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": OP3_SQL, "op5_chat": OP5_SQL, "op12_repeats": OP12_SQL, "op13_audit": OP13_SQL}

@@ -125,8 +125,9 @@ class _Builder:
             yield whole.slice(at, 10_000)
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The index of all rows: a row for each segment (term is null) and each block of postings."""
+def build_index(docs: DataFrame, work: Work) -> DataFrame:
+    """The index of all rows, a written table: a row for each segment (term is null) and each
+    block of postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, segment = TaskContext.get().partitionId(), 0, _Builder()
@@ -137,7 +138,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 k, segment = k + 1, _Builder()
         yield from segment.rows(f"{part}.{k}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _INDEX)
+    return work.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _INDEX))
 
 
 class _List:
@@ -186,12 +187,17 @@ class _Segment:
             if bound[i] < best.least:
                 continue
             a, b = int(begins[i]), int(ends[i])
-            score = np.zeros(b - a + 1, dtype=np.int64)
-            for x, k in zip(lists, blocks, strict=True):
-                if k[i] >= 0:
-                    docs, gain = x.block(int(k[i]))
-                    low, high = np.searchsorted(docs, (a, b + 1))
-                    score[docs[low:high] - a] += gain[low:high]
+            score, rest = np.zeros(b - a + 1, dtype=np.int64), int(bound[i])
+            # the greatest impacts first: the others' blocks stay closed if nothing can rise
+            here = sorted(((int(x.best[k[i]]), j, int(k[i])) for j, (x, k) in enumerate(zip(lists, blocks, strict=True)) if k[i] >= 0), reverse=True)
+            for most, j, k in here:
+                if score.max() + rest < best.least:
+                    break
+                docs, gain = lists[j].block(k)
+                low, high = np.searchsorted(docs, (a, b + 1))
+                score[docs[low:high] - a] += gain[low:high]
+                rest -= most
+            # what was left out could not lift any to the threshold
             found = np.flatnonzero(score >= max(best.least, 1))
             if len(found):
                 best.add(score[found], self.ids[found + a], found + a < self.nulls)
@@ -282,7 +288,7 @@ def _searcher(items: list[list[str]], weights: dict[str, int], n: int, total: in
 
 def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark item, over an index of all documents."""
-    index = Work(spark).saved(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    index = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), Work(spark))
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -31,6 +31,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -49,6 +50,8 @@ SIZE, BLOCK = 50, 25
 #: Buckets of hashes for each shuffle partition (hashed buckets spread evenly), and the
 #: windows of one bucket, which a task holds at once, that more buckets are made for.
 SPREAD, HELD = 4, 1_000_000
+#: Ids of wanted texts that are sent to the tasks at most.
+SENT = 2_000_000
 _RNG = np.random.default_rng(20_25)
 _BASES = tuple(int(x) | 1 for x in _RNG.integers(1 << 62, size=2))
 _SIDE = "slice string, kind int, bucket int, a binary, b binary, c binary"
@@ -74,8 +77,15 @@ def _rolling(words: np.ndarray, size: int, which: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * _powers(pow(base, -1, 1 << 64), n))
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_words, h1, h2 of every row: equal words, and only they, have equal h1 and h2."""
+def _joined(text: str) -> bytes:
+    """The words of a text with one space between."""
+    # bytes are split at the six characters alone
+    return b" ".join(text.encode("utf-8", "surrogatepass").split())
+
+
+def _identified(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, text, n_words, h1, h2 of every row: equal words, and only they, have equal h1
+    and h2.  With ``digest`` the text is the SHA-256 of its words, one space between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -86,7 +96,8 @@ def _identified(docs: DataFrame) -> DataFrame:
                 longest = int(counts.max(initial=0))
                 terms = np.concatenate((mix(words ^ np.uint64(which)) * _powers(_BASES[which], longest)[place], np.zeros(1, dtype=np.uint64)))
                 sums.append(np.where(counts > 0, mix(np.add.reduceat(terms, edges[:-1]) ^ counts.astype(np.uint64)), 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts), *(pa.array(s.view(np.int64)) for s in sums)], ["doc_id", "text", "n_words", "h1", "h2"])
+            told = pa.array([sha256(_joined(t)).hexdigest() for t in texts], pa.string()) if digest else batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), told, pa.array(counts), *(pa.array(s.view(np.int64)) for s in sums)], ["doc_id", "text", "n_words", "h1", "h2"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.mapInArrow(run, "doc_id long, text string, n_words long, h1 long, h2 long")
@@ -339,16 +350,16 @@ def _removed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, ranges array<int>")
 
 
-def repeats(docs: DataFrame, work: Work) -> DataFrame:
-    """doc_id, h1, h2, ranges of every document that loses words: a row for each distinct
-    id and sequence of words."""
+def repeats(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2, ranges) of the documents that lose some words, and (doc_id, h1, h2,
+    n_words) of the copies, which lose all: a row for each id and sequence of words."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = _identified(docs).filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= SIZE))
     seen = work.saved(known.select("doc_id", "h1", "h2", "n_words"))
     total = seen.agg(F.sum("n_words")).first()[0] or 0
     least = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    copies = seen.join(least, ["h1", "h2", "doc_id"], "left_anti").select("doc_id", "h1", "h2", F.array(F.lit(0), F.col("n_words").cast("int")).alias("ranges"))
+    copies = seen.join(least, ["h1", "h2", "doc_id"], "left_anti").select("doc_id", "h1", "h2", "n_words")
 
     grouped = lambda rows, n, *order: rows.repartition(n, order[0]).sortWithinPartitions(*order)
     buckets = max(SPREAD * width, total // BLOCK // HELD)
@@ -356,39 +367,67 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     places = work.saved(_places(grouped(hits, width, "slice", "kind")).join(least, ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2", "doc_id"]))
     asked = places.agg(F.sum(F.size("places"))).first()[0] or 0
     # in one order, so that a task run again makes the same slices
-    near = known.join(places, ["doc_id", "h1", "h2"]).select("doc_id", "h1", "h2", "places", "text").sortWithinPartitions("doc_id", "h1", "h2")
+    near = _texts(known, places, "places").sortWithinPartitions("doc_id", "h1", "h2")
     buckets = max(SPREAD * width, asked * SIZE // 2 // HELD)
     answers = _answers(grouped(_windows(near, buckets), max(width, buckets // SPREAD), "bucket", "kind"))
-    return work.saved(_removed(grouped(answers, width, "slice", "kind")).union(copies).dropDuplicates(["doc_id", "h1", "h2"]))
+    return work.saved(_removed(grouped(answers, width, "slice", "kind")).dropDuplicates(["doc_id", "h1", "h2"])), copies.dropDuplicates(["doc_id", "h1", "h2"])
 
 
-def dedup(docs: DataFrame, work: Work | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, one space between), for every row."""
-    gone = repeats(docs, work or Work(docs.sparkSession))
+def _texts(known: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The texts of the documents wanted, with more of their columns.
+
+    Up to SENT ids are sent to the tasks, and only texts with one of them shuffle; of more
+    ids all texts do."""
+    ids = wanted.select("doc_id").distinct()
+    if ids.count() <= SENT:
+        known = known.join(F.broadcast(ids), "doc_id", "left_semi")
+    return known.join(wanted.hint("merge"), ["doc_id", "h1", "h2"]).select("doc_id", "h1", "h2", "text", *columns)
+
+
+def affected(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, h1, h2, n_removed, kept (what stays, one space between the words): a row for
+    each distinct id and sequence of words that loses any."""
+    cut, copies = repeats(docs, work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            counts, removed, kept = [], [], []
+            removed, kept = [], []
             for text, ranges in zip(texts, batch.column("ranges").to_pylist(), strict=True):
-                # splitting bytes: at the six characters alone
                 words, left, at = text.encode("utf-8", "surrogatepass").split(), [], 0
-                for a, b in zip((ranges or [])[::2], (ranges or [])[1::2], strict=True):
+                for a, b in zip(ranges[::2], ranges[1::2], strict=True):
                     left += words[at:a]
                     at = b
-                left = left + words[at:] if at else words
-                counts.append(len(words))
+                left += words[at:]
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "h1", "h2", "n_removed", "kept"])
+
+    texts = _texts(_identified(docs), cut, "ranges").mapInArrow(run, "doc_id long, h1 long, h2 long, n_removed long, kept string")
+    # rows of one id and equal words differ in their spaces alone
+    return texts.dropDuplicates(["doc_id", "h1", "h2"]).union(copies.select("doc_id", "h1", "h2", F.col("n_words").alias("n_removed"), F.lit("")))
 
-    met = _identified(docs).join(gone, ["doc_id", "h1", "h2"], "left").select("doc_id", "text", "ranges")
+
+def dedup(docs: DataFrame, work: Work | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, one space between), for every row."""
+    gone = affected(docs, work or Work(docs.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            kept = [k if k is not None else _joined(t).decode("utf-8", "surrogatepass") for t, k in zip(texts, batch.column("kept").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words", "n_removed")), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    met = _identified(docs).join(gone, ["doc_id", "h1", "h2"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "text", "kept")
     return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document and of those how many repeat a document of smaller id."""
-    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+    """Words of every document and of those how many repeat a document of smaller id.
+
+    Only the texts that lose words are looked at again; of others the digest is enough."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    gone = affected(docs, Work(spark)).select("doc_id", "h1", "h2", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("left"))
+    met = _identified(docs, digest=True).join(gone, ["doc_id", "h1", "h2"], "left")
+    return met.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("left", "text").alias("kept_sha256"))
 
 
 OP12_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all("text", '[^\x20\x09-\x0D]+') AS words FROM documents),

@@ -13,9 +13,9 @@ DOCUMENT_QUERIES = [n for n in QUERIES if n != "op5_chat"]
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
 def test_odd_rows(tables, odd, name):
     rows = QUERIES[name](odd.sparkSession, tables()).collect()
-    if name != "op1_decontamination":
+    if name not in ("op1_decontamination", "op11_ranked", "op13_audit"):
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect())
-    twice = [tuple(r) for r in rows if r.doc_id == 5]
+    twice = [tuple(r) for r in rows if r.doc_id == 5] if name not in ("op11_ranked", "op13_audit") else []
     if name != "op4_fingerprint":  # there the next document of the first copy is the second
         assert len(set(twice)) <= 1
 

@@ -144,7 +144,7 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
 
 def test_sql_gives_the_same_rows(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         found = con.execute(sql)

@@ -83,13 +83,8 @@ def _with_ranges(docs: DataFrame, parts: int) -> DataFrame:
     Ranges hold about equally many rows, null ids are in the first.  Only their cuts
     and first ids reach the driver: two numbers for each range."""
     cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else None
-    bounds = np.unique(np.asarray(cuts or [], dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(dtype=np.int64), side="left")).astype(np.int32))
-
-    number = place(F.col("doc_id"))
+    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else None
+    number = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))) if cuts else F.lit(0)
     low = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
     firsts = sorted((r["range"], r["id"]) for r in docs.select("doc_id").groupBy(number.alias("range")).agg(low.alias("id")).collect())
     # as many rows as there are ranges

@@ -283,6 +283,15 @@ def test_neighbours_of_repeated_and_missing_ids(spark):
     assert len(one) == 1 and one[0].sketch == one[0].next_sketch
 
 
+def test_neighbours_of_great_ids_beside_a_missing_one(spark):
+    """Ids that a double cannot hold keep their order and their neighbours."""
+    docs = [((1 << 53) + 1 + 2 * i, f"text {i}") for i in range(200)] + [(None, "none")]
+    rows = fingerprint.compare_with_next(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    texts = ["none"] + [t for _, t in docs[:200]]
+    want = sorted((str(i), fingerprint.sketches([texts[(k + 1) % 201]])[0].tolist()) for k, i in enumerate([None] + [i for i, _ in docs[:200]]))
+    assert sorted((str(r.doc_id), r.next_sketch) for r in rows) == want
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(300))
     df = fingerprint.with_sketch(spark.createDataFrame([(a, b, f"{a}\n{b}")], "x string, y string, z string"), "x", "sx")

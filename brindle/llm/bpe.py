@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.arrow import lists, slices
+from brindle.llm.columns import numbered
 
 # Fixed value: the public pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -320,7 +321,8 @@ def _encoded(df: DataFrame, vocabulary: str, text: str, ids: str, decoded: str |
             own.forget()
 
     new = [(ids, T.ArrayType(T.IntegerType()))] + ([(decoded, T.StringType())] if decoded else [])
-    return df.mapInArrow(run, _extended(df.schema, *new))
+    rows = numbered(df, text, *(n for n, _ in new))
+    return rows.mapInArrow(run, _extended(rows.schema, *new)).toDF(*_extended(df.schema, *new).names)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -345,7 +347,8 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decode
                 rows = [np.asarray([-1 if x is None else x for x in r or ()], dtype=np.int64) for r in part.column(part.schema.get_field_index(ids)).to_pylist()]
                 yield _with(part, {into: own.decode_all(np.concatenate(rows), np.asarray(list(map(len, rows))))})
 
-    return df.mapInArrow(run, _extended(df.schema, (into, T.StringType())))
+    rows, new = numbered(df, ids, into), (into, T.StringType())
+    return rows.mapInArrow(run, _extended(rows.schema, new)).toDF(*_extended(df.schema, new).names)
 
 
 def default_vocabulary() -> str:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.arrow import slices
+from brindle.llm.columns import numbered
 from brindle.llm.work import Work
 
 #: Edits allowed for each character of an item; characters of a block of items
@@ -189,7 +190,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str
 
         return rows.mapInArrow(run, rows.schema)
 
-    return _passed(docs.withColumn(into, F.array().cast(T.ArrayType(LEAK))), items, step)
+    told = docs.withColumn(into, F.array().cast(T.ArrayType(LEAK)))
+    return _passed(numbered(told, text, into), items, step).toDF(*told.columns)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
@@ -203,7 +205,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, text: s
 
         return rows.mapInArrow(run, rows.schema)
 
-    return _passed(docs, items, step)
+    return _passed(numbered(docs, text), items, step).toDF(*docs.columns)
 
 
 def found_items(docs: DataFrame, items: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.arrow import lists, slices
+from brindle.llm.columns import numbered
 from brindle.llm.components import components
 from brindle.llm.shingles import mix, shingle_sets
 from brindle.llm.work import Work
@@ -300,8 +301,9 @@ class _Join:
         kept = self.work.saved(first.select(*(F.col(f"v.{k[2:]}").alias(k) for k in keys)))
         own = self.docs.columns
         rows = _with_identity(self.docs, self.words).withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-        # rows of equal id and equal set are one
-        one = rows.join(kept, keys).groupBy(*keys).agg(F.min(F.struct(*own)).alias("__row"))
+        # rows of equal id and equal set are one; the row is picked by its text, as not
+        # every type has an order
+        one = rows.join(kept, keys).groupBy(*keys).agg(F.min_by(F.struct(*own), "text").alias("__row"))
         return one.select("__row.*")
 
     def derived_links(self, about: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -385,9 +387,11 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     """The row of least id of each component, columns unchanged; null ids come last.
 
     One row stays of each component, also where ids are repeated or null; rows
-    without words, which link with nothing, all stay."""
+    without words, which link with nothing, all stay.  Other columns may have any
+    name and type."""
     words_in = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return _Join(docs.filter(words_in), words, num, den).first_rows().union(docs.filter(~words_in))
+    rows = numbered(docs, "doc_id", "text")
+    return _Join(rows.filter(words_in), words, num, den).first_rows().union(rows.filter(~words_in)).toDF(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.arrow import slices
+from brindle.llm.columns import numbered
 
 #: Length of the vectors, seed of the letters, rows bundled at a time.
 DIM, SEED, BUNDLE = 1024, 7, 256
@@ -198,7 +199,8 @@ def label(docs: DataFrame, known: Profiles, share: float = SHARE) -> DataFrame:
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(names, pa.string()))
             yield batch.filter(pa.array(native))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs, "text", "lang")
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def held_out() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brindle.llm.queries import QUERIES
@@ -38,6 +39,20 @@ def test_stages_take_odd_rows(tables, odd):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, folder).filter("not exact").count() == 0
 
 
+def test_stages_take_any_names_and_types(tables, odd):
+    """Names that need quoting or meet an operator's own, types without an order."""
+    spark = odd.sparkSession
+    strange = odd.withColumns({c: F.lit("mine") for c in ("__h1", "__none", "__id", "a.b", "c0", "c5", "row", "with `tick`", "a b")}).withColumn("map", F.create_map(F.lit("k"), F.col("n_chars")))
+    folder = tables()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, strange, folder)
+        assert out.columns == strange.columns, name
+        assert [f.dataType for f in out.schema] == [f.dataType for f in strange.schema], name
+        rows = out.collect()
+        assert rows and all(r["a.b"] == r["__h1"] == r["__id"] == r["c5"] == r["with `tick`"] == "mine" and r["map"].keys() == {"k"} for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, strange, folder).count() == odd.count()
+
+
 def test_pipeline_on_odd_and_empty_tables(tables, odd):
     rows = corpus_pipeline.run(odd.sparkSession, tables()).collect()
     kept = [r.doc_id for r in rows]

@@ -1,8 +1,9 @@
 """Session and combatant mutations.
 
-Commands are rows, one for each session they touch; a mutation is a plan from the
-present snapshots to the next ones.  What breaks a rule comes back with its reason and
-changes nothing, so a command takes effect in all its tables or in none.
+Commands are rows; those of one session take effect one after the other, as a fold over
+the session's commands in their order.  A mutation is a plan from the present snapshots to
+the next ones.  What breaks a rule comes back with its reason and changes nothing, so a
+command takes effect in all its tables or in none.
 
 sessions: id, channel_id, state, turn_order (array), current_turn_index, combat_log
 (array).  combatants: id, session_id, initiative_roll, is_active_turn, ...
@@ -10,12 +11,14 @@ sessions: id, channel_id, state, turn_order (array), current_turn_index, combat_
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.operators import ranking
 from brindle.operators.mutations import rejected
 
 # Lines that a fight's log begins and ends with.
@@ -24,11 +27,12 @@ STARTED, ENDED, ENDED_BY = "--- Combat Started! ---", "--- Combat Ended ---", "-
 
 @dataclass
 class Step:
-    """The next snapshots, and the commands refused (with their reason)."""
+    """The next snapshots, the commands refused (with their reason) and those accepted."""
 
     sessions: DataFrame
     combatants: DataFrame
     refused: DataFrame
+    accepted: DataFrame | None = None
 
 
 def _split(commands: DataFrame, sessions: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -43,53 +47,160 @@ def _split(commands: DataFrame, sessions: DataFrame, rules: dict[str, Column]) -
     return met.filter(good), refused.drop("s")
 
 
-def _sessions(sessions: DataFrame, accepted: DataFrame, **changes: Column) -> DataFrame:
-    """Sessions with changes of the commands accepted; the changes read s and the command."""
-    new = accepted.select(F.col("session_id").alias("id"), F.struct(*(v.alias(k) for k, v in changes.items())).alias("__new"))
-    joined = sessions.join(new, "id", "left")
-    return joined.select(*(F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in sessions.columns))
+# The kinds of commands.
+KINDS = ("start", "end", "next", "turn_start", "turn_end", "pause", "resume")
+#: Commands of one session that are folded in one go; a session with more is folded block by
+#: block, each written, so that none is ever one row.
+BLOCK = 10_000
+_COMMAND = "struct<seq:bigint,kind:string,turn_order:array<string>,rolls:array<struct<key:string,value:int>>,reason:string>"
+_STATE = {"state": "string", "turn_order": "array<string>", "at": "int", "log": "array<string>", "rolls": "array<struct<key:string,value:int>>", "cleared": "boolean", "on": "array<string>", "off": "array<string>", "answers": "array<struct<seq:bigint,kind:string,reason:string>>"}
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _refusal(a: Column, c: Column) -> Column:
+    """Why command c breaks a rule in state a; null if it does not."""
+    return (
+        F.when(~F.coalesce(c.kind.isin(*KINDS), F.lit(False)), "invalid action")
+        .when((c.kind == "start") & ~F.coalesce(F.size(c.turn_order) >= 2, F.lit(False)), "fewer than two participants")
+        .when(c.kind.isin("start", "turn_start") & ~F.coalesce(a.state == "SETUP", F.lit(False)), "not in setup")
+        .when((c.kind == "turn_start") & (F.size(a.turn_order) == 0), "no combatants in turn order")
+        .when((c.kind == "end") & (a.state == "ENDED"), "already ended")
+        .when((c.kind == "pause") & ~F.coalesce(a.state == "RUNNING", F.lit(False)), "not running")
+        .when((c.kind == "resume") & ~F.coalesce(a.state == "PAUSED", F.lit(False)), "not paused")
+    )
+
+
+def _step(a: Column, c: Column) -> Column:
+    """The state after one command: changed if the command breaks no rule, and its answer
+    in any case."""
+    none = F.array().cast("array<string>")
+
+    def after(why: Column) -> Column:
+        did = lambda *kinds: why.isNull() & c.kind.isin(*kinds)
+        order = F.when(did("start"), c.turn_order).otherwise(a.turn_order)
+        n, was = F.size(a.turn_order), F.coalesce(a["at"], F.lit(0))
+        moves = did("next") & (n > 0)
+        at = F.when(did("start", "turn_start"), 0).when(moves, F.pmod(was + 1, n)).when(did("next"), was).otherwise(a["at"])
+        over, begins = did("end", "turn_end"), did("start", "turn_start")
+        left = F.when(moves, F.array(F.get(a.turn_order, was))).otherwise(none)
+        came = F.when(moves | begins, F.array(F.get(order, at))).otherwise(none)
+        line = F.when(F.coalesce(c.reason, F.lit("")) != "", F.format_string(ENDED_BY, c.reason)).otherwise(ENDED)
+        return F.struct(
+            F.when(begins | did("resume"), "RUNNING").when(over, "ENDED").when(did("pause"), "PAUSED").otherwise(a.state).alias("state"),
+            order.alias("turn_order"),
+            at.cast("int").alias("at"),
+            F.when(did("start"), F.array_append(a.log, F.lit(STARTED))).when(did("end"), F.array_append(a.log, line)).otherwise(a.log).alias("log"),
+            F.when(did("start"), F.coalesce(c.rolls, a.rolls)).otherwise(a.rolls).alias("rolls"),
+            (a.cleared | over).alias("cleared"),
+            F.when(over, none).otherwise(F.array_union(F.array_except(a.on, left), came)).alias("on"),
+            F.when(over, none).otherwise(F.array_except(F.array_union(a.off, left), came)).alias("off"),
+            F.array_append(a.answers, F.struct(c.seq.alias("seq"), c.kind.alias("kind"), why.alias("reason"))).alias("answers"),
+        )
+
+    return _let(_refusal(a, c), after)
+
+
+def _commands(commands: DataFrame) -> DataFrame:
+    """session_id and the command as c; columns that are not there are null, seq 0."""
+    given = lambda name, kind: (F.col(name) if name in commands.columns else F.lit(None)).cast(kind)
+    rolls = F.map_entries("initiatives") if "initiatives" in commands.columns else F.lit(None)
+    c = F.struct(
+        F.coalesce(given("seq", "long"), F.lit(0)).alias("seq"),
+        given("kind", "string").alias("kind"),
+        given("turn_order", "array<string>").alias("turn_order"),
+        F.array_sort(rolls.cast("array<struct<key:string,value:int>>")).alias("rolls"),
+        given("reason", "string").alias("reason"),
+    )
+    return commands.select("session_id", c.cast(_COMMAND).alias("c"))
+
+
+def run(sessions: DataFrame, combatants: DataFrame, commands: DataFrame, folder: str | None = None, block: int = BLOCK) -> Step:
+    """The sessions and combatants after all commands, each session's in the order of seq,
+    one after the other (P1, P2, P3, P10, C19).
+
+    commands: session_id, seq, kind (KINDS) and, where the kind needs them, turn_order,
+    initiatives (map of combatant to roll) and reason; commands of equal seq follow one
+    another in the order of their other fields.  A command that breaks a rule is
+    refused and changes nothing; the next one finds the state as it was.  refused has
+    session_id, seq, kind, reason, accepted the other commands.
+
+    start writes rolls and log, the first in order has the turn; next goes to the following
+    place, whoever is down, and without an order only makes a missing index 0; turn_start and
+    turn_end write no log; both ends take the turn from all members.  A session's commands
+    are folded in SQL; where one has more than ``block``, ``folder`` takes the state between
+    blocks."""
+    asked = _commands(commands)
+    zero = F.struct(
+        F.col("state").alias("state"), F.coalesce("turn_order", F.array().cast("array<string>")).alias("turn_order"), F.col("current_turn_index").cast("int").alias("at"),
+        F.coalesce("combat_log", F.array().cast("array<string>")).alias("log"), *(F.lit(v).cast(_STATE[k]).alias(k) for k, v in (("rolls", None), ("cleared", False))),
+        *(F.array().cast(_STATE[k]).alias(k) for k in ("on", "off", "answers")),
+    )
+    kind = f"struct<{','.join(f'{k}:{v}' for k, v in _STATE.items())}>"
+    held = sessions.select(F.col("id").alias("session_id"), zero.cast(kind).alias("a"))
+    known = asked.join(held.select("session_id"), "session_id", "left_semi")
+    most = known.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= block:
+        listed = known.groupBy("session_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+        done = held.join(listed, "session_id").select("session_id", F.aggregate("cs", F.col("a"), _step).alias("a"))
+        answers = done.select("session_id", F.explode("a.answers").alias("r"))
+    else:
+        done, answers = _in_blocks(held, known, folder, block)
+    told = done.select("session_id", "a")
+    final = sessions.join(told.withColumnRenamed("session_id", "id"), "id", "left")
+    changes = {"state": "state", "turn_order": "turn_order", "current_turn_index": "at", "combat_log": "log"}
+    after = final.select(*(F.when(F.col("a").isNotNull(), F.col(f"a.{changes[c]}")).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in sessions.columns))
+    met = combatants.join(told, "session_id", "left")
+    roll = F.element_at(F.map_from_entries("a.rolls"), F.col("id"))
+    active = F.when(F.array_contains("a.on", F.col("id")), True).when(F.array_contains("a.off", F.col("id")), False).when(F.col("a.cleared"), False).otherwise(F.col("is_active_turn"))
+    members = {"initiative_roll": F.coalesce(roll, "initiative_roll"), "is_active_turn": active}
+    members = met.select(*(members[c].alias(c) if c in members else F.col(c) for c in combatants.columns))
+    lost = asked.join(held.select("session_id"), "session_id", "left_anti")
+    why = F.when((F.col("c.kind") == "start") & ~F.coalesce(F.size("c.turn_order") >= 2, F.lit(False)), "fewer than two participants").otherwise("session not found")
+    told = answers.select("session_id", "r.*")
+    refused = told.filter("reason is not null").union(lost.select("session_id", "c.seq", "c.kind", why.alias("reason")))
+    return Step(after, members, refused, told.filter("reason is null").drop("reason"))
+
+
+def _in_blocks(held: DataFrame, known: DataFrame, folder: str | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """The last state of each session and all answers, folded block by block."""
+    if folder is None:
+        raise ValueError("sessions with very many commands need a folder for the state between blocks")
+    spark, at = held.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    flat = known.select("session_id", F.col("c.seq").alias("seq"), "c")
+    ranking.batches(flat, ["session_id"], "seq", block, ["c"]).write.partitionBy("batch").parquet(f"{at}/commands")
+    blocks = spark.read.parquet(f"{at}/commands")
+    numbers = sorted(r["batch"] for r in blocks.select("batch").distinct().collect())
+    now, parts = held, []
+    for k in numbers:
+        listed = blocks.filter(F.col("batch") == k).groupBy("session_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+        fresh = F.col("a").withField("answers", F.array().cast(_STATE["answers"]))
+        now.join(listed, "session_id", "left").select("session_id", F.when(F.col("cs").isNull(), fresh).otherwise(F.aggregate("cs", fresh, _step)).alias("a")).write.parquet(f"{at}/state={k}")
+        now = spark.read.parquet(f"{at}/state={k}")
+        parts.append(now.select("session_id", F.explode("a.answers").alias("r")))
+    answers = parts[0]
+    for part in parts[1:]:
+        answers = answers.union(part)
+    return now, answers
 
 
 def start(sessions: DataFrame, combatants: DataFrame, commands: DataFrame) -> Step:
-    """Starts fights (P1): commands are session_id, turn_order, initiatives (map of
-    combatant to roll).  Rolls are written, the first in order has the turn."""
-    ok, refused = _split(commands, sessions, {"fewer than two participants": F.size("turn_order") >= 2, "not in setup": F.col("s.state") == "SETUP"})
-    log = F.array_append(F.coalesce("s.combat_log", F.array().cast("array<string>")), F.lit(STARTED))
-    after = _sessions(sessions, ok, state=F.lit("RUNNING"), turn_order=F.col("turn_order"), current_turn_index=F.lit(0), combat_log=log)
-    told = combatants.join(ok.select("session_id", F.col("initiatives").alias("__rolls"), F.get("turn_order", F.lit(0)).alias("__first")), "session_id", "left")
-    told = told.withColumn("initiative_roll", F.coalesce(F.element_at("__rolls", F.col("id")), F.col("initiative_roll"))).withColumn("is_active_turn", F.coalesce(F.col("id") == F.col("__first"), F.lit(False)) | F.col("is_active_turn"))
-    return Step(after, told.select(*combatants.columns), refused)
+    """Starts fights (P1): commands are session_id, turn_order, initiatives, and seq where
+    a session has several."""
+    return run(sessions, combatants, commands.withColumn("kind", F.lit("start")))
 
 
 def end(sessions: DataFrame, combatants: DataFrame, commands: DataFrame) -> Step:
-    """Ends fights (P2): commands are session_id, reason (or null)."""
-    ok, refused = _split(commands, sessions, {"already ended": F.col("s.state") != "ENDED"})
-    line = F.when(F.coalesce("reason", F.lit("")) != "", F.format_string(ENDED_BY, F.col("reason"))).otherwise(ENDED)
-    after = _sessions(sessions, ok, state=F.lit("ENDED"), combat_log=F.array_append(F.coalesce("s.combat_log", F.array().cast("array<string>")), line))
-    told = combatants.join(ok.select("session_id", F.lit(False).alias("__on")), "session_id", "left")
-    return Step(after, told.withColumn("is_active_turn", F.coalesce("__on", "is_active_turn")).select(*combatants.columns), refused)
+    """Ends fights (P2): commands are session_id, reason (or null), and seq."""
+    return run(sessions, combatants, commands.withColumn("kind", F.lit("end")))
 
 
 def turn(sessions: DataFrame, combatants: DataFrame, commands: DataFrame) -> Step:
-    """Moves turns (P3): commands are session_id, action (next, start or end).
-
-    next goes to the following place in the order, whoever is down, and leaves the round
-    alone; without an order it changes nothing."""
-    action, n = F.col("action"), F.size(F.coalesce("s.turn_order", F.array().cast("array<string>")))
-    rules = {
-        "invalid action": action.isin("next", "start", "end"),
-        "not in setup": (action != "start") | (F.col("s.state") == "SETUP"),
-        "no combatants in turn order": (action != "start") | (n > 0),
-    }
-    ok, refused = _split(commands, sessions, rules)
-    at = F.coalesce("s.current_turn_index", F.lit(0))
-    index = F.when((action == "next") & (n > 0), F.pmod(at + 1, n)).when(action == "start", 0).otherwise(F.col("s.current_turn_index"))
-    state = F.when(action == "start", "RUNNING").when(action == "end", "ENDED").otherwise(F.col("s.state"))
-    after = _sessions(sessions, ok, state=state, current_turn_index=index)
-    moves = ok.select("session_id", action.alias("__action"), F.when(action == "next", F.get("s.turn_order", at)).alias("__was"), F.when(action.isin("next", "start") & (n > 0), F.get("s.turn_order", index)).alias("__is"))
-    told = combatants.join(moves, "session_id", "left")
-    active = F.when(F.col("__action") == "end", False).when(F.col("id") == F.col("__is"), True).when(F.col("id") == F.col("__was"), False).otherwise(F.col("is_active_turn"))
-    return Step(after, told.withColumn("is_active_turn", active).select(*combatants.columns), refused)
+    """Moves turns (P3): commands are session_id, action (next, start or end), and seq."""
+    return run(sessions, combatants, commands.withColumn("kind", F.when(F.col("action") == "next", "next").otherwise(F.concat(F.lit("turn_"), F.col("action")))))
 
 
 def join_fight(sessions: DataFrame, combatants: DataFrame, commands: DataFrame) -> Step:
@@ -110,10 +221,9 @@ def join_fight(sessions: DataFrame, combatants: DataFrame, commands: DataFrame)
     return Step(sessions, combatants.unionByName(fresh), refused.drop("__first", "__there"))
 
 
-def set_state(sessions: DataFrame, commands: DataFrame, from_state: str, to_state: str) -> tuple[DataFrame, DataFrame]:
-    """Pauses or resumes sessions (P10): (next snapshot, commands refused)."""
-    ok, refused = _split(commands, sessions, {f"not {from_state.lower()}": F.col("s.state") == from_state})
-    return _sessions(sessions, ok, state=F.lit(to_state)), refused
+def set_state(sessions: DataFrame, combatants: DataFrame, commands: DataFrame, kind: str) -> Step:
+    """Pauses or resumes sessions (P10): kind is pause or resume."""
+    return run(sessions, combatants, commands.withColumn("kind", F.lit(kind)))
 
 
 def recovered(sessions: DataFrame, combatants: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from brindle.plans.search_queries import first_vector
 from brindle.sources import schemas
 
 # A session for each order, a member for each of its lines.
-SESSIONS = "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'ch' || o_orderkey END AS channel_id, CASE o_orderkey % 5 WHEN 0 THEN 'SETUP' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'PAUSED' ELSE 'ENDED' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS idx FROM orders"
+SESSIONS = "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'ch' || o_orderkey END AS channel_id, CASE o_orderkey % 5 WHEN 0 THEN 'SETUP' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'PAUSED' ELSE 'ENDED' END AS state, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS idx FROM orders"
 MEMBERS = "SELECT l_orderkey::VARCHAR AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_linenumber, l_returnflag, l_quantity FROM lineitem"
 
 
@@ -32,6 +32,11 @@ def _tables(spark, sf_dir):
     return held, members
 
 
+def _twice(df):
+    """Each command two times, one after the other."""
+    return df.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+
+
 def _log(df, *more):
     return df.select("id", "state", F.col("current_turn_index").cast("long").alias("turn"), F.array_join("combat_log", "|").alias("log"), *more)
 
@@ -41,43 +46,89 @@ N = "(SELECT session_id, max(k) AS n FROM (" + MEMBERS + ") GROUP BY 1)"
 
 @query("p1_start_combat", f"SELECT s.id, CASE WHEN s.state = 'SETUP' AND n >= 2 THEN 'RUNNING' ELSE s.state END AS state, (CASE WHEN s.state = 'SETUP' AND n >= 2 THEN 0 ELSE idx END)::BIGINT AS turn, 'begun' || CASE WHEN s.state = 'SETUP' AND n >= 2 THEN '|--- Combat Started! ---' ELSE '' END AS log FROM ({SESSIONS}) s LEFT JOIN {N} n ON n.session_id = s.id")
 def p1_start_combat(spark, sf_dir):
-    """Every session with its own order; those not in setup or with one member are refused."""
+    """Every session twice with its own order; those not in setup, as the second time, or with
+    one member are refused."""
     held, members = _tables(spark, sf_dir)
     asked = held.select(F.col("id").alias("session_id"), "turn_order", F.map_from_arrays("turn_order", F.transform("turn_order", lambda x, i: i + 5)).alias("initiatives"))
-    return _log(sessions.start(held, members, asked).sessions)
+    return _log(sessions.start(held, members, _twice(asked)).sessions)
 
 
 @query("p1_start_members", f"SELECT m.session_id || '.' || k AS id, CASE WHEN s.state = 'SETUP' AND n >= 2 THEN k + 4 ELSE 0 END AS initiative_roll, k = 1 AS is_active_turn FROM ({MEMBERS}) m JOIN {N} n USING (session_id) JOIN ({SESSIONS}) s ON s.id = m.session_id")
 def p1_start_members(spark, sf_dir):
     held, members = _tables(spark, sf_dir)
     asked = held.select(F.col("id").alias("session_id"), "turn_order", F.map_from_arrays("turn_order", F.transform("turn_order", lambda x, i: i + 5)).alias("initiatives"))
-    return sessions.start(held, members, asked).combatants.select("id", F.col("initiative_roll").cast("long").alias("initiative_roll"), "is_active_turn")
+    return sessions.start(held, members, _twice(asked)).combatants.select("id", F.col("initiative_roll").cast("long").alias("initiative_roll"), "is_active_turn")
 
 
 @query("p2_end_combat", f"SELECT id, 'ENDED' AS state, idx::BIGINT AS turn, 'begun' || CASE WHEN state = 'ENDED' THEN '' WHEN id::BIGINT % 4 = 0 THEN '|--- Combat Ended: fled ---' ELSE '|--- Combat Ended ---' END AS log FROM ({SESSIONS})")
 def p2_end_combat(spark, sf_dir):
     held, members = _tables(spark, sf_dir)
     asked = held.select(F.col("id").alias("session_id"), F.when(F.col("id").cast("long") % 4 == 0, "fled").alias("reason"))
-    return _log(sessions.end(held, members, asked).sessions)
+    return _log(sessions.end(held, members, _twice(asked)).sessions)
 
 
-@query("p2_refused", f"SELECT id AS session_id, 'already ended' AS reason FROM ({SESSIONS}) WHERE state = 'ENDED' UNION ALL SELECT 'nowhere', 'session not found'")
+@query("p2_refused", f"SELECT id AS session_id, 2 AS seq, 'already ended' AS reason FROM ({SESSIONS}) UNION ALL SELECT id, 1, 'already ended' FROM ({SESSIONS}) WHERE state = 'ENDED' UNION ALL SELECT 'nowhere', unnest([1, 2]), 'session not found'")
 def p2_refused(spark, sf_dir):
+    """Two ends for each session: the second comes too late."""
     held, members = _tables(spark, sf_dir)
-    asked = held.select(F.col("id").alias("session_id")).union(spark.createDataFrame([("nowhere",)], "session_id string")).withColumn("reason", F.lit(None).cast("string"))
-    return sessions.end(held, members, asked.withColumnRenamed("reason", "why").withColumn("reason", F.col("why"))).refused.select("session_id", "reason")
+    asked = held.select(F.col("id").alias("session_id")).union(spark.createDataFrame([("nowhere",)], "session_id string"))
+    return sessions.end(held, members, _twice(asked)).refused.select("session_id", F.col("seq").cast("int").alias("seq"), "reason")
+
+
+AT = "coalesce(idx, 0)"
 
 
-@query("p3_next_turn", f"SELECT s.id, s.state, (CASE WHEN n IS NULL THEN idx ELSE (idx + 1) % n END)::BIGINT AS turn, 'begun' AS log FROM ({SESSIONS}) s LEFT JOIN {N} n ON n.session_id = s.id")
+@query("p3_next_turn", f"SELECT s.id, s.state, (CASE WHEN n IS NULL THEN {AT} ELSE (({AT} + 1) % n + 1) % n END)::BIGINT AS turn, 'begun' AS log FROM ({SESSIONS}) s LEFT JOIN {N} n ON n.session_id = s.id")
 def p3_next_turn(spark, sf_dir):
+    """Two places on; a missing index counts as the first place."""
     held, members = _tables(spark, sf_dir)
-    return _log(sessions.turn(held, members, held.select(F.col("id").alias("session_id"), F.lit("next").alias("action"))).sessions)
+    return _log(sessions.turn(held, members, _twice(held.select(F.col("id").alias("session_id"), F.lit("next").alias("action")))).sessions)
 
 
-@query("p3_turn_members", f"SELECT m.session_id || '.' || k AS id, CASE WHEN k = (idx + 1) % n + 1 THEN true WHEN k = idx + 1 THEN false ELSE k = 1 END AS is_active_turn FROM ({MEMBERS}) m JOIN {N} n USING (session_id) JOIN ({SESSIONS}) s ON s.id = m.session_id")
+@query("p3_turn_members", f"SELECT m.session_id || '.' || k AS id, CASE WHEN k = (({AT} + 1) % n + 1) % n + 1 THEN true WHEN k = {AT} + 1 OR k = ({AT} + 1) % n + 1 THEN false ELSE k = 1 END AS is_active_turn FROM ({MEMBERS}) m JOIN {N} n USING (session_id) JOIN ({SESSIONS}) s ON s.id = m.session_id")
 def p3_turn_members(spark, sf_dir):
     held, members = _tables(spark, sf_dir)
-    return sessions.turn(held, members, held.select(F.col("id").alias("session_id"), F.lit("next").alias("action"))).combatants.select("id", "is_active_turn")
+    return sessions.turn(held, members, _twice(held.select(F.col("id").alias("session_id"), F.lit("next").alias("action")))).combatants.select("id", "is_active_turn")
+
+
+# A command for each line of an order, in the order of the lines; and their fold.
+ORDERED = f"""WITH RECURSIVE c AS (SELECT session_id, k, ['start', 'next', 'pause', 'resume', 'next', 'end', 'turn_start', 'dance'][(session_id::BIGINT * 5 + l_linenumber * 3 + k) % 8 + 1] AS kind, k % 3 = 0 AS small, count(*) OVER (PARTITION BY session_id) AS n FROM ({MEMBERS})),
+ r AS (SELECT s.id, 0::BIGINT AS k, s.state, s.idx, 'begun' AS log, false AS rolled, [1::BIGINT] AS act, '' AS refused FROM ({SESSIONS}) s WHERE s.id IN (SELECT session_id FROM c)
+  UNION ALL SELECT id, q.k + 1,
+   CASE WHEN why IS NOT NULL THEN state WHEN kind IN ('start', 'turn_start', 'resume') THEN 'RUNNING' WHEN kind = 'end' THEN 'ENDED' WHEN kind = 'pause' THEN 'PAUSED' ELSE state END,
+   CASE WHEN why IS NOT NULL THEN idx WHEN kind IN ('start', 'turn_start') THEN 0 WHEN kind = 'next' THEN (was + 1) % n ELSE idx END,
+   log || CASE WHEN why IS NOT NULL THEN '' WHEN kind = 'start' THEN '|--- Combat Started! ---' WHEN kind = 'end' THEN '|--- Combat Ended ---' ELSE '' END,
+   rolled OR (why IS NULL AND kind = 'start'),
+   CASE WHEN why IS NOT NULL THEN act WHEN kind = 'end' THEN [] WHEN kind IN ('start', 'turn_start') THEN list_distinct(list_append(act, 1)) WHEN kind = 'next' THEN list_distinct(list_append(list_filter(act, lambda x: x <> was + 1), (was + 1) % n + 1)) ELSE act END,
+   refused || CASE WHEN why IS NULL THEN '' ELSE '|' || (q.k + 1) || ' ' || why END
+  FROM (SELECT r.*, c.kind, c.n, {AT} AS was, CASE WHEN kind = 'dance' THEN 'invalid action' WHEN kind = 'start' AND (small OR n < 2) THEN 'fewer than two participants' WHEN kind IN ('start', 'turn_start') AND state <> 'SETUP' THEN 'not in setup' WHEN kind = 'end' AND state = 'ENDED' THEN 'already ended' WHEN kind = 'pause' AND state <> 'RUNNING' THEN 'not running' WHEN kind = 'resume' AND state <> 'PAUSED' THEN 'not paused' END AS why FROM r JOIN c ON c.session_id = r.id AND c.k = r.k + 1) q),
+ o AS (SELECT * FROM r JOIN {N} n ON n.session_id = r.id AND n.n = r.k)
+"""
+
+
+def _ordered(spark, sf_dir):
+    held, members = _tables(spark, sf_dir)
+    lines = ranking.parts(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    kinds = F.array(*map(F.lit, ("start", "next", "pause", "resume", "next", "end", "turn_start", "dance")))
+    asked = lines.select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("part").alias("seq"), F.element_at(kinds, ((F.col("l_orderkey") * 5 + F.col("l_linenumber") * 3 + F.col("part")) % 8 + 1).cast("int")).alias("kind"))
+    orders = held.select(F.col("id").alias("session_id"), F.col("turn_order").alias("o"))
+    asked = asked.join(orders, "session_id").select("session_id", "seq", "kind", F.when(F.col("seq") % 3 == 0, F.slice("o", 1, 1)).otherwise(F.col("o")).alias("turn_order"), F.map_from_arrays("o", F.transform("o", lambda x, i: i + 5)).alias("initiatives"))
+    return held, sessions.run(held, members, asked)
+
+
+@query("p10_ordered_commands", ORDERED + f"SELECT s.id, coalesce(o.state, s.state) AS state, coalesce(o.idx, s.idx)::BIGINT AS turn, coalesce(o.log, 'begun') AS log, coalesce(refused, '') AS refused FROM ({SESSIONS}) s LEFT JOIN o ON o.id = s.id")
+def p10_ordered_commands(spark, sf_dir):
+    """Up to seven commands of all kinds for each session, one after the other."""
+    _, step = _ordered(spark, sf_dir)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda r: F.concat(F.lit("|"), r.seq.cast("string"), F.lit(" "), r.reason))
+    refused = step.refused.groupBy(F.col("session_id").alias("id")).agg(F.array_join(lines, "").alias("refused"))
+    return _log(step.sessions).join(refused, "id", "left").withColumn("refused", F.coalesce("refused", F.lit("")))
+
+
+@query("p10_ordered_members", ORDERED + f"SELECT m.session_id || '.' || m.k AS id, CASE WHEN rolled THEN m.k + 4 ELSE 0 END AS initiative_roll, list_contains(act, m.k) AS is_active_turn FROM ({MEMBERS}) m JOIN o ON o.id = m.session_id")
+def p10_ordered_members(spark, sf_dir):
+    _, step = _ordered(spark, sf_dir)
+    return step.combatants.select("id", F.col("initiative_roll").cast("long").alias("initiative_roll"), "is_active_turn")
 
 
 @query("p5_join_fight", f"SELECT count(*) AS n FROM ({MEMBERS}) UNION ALL SELECT count(*) FROM ({SESSIONS}) s WHERE state <> 'ENDED' AND NOT EXISTS (SELECT 1 FROM ({MEMBERS}) m WHERE m.session_id = s.id AND l_returnflag = 'R' AND k = 1)")
@@ -92,8 +143,8 @@ def p5_join_fight(spark, sf_dir):
 
 @query("p10_pause_resume", f"SELECT id, CASE state WHEN 'RUNNING' THEN 'PAUSED' ELSE state END AS state FROM ({SESSIONS})")
 def p10_pause_resume(spark, sf_dir):
-    held, _ = _tables(spark, sf_dir)
-    return sessions.set_state(held, held.select(F.col("id").alias("session_id")), "RUNNING", "PAUSED")[0].select("id", "state")
+    held, members = _tables(spark, sf_dir)
+    return sessions.set_state(held, members, _twice(held.select(F.col("id").alias("session_id"))), "pause").sessions.select("id", "state")
 
 
 @query("p10_recovered", f"SELECT s.id, coalesce(n, 0) AS members FROM ({SESSIONS}) s LEFT JOIN {N} n ON n.session_id = s.id WHERE state IN ('RUNNING', 'PAUSED') AND channel_id <> ''")

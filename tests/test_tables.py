@@ -259,6 +259,84 @@ def test_sessions_refuse_and_change_nothing(spark):
     assert rows(over.sessions.select("id", "state")) == [("r", "ENDED"), ("s", "RUNNING")] and rows(over.combatants.select("id", "is_active_turn")) == [("a", True), ("b", False), ("c", False)]
 
 
+def told(held, members, commands):
+    """Sessions, members and answers after each session's commands, one by one, in plain Python."""
+    held, members, answers = {k: dict(v) for k, v in held.items()}, {k: dict(v) for k, v in members.items()}, []
+    for sid, seq, kind, order, rolls, reason in sorted(commands, key=lambda c: (c[0], c[1])):
+        s, why = held.get(sid), None
+        if kind == "start" and len(order or []) < 2:
+            why = "fewer than two participants"
+        elif s is None:
+            why = "session not found"
+        elif kind not in sessions.KINDS:
+            why = "invalid action"
+        elif kind in ("start", "turn_start") and s["state"] != "SETUP":
+            why = "not in setup"
+        elif kind == "turn_start" and not s["order"]:
+            why = "no combatants in turn order"
+        elif kind == "end" and s["state"] == "ENDED":
+            why = "already ended"
+        elif kind == "pause" and s["state"] != "RUNNING" or kind == "resume" and s["state"] != "PAUSED":
+            why = {"pause": "not running", "resume": "not paused"}[kind]
+        answers.append((sid, seq, kind, why))
+        if why:
+            continue
+        own = [m for m in members.values() if m["session"] == sid]
+        if kind == "start":
+            s |= {"state": "RUNNING", "order": order, "at": 0, "log": s["log"] + ["--- Combat Started! ---"]}
+            for m in own:
+                m["roll"] = (rolls or {}).get(m["id"], m["roll"])
+                m["active"] |= m["id"] == order[0]
+        elif kind == "next":
+            s["at"] = s["at"] or 0
+            if s["order"]:
+                for m in own:
+                    if s["at"] < len(s["order"]) and m["id"] == s["order"][s["at"]]:
+                        m["active"] = False
+                s["at"] = (s["at"] + 1) % len(s["order"])
+                for m in own:
+                    m["active"] |= m["id"] == s["order"][s["at"]]
+        elif kind == "turn_start":
+            s |= {"state": "RUNNING", "at": 0}
+            for m in own:
+                m["active"] |= m["id"] == s["order"][0]
+        elif kind in ("end", "turn_end"):
+            s["state"] = "ENDED"
+            for m in own:
+                m["active"] = False
+            if kind == "end":
+                s["log"] = s["log"] + [f"--- Combat Ended: {reason} ---" if reason else "--- Combat Ended ---"]
+        else:
+            s["state"] = {"pause": "PAUSED", "resume": "RUNNING"}[kind]
+    return held, members, answers
+
+
+@pytest.mark.parametrize("block", [10_000, 4])
+def test_commands_follow_one_another(spark, tmp_path, block):
+    """A fold over many commands of each session equals running them one by one, also when
+    a session's commands are folded in blocks."""
+    rng = random.Random(block)
+    held, members, commands = {}, {}, []
+    for i in range(40):
+        own = [f"{i}.{k}" for k in range(rng.randint(0, 4))]
+        held[str(i)] = {"state": rng.choice(["SETUP", "SETUP", "RUNNING", "PAUSED", "ENDED"]), "order": own[: rng.randint(0, 4)], "at": rng.choice([None, 0, 1, 3]), "log": []}
+        for m in own:
+            members[m] = {"id": m, "session": str(i), "roll": 0, "active": rng.random() < 0.3}
+        for seq in range(rng.randint(0, 15)):
+            kind = rng.choice([*sessions.KINDS, "next", "start", "dance", None])
+            commands.append((str(i) if rng.random() < 0.97 else "nowhere", seq + 100 * i, kind, rng.choice([own, own[::-1], None]), rng.choice([{m: rng.randint(1, 20) for m in own}, {}, None]), rng.choice([None, "", "fled"])))
+    s = spark.createDataFrame([(k, v["state"], v["order"], v["at"], v["log"]) for k, v in held.items()], "id string, state string, turn_order array<string>, current_turn_index int, combat_log array<string>")
+    m = spark.createDataFrame([(v["id"], v["session"], v["roll"], v["active"]) for v in members.values()], "id string, session_id string, initiative_roll int, is_active_turn boolean")
+    c = spark.createDataFrame(commands, "session_id string, seq long, kind string, turn_order array<string>, initiatives map<string,int>, reason string").repartition(3)
+    step = sessions.run(s, m, c, str(tmp_path), block)
+    want = told(held, members, commands)
+    assert {r.id: (r.state, r.turn_order, r.current_turn_index, r.combat_log) for r in step.sessions.collect()} == {k: (v["state"], v["order"], v["at"], v["log"]) for k, v in want[0].items()}
+    assert {r.id: (r.initiative_roll, r.is_active_turn) for r in step.combatants.collect()} == {k: (v["roll"], v["active"]) for k, v in want[1].items()}
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, step.refused.collect())) == sorted(key(a) for a in want[2] if a[3])
+    assert sorted(map(key, step.accepted.collect())) == sorted(key(a[:3]) for a in want[2] if not a[3])
+
+
 def test_sources(spark, tmp_path):
     schema = T.StructType([T.StructField("url", T.StringType())])
     assert readers.json_array(spark, str(tmp_path / "none.json"), schema).count() == 0

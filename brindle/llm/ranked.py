@@ -14,8 +14,10 @@ How it goes:
 3.  Items are searched in blocks of at most ITEM_CHARS characters.  Blocks of postings
     of asked terms meet by segment.  For each item, shallow moves over the blocks' ends
     give stretches of documents in which every list stays in one block, and the sum of
-    the blocks' greatest impacts; a stretch below the threshold, the K-th best score so
-    far, is skipped and its blocks stay compressed.  Others are opened once a segment.
+    the blocks' greatest impacts.  Stretches below the threshold, the K-th best score so
+    far, are skipped and their blocks stay compressed.  In others the lists of greatest
+    impact are opened first, and of the rest only the blocks of documents that can still
+    reach the threshold.  A block is opened once a segment.
 4.  A task keeps the K best of each item over all its segments, so that what follows the
     segments is K rows an item and task, ranked by a window.
 
@@ -45,6 +47,8 @@ from brindle.llm.work import Work
 #: Postings of a block and (about) of a segment; results of an item; characters of the
 #: items that are searched together and sent to the tasks.
 BLOCK, SEGMENT, K, ITEM_CHARS = 128, 2_000_000, 50, 500_000
+#: Documents scored together at most.
+RUN = 4096
 _INDEX = "segment string, term string, first int, last int, n int, total long, impacts binary, docs binary, tfs binary"
 _NAMES = [f.split()[0] for f in _INDEX.split(", ")]
 _TERM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -142,22 +146,54 @@ def build_index(docs: DataFrame, work: Work) -> DataFrame:
 
 
 class _List:
-    """One term's blocks in a segment; a block is opened when a stretch of it may matter."""
+    """One term's blocks in a segment; a block is opened when a document of it may matter."""
 
     def __init__(self, rows: list[tuple], weight: int, segment: _Segment):
-        self.first, self.last = (np.array([r[i] for r in rows]) for i in (0, 1))
+        self.first, self.last, sizes = (np.array([r[i] for r in rows]) for i in range(3))
         self.rows, self.weight, self.segment = rows, weight, segment
-        sizes = [unpacked(r[2]).reshape(-1, 2) for r in rows]
-        pairs = np.concatenate(sizes)
+        self.edges = np.concatenate(([0], np.cumsum(sizes)))
+        # a closed block holds its last document only, which keeps the list in order
+        self.docs, self.gain = np.repeat(self.last, sizes), np.zeros(int(sizes.sum()), dtype=np.int64)
+        self.opened = np.zeros(len(rows), dtype=bool)
+        impacts = [unpacked(r[3]).reshape(-1, 2) for r in rows]
+        pairs = np.concatenate(impacts)
         best = impact(pairs[:, 0], pairs[:, 1], segment.n, segment.total)
-        self.best = weight * np.maximum.reduceat(best, np.cumsum([0, *map(len, sizes[:-1])]))
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.best = weight * np.maximum.reduceat(best, np.cumsum([0, *map(len, impacts[:-1])]))
 
-    def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self.open:
-            docs, tf = np.cumsum(unpacked(self.rows[k][3])), unpacked(self.rows[k][4])
-            self.open[k] = docs, self.weight * impact(tf, self.segment.length[docs], self.segment.n, self.segment.total)
-        return self.open[k]
+    def open(self, blocks: np.ndarray) -> None:
+        """Unpacks the blocks that are still closed."""
+        closed = blocks[~self.opened[blocks]]
+        if not len(closed):
+            return
+        self.opened[closed] = True
+        steps, tf = (unpacked(b"".join(self.rows[k][i] for k in closed.tolist())) for i in (4, 5))
+        sizes = self.edges[closed + 1] - self.edges[closed]
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        sums = np.cumsum(steps)
+        docs = sums - np.repeat(sums[starts] - steps[starts], sizes)
+        at = np.arange(len(docs)) + np.repeat(self.edges[closed] - starts, sizes)
+        self.docs[at] = docs
+        self.gain[at] = self.weight * impact(tf, self.segment.length[docs], self.segment.n, self.segment.total)
+
+    def most(self, a: int, b: int) -> int:
+        """The greatest gain of documents a to b that the blocks allow."""
+        low, high = np.searchsorted(self.last, a), np.searchsorted(self.first, b, side="right")
+        return int(self.best[low:high].max()) if low < high else 0
+
+    def add_to(self, score: np.ndarray, a: int) -> None:
+        """Adds the gains of all documents from a on to their scores."""
+        b = a + len(score)
+        self.open(np.arange(np.searchsorted(self.last, a), np.searchsorted(self.first, b)))
+        low, high = np.searchsorted(self.docs, (a, b))
+        score[self.docs[low:high] - a] += self.gain[low:high]
+
+    def gains(self, docs: np.ndarray) -> np.ndarray:
+        """The gain of each of some documents; opens the blocks alone that may hold one."""
+        k = np.minimum(np.searchsorted(self.last, docs), len(self.last) - 1)
+        inside = (self.first[k] <= docs) & (docs <= self.last[k])
+        self.open(np.unique(k[inside]))
+        at = np.minimum(np.searchsorted(self.docs, docs), len(self.docs) - 1)
+        return np.where(inside & (self.docs[at] == docs), self.gain[at], 0)
 
 
 class _Segment:
@@ -177,30 +213,47 @@ class _Segment:
         ends = np.unique(np.concatenate([x.last for x in lists]))
         begins = np.concatenate(([0], ends[:-1] + 1))
         # shallow moves: the block of each list in each stretch, by the blocks' ends alone
-        bound, blocks = np.zeros(len(ends), dtype=np.int64), []
+        bound = np.zeros(len(ends), dtype=np.int64)
         for x in lists:
             k = np.searchsorted(x.last, begins)
-            inside = (k < len(x.last)) & (x.first[np.minimum(k, len(x.last) - 1)] <= ends)
-            bound += np.where(inside, x.best[np.minimum(k, len(x.last) - 1)], 0)
-            blocks.append(np.where(inside, k, -1))
-        for i in np.flatnonzero((bound > 0) & (bound >= best.least)).tolist():
-            if bound[i] < best.least:
-                continue
-            a, b = int(begins[i]), int(ends[i])
-            score, rest = np.zeros(b - a + 1, dtype=np.int64), int(bound[i])
-            # the greatest impacts first: the others' blocks stay closed if nothing can rise
-            here = sorted(((int(x.best[k[i]]), j, int(k[i])) for j, (x, k) in enumerate(zip(lists, blocks, strict=True)) if k[i] >= 0), reverse=True)
-            for most, j, k in here:
-                if score.max() + rest < best.least:
-                    break
-                docs, gain = lists[j].block(k)
-                low, high = np.searchsorted(docs, (a, b + 1))
-                score[docs[low:high] - a] += gain[low:high]
-                rest -= most
-            # what was left out could not lift any to the threshold
-            found = np.flatnonzero(score >= max(best.least, 1))
-            if len(found):
-                best.add(score[found], self.ids[found + a], found + a < self.nulls)
+            here = np.minimum(k, len(x.last) - 1)
+            bound += np.where((k < len(x.last)) & (x.first[here] <= ends), x.best[here], 0)
+        i = 0
+        while True:
+            alive = i + np.flatnonzero(bound[i:] >= best.least)
+            if not len(alive):
+                return
+            # stretches that may matter, one soon after the other, are scored together
+            far = np.flatnonzero((begins[alive[1:]] > ends[alive[:-1]] + BLOCK) | (ends[alive[1:]] >= begins[alive[0]] + RUN))
+            j = int(alive[far[0]] if len(far) else alive[-1])
+            self.score(lists, int(begins[alive[0]]), int(ends[j]), best)
+            i = j + 1
+
+    def score(self, lists: list[_List], a: int, b: int, best: _Best) -> None:
+        """Scores documents a to b, the lists of greatest impact first.  As soon as few
+        documents can still reach the threshold, they alone are followed."""
+        most = sorted(((x.most(a, b), j) for j, x in enumerate(lists)), reverse=True)
+        score, rest, some = np.zeros(b - a + 1, dtype=np.int64), sum(m for m, _ in most), None
+        for m, j in most:
+            if not m:
+                break
+            rest -= m
+            if some is None and best.least > 1:
+                can = np.flatnonzero(score + (rest + m) >= best.least)
+                if len(can) * 4 < len(score):
+                    some, score = can + a, score[can]
+            if some is None:
+                lists[j].add_to(score, a)
+            else:
+                score = score + lists[j].gains(some)
+                keep = score + rest >= best.least
+                some, score = some[keep], score[keep]
+                if not len(some):
+                    return
+        found = np.flatnonzero(score >= best.least)
+        if len(found):
+            docs = found + a if some is None else some[found]
+            best.add(score[found], self.ids[docs], docs < self.nulls)
 
 
 class _Best:
@@ -245,7 +298,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
         lists = index.join(asked, "term", "left_semi")
         weights = {r["term"]: weight(n, r["df"]) for r in lists.groupBy("term").agg(F.sum("n").alias("df")).collect()}
         run = _searcher([own for _, own in block], weights, n, total, k)
-        dealt = lists.unionByName(heads).select("segment", "term", "first", "last", "impacts", "docs", "tfs").repartition(width, "segment").sortWithinPartitions("segment", F.asc_nulls_first("term"), "first")
+        dealt = lists.unionByName(heads).select("segment", "term", "first", "last", "n", "impacts", "docs", "tfs").repartition(width, "segment").sortWithinPartitions("segment", F.asc_nulls_first("term"), "first")
         found = dealt.mapInArrow(run, "item int, doc_id long, score long")
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))).filter(F.col("rank") <= k)
         names = F.broadcast(spark.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(block)], f"item int, item_id {items.schema['item_id'].dataType.simpleString()}"))
@@ -269,13 +322,13 @@ def _searcher(items: list[list[str]], weights: dict[str, int], n: int, total: in
 
         name, head, blocks = None, None, {}
         for batch in batches:
-            for segment, term, first, last, impacts, docs, tfs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for segment, term, first, last, n_docs, impacts, docs, tfs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if segment != name:
                     if blocks:
                         done(head, blocks)
                     name, head, blocks = segment, (first, docs, tfs), {}
                 else:
-                    blocks.setdefault(term, []).append((first, last, impacts, docs, tfs))
+                    blocks.setdefault(term, []).append((first, last, n_docs, impacts, docs, tfs))
         if blocks:
             done(head, blocks)
         for i, own in enumerate(best):

@@ -9,7 +9,7 @@ How it goes:
 1.  The word pipeline: texts are dealt by document, words exploded and aggregated by
     (document, word), then by document, for totals and distinct words.  Both
     aggregations keep the partitioning, so the texts shuffle once and words never do.
-    A null word beside each text counts the rows of a document.
+    The first piece of each text counts the rows of a document.
 2.  The other flags come from a scan of their own: characters, the least id of each
     text (grouped by 128 bits of hash, combined before the shuffle), labels.
 3.  All meet by outer joins on the document; 32 conditional counts for all documents,
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 #: and greatest share of capitals, in percent; characters that no text may hold.
 FILTERS, WORDS, DISTINCT, CAPITALS, MARKS = "ABCDE", 100, 80, 10, "[#$%&*|]"
 MASKS = 1 << len(FILTERS)
-_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _KINDS = ("n", "good", "toxic")
 
 
@@ -49,16 +48,18 @@ def _documents(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2, words, distinct_words of every document."""
     dealt = docs.select("doc_id", "h1", "h2", "text").repartition("doc_id", "h1", "h2")
-    words = F.concat(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.array(F.lit(None).cast("string")))
-    by_word = dealt.select("doc_id", "h1", "h2", F.explode(words).alias("word")).groupBy("doc_id", "h1", "h2", "word").agg(F.count("*").alias("k"))
-    rows, total = F.sum(F.when(F.col("word").isNull(), F.col("k"))), F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("k"))), F.lit(0))
-    return by_word.groupBy("doc_id", "h1", "h2").agg((total / rows).cast("long").alias("words"), F.count("word").alias("distinct_words"))
+    # a text has a first piece, an empty one if nothing else
+    words = dealt.select("doc_id", "h1", "h2", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("pos", "word"))
+    by_word = words.groupBy("doc_id", "h1", "h2", "word").agg(F.count("*").alias("k"), F.count_if(F.col("pos") == 0).alias("rows"))
+    real = F.col("word") != ""
+    total = F.sum(F.when(real, F.col("k")).otherwise(0))
+    return by_word.groupBy("doc_id", "h1", "h2").agg((total / F.sum("rows")).cast("long").alias("words"), F.count_if(real).alias("distinct_words"))
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask (bit i: filter i fails), good, toxic of every row."""
     known = _documents(docs)
-    capitals = F.char_length("text") - F.char_length(F.translate("text", _LETTERS, ""))
+    capitals = F.regexp_count("text", F.lit("[A-Z]"))
     rows = known.select("doc_id", "part", "h1", "h2", (100 * capitals > CAPITALS * F.char_length("text")).alias("fails_c"), F.col("text").rlike(MARKS).alias("fails_d"))
     counts = word_counts(known).withColumnsRenamed({"doc_id": "counted", "h1": "w1", "h2": "w2"})
     own = rows["doc_id"].eqNullSafe(F.col("counted")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import search
-from brindle.plans.base import query, table
+from brindle.operators import search, vector_index
+from brindle.plans.base import query, shared_folder, table
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -132,3 +132,28 @@ def h4_two_way_diff(spark, sf_dir):
 def d10_cross_seed(spark, sf_dir):
     """Every new owner with every entry of a fixed catalogue, as seeding needs."""
     return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(table(spark, sf_dir, "nation").select("n_nationkey")).withColumn("ftw", F.lit(0))
+
+
+def _indexed(spark, sf_dir):
+    """(found, exact): the ten nearest by the index and by comparing all, of every vector
+    whose number 100 divides."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    quantiser = vector_index.fit(e)
+    index = vector_index.build(e, quantiser, f"{shared_folder(spark)}/index")
+    return vector_index.nearest(index, quantiser, e, queries, 10), vector_index.nearest(index, quantiser, e, queries, 10, exact=True), index
+
+
+@query("s1_index_topk")
+def s1_index_topk(spark, sf_dir):
+    """By the index: nearly all of the exact neighbours, with their exact similarity."""
+    found, _, _ = _indexed(spark, sf_dir)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("s1_index_recall", "SELECT (SELECT count(*) FROM embeddings) AS n_indexed, count(*) AS n_queries, count(*) * 10 AS n_exact, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def s1_index_recall(spark, sf_dir):
+    """Every vector is in the index, and nine tenths of the exact neighbours are found."""
+    found, exact, index = _indexed(spark, sf_dir)
+    told = vector_index.recall(found, exact)
+    return told.join(index.agg(F.count("*").alias("n_indexed"))).select("n_indexed", "n_queries", "n_exact", (F.col("recall") >= 0.9).alias("reached"))

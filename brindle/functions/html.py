@@ -6,12 +6,8 @@ comments are cut out; what needs the nesting of elements is in pages.
 
 from __future__ import annotations
 
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Length of a long paragraph; addresses that a crawl never follows, and
 # marks of addresses that a template left broken.
@@ -98,25 +94,6 @@ def sitemap_urls(xml: Column) -> Column:
     return F.array_distinct(F.transform(F.xpath(xml, F.lit("//*[local-name()='loc']/text()")), lambda u: F.trim(u)))
 
 
-@F.pandas_udf(T.StringType())
-def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-    """The URL that a link on a page points to."""
-    return pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def encoded(url: pd.Series) -> pd.Series:
-    """Percent-encoded part by part, each with its own safe characters."""
-
-    def one(u: str | None) -> str | None:
-        if u is None:
-            return None
-        p = urlsplit(u)
-        return urlunsplit((p.scheme, p.netloc, quote(p.path, safe="/%"), quote(p.query, safe="=&%+/:()-"), quote(p.fragment, safe="")))
-
-    return url.map(one)
-
-
 def decoded(url: Column) -> Column:
     """Path and query, percent-decoded, in lower case."""
     path, query = (F.coalesce(F.try_parse_url(url, F.lit(part)), F.lit("")) for part in ("PATH", "QUERY"))

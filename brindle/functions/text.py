@@ -1,13 +1,13 @@
-"""Text expressions (I2-I8, I12-I18), all JVM-side but ascii_folded."""
+"""Text expressions (I2-I8, I12-I18), all JVM-side."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def sha256(c: Column) -> Column:
@@ -26,11 +26,32 @@ def slug(c: Column, default: str = "item") -> Column:
     return F.coalesce(F.nullif(body, F.lit("")), F.lit(default))
 
 
-@F.pandas_udf(T.StringType())
-def ascii_folded(c: pd.Series) -> pd.Series:
-    """Compatibility decomposition, ASCII only, lower case, runs of others as a space."""
-    plain = c.fillna("").map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
-    return plain.str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()
+@cache
+def _folds() -> dict[str, str]:
+    """What is left in ASCII of each character's compatibility decomposition, where
+    anything is; characters decompose one by one."""
+    chars = (chr(c) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {c: a for c in chars if (a := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode())}
+
+
+def ascii_folded(c: Column) -> Column:
+    """Compatibility decomposition, ASCII only, lower case, runs of others as a space; a null
+    text is ''.
+
+    Characters that become one are translated at once; the few that become several are
+    looked up in a table of all, and only in texts that have one."""
+    one = {k: v for k, v in _folds().items() if len(v) == 1}
+    several = {k: v for k, v in _folds().items() if len(v) > 1}
+    text = F.translate(F.coalesce(c, F.lit("")), "".join(one), "".join(one.values()))
+    table = "".join(f"\x01{k}{v}" for k, v in several.items()) + "\x01"
+    # the table's entry of a character: from behind it to the next mark
+    behind = lambda k: F.call_function("substring_index", F.lit(table), F.concat(F.lit("\x01"), k), F.lit(-1))
+    entry = lambda k: F.substring_index(behind(k), "\x01", 1)
+    marks = "[" + "".join(several) + "]"
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(marks), F.lit(0)))
+    spread = F.when(text.rlike(marks), F.aggregate(found, text, lambda t, k: F.replace(t, k, entry(k)))).otherwise(text)
+    plain = F.lower(F.regexp_replace(spread, r"[^\x00-\x7F]", ""))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def first_of(*cs: Column) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import html
+from brindle.functions import addresses, html
 
 
 def links(pages: DataFrame, key: str, body: str, keep: list[str] | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def resolved_links(pages: DataFrame, key: str, body: str, url: str, site: Column
     scripts do not."""
     told = pages.select(key, html.base_of(F.col(body), F.col(url)).alias("__base"), site.alias("__site"), F.explode(F.array_distinct(html.anchors(F.col(body)))).alias("__href"))
     told = told.filter(~F.col("__href").rlike("(?i)^(?:#|mailto:|javascript:)"))
-    found = told.select(key, "__site", html.encoded(html.absolute(F.col("__base"), F.col("__href"))).alias("target"))
+    found = told.select(key, "__site", addresses.encoded(addresses.absolute(F.col("__base"), F.col("__href"))).alias("target"))
     return found.filter(F.col("target").startswith(F.col("__site"))).select(key, "target").distinct()
 
 

@@ -206,12 +206,19 @@ def p12_versions(spark, sf_dir):
     return mutations.sync_versions(old, new, "doc_id", "h")
 
 
+CLEAN = r"regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"
+
+
 SITE = r"regexp_extract(url, '^[a-z]+://[^/?#]+', 0)"
 
 
-@query("x9_resolved_links")
+@query(
+    "x9_resolved_links",
+    rf"""SELECT DISTINCT page_id, {SITE} || replace(replace(url_encode(regexp_extract(href, '^[^?#]*', 0)), '%2F', '/'), '%25', '%') AS target
+FROM (SELECT page_id, url, unnest(regexp_extract_all({CLEAN}, '<a[^>]+href="([^"]*)"', 1)) AS href FROM pages) WHERE starts_with(href, '/') AND NOT starts_with(href, '//')""",
+)
 def x9_resolved_links(spark, sf_dir):
-    """The addresses each page links to on its own site; compared with urllib in the tests."""
+    """The addresses each page links to on its own site."""
     return crawl.resolved_links(table(spark, sf_dir, "pages"), "page_id", "html", "url", F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0))
 
 
@@ -234,7 +241,6 @@ def x8_page_records(spark, sf_dir):
     return r.select("page_id", "r.name", F.size("r.breadcrumbs").alias("n_breadcrumbs"), F.size("r.properties").alias("n_properties"), F.size("r.extensions").alias("n_extensions"), F.sha2("r.description", 256).alias("description_sha256"), "r.error")
 
 
-CLEAN = r"regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"
 
 
 @query(

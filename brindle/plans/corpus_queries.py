@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.functions import html, text
+from brindle.functions import addresses, html, text
 from brindle.operators import audit, categorize, chunks, crawl, mutations, ranking
 from brindle.plans.base import query, shared_folder, table
 
@@ -94,11 +94,6 @@ def i4_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("i5_normalized_titles")
-def i5_normalized_titles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.ascii_folded(html.heading(F.col("html"))).alias("title"))
-
-
 @query(
     "i14_truncate_words",
     """SELECT doc_id, sha256(CASE WHEN length("text") <= 1500 THEN "text" ELSE
@@ -143,11 +138,20 @@ CLEAN = r"regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!
 BARE = lambda x: rf"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '[\x20\t\n\r\f\x0B]+', ' ', 'g'))"
 
 
-@query("x2_page_title", f"SELECT page_id, coalesce(nullif({BARE(f'''regexp_extract({CLEAN}, '(?s)<h1[^>]*>(.*?)</h1>', 1)''')}, ''), {BARE('''regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)''')}) AS title FROM pages")
+HEADING = f"coalesce(nullif({BARE(f'''regexp_extract({CLEAN}, '(?s)<h1[^>]*>(.*?)</h1>', 1)''')}, ''), {BARE('''regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)''')})"
+
+
+@query("x2_page_title", f"SELECT page_id, {HEADING} AS title FROM pages")
 def x2_page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.heading(F.col("html")).alias("title"))
 
 
+@query("i5_normalized_titles", rf"""SELECT page_id, trim(regexp_replace(lower(regexp_replace(strip_accents(t), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS title FROM (SELECT page_id, {HEADING} AS t FROM pages)""")
+def i5_normalized_titles(spark, sf_dir):
+    """Titles folded to ASCII; the SQL knows the accents that are in the data."""
+    return table(spark, sf_dir, "pages").select("page_id", text.ascii_folded(html.heading(F.col("html"))).alias("title"))
+
+
 LONG = f"list_filter(list_transform(regexp_extract_all({CLEAN}, '(?s)<p>(.*?)</p>', 1), lambda p: {BARE('p')}), lambda p: length(p) >= 40)"
 
 
@@ -173,7 +177,7 @@ FROM (SELECT DISTINCT page_id, url, href FROM (SELECT page_id, url, unnest({HREF
 )
 def i11_absolute_links(spark, sf_dir):
     found = crawl.links(table(spark, sf_dir, "pages"), "page_id", "html", keep=["url"])
-    return found.select("page_id", html.encoded(html.absolute(F.col("url"), F.col("href"))).alias("target"))
+    return found.select("page_id", addresses.encoded(addresses.absolute(F.col("url"), F.col("href"))).alias("target"))
 
 
 # Example rules for the driver's pages: category and words, in order.

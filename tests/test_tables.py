@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions import html, pages
+from brindle.functions import addresses, html, pages
 from brindle.operators import audit, categorize, combat, crawl, imports, mutations, ranking, search, sessions
 from brindle.plans import search_queries
 from brindle.plans.registry import QUERIES
@@ -191,7 +191,7 @@ def test_resolved_links_equal_urllib(spark, sf):
 
 def test_url_pieces(spark):
     df = spark.createDataFrame([("https://h/a b/ü.html?id=7&x=1", "../c")], "u string, l string")
-    r = df.select(html.encoded(F.col("u")).alias("e"), html.absolute(F.col("u"), F.col("l")).alias("a"), html.item_id(F.col("u"), F.lit("n")).alias("i")).first()
+    r = df.select(addresses.encoded(F.col("u")).alias("e"), addresses.absolute(F.col("u"), F.col("l")).alias("a"), html.item_id(F.col("u"), F.lit("n")).alias("i")).first()
     assert r.e == "https://h/a%20b/%C3%BC.html?id=7&x=1" and r.a == "https://h/c" and r.i == "7"
     urls = spark.createDataFrame([("https://h/Suche.html",), ("https://h/a/suche.html?x",), ("https://h/nosuche.html",), ("https://far/a",), ("https://h/index.html",), ("https://h/{{x}}",)], "u string")
     assert [(r.s, r.b) for r in urls.select(html.skipped(F.col("u"), "https://h/").alias("s"), html.broken(F.col("u")).alias("b")).collect()] == [(True, False), (True, False), (False, False), (True, False), (True, False), (False, True)]

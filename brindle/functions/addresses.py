@@ -40,48 +40,49 @@ def parts(url: Column) -> Column:
     )
 
 
-def joined(scheme: Column, host: Column, path: Column, query: Column, fragment: Column) -> Column:
-    """The address of these parts."""
+def joined(address: Column) -> Column:
+    """The address of a struct of parts."""
     marked = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    netloc = (host != "") | path.startswith("//") | (scheme.isin(*HOSTED) & ((path == "") | path.startswith("/")))
-    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(netloc, F.concat(F.lit("//"), host, F.when(host != "", rooted).otherwise(path))).otherwise(path), marked("?", query), marked("#", fragment))
+
+    def whole(p: Column) -> Column:
+        rooted = F.when((p.path != "") & ~p.path.startswith("/"), F.concat(F.lit("/"), p.path)).otherwise(p.path)
+        hosted = p.path.startswith("//") | (p.scheme.isin(*HOSTED) & ((p.path == "") | p.path.startswith("/")))
+        middle = F.when(p.host != "", F.concat(F.lit("//"), p.host, rooted)).when(hosted, F.concat(F.lit("//"), p.path)).otherwise(p.path)
+        return F.concat(F.when(p.scheme != "", F.concat(p.scheme, F.lit(":"))).otherwise(""), middle, marked("?", p.query), marked("#", p.fragment))
+
+    return let(address, whole)
 
 
 def _resolved(base: Column, path: Column) -> Column:
     """A path read from a base path, its dot segments taken as steps of a stack."""
-    folder = F.regexp_replace(base, r"[^/]+$", "")
-    last = F.regexp_extract(path, r"(?s)([^/]*)$", 1)
-    # a parameter of the last segment is no part of its name
-    name, params = F.regexp_extract(last, r"(?s)^([^;]*)", 1), F.regexp_extract(last, r"(?s)(;.*)$", 1)
-    own = F.concat(F.substr(path, F.lit(1), F.char_length(path) - F.char_length(last)), name)
-    whole = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
-    segments = F.split(whole, "/", -1)
-    n = F.size(segments)
-    kept = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == n - 1) | own.startswith("/"))
     step = lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.array_append(a, s))
-    stack = F.aggregate(kept, F.array().cast("array<string>"), step)
-    closed = F.when(F.element_at(kept, -1).isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)
-    text = F.array_join(closed, "/")
-    return F.concat(F.when(text == "", "/").otherwise(text), params)
+
+    def named(last: Column) -> Column:
+        # a parameter of the last segment is no part of its name
+        name = F.regexp_extract(last, r"(?s)^([^;]*)", 1)
+        own = F.concat(F.substr(path, F.lit(1), F.char_length(path) - F.char_length(last)), name)
+        return let(own, lambda o: F.concat(let(F.split(F.when(o.startswith("/"), o).otherwise(F.concat(F.regexp_replace(base, r"[^/]+$", ""), o)), "/", -1), lambda s: walked(s, o.startswith("/"))), F.substr(last, F.char_length(name) + 1)))
+
+    def walked(segments: Column, rooted: Column) -> Column:
+        kept = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1) | rooted)
+        stack = let(kept, lambda k: let(F.aggregate(k, F.array().cast("array<string>"), step), lambda a: F.when(F.element_at(k, -1).isin(".", ".."), F.array_append(a, F.lit(""))).otherwise(a)))
+        return F.coalesce(F.nullif(F.array_join(stack, "/"), F.lit("")), F.lit("/"))
+
+    return let(F.regexp_extract(path, r"(?s)([^/]*)$", 1), named)
 
 
 def absolute(base: Column, href: Column) -> Column:
     """The address that a link found at ``base`` points to."""
-
     # an empty parameter of the last segment goes with its mark
     bare = lambda p: F.regexp_replace(p, r"(?s)^((?:.*/)?[^/;]*);\z", "$1")
     told = lambda url: let(parts(url), lambda p: p.withField("path", bare(p.path)))
 
     def done(b: Column, h: Column) -> Column:
         scheme = F.when(h.scheme == "", b.scheme).otherwise(h.scheme)
-        query = F.when(h.query == "", b.query).otherwise(h.query)
-        return (
-            F.when((scheme != b.scheme) | ~scheme.isin(*RELATIVE), href)
-            .when(h.host != "", joined(scheme, h.host, h.path, h.query, h.fragment))
-            .when(h.path == "", joined(scheme, b.host, b.path, query, h.fragment))
-            .otherwise(joined(scheme, b.host, _resolved(b.path, h.path), h.query, h.fragment))
-        )
+        made = lambda host, path, query: F.struct(b.scheme.alias("scheme"), host.alias("host"), path.alias("path"), query.alias("query"), h.fragment.alias("fragment"))
+        same = made(b.host, b.path, F.when(h.query == "", b.query).otherwise(h.query))
+        address = F.when(h.host != "", made(h.host, h.path, h.query)).when(h.path == "", same).otherwise(made(b.host, _resolved(b.path, h.path), h.query))
+        return F.when((scheme != b.scheme) | ~b.scheme.isin(*RELATIVE), href).otherwise(joined(address))
 
     both = let(told(base), lambda b: let(told(href), lambda h: done(b, h)))
     return F.when(F.coalesce(base, F.lit("")) == "", F.coalesce(href, F.lit(""))).when(F.coalesce(href, F.lit("")) == "", base).otherwise(both)
@@ -100,4 +101,4 @@ def encoded(url: Column) -> Column:
     """Percent-encoded part by part, each with its own safe characters."""
     # The safe characters of path, query and fragment.
     path, query, fragment = "/%", "=&%+/:()-", ""
-    return let(parts(url), lambda p: joined(p.scheme, p.host, quoted(p.path, path), quoted(p.query, query), quoted(p.fragment, fragment)))
+    return let(parts(url), lambda p: joined(F.struct(p.scheme.alias("scheme"), p.host.alias("host"), quoted(p.path, path).alias("path"), quoted(p.query, query).alias("query"), quoted(p.fragment, fragment).alias("fragment"))))

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions import addresses
+from brindle.functions.html import skipped
+
 # Class names and ids of the page layout, the site's title suffix, the
 # heading of extensions, the label whose value is the description, marks of filters.
 HEADER, BODY, LABEL, SECTION, RULE, INNER = "header", "body", "spalte1", "body_einzeln", "line_separator", "ce_text"
@@ -227,7 +230,7 @@ def record(html: Column) -> Column:
     return udf(html)
 
 
-FEATURES = "is_filter boolean, has_properties boolean, has_text boolean, has_labels boolean, has_name boolean, n_links int, n_all_links int"
+FEATURES = "is_filter boolean, has_properties boolean, has_text boolean, has_labels boolean, has_name boolean, n_links int, hrefs array<string>"
 
 
 def _is_link(href: str, site: str) -> bool:
@@ -253,33 +256,39 @@ def features_of(page: str, site: str, labels: tuple[str, ...]) -> dict:
         "has_labels": any(m.lower() in text for m in labels),
         "has_name": bool(title and title.text("").removesuffix(SUFFIX).strip()) or bool(name_of(root)),
         "n_links": sum(_is_link(h, site) for h in links),
-        "n_all_links": sum(1 for e in root.find_all("a") if e.attrs.get("href")),
+        "hrefs": [h for e in root.find_all("a") if (h := e.attrs.get("href"))],
     }
 
 
 def features(html: Column, site: str, labels: list[str]) -> Column:
     """What a page's class is decided from; ``site`` is the address that internal links
-    start with, ``labels`` are words that mark content."""
+    start with, ``labels`` are words that mark content.  n_all_links counts the page's links
+    but those that a crawl of the site skips."""
     names, marks = [f.split()[0] for f in FEATURES.split(", ")], tuple(labels)
 
     @F.pandas_udf(FEATURES)
     def udf(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([features_of(p or "", site, marks) for p in pages], columns=names)
 
-    return udf(html)
+    counted = lambda f: F.size(F.filter(F.transform(f.hrefs, lambda h: addresses.absolute(F.lit(site), h)), lambda u: ~skipped(u, site)))
+    return addresses.let(udf(html), lambda f: f.withField("n_all_links", counted(f)).dropFields("hrefs"))
 
 
-def page_class(f: Column) -> Column:
+def page_class(found: Column) -> Column:
     """struct<page_state, emit, follow> from the features (X10): a hub of HUB links, a
     filter, or text with FOLLOW links is followed; a filter over LISTING links or
     without own content is not emitted."""
-    links = F.when(f.n_links > 0, f.n_links).otherwise(f.n_all_links)
-    follow = (f.n_links >= HUB) | f.is_filter | (f.has_text & (links >= FOLLOW))
-    listing = f.is_filter & ~f.has_properties & (links >= LISTING)
-    own = f.has_properties | f.has_text | (f.has_labels & f.has_name & ~f.is_filter)
-    emit = ~listing & ~(f.is_filter & ~f.has_properties & ~f.has_text) & own
-    state = F.when(emit & follow, "hybrid").when(emit, "content").otherwise("crawl_only")
-    return F.struct(state.alias("page_state"), emit.alias("emit"), follow.alias("follow"))
+
+    def of(f: Column) -> Column:
+        links = F.when(f.n_links > 0, f.n_links).otherwise(f.n_all_links)
+        follow = (f.n_links >= HUB) | f.is_filter | (f.has_text & (links >= FOLLOW))
+        listing = f.is_filter & ~f.has_properties & (links >= LISTING)
+        own = f.has_properties | f.has_text | (f.has_labels & f.has_name & ~f.is_filter)
+        emit = ~listing & ~(f.is_filter & ~f.has_properties & ~f.has_text) & own
+        state = F.when(emit & follow, "hybrid").when(emit, "content").otherwise("crawl_only")
+        return F.struct(state.alias("page_state"), emit.alias("emit"), follow.alias("follow"))
+
+    return addresses.let(found, of)
 
 
 def is_noise(url: Column, name: Column, breadcrumbs: Column, n_properties: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import html, pages, text
 from brindle.operators import audit, chunks, crawl, imports, mutations
-from brindle.plans.base import query, table
+from brindle.plans.base import query, shared_folder, table
 
 INDEX = """SELECT 'u' || doc_id AS url, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '' ELSE 'unresolved' END AS category, CASE WHEN doc_id % 7 = 0 THEN 'en' END AS provisional_category,
  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN 'crawl_only' ELSE lang END AS resolved_category, CASE doc_id % 5 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'crawl_only' ELSE 'content' END AS page_state,
@@ -250,10 +250,55 @@ def x8_page_records(spark, sf_dir):
 SELECT page_id, n_links, has_text, CASE WHEN (has_text OR has_labels) AND (n_links >= 5 OR (has_text AND n_links >= 3)) THEN 'hybrid' WHEN has_text OR has_labels THEN 'content' ELSE 'crawl_only' END AS page_state FROM f""",
 )
 def x10_page_state(spark, sf_dir):
-    f = table(spark, sf_dir, "pages").select("page_id", pages.features(F.col("html"), "example.", ["released under"]).alias("f"))
+    f = table(spark, sf_dir, "pages").select("page_id", pages.features(F.col("html"), "https://site/", ["released under"]).alias("f"))
     return f.select("page_id", "f.n_links", "f.has_text", pages.page_class(F.col("f")).page_state.alias("page_state"))
 
 
+# A site that answers for the pages of all hosts: under their own addresses (the first page of
+# each), and for most of the addresses that they link to with some page.  Three categories, one after the other.
+LANGUAGES = ("fr", "de", "en")
+_SITE = f"""SELECT page_id, 'https://site' || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1), '#.*$', '') AS own, {CLEAN} AS c FROM pages"""
+CRAWL = rf"""WITH RECURSIVE g AS ({_SITE}),
+ f AS (SELECT page_id, own, c, len(regexp_extract_all(c, '<a[^>]+href="([^"]+)"', 1)) AS n_links, contains(lower(c), 'released under') AS has_labels,
+  len(list_filter(string_split(c, '<p>')[2:], lambda p: length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(split_part(p, '</p>', 1), '(?s)^(.*?)(?:</article>|$)', 1), '<[^>]*>', ' ', 'g'), '&[a-z]+;', '&', 'g'), '\s+', ' ', 'g'))) >= 80)) > 0 AS has_text FROM g),
+ s AS (SELECT page_id, own, n_links >= 5 OR (has_text AND n_links >= 3) AS follow, CASE WHEN (has_text OR has_labels) AND (n_links >= 5 OR (has_text AND n_links >= 3)) THEN 'hybrid' WHEN has_text OR has_labels THEN 'content' ELSE 'crawl_only' END AS page_state FROM f),
+ h AS (SELECT DISTINCT page_id, 'https://site' || replace(replace(url_encode(href), '%2F', '/'), '%25', '%') AS target FROM (SELECT page_id, unnest(regexp_extract_all(c, '<a[^>]+href="([^"]*)"', 1)) AS href FROM g) WHERE starts_with(href, '/') AND NOT starts_with(href, '//') AND NOT contains(href, '#')),
+ v AS (SELECT own AS url, min(page_id) AS page_id FROM s GROUP BY own UNION SELECT target, k FROM (SELECT DISTINCT target, ('0x' || left(md5(target), 8))::BIGINT AS m, (SELECT count(*) FROM pages) AS n FROM h), LATERAL (SELECT m % n AS k) WHERE m % 7 <> 0 AND target NOT IN (SELECT own FROM s)),
+ l AS (SELECT url, target FROM v JOIN s USING (page_id) JOIN h USING (page_id) WHERE follow),
+ {", ".join(f"""a{i}(url, hop) AS (SELECT own, 0 FROM s WHERE contains(own, '/{c}/') {"".join(f"AND own NOT IN (SELECT url FROM d{j})" for j in range(i))}
+  UNION SELECT l.target, hop + 1 FROM a{i} JOIN l USING (url) WHERE hop < 40 {"".join(f"AND target NOT IN (SELECT url FROM d{j})" for j in range(i))}),
+ b{i} AS (SELECT url, min(hop) AS hop FROM a{i} GROUP BY url), d{i} AS (SELECT url, hop, '{c}' AS category FROM b{i} WHERE url IN (SELECT url FROM v)),
+ t{i} AS (SELECT url, '{c}' AS source FROM d{i} UNION SELECT own, '{c}' FROM s WHERE contains(own, '/{c}/') UNION SELECT target, '{c}' FROM l JOIN d{i} USING (url))""" for i, c in enumerate(LANGUAGES))},
+ d AS ({" UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(len(LANGUAGES)))}), t AS ({" UNION ".join(f"SELECT * FROM t{i}" for i in range(len(LANGUAGES)))}),
+ x AS ({" UNION ".join(f"SELECT url, '{c}' AS category FROM b{i} WHERE url NOT IN (SELECT url FROM v)" for i, c in enumerate(LANGUAGES))})
+"""
+
+
+def _crawled(spark, sf_dir):
+    own = F.concat(F.lit("https://site"), F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]+(.*)$", 1), "#.*$", ""))
+    p = table(spark, sf_dir, "pages").select("page_id", own.alias("url"), "html")
+    targets = crawl.resolved_links(p, "page_id", "html", "url", F.lit("https://site/")).select("target").distinct().filter(~F.col("target").contains("#")).join(p.select(F.col("url").alias("target")), "target", "left_anti")
+    n = p.count()
+    number = F.conv(F.left(F.md5("target"), F.lit(8)), 16, 10).cast("long")
+    served = targets.filter(number % 7 != 0).select(F.col("target").alias("url"), (number % max(n, 1)).alias("page_id")).join(p.select("page_id", "html"), "page_id").select("url", "html")
+    site = p.groupBy("url").agg(F.min_by("html", "page_id").alias("html")).union(served).withColumn("error", F.lit(None).cast("string"))
+    seeds = [(c, p.filter(F.col("url").contains(f"/{c}/")).select("url")) for c in LANGUAGES]
+    return crawl.crawl(site, seeds, f"{shared_folder(spark)}/crawl", "https://site/", ["released under"])
+
+
+@query("x11_crawl", CRAWL + "SELECT d.url, d.category, page_state, hop, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM d JOIN v USING (url) JOIN s USING (page_id) JOIN t ON t.url = d.url GROUP BY ALL")
+def x11_crawl(spark, sf_dir):
+    """The pages completed, with the round and the category that first reached them."""
+    return _crawled(spark, sf_dir).completed.select("url", "category", "page_state", "hop", F.array_join("sources", ",").alias("sources"))
+
+
+@query("x11_crawl_pending", CRAWL + "SELECT url, category, 'not found' AS error FROM x")
+def x11_crawl_pending(spark, sf_dir):
+    """Addresses that no page answers, for each category that met them."""
+    found = _crawled(spark, sf_dir)
+    return found.pending.join(found.failed, "url").select("url", "category", "error")
+
+
 @query("i12_url_of_file", r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://h/a.html?key=' || page_id || '_x' ELSE 'https://h/a/b' || page_id || '.html' END AS url FROM pages")
 def i12_url_of_file(spark, sf_dir):
     key = F.col("page_id").cast("string")

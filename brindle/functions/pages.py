@@ -28,6 +28,7 @@ FOLLOW, HUB, LISTING = 3, 5, 10
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_BOX = re.compile(rf"""<div\b[^>]*\bclass\s*=\s*["'][^"'>]*\b{INNER}\b""", re.I)
 _NESTED = re.compile(r"<!DOCTYPE html>.*?</html>", re.S | re.I)
 
 
@@ -123,7 +124,7 @@ def parsed(page: str) -> Element:
     builder = _Builder()
     builder.feed(page)
     builder.close()
-    if INNER in page and builder.root.find("div", INNER) and (inner := _NESTED.search(page, page.index(INNER))):
+    if (box := _BOX.search(page)) and builder.root.find("div", INNER) and (inner := _NESTED.search(page, box.end())):
         builder = _Builder()
         builder.feed(inner[0])
         builder.close()

@@ -9,6 +9,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.sources.schemas import FILE_CATEGORIES
+
 
 def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
@@ -79,6 +81,7 @@ def flattened_extensions(extensions: Column) -> Column:
     return F.coalesce(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), F.lit(""))
 
 
+# The labels of a document's sections.
 def embedding_text(name: Column, category: Column, breadcrumbs: Column, subcategory: Column, properties: Column, description: Column, extensions: Column) -> Column:
     """The text that stands for a record (I6): seven labelled sections, empty ones left
     out; the last three start on a line of their own.  properties and extensions come
@@ -90,6 +93,7 @@ def embedding_text(name: Column, category: Column, breadcrumbs: Column, subcateg
     return bare(F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n\n"))
 
 
+# The banners of a fight's log.
 def log_line(c: Column) -> Column:
     """A fight's log line in short (I16): turn and end banners by name, known banners,
     of others marks of bold dropped and spaces tidied."""
@@ -183,3 +187,11 @@ def dice(c: Column, dialect: str = "damage") -> Column:
         return found
     fixed = lambda b: F.struct(F.lit(0).alias("count"), F.lit(0).alias("sides"), b.alias("bonus"))
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", fixed(F.lit(0))).when(n(2) != "", rolled).when(c.rlike(r"^\s*\d+\s*$"), fixed(F.trim(c).try_cast("int")))
+
+
+def file_category(name: Column) -> Column:
+    """The category that a file's name stands for (I28): of the first word it has."""
+    low, out = F.lower(name), F.lit(None).cast("string")
+    for word, category in reversed(FILE_CATEGORIES):
+        out = F.when(low.contains(word), category).otherwise(out)
+    return F.coalesce(out, F.lit("general"))

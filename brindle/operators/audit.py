@@ -74,10 +74,22 @@ def in_categories(categories: list[str] | None, *, sources: str = "crawl_sources
     return own[0] | own[1] | own[2] | crawled
 
 
+def last_of_url(page_index: DataFrame) -> DataFrame:
+    """The last row of each url: that of greatest ``position`` where there is such a column,
+    else the greatest by all columns."""
+    rest = F.struct(*(c for c in page_index.columns if c != "url"))
+    order = F.struct("position", rest) if "position" in page_index.columns else rest
+    return page_index.groupBy("url").agg(F.max_by(rest, order).alias("__e")).select("url", "__e.*").select(*page_index.columns)
+
+
+def _parseable() -> Column:
+    return F.col("page_state").isin("content", "hybrid") & (F.coalesce("resolved_category", F.lit("")) != "crawl_only")
+
+
 def expected(page_index: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Pages that should have a record (C9, X19); the last of repeated urls."""
-    parseable = F.col("page_state").isin("content", "hybrid") & (F.coalesce("resolved_category", F.lit("")) != "crawl_only")
-    return page_index.filter(_given("url").isNotNull() & parseable & in_categories(categories))
+    """Pages that should have a record (C9, X19); of a repeated url the last row that
+    should."""
+    return last_of_url(page_index.filter(_given("url").isNotNull() & _parseable() & in_categories(categories)))
 
 
 def emitted_rows(emitted: DataFrame, page_index: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -86,7 +98,7 @@ def emitted_rows(emitted: DataFrame, page_index: DataFrame, categories: list[str
     rows = emitted.filter(_given("url").isNotNull())
     if not categories:
         return rows
-    known = page_index.filter(in_categories(categories)).select("url").distinct()
+    known = last_of_url(page_index).filter(in_categories(categories)).select("url")
     own = rows.filter(F.col("category").isin(*categories) & (F.col("category") != "unresolved"))
     return own.unionByName(rows.filter("category = 'unresolved'").join(known, "url", "left_semi"))
 
@@ -94,12 +106,18 @@ def emitted_rows(emitted: DataFrame, page_index: DataFrame, categories: list[str
 def url_inventory(page_index: DataFrame, emitted: DataFrame, completed: DataFrame, failed: DataFrame, run_id: Column, categories: list[str] | None = None) -> DataFrame:
     """A row of 29 columns for each address of any source."""
     none = F.array().cast("array<string>")
-    entry = expected(page_index, categories).select("url", F.struct(*(c for c in page_index.columns if c != "url")).alias("e"))
-    items = emitted_rows(emitted, page_index, categories).groupBy("url").agg(F.array_sort(F.collect_set("category")).alias("emitted_categories"), F.count("*").alias("n_emitted"), F.min_by("item", F.struct("file_order", "category")).alias("item"))
-    done = completed.select("url").distinct().withColumn("in_completed", F.lit(True))
-    errors = failed.groupBy("url").agg(F.min("error").alias("fetch_error")).withColumn("in_failed", F.lit(True))
-    keys = entry.select("url").union(items.select("url")).union(done.select("url")).union(errors.select("url")).distinct()
-    r = keys.join(entry, "url", "left").join(items, "url", "left").join(done, "url", "left").join(errors, "url", "left")
+    rest = F.struct(*(c for c in page_index.columns if c != "url"))
+    order = F.struct("position", rest) if "position" in page_index.columns else rest
+    entry = page_index.filter(_given("url").isNotNull() & _parseable() & in_categories(categories)).select("url", rest.alias("e"), order.alias("e_order"))
+    made = emitted_rows(emitted, page_index, categories).select("url", "category", "item", F.struct("file_order", "category").alias("made_order"))
+    done = completed.select("url", F.lit(True).alias("in_completed"))
+    errors = failed.select("url", F.col("error").alias("fetch_error"), F.lit(True).alias("in_failed"))
+    # every source is tagged by its own columns; one shuffle brings an address together
+    tagged = entry.unionByName(made, True).unionByName(done, True).unionByName(errors, True)
+    r = tagged.groupBy("url").agg(
+        F.max_by("e", "e_order").alias("e"), F.array_sort(F.collect_set("category")).alias("emitted_categories"), F.count("made_order").alias("n_emitted"),
+        F.min_by("item", "made_order").alias("item"), F.max("in_completed").alias("in_completed"), F.min("fetch_error").alias("fetch_error"), F.max("in_failed").alias("in_failed"),
+    )
     found, parsed = F.col("e").isNotNull() | F.col("item").isNotNull() | F.col("in_completed").isNotNull(), F.col("item").isNotNull()
     e, item, cats = F.col("e"), F.col("item"), F.coalesce("emitted_categories", none)
     first = F.get(cats, F.lit(0))

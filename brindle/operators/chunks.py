@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions import addresses
 from brindle.functions import text as texts
 
 # Characters of a chunk, and shared by neighbours of a hard split.
@@ -29,29 +30,41 @@ def pack(text: Column, separator: str = "\n\n", max_chars: int = MAX_CHARS, over
     A paragraph is stripped; empty ones go.  One that is too long alone is split
     hard, and nothing is packed onto its pieces.  Offsets are of the source text.
     A null text gives an empty array.
+
+    A fold over the paragraphs' lengths alone finds where chunks begin and end; texts are
+    cut and joined once, when all ends are known, so the cost is linear in the text.
     """
     gap = len(separator)
-    empty = F.array().cast("array<struct<text:string,start:int,end:int,open:boolean>>")
     bare = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
-    lead = lambda p: F.char_length(p) - F.char_length(F.regexp_replace(p, r"^\s+", ""))
-    piece = lambda t, start, is_open: F.struct(t.alias("text"), start.cast("int").alias("start"), (start + F.char_length(t)).cast("int").alias("end"), F.lit(is_open).alias("open"))
-
-    def add(out: Column, t: Column, start: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        longer = F.struct(F.concat(last.text, F.lit(separator), t).alias("text"), last.start.alias("start"), (start + F.char_length(t)).cast("int").alias("end"), F.lit(True).alias("open"))
-        fits = last.open & (F.char_length(last.text) + gap + F.char_length(t) <= max_chars)
-        pieces = F.transform(hard_split(t, max_chars, overlap), lambda h: piece(h.text, start + h.start, False))
-        return (
-            F.when(t == "", out)
-            .when(F.char_length(t) > max_chars, F.concat(out, pieces))
-            .when(F.coalesce(fits, F.lit(False)), F.array_append(F.slice(out, 1, F.size(out) - 1), longer))
-            .otherwise(F.array_append(out, piece(t, start, True)))
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    step = lambda a, p: F.struct((a["at"] + F.char_length(p) + gap).cast("int").alias("at"), add(a.out, bare(p), a["at"] + lead(p)).alias("out"))
-    packed = F.aggregate(F.split(text, separator, -1), zero, step, lambda a: a.out)
-    return F.coalesce(F.transform(packed, lambda c: F.struct(c.text.alias("text"), c.start.alias("start"), c.end.alias("end"))), F.array().cast(f"array<{PIECE}>"))
+    # a chunk: its first and last paragraph, its place in the text, and whether it is too long alone
+    kind = "struct<first:int,last:int,start:int,end:int,size:int,long:boolean>"
+    chunk = lambda first, last, start, end, size, long: F.struct(first.alias("first"), last.alias("last"), start.alias("start"), end.alias("end"), size.alias("size"), long.alias("long")).cast(kind)
+    none = F.lit(None).cast(kind)
+
+    def measured(p: Column, i: Column) -> Column:
+        lead = F.char_length(p) - F.char_length(F.regexp_replace(p, r"^\s+", ""))
+        return F.struct(i.alias("i"), F.char_length(p).alias("n"), lead.alias("lead"), F.char_length(bare(p)).alias("size"))
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + p.lead
+        own = chunk(p.i, p.i, start, start + p.size, p.size, p.size > max_chars)
+        # null while no chunk is open
+        fits = F.coalesce((p.size <= max_chars) & (a.open["size"] + gap + p.size <= max_chars), F.lit(False))
+        more = chunk(a.open["first"], p.i, a.open["start"], start + p.size, a.open["size"] + gap + p.size, F.lit(False))
+        done = lambda: F.when(a.open.isNull(), a.out).otherwise(F.array_append(a.out, a.open))
+        out = F.when((p.size == 0) | fits, a.out).when(p.size > max_chars, F.array_append(done(), own)).otherwise(done())
+        open_one = F.when(p.size == 0, a.open).when(fits, more).when(p.size > max_chars, none).otherwise(own)
+        return F.struct((a["at"] + p.n + gap).cast("int").alias("at"), open_one.alias("open"), out.alias("out"))
+
+    def cut(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("open"), F.array().cast(f"array<{kind}>").alias("out"))
+        ends = F.aggregate(F.transform(pieces, measured), zero, step, lambda a: F.when(a.open.isNull(), a.out).otherwise(F.array_append(a.out, a.open)))
+        joined = lambda c: F.array_join(F.filter(F.transform(F.slice(pieces, c["first"] + 1, c["last"] - c["first"] + 1), bare), lambda t: t != ""), separator)
+        whole = lambda c: F.array(F.struct(joined(c).alias("text"), c.start.alias("start"), c.end.alias("end")))
+        split = lambda c: F.transform(hard_split(bare(F.get(pieces, c["first"])), max_chars, overlap), lambda h: F.struct(h.text.alias("text"), (c.start + h.start).cast("int").alias("start"), (c.start + h.end).cast("int").alias("end")))
+        return F.flatten(F.transform(ends, lambda c: F.when(c.long, split(c)).otherwise(whole(c)).cast(f"array<{PIECE}>")))
+
+    return F.coalesce(addresses.let(F.split(text, separator, -1), cut), F.array().cast(f"array<{PIECE}>"))
 
 
 def build_chunks(docs: DataFrame, key: str, text: str, **options) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Values that the ranges of a numbering are cut from at most.
+CUTS = 10_000
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``source`` replace those of equal keys and are added otherwise.
     Repeated keys in ``source``: use last_of first."""
@@ -86,11 +90,27 @@ def equip(slot: Column, equipped: Column, chosen: Column, wanted: str) -> tuple[
 
 def insert_returning(target: DataFrame, source: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The next snapshot, and the new rows with the keys they were given (B7): the
-    numbers after the greatest there is, in the given order.  Rows to insert at once are
-    few; they are numbered in one task."""
-    last = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("__last"))
-    number = (F.row_number().over(W.orderBy(*order)) + F.col("__last")).cast(target.schema[key].dataType)
-    fresh = source.crossJoin(F.broadcast(last)).withColumn(key, number).drop("__last")
+    numbers after the greatest there is, in the given order.
+
+    The rows are numbered in ranges of the first column of the order, a task for each, after
+    the rows of the ranges before are counted; the ranges' cuts come from at most
+    CUTS of its values."""
+    last = target.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
+    width = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = source.select(F.col(order[0]).alias("v")).filter("v is not null").orderBy(F.xxhash64("v")).limit(CUTS)
+    values = [r["v"] for r in some.distinct().orderBy("v").collect()]
+    cuts = values[:: max(1, -(-len(values) // width))][1:]
+    ranged = source.withColumn("__range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order[0]))), F.lit(0)) if cuts else F.lit(0))
+    ranged = ranged.withColumn("__range", F.when(F.col(order[0]).isNull(), 0).otherwise(F.col("__range")))
+    # a row for each range
+    counts = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for i in range(len(cuts) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    offset = F.element_at(F.array(*map(F.lit, before)), F.col("__range") + 1)
+    number = F.row_number().over(W.partitionBy("__range").orderBy(*order)) + offset + last
+    fresh = ranged.withColumn("__key", number.cast(target.schema[key].dataType)).drop(key).withColumnRenamed("__key", key).drop("__range")
     fresh = fresh.select(*(F.col(c) if c in fresh.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns))
     return target.unionByName(fresh), fresh
 
@@ -123,6 +143,15 @@ def current(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}/{table}")
 
 
+def snapshot(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
+    """A table of the snapshot that holds; an empty one of ``schema`` before the first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    path = hadoop.fs.Path(f"{folder}/CURRENT")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return current(spark, folder, table)
+
+
 def sync(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, action): insert, update, unchanged or deleted, by comparing digests."""
     a = old.select(F.col(key), F.col(digest).alias("__old"), F.lit(True).alias("__a"))

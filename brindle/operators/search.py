@@ -200,16 +200,25 @@ def fetch_page(pages: DataFrame, doc_id: str) -> DataFrame:
     return pages.filter(F.col("doc_id") == doc_id).limit(2).groupBy("doc_id").agg(F.count("*").alias("__n"), F.first(F.struct(*pages.columns)).alias("__r")).filter("__n = 1").select("__r.*")
 
 
-def hybrid_search(titles: DataFrame, found: DataFrame, pages: DataFrame, term: str, category: str | None = None, limit: int = LIMIT, shown: int = 3) -> DataFrame:
+def first_hits(titles: DataFrame, term: str, order: list[str]) -> DataFrame:
+    """The first title of each doc_id that matches ``term``, in the list's order (F2): a page
+    with several titles is found by any of them, and has the tier of that one."""
+    hit = titles.withColumn("tier", title_tier(F.col("title"), term)).filter("tier is not null")
+    rest = [c for c in hit.columns if c != "doc_id"]
+    first = hit.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    return first.select("doc_id", *(F.col(f"__r.{c}").alias(c) for c in rest))
+
+
+def hybrid_search(titles: DataFrame, found: DataFrame, pages: DataFrame, term: str, category: str | None = None, limit: int = LIMIT, shown: int = 3, order: tuple[str, ...] = ("doc_id", "title")) -> DataFrame:
     """(role, place, doc_id, title, match_type, similarity) of a search.
 
-    ``titles`` is the list of page titles (doc_id, title, category), ``found`` the result
-    of search_rules for twice the limit.  Title hits come first; pages found by meaning
+    ``titles`` is the list of page titles (doc_id, title, category) in the order of the
+    columns ``order``, ``found`` the result of search_rules for twice the limit.  Title hits come first; pages found by meaning
     that are no title hits follow.  The page selected is the first title hit, as its page
     has it, else the first by meaning."""
     listed = titles if category is None else titles.filter(F.col("category") == category)
-    hits = rank_titles(listed.dropDuplicates(["doc_id"]), "title", term, "doc_id", shown)
-    place = F.row_number().over(W.orderBy("tier", "doc_id"))
+    hits = first_hits(listed, term, list(order)).orderBy("tier", *order).limit(shown)
+    place = F.row_number().over(W.orderBy("tier", *order))
     kind = F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("contains")), F.col("tier"))
     exact = hits.select(F.lit("exact").alias("role"), place.cast("long").alias("place"), "doc_id", "title", kind.alias("match_type"), F.lit(None).cast("double").alias("similarity"))
     meant = distinct_pages(found, limit).join(hits.select("doc_id"), "doc_id", "left_anti")
@@ -217,7 +226,7 @@ def hybrid_search(titles: DataFrame, found: DataFrame, pages: DataFrame, term: s
     semantic = meant.select(F.lit("semantic").alias("role"), order.cast("long").alias("place"), "doc_id", "title", F.lit("semantic").alias("match_type"), "similarity")
     both = exact.unionByName(semantic)
     first = both.orderBy("role", "place").limit(1)
-    full = pages.groupBy("doc_id").agg(F.count("*").alias("__n"), F.first("title").alias("__title"))
+    full = pages.groupBy("doc_id").agg(F.count("*").alias("__n"), F.min("title").alias("__title"))
     chosen = first.join(full, "doc_id", "left").select(
         F.lit("selected").alias("role"), F.lit(0).cast("long").alias("place"), "doc_id",
         F.when((F.col("role") == "exact") & (F.col("__n") == 1), F.col("__title")).otherwise(F.col("title")).alias("title"),

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from brindle.functions import html, pages, text
 from brindle.operators import audit, chunks, crawl, imports, mutations
 from brindle.plans.base import query, shared_folder, table
+from brindle.sources import schemas
 
-INDEX = """SELECT 'u' || doc_id AS url, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '' ELSE 'unresolved' END AS category, CASE WHEN doc_id % 7 = 0 THEN 'en' END AS provisional_category,
+INDEX = """SELECT *, 0 AS position FROM (SELECT 'u' || doc_id AS url, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '' ELSE 'unresolved' END AS category, CASE WHEN doc_id % 7 = 0 THEN 'en' END AS provisional_category,
  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN 'crawl_only' ELSE lang END AS resolved_category, CASE doc_id % 5 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'crawl_only' ELSE 'content' END AS page_state,
- CASE WHEN doc_id % 2 = 0 THEN 'high' END AS resolution_confidence, 'p/' || doc_id AS filepath, lang, source, doc_id FROM documents WHERE doc_id % 6 <> 0"""
-EMITTED = """SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 9 = 0 THEN 'unresolved' WHEN doc_id % 10 = 0 THEN 'fr' ELSE lang END AS category, 0 AS file_order, source, left("text", 100) AS description FROM documents WHERE doc_id % 4 <> 1
+ CASE WHEN doc_id % 2 = 0 THEN 'high' END AS resolution_confidence, 'p/' || doc_id AS filepath, lang, source, doc_id FROM documents WHERE doc_id % 6 <> 0)
+ UNION ALL SELECT 'u' || doc_id, 'de', CAST(NULL AS VARCHAR(9)), 'fr', CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'crawl_only' END, 'low', 'q/' || doc_id, lang, source, doc_id, 1 FROM documents WHERE doc_id % 17 = 0 AND doc_id % 6 <> 0"""
+EMITTED = """SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 9 = 0 THEN 'unresolved' WHEN doc_id % 10 = 0 THEN 'fr' ELSE lang END AS category, 0 AS file_order, source, "text" AS description FROM documents WHERE doc_id % 4 <> 1
  UNION ALL SELECT 'u' || doc_id, 'de', 1, source || '!', 'again' FROM documents WHERE doc_id % 11 = 0"""
 DONE = "SELECT 'u' || doc_id AS url FROM documents WHERE doc_id % 8 <> 3"
 FAILED = "SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'status 404 x' ELSE 'http_500' END AS error FROM documents WHERE doc_id % 13 = 0"
@@ -30,7 +32,7 @@ def _tables(spark, sf_dir):
     docs = {"documents": table(spark, sf_dir, "documents")}
     none = F.array().cast("array<string>")
     run = lambda sql: spark.sql(_spark(sql).replace("FROM documents", "FROM {documents}"), **docs)
-    index = run(INDEX).select("url", "category", "provisional_category", "resolved_category", "page_state", F.array("lang", "source").alias("crawl_sources"), "resolution_confidence", F.when(F.col("doc_id") % 2 == 0, F.array("source")).alias("resolution_evidence"), "filepath")
+    index = run(INDEX).select("url", "category", "provisional_category", "resolved_category", "page_state", F.array("lang", "source").alias("crawl_sources"), "resolution_confidence", F.when(F.col("doc_id") % 2 == 0, F.array("source")).alias("resolution_evidence"), "filepath", "position")
     item = F.struct(
         F.lit("i").alias("id"), F.col("source").alias("name"), "category", F.array("source").alias("breadcrumbs"), F.lit(None).cast("string").alias("subcategory"),
         F.array(F.struct(F.lit("len").alias("k"), F.char_length("description").cast("string").alias("v"))).alias("properties"), "description",
@@ -40,7 +42,7 @@ def _tables(spark, sf_dir):
     return index, emitted, run(DONE), run(FAILED)
 
 
-WITH = f"WITH idx AS ({INDEX}), emi AS ({EMITTED}), done AS ({DONE}), fail AS ({FAILED}), exp AS (SELECT * FROM idx WHERE page_state IN ('content', 'hybrid') AND coalesce(resolved_category, '') <> 'crawl_only'),"
+WITH = f"WITH idx AS ({INDEX}), emi AS ({EMITTED}), done AS ({DONE}), fail AS ({FAILED}), exp AS (SELECT * FROM idx WHERE page_state IN ('content', 'hybrid') AND coalesce(resolved_category, '') <> 'crawl_only' QUALIFY row_number() OVER (PARTITION BY url ORDER BY position DESC) = 1),"
 GROUPED = "em AS (SELECT url, list_sort(list_distinct(list(category))) AS cats, count(*) AS n, arg_min(source, (file_order, category)) AS name, arg_min(description, (file_order, category)) AS description, arg_min(category, (file_order, category)) AS first_category FROM emi GROUP BY url),"
 INVENTORY = f"""{WITH} {GROUPED} keys AS (SELECT url FROM exp UNION SELECT url FROM em UNION SELECT url FROM done UNION SELECT url FROM fail),
 inv AS (SELECT k.url, sha256(k.url) AS url_hash, 'doc_' || left(sha256(k.url), 16) AS doc_id, true AS discovered, (exp.url IS NOT NULL OR em.url IS NOT NULL OR done.url IS NOT NULL) AS fetched, em.url IS NOT NULL AS parsed,
@@ -84,7 +86,10 @@ def x19_discovery_gaps(spark, sf_dir):
     return audit.discovery_gaps(_inventory(spark, sf_dir), done, index)
 
 
-@query("x19_expected_and_emitted", f"{WITH} hit AS (SELECT url FROM idx WHERE resolved_category = 'fr' OR provisional_category = 'fr' OR category = 'fr' OR lang = 'fr' OR source = 'fr'), e AS (SELECT url FROM exp WHERE url IN (SELECT url FROM hit)), m AS (SELECT url FROM emi WHERE category = 'fr' OR (category = 'unresolved' AND url IN (SELECT url FROM hit))) SELECT 'expected' AS side, count(*) AS n FROM e UNION ALL SELECT 'emitted', count(*) FROM m")
+FR = "(resolved_category = 'fr' OR provisional_category = 'fr' OR category = 'fr' OR lang = 'fr' OR source = 'fr')"
+
+
+@query("x19_expected_and_emitted", f"{WITH} hit AS (SELECT * FROM (SELECT * FROM idx QUALIFY row_number() OVER (PARTITION BY url ORDER BY position DESC) = 1) WHERE {FR}), e AS (SELECT DISTINCT url FROM idx WHERE page_state IN ('content', 'hybrid') AND coalesce(resolved_category, '') <> 'crawl_only' AND {FR}), m AS (SELECT url FROM emi WHERE category = 'fr' OR (category = 'unresolved' AND url IN (SELECT url FROM hit))) SELECT 'expected' AS side, count(*) AS n FROM e UNION ALL SELECT 'emitted', count(*) FROM m")
 def x19_expected_and_emitted(spark, sf_dir):
     index, emitted, _, _ = _tables(spark, sf_dir)
     side = lambda df, name: df.agg(F.lit(name).alias("side"), F.count("*").alias("n"))
@@ -121,7 +126,7 @@ def e15_seeded_counts(spark, sf_dir):
     return audit.counts_of(audit.expected(index), "crawl_sources", keys, "category")
 
 
-CANON = f"""{INVENTORY}, c AS (SELECT doc_id, i.url, title, em.first_category AS category, resolved_category, (em.first_category = 'unresolved' OR coalesce(resolved_category, '') = '') AS is_unresolved,
+CANON = f"""{INVENTORY}, c AS (SELECT doc_id, i.url, i.page_state, i.resolution_confidence, i.crawl_sources, i.resolution_evidence, i.raw_html_path, em.name, em.description, title, em.first_category AS category, resolved_category, (em.first_category = 'unresolved' OR coalesce(resolved_category, '') = '') AS is_unresolved,
  array_to_string(list_filter(['Title: ' || nullif(name, ''), 'Category: ' || em.first_category, 'Breadcrumbs: ' || name, 'Properties:' || chr(10) || 'len: ' || length(em.description), 'Description:' || chr(10) || nullif(regexp_replace(em.description, '^[\\x20\\t\\n\\r\\f\\x0B]+|[\\x20\\t\\n\\r\\f\\x0B]+$', '', 'g'), '')], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS embedding_text
  FROM inv i JOIN em ON em.url = i.url)"""
 
@@ -155,31 +160,86 @@ def c14_exclude_reason(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", chunks.exclude_reason(part(2, "source", " "), crumbs, none, part(3, "lang", ""), none).alias("exclude_reason"))
 
 
-PAGE_ROWS = f"{CANON}, p AS (SELECT sha256(doc_id) AS id, doc_id, url AS source_url, doc_id AS canonical_slug, title, category, is_unresolved, sha256(embedding_text) AS content_hash, 1 AS version FROM c)"
+LISTED = lambda c: f"CASE WHEN {c} = '' THEN [] ELSE string_split({c}, '|') END"
+METADATA = f"json_object('breadcrumbs', [name], 'crawl_sources', {LISTED('crawl_sources')}, 'resolution_evidence', {LISTED('resolution_evidence')}, 'properties', json_object('len', length(description)::VARCHAR), 'description', description, 'extensions', [], 'raw_html_path', raw_html_path, 'embedding_text_length', length(embedding_text))"
+PAGE_ROWS = f"""{CANON}, p AS (SELECT sha256(doc_id) AS id, doc_id, 'i' AS source_item_id, url AS source_url, sha256(url) AS url_hash, doc_id AS canonical_slug, title, category, resolved_category, page_state, is_unresolved, resolution_confidence,
+ sha256(embedding_text) AS content_hash, 'export_embeddings_v1' AS parser_version, 1 AS version, sha256({METADATA}::VARCHAR) AS metadata_sha256 FROM c)"""
+PAGE_COLUMNS = ["id", "doc_id", "source_item_id", "source_url", "url_hash", "canonical_slug", "title", "category", "resolved_category", "page_state", "is_unresolved", "resolution_confidence", "content_hash", "parser_version", "version"]
 
 
-@query("p11_import_pages", f"{PAGE_ROWS} SELECT * FROM p WHERE NOT is_unresolved UNION ALL SELECT 'old', 'doc_old', 'u', 's', 't', 'c', false, 'h', 7")
+@query("p11_import_pages", f"{PAGE_ROWS} SELECT * FROM p WHERE NOT is_unresolved UNION ALL SELECT 'old', 'doc_old', NULL, 'u', NULL, 's', 't', 'c', NULL, NULL, false, NULL, 'h', NULL, 7, sha256('{{}}')")
 def p11_import_pages(spark, sf_dir):
     """The structured import into a table with one page of its own and one it replaces."""
     docs = _canonical(spark, sf_dir)
-    columns = ["id", "doc_id", "source_url", "canonical_slug", "title", "category", "is_unresolved", "content_hash", "version"]
-    own = spark.createDataFrame([("old", "doc_old", "u", "s", "t", "c", False, "h", 7)], "id string, doc_id string, source_url string, canonical_slug string, title string, category string, is_unresolved boolean, content_hash string, version int")
-    stale = imports.page_rows(docs.limit(1), F.lit(None).cast("timestamp")).select(*columns).withColumn("title", F.lit("stale")).filter("not is_unresolved")
+    now = F.lit("2024-01-01").cast("timestamp")
+    empty = spark.createDataFrame([], schemas.TABLES["rule_pages"])
+    own = spark.createDataFrame([("old", "doc_old", "u", "s", "t", "c", False, "h", 7, "{}")], "id string, doc_id string, source_url string, canonical_slug string, title string, category string, is_unresolved boolean, content_hash string, version int, metadata string")
     kept = docs.filter("not is_unresolved")
-    return mutations.upsert(own.unionByName(stale), imports.page_rows(kept, F.lit(None).cast("timestamp")).select(*columns), ["doc_id"])
+    stale = imports.page_rows(kept.orderBy("doc_id").limit(1), now).withColumn("title", F.lit("stale"))
+    held = empty.unionByName(own, allowMissingColumns=True).unionByName(stale)
+    none = spark.createDataFrame([], "doc_id string, chunk_id string, chunk_index int, title string, category string, chunk_text string, char_start int, char_end int, is_unresolved boolean")
+    pages, _ = imports.import_structured(kept, none, held, spark.createDataFrame([], schemas.TABLES["rule_chunks"]), now)
+    return pages.select(*PAGE_COLUMNS, text.sha256(F.col("metadata")).alias("metadata_sha256"))
+
+
+CHUNK_META = "json_object('source_item_id', 'i', 'page_state', page_state, 'resolution_confidence', resolution_confidence, 'breadcrumbs', [name])"
 
 
 @query(
     "p11_import_chunks",
-    f"{CANON} SELECT doc_id || '_chunk_' || lpad(i::VARCHAR, 3, '0') AS chunk_id, sha256(doc_id) AS page_id, i AS chunk_index, category, sha256(trim(substring(embedding_text, (i * 80 + 1)::BIGINT, 100))) AS text_sha256 FROM (SELECT *, unnest(range(CASE WHEN length(embedding_text) <= 100 THEN 1 ELSE ceil((length(embedding_text) - 100) / 80.0)::BIGINT + 1 END)) AS i FROM c)",
+    f"""{CANON} SELECT doc_id || '_chunk_' || lpad(i::VARCHAR, 3, '0') AS chunk_id, sha256(doc_id) AS page_id, i AS chunk_index, category, resolved_category, sha256(trim(substring(embedding_text, (i * 1200 + 1)::BIGINT, 1400))) AS text_sha256, sha256({CHUNK_META}::VARCHAR) AS metadata_sha256, CASE WHEN i % 2 = 0 THEN 'model-1' END AS embedding_model, CASE WHEN i % 2 = 0 THEN i + 0.5 END::DOUBLE AS first_number
+FROM (SELECT *, unnest(range(CASE WHEN length(embedding_text) <= 1400 THEN 1 ELSE ceil((length(embedding_text) - 1400) / 1200.0)::BIGINT + 1 END)) AS i FROM c)""",
 )
 def p11_import_chunks(spark, sf_dir):
-    """Chunks of hard splits, each with its page's id."""
+    """Chunks of hard splits, each with its page's id; every other one has a vector."""
     docs = _canonical(spark, sf_dir)
-    cut = docs.select("doc_id", "title", "category", "resolved_category", "is_unresolved", F.posexplode(chunks.hard_split(F.col("embedding_text"), 100, 20)).alias("chunk_index", "c"))
-    rows = cut.select("doc_id", chunks.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "title", "category", "is_unresolved", F.col("c.text").alias("chunk_text"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"))
-    made = imports.chunk_rows(rows, imports.page_rows(docs, F.lit(None).cast("timestamp")))
-    return made.select("chunk_id", "page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "category", text.sha256(F.col("chunk_text")).alias("text_sha256"))
+    cut = docs.select("doc_id", "title", "category", "resolved_category", "is_unresolved", "source_item_id", "page_state", "resolution_confidence", "breadcrumbs", F.posexplode(chunks.hard_split(F.col("embedding_text"))).alias("chunk_index", "c"))
+    vector = F.when(F.col("chunk_index") % 2 == 0, F.array(F.col("chunk_index") + 0.5, F.lit(1.0)))
+    rows = cut.withColumns({"chunk_id": chunks.chunk_id(F.col("doc_id"), F.col("chunk_index")), "chunk_text": F.col("c.text"), "char_start": F.col("c.start"), "char_end": F.col("c.end"), "embedding": vector})
+    made = imports.chunk_rows(rows, imports.page_rows(docs, F.lit(None).cast("timestamp")), "model-1")
+    return made.select("chunk_id", "page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "category", "resolved_category", text.sha256(F.col("chunk_text")).alias("text_sha256"), text.sha256(F.col("metadata")).alias("metadata_sha256"), "embedding_model", F.get("embedding", F.lit(0)).cast("double").alias("first_number"))
+
+
+# A later run: French documents changed, German ones gone, Spanish ones new; of the pages held
+# some were gone before.
+SYNC = """WITH o AS (SELECT 'd' || doc_id AS k, trim("text") AS x, doc_id % 3 + 1 AS v, doc_id % 10 = 0 AS d FROM documents WHERE lang <> 'es'),
+ n AS (SELECT 'd' || doc_id AS k, trim(CASE WHEN lang = 'fr' THEN upper(substring("text", 1, 3000)) ELSE "text" END) AS x FROM documents WHERE lang <> 'de'),
+ j AS (SELECT coalesce(o.k, n.k) AS k, o.x AS ox, n.x AS nx, o.v, coalesce(o.d, false) AS d, CASE WHEN n.k IS NULL THEN 'gone' WHEN o.k IS NULL THEN 'added' WHEN sha256(o.x) = sha256(n.x) THEN 'same' ELSE 'changed' END AS state FROM o FULL JOIN n ON o.k = n.k),
+ oc AS (SELECT *, k || '_chunk_' || lpad(i::VARCHAR, 3, '0') AS chunk_id FROM (SELECT *, unnest(range(CASE WHEN length(ox) <= 1400 THEN 1 ELSE ceil((length(ox) - 1400) / 1200.0)::BIGINT + 1 END)) AS i FROM j WHERE ox IS NOT NULL)),
+ nc AS (SELECT *, k || '_chunk_' || lpad(i::VARCHAR, 3, '0') AS chunk_id FROM (SELECT *, unnest(range(CASE WHEN length(nx) <= 1400 THEN 1 ELSE ceil((length(nx) - 1400) / 1200.0)::BIGINT + 1 END)) AS i FROM j WHERE state IN ('added', 'changed')))
+"""
+
+
+def _synced(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), F.concat(F.lit("u"), F.col("doc_id")).alias("url"), F.lit("").alias("url_hash"), F.lit("t").alias("title"), F.lit("c").alias("category"), F.lit("").alias("resolved_category"), F.lit("content").alias("page_state"), F.lit(False).alias("is_unresolved"), "lang", "text", F.col("doc_id").alias("number"))
+    before, now = (F.lit(t).cast("timestamp") for t in ("2024-01-01", "2024-02-01"))
+
+    def cut(docs):
+        rows = docs.select("doc_id", "title", "category", "is_unresolved", F.posexplode(chunks.hard_split(F.trim("embedding_text"))).alias("chunk_index", "c"))
+        return rows.withColumns({"chunk_id": chunks.chunk_id(F.col("doc_id"), F.col("chunk_index")), "chunk_text": F.col("c.text"), "char_start": F.col("c.start"), "char_end": F.col("c.end")})
+
+    old = d.filter("lang <> 'es'").withColumn("embedding_text", F.col("text"))
+    new = d.filter("lang <> 'de'").withColumn("embedding_text", F.when(F.col("lang") == "fr", F.upper(F.substring("text", 1, 3000))).otherwise(F.col("text")))
+    held = imports.page_rows(old, before).join(old.select("doc_id", "number"), "doc_id")
+    pages = held.withColumn("version", (F.col("number") % 3 + 1).cast("int")).withColumn("deleted_at", F.when(F.col("number") % 10 == 0, before))
+    rows = imports.chunk_rows(cut(old), pages).join(pages.select(F.col("id").alias("page_id"), F.col("deleted_at").isNull().alias("live")), "page_id").withColumn("is_active", F.col("live"))
+    names = schemas.TABLES["rule_pages"].names, schemas.TABLES["rule_chunks"].names
+    return imports.sync_rules(new, cut(new), pages.select(*names[0]), rows.select(*names[1]), now)
+
+
+@query("p12_sync_pages", SYNC + "SELECT k AS doc_id, CASE state WHEN 'added' THEN 1 WHEN 'changed' THEN v + 1 ELSE v END::INTEGER AS version, sha256(CASE state WHEN 'gone' THEN ox ELSE nx END) AS content_hash, state = 'gone' AS deleted, CASE WHEN state = 'gone' THEN d ELSE false END AS gone_before FROM j")
+def p12_sync_pages(spark, sf_dir):
+    """Pages after a later run: unchanged, changed, new, gone and come back."""
+    pages, _ = _synced(spark, sf_dir)
+    gone = F.col("deleted_at").isNotNull()
+    return pages.select("doc_id", "version", "content_hash", gone.alias("deleted"), (gone & F.coalesce(F.col("deleted_at") < F.lit("2024-02-01").cast("timestamp"), F.lit(False))).alias("gone_before"))
+
+
+@query("p12_sync_chunks", SYNC + "SELECT chunk_id, CASE state WHEN 'added' THEN 1 ELSE v + 1 END::INTEGER AS version, true AS is_active, sha256(trim(substring(nx, (i * 1200 + 1)::BIGINT, 1400))) AS text_sha256 FROM nc UNION ALL SELECT chunk_id, v::INTEGER, state = 'same', sha256(trim(substring(ox, (i * 1200 + 1)::BIGINT, 1400))) FROM oc WHERE chunk_id NOT IN (SELECT chunk_id FROM nc)")
+def p12_sync_chunks(spark, sf_dir):
+    """Their chunks: of changed pages replaced or no longer active."""
+    _, rows = _synced(spark, sf_dir)
+    return rows.select("chunk_id", "version", "is_active", text.sha256(F.col("chunk_text")).alias("text_sha256"))
 
 
 @query(
@@ -306,6 +366,21 @@ def i12_url_of_file(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.url_of_file(name, "https://h/").alias("url"))
 
 
+@query("i12_page_files", r"""SELECT page_id, left(regexp_replace(trim(replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/', '_'), '_') || CASE WHEN regexp_extract(url, '[?]([^#]*)', 1) <> '' THEN '_' || translate(regexp_extract(url, '[?]([^#]*)', 1), '/=', '__') ELSE '' END, '[<>:"/\\|?*]', '_', 'g'), 200) || '.html' AS file FROM pages""")
+def i12_page_files(spark, sf_dir):
+    """The file that each page is kept in."""
+    return table(spark, sf_dir, "pages").select("page_id", html.page_file(F.col("url")).alias("file"))
+
+
+FILES = "p_name || '-' || CASE p_size % 8 WHEN 0 THEN 'Conditions' WHEN 1 THEN 'status' WHEN 2 THEN 'wounds' WHEN 3 THEN 'maneuver-talent' WHEN 4 THEN 'Spells' WHEN 5 THEN 'talent' WHEN 6 THEN 'combat-status' ELSE 'x' END || '.md'"
+
+
+@query("i28_file_categories", f"SELECT p_partkey, CASE WHEN contains(f, 'conditions') THEN 'condition' WHEN contains(f, 'status') THEN 'status' WHEN contains(f, 'wound') THEN 'combat' WHEN contains(f, 'maneuver') THEN 'maneuver' WHEN contains(f, 'spell') THEN 'spell' WHEN contains(f, 'talent') THEN 'talent' WHEN contains(f, 'combat') THEN 'combat' ELSE 'general' END AS category FROM (SELECT p_partkey, lower({FILES}) AS f FROM part)")
+def i28_file_categories(spark, sf_dir):
+    """The first word of the list that a name holds decides, not the first in the name."""
+    return table(spark, sf_dir, "part").select("p_partkey", text.file_category(F.expr(FILES)).alias("category"))
+
+
 @query("i28_markdown_heads", """SELECT doc_id, 'https://s/' || doc_id AS source_url, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'file' END AS heading FROM documents WHERE "text" IS NOT NULL""")
 def i28_markdown_heads(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import search, vector_index
+from brindle.operators import search, title_index, vector_index
 from brindle.plans.base import query, shared_folder, table
 
 
@@ -157,3 +157,18 @@ def s1_index_recall(spark, sf_dir):
     found, exact, index = _indexed(spark, sf_dir)
     told = vector_index.recall(found, exact)
     return told.join(index.agg(F.count("*").alias("n_indexed"))).select("n_indexed", "n_queries", "n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
+TERMS = "SELECT p_partkey AS term_id, CASE p_partkey % 300 WHEN 0 THEN upper(p_name) WHEN 100 THEN substring(p_name, 2, 6) ELSE substring(p_name, 1, 2) END AS term FROM part WHERE p_partkey % 100 = 0"
+
+
+@query(
+    "s4_title_index",
+    f"SELECT term_id, row_number() OVER (PARTITION BY term_id ORDER BY tier, p_partkey) AS place, tier, p_partkey, p_name FROM (SELECT term_id, p_partkey, p_name, CASE WHEN lower(p_name) = lower(term) THEN 1 WHEN starts_with(lower(p_name), lower(term)) THEN 2 ELSE 3 END AS tier FROM part JOIN ({TERMS}) t ON contains(lower(p_name), lower(term)))",
+)
+def s4_title_index(spark, sf_dir):
+    """Whole names, middles and beginnings of two characters, looked up among all names."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    terms = spark.sql(TERMS.replace("FROM part", "FROM {p}"), p=p)
+    found = title_index.search(title_index.postings(p, "p_partkey", "p_name"), p, terms, "p_partkey", "p_name", ["p_partkey"], None)
+    return found.withColumn("place", F.col("place").cast("long"))

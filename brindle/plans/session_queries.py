@@ -377,17 +377,21 @@ def s7_fetch_page(spark, sf_dir):
     return search.fetch_page(only, "d7").select("doc_id", "title").union(search.fetch_page(only, name).select("doc_id", "title"))
 
 
-HYBRID = f"""WITH x AS (SELECT doc_id, title, CASE WHEN lower(title) = 'red' THEN 1 WHEN starts_with(lower(title), 'red') THEN 2 ELSE 3 END AS tier FROM (SELECT 'd' || p_partkey AS doc_id, p_name AS title FROM part WHERE p_partkey > 60) WHERE contains(lower(title), 'red') ORDER BY tier, doc_id LIMIT 3),
+# Titles of pages that have several: the list is in the order of the parts.
+TITLES = "SELECT 'd' || (p_partkey % 97) AS doc_id, p_name AS title, p_brand AS category, p_partkey AS place FROM part WHERE p_partkey > 60"
+HYBRID = f"""WITH l AS ({TITLES}), h AS (SELECT *, CASE WHEN lower(title) = 'red' THEN 1 WHEN starts_with(lower(title), 'red') THEN 2 ELSE 3 END AS tier FROM l WHERE contains(lower(title), 'red') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) = 1),
+ x AS (SELECT * FROM h ORDER BY tier, place LIMIT 3),
  f AS (SELECT *, row_number() OVER (ORDER BY s DESC, chunk_id) AS k FROM ({FOUND})), u AS (SELECT * FROM f WHERE k = (SELECT min(k) FROM f g WHERE g.page_id = f.page_id) AND k = (SELECT min(k) FROM f g WHERE g.doc_id = f.doc_id) ORDER BY k LIMIT 5),
- e AS (SELECT 'exact' AS role, row_number() OVER (ORDER BY tier, doc_id) AS place, doc_id, title, ['exact', 'prefix', 'contains'][tier] AS match_type, NULL::DOUBLE AS similarity FROM x),
- m AS (SELECT 'semantic' AS role, row_number() OVER (ORDER BY k) AS place, doc_id, title, 'semantic' AS match_type, round(s, 6) AS similarity FROM u WHERE doc_id NOT IN (SELECT doc_id FROM x))
-SELECT * FROM e UNION ALL SELECT * FROM m UNION ALL SELECT 'selected', 0, doc_id, title, CASE WHEN role = 'exact' THEN 'exact' ELSE match_type END, similarity FROM (SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM m) ORDER BY role, place LIMIT 1)"""
+ e AS (SELECT 'exact' AS role, row_number() OVER (ORDER BY tier, place) AS place, doc_id, title, ['exact', 'prefix', 'contains'][tier] AS match_type, NULL::DOUBLE AS similarity FROM x),
+ m AS (SELECT 'semantic' AS role, row_number() OVER (ORDER BY k) AS place, doc_id, title, 'semantic' AS match_type, round(s, 6) AS similarity FROM u WHERE doc_id NOT IN (SELECT doc_id FROM x)),
+ c AS (SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM m) ORDER BY role, place LIMIT 1)
+SELECT * FROM e UNION ALL SELECT * FROM m UNION ALL SELECT 'selected', 0, doc_id, title, CASE WHEN role = 'exact' AND (SELECT count(*) FROM l WHERE l.doc_id = c.doc_id) = 1 THEN 'exact' ELSE match_type END, similarity FROM c"""
 
 
 @query("s6_hybrid_search", HYBRID)
 def s6_hybrid_search(spark, sf_dir):
     """Titles and meaning together, with the page selected."""
     found = search.search_rules(_search_tables(spark, sf_dir), None, first_vector(spark, sf_dir), 0.0, 10)
-    titles = table(spark, sf_dir, "part").filter("p_partkey > 60").select(F.concat(F.lit("d"), F.col("p_partkey")).alias("doc_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("category"))
-    hits = search.hybrid_search(titles, found, titles, "red", limit=5)
+    titles = spark.sql(TITLES.replace("FROM part", "FROM {p}"), p=table(spark, sf_dir, "part"))
+    hits = search.hybrid_search(titles, found, titles, "red", limit=5, order=("place",))
     return hits.select("role", "place", "doc_id", "title", "match_type", F.round("similarity", 6).alias("similarity"))

@@ -30,24 +30,72 @@ TABLES: dict[str, T.StructType] = {
     "combatants": _struct("id string, session_id string, type string, allegiance string, player_id int, mob_definition_id string, name string, max_hp int, current_hp int, initiative_base int, initiative_roll int, is_active_turn bool"),
     "combatant_conditions": _struct("id string, combatant_id string, condition_type string, level int, source string, duration_type string, duration_remaining int"),
     "combatant_statuses": _struct("id string, combatant_id string, status_type string, source string, duration_rounds int"),
-    "rule_pages": _struct("id string, doc_id string, source_url string, url_hash string, canonical_slug string, title string, category string, resolved_category string, page_state string, is_unresolved bool, normalized_content string, content_hash string, version int, metadata string, deleted_at time"),
-    "rule_chunks": _struct("id string, chunk_id string, page_id string, version int, chunk_index int, title string, category string, chunk_text string, char_start int, char_end int, embedding float[], is_active bool, metadata string"),
+    "rule_pages": _struct("id string, doc_id string, source_item_id string, source_url string, url_hash string, canonical_slug string, title string, category string, resolved_category string, subcategory string, page_state string, is_unresolved bool, resolution_confidence string, normalized_content string, content_hash string, parser_version string, scraper_version string, source_snapshot_at time, version int, metadata string, last_seen_at time, deleted_at time"),
+    "rule_chunks": _struct("chunk_id string, page_id string, version int, chunk_index int, title string, category string, resolved_category string, heading string, chunk_text string, char_start int, char_end int, is_unresolved bool, metadata string, embedding float[], embedding_model string, embedded_at time, is_active bool"),
 }
 
 # The skills every character has, with their three attributes.
-TALENTS = """
-Alchemie MU KL FF; Bekehren & Überzeugen MU KL CH; Betören MU CH CH; Boote & Schiffe FF GE KK; Brett & Glücksspiel KL KL IN;
-Einschüchtern MU IN CH; Etikette MU IN CH; Fährtensuchen MU IN CH; Fahrzeuge CH FF KO; Fesseln KL FF KK; Fischen & Angeln FF GE KO;
-Fliegen MU IN GE; Gassenwissen KL IN CH; Gaukeleien MU CH FF; Geographie KL KL IN; Geschichtswissen KL KL IN; Götter & Kulte KL KL IN;
-Handel KL IN CH; Heilkunde: Gift MU KL IN; Heilkunde: Krankheiten MU IN KO; Heilkunde: Wunden KL FF FF; Heilkunde: Seele IN CH KO;
-Holzbearbeitung FF GE KK; Klettern MU GE KK; Körperbeherrschung GE GE KO; Kraftakt KO KK KK; Kriegskunst MU KL IN;
-Lebensmittelbearbeitung IN FF FF; Lederbearbeitung FF GE KO; Magiekunde KL KL IN; Malen & Zeichnen IN FF FF; Mechanik KL KL FF;
-Menschenkenntnis KL IN CH; Metallbearbeitung FF KO KK; Musizieren CH FF KO; Orientierung KL IN IN; Pflanzenkunde KL FF KO;
-Rechnen KL KL IN; Rechtskunde KL KL IN; Reiten CH GE KK; Sagen & Legenden KL KL IN; Schlösserknacken IN FF FF; Schwimmen GE KO KK;
-Selbstbeherrschung MU MU KO; Singen KL CH KO; Sinnesschärfe KL IN IN; Spährenkunde KL KL IN; Steinbearbeitung FF FF KK;
-Sternkunde KL KL IN; Stoffbearbeitung KL FF FF; Tanzen KL CH GE; Taschendiebstahl MU FF GE; Tierkunde MU MU CH; Überreden MU IN CH;
-Verbergen MU IN GE; Verkleiden IN CH GE; Wildnisleben MU GE KO; Willenskraft MU IN CH; Zechen KL KO KK
-"""
+TALENTS = (
+    ("Alchemie", "MU", "KL", "FF"),
+    ("Bekehren & Überzeugen", "MU", "KL", "CH"),
+    ("Betören", "MU", "CH", "CH"),
+    ("Boote & Schiffe", "FF", "GE", "KK"),
+    ("Brett & Glücksspiel", "KL", "KL", "IN"),
+    ("Einschüchtern", "MU", "IN", "CH"),
+    ("Etikette", "MU", "IN", "CH"),
+    ("Fährtensuchen", "MU", "IN", "CH"),
+    ("Fahrzeuge", "CH", "FF", "KO"),
+    ("Fesseln", "KL", "FF", "KK"),
+    ("Fischen & Angeln", "FF", "GE", "KO"),
+    ("Fliegen", "MU", "IN", "GE"),
+    ("Gassenwissen", "KL", "IN", "CH"),
+    ("Gaukeleien", "MU", "CH", "FF"),
+    ("Geographie", "KL", "KL", "IN"),
+    ("Geschichtswissen", "KL", "KL", "IN"),
+    ("Götter & Kulte", "KL", "KL", "IN"),
+    ("Handel", "KL", "IN", "CH"),
+    ("Heilkunde: Gift", "MU", "KL", "IN"),
+    ("Heilkunde: Krankheiten", "MU", "IN", "KO"),
+    ("Heilkunde: Wunden", "KL", "FF", "FF"),
+    ("Heilkunde: Seele", "IN", "CH", "KO"),
+    ("Holzbearbeitung", "FF", "GE", "KK"),
+    ("Klettern", "MU", "GE", "KK"),
+    ("Körperbeherrschung", "GE", "GE", "KO"),
+    ("Kraftakt", "KO", "KK", "KK"),
+    ("Kriegskunst", "MU", "KL", "IN"),
+    ("Lebensmittelbearbeitung", "IN", "FF", "FF"),
+    ("Lederbearbeitung", "FF", "GE", "KO"),
+    ("Magiekunde", "KL", "KL", "IN"),
+    ("Malen & Zeichnen", "IN", "FF", "FF"),
+    ("Mechanik", "KL", "KL", "FF"),
+    ("Menschenkenntnis", "KL", "IN", "CH"),
+    ("Metallbearbeitung", "FF", "KO", "KK"),
+    ("Musizieren", "CH", "FF", "KO"),
+    ("Orientierung", "KL", "IN", "IN"),
+    ("Pflanzenkunde", "KL", "FF", "KO"),
+    ("Rechnen", "KL", "KL", "IN"),
+    ("Rechtskunde", "KL", "KL", "IN"),
+    ("Reiten", "CH", "GE", "KK"),
+    ("Sagen & Legenden", "KL", "KL", "IN"),
+    ("Schlösserknacken", "IN", "FF", "FF"),
+    ("Schwimmen", "GE", "KO", "KK"),
+    ("Selbstbeherrschung", "MU", "MU", "KO"),
+    ("Singen", "KL", "CH", "KO"),
+    ("Sinnesschärfe", "KL", "IN", "IN"),
+    ("Spährenkunde", "KL", "KL", "IN"),
+    ("Steinbearbeitung", "FF", "FF", "KK"),
+    ("Sternkunde", "KL", "KL", "IN"),
+    ("Stoffbearbeitung", "KL", "FF", "FF"),
+    ("Tanzen", "KL", "CH", "GE"),
+    ("Taschendiebstahl", "MU", "FF", "GE"),
+    ("Tierkunde", "MU", "MU", "CH"),
+    ("Überreden", "MU", "IN", "CH"),
+    ("Verbergen", "MU", "IN", "GE"),
+    ("Verkleiden", "IN", "CH", "GE"),
+    ("Wildnisleben", "MU", "GE", "KO"),
+    ("Willenskraft", "MU", "IN", "CH"),
+    ("Zechen", "KL", "KO", "KK"),
+)
 
 # Maneuvers, with the technique they need and what they change.
 MANEUVERS = (
@@ -68,8 +116,7 @@ FILE_CATEGORIES = (("conditions", "condition"), ("status", "status"), ("wound",
 
 def talents(spark: SparkSession) -> DataFrame:
     """(name, stat1, stat2, stat3) of the skills."""
-    rows = [tuple(line.strip().rsplit(" ", 3)) for line in TALENTS.strip().split(";")]
-    return spark.createDataFrame(rows, "name string, stat1 string, stat2 string, stat3 string")
+    return spark.createDataFrame(list(TALENTS), "name string, stat1 string, stat2 string, stat3 string")
 
 
 def maneuvers(spark: SparkSession) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,13 @@ def test_documents_without_any_information(spark):
     reason = lambda **k: spark.range(1).select(chunks.exclude_reason(k.get("n", F.lit("")), k.get("b", none), k.get("p", F.lit("")), k.get("d", F.lit(None).cast("string")), F.lit(" ")).alias("r")).first().r
     assert reason() == "no_informational_text" and reason(b=F.array(F.lit(" "))) == "no_informational_text"
     assert reason(n=F.lit("x")) is None and reason(b=F.array(F.lit("x"))) is None and reason(d=F.lit("x")) is None and reason(p=F.lit("k: v")) is None
+
+
+def test_a_text_of_very_many_lines_is_packed_in_seconds(spark):
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(200_000)]
+    text = "\n\n".join(lines)
+    began = time.time()
+    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(chunks.pack(F.col("t"))).alias("c")).select("c.*").collect()
+    assert time.time() - began < 30
+    assert "\n\n".join(r.text for r in rows) == "\n\n".join(x.strip() for x in lines)
+    assert all(len(r.text) <= 1400 and text[r.start : r.end].split() == r.text.split() for r in rows)

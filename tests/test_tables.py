@@ -380,3 +380,24 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
         q = fights.fights(stream, 4, 30).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert last == batch and any(v[2] == "ENDED" for v in batch.values())
+
+
+def test_the_last_row_of_a_repeated_address_counts(spark):
+    """A page index that names an address twice gives one row, of the last that should have
+    a record."""
+    index = spark.createDataFrame(
+        [("u", "a", None, "a", "content", ["s"], "low", None, "p1", 0), ("u", "b", None, "b", "content", ["t"], "low", None, "p2", 1), ("u", "c", None, "c", "crawl_only", ["t"], "low", None, "p3", 2), ("v", "a", None, "a", "content", [], "low", None, "p4", 0), ("", "a", None, "a", "content", [], "low", None, "p5", 0)],
+        "url string, category string, provisional_category string, resolved_category string, page_state string, crawl_sources array<string>, resolution_confidence string, resolution_evidence array<string>, filepath string, position int",
+    )
+    item = "struct<id:string,name:string,category:string,breadcrumbs:array<string>,subcategory:string,description:string,resolution_confidence:string,resolution_evidence:array<string>>"
+    emitted = spark.createDataFrame([("u", "b", 0, ("1", "first", "b", [], None, "d", "x", [])), ("u", "b", 1, ("1", "second", "b", [], None, "d", "x", [])), ("w", "unresolved", 0, ("2", "n", "b", [], None, "d", "x", []))], f"url string, category string, file_order int, item {item}")
+    done = spark.createDataFrame([("u",), ("u",), ("x",)], "url string")
+    failed = spark.createDataFrame([("y", "http 404")], "url string, error string")
+    found = {r.url: r for r in audit.url_inventory(index, emitted, done, failed, F.lit("r")).collect()}
+    assert sorted(found) == ["u", "v", "w", "x", "y"]
+    assert (found["u"].resolved_category, found["u"].raw_html_path, found["u"].title, found["u"].is_duplicate) == ("b", "p2", "first", True)
+    assert (found["y"].http_status, found["y"].fetched, found["x"].fetched, found["x"].parsed) == (404, False, True, False)
+    assert {(r.type, r.url) for r in audit.audit_details(index, emitted, done).collect()} == {("missing_from_json", "v"), ("orphan_json", "w"), ("completed_without_page_index", "x")}
+    # of one category: the address's last row of that category, and unresolved records of its pages alone
+    assert [r.filepath for r in audit.expected(index, ["a"]).orderBy("filepath").collect()] == ["p1", "p4"]
+    assert audit.emitted_rows(emitted, index, ["c"]).count() == 0

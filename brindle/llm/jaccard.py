@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.arrow import lists, slices
+from brindle.llm.arrow import lists, slices, small_batches
 from brindle.llm.columns import numbered
 from brindle.llm.components import components
 from brindle.llm.shingles import mix, shingle_sets
@@ -56,8 +56,9 @@ from brindle.llm.work import Work
 
 #: log2 of the hash buckets that count shingles, and of those sent in one row.
 BUCKETS, CHUNK = 22, 16
-#: log2 of the bits of the filter that says which documents' sets are wanted.
-WANTED = 23
+#: log2 of the least and of the greatest number of bits of the filter that says which
+#: documents' sets are wanted; it has some eight for each.
+WANTED = (16, 27)
 #: Leaders that a set is compared with at most, and the length of a list from which
 #: on its members are compared however few lists they share with the leader.
 ASKED, LONG = 2, 16
@@ -158,21 +159,40 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarra
 def _sets_of(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """(h1, h2, shingles) of the documents whose h1 may be among ``wanted``.
 
-    What is sent to the tasks is a filter of 2**WANTED bits, whatever the number
-    wanted; the join with the exact classes drops what slips through."""
-    bits = np.zeros(1 << WANTED, dtype=np.uint8)
-    place = F.shiftrightunsigned("h1", 64 - WANTED)
-    rows = wanted.select(F.shiftright(place, 13).cast("int").alias("row"), (place % 8192).cast("int").alias("bit")).groupBy("row").agg(F.collect_set("bit").alias("bits"))
-    for r in rows.toLocalIterator():
-        bits[np.asarray(r["bits"], dtype=np.int64) + r["row"] * 8192] = 1
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    What is sent to the tasks is a filter of about eight bits for each one wanted, made in
+    tasks as packed rows; the join with the exact classes drops what slips through.  Of more
+    than 2**(WANTED[1] - 3) wanted, more and more slip through."""
+    spark, count = docs.sparkSession, wanted.count()
+    bits = min(max(count.bit_length() + 3, WANTED[0]), WANTED[1])
+    place = F.shiftrightunsigned("h1", 64 - bits)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, own = None, np.zeros(1 << CHUNK, dtype=np.uint8)
+        for batch in batches:
+            rows, places = (np.asarray(c) for c in batch.columns)
+            for k in np.unique(rows).tolist():
+                if row is not None and k != row:
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["row", "bits"])
+                    own[:] = 0
+                row = k
+                own[places[rows == k]] = 1
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["row", "bits"])
+
+    placed = wanted.select(F.shiftright(place, CHUNK).cast("int").alias("row"), (place % (1 << CHUNK)).cast("int").alias("bit"))
+    whole = np.zeros((1 << (bits - CHUNK), (1 << CHUNK) // 8), dtype=np.uint8)
+    # at most 2**(WANTED[1] - CHUNK) rows of 2**CHUNK bits
+    for r in placed.repartition("row").sortWithinPartitions("row").mapInArrow(pack, "row int, bits binary").collect():
+        whole[r["row"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    sent = spark.sparkContext.broadcast(whole.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8))
+        own = np.frombuffer(sent.value, dtype=np.uint8)
         for batch, texts in slices(batches):
             sets = shingle_sets(texts, words)
             h1, h2 = _identity(sets)
-            keep = np.flatnonzero(own[(h1.to_numpy().view(np.uint64) >> np.uint64(64 - WANTED)).astype(np.int64)]).tolist()
+            at = (h1.to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            keep = np.flatnonzero(own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
             if keep:
                 out = [sets[i].view(np.int64) for i in keep]
                 yield pa.RecordBatch.from_arrays([_ids(batch).take(pa.array(keep)), h1.take(pa.array(keep)), h2.take(pa.array(keep)), lists(np.concatenate(out), [len(x) for x in out])], ["doc_id", "h1", "h2", "shingles"])
@@ -189,6 +209,7 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, num: int, den: int):
         self.docs, self.words, self.num, self.den = docs, words, num, den
         self.work = Work(docs.sparkSession)
+        small_batches(docs.sparkSession)
 
     def links(self, overlap: Column, n: Column, m: Column) -> Column:
         return self.den * overlap >= self.num * (n + m - overlap)
@@ -325,7 +346,7 @@ class _Join:
 
         def entries(rows: DataFrame, least: Column, side: str) -> DataFrame:
             head = F.slice("delta", F.lit(1), F.col("d") - F.greatest(least, F.lit(1)) + 1)
-            out = rows.filter("d > 0").select("ref", "node", "comp", "n", "d", "far", "delta", F.posexplode(head).alias("pos", "token"))
+            out = rows.filter("d > 0").select("ref", "node", "comp", "n", "d", "far", F.posexplode(head).alias("pos", "token"))
             return out.select(*(F.col(k).alias(f"{side}_{k}") for k in out.columns))
 
         x, y = entries(close.filter("far"), least_x, "x"), entries(close, least_y, "y")
@@ -334,11 +355,12 @@ class _Join:
         twice = xd + yd - (xn + yn) + 2 * _needed(xn, yn, num, den)
         room = F.least("x_pos", "y_pos") + 1 + F.least(xd - F.col("x_pos") - 1, yd - F.col("y_pos") - 1)
         once = ~F.col("y_far") | (F.col("x_node") < F.col("y_node"))
-        # a pair is judged where it meets, and given once: at the first difference it shares
-        both = F.array_intersect("x_delta", "y_delta")
-        judged = (2 * room >= twice) & (2 * F.size(both) >= twice) & (F.get(both, F.lit(0)) == F.col("x_token"))
-        met = x.join(y, (F.col("x_ref") == F.col("y_ref")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") != F.col("y_comp")) & once & judged)
-        out = self.work.saved(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+        # keys and positions meet; the differences are fetched once for each pair that is left
+        met = x.join(y, (F.col("x_ref") == F.col("y_ref")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") != F.col("y_comp")) & once & (2 * room >= twice))
+        pairs = met.select("x_node", "y_node", "x_n", "y_n", "x_d", "y_d").distinct()
+        dx, dy = (close.select(F.col("node").alias(f"{k}_node"), F.col("delta").alias(f"{k}_delta")) for k in "xy")
+        judged = pairs.join(dx, "x_node").join(dy, "y_node").filter(2 * F.size(F.array_intersect("x_delta", "y_delta")) >= twice)
+        out = self.work.saved(judged.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
         self.work.drop(close)
         return out
 
@@ -351,7 +373,17 @@ class _Join:
         # any two linked sets are in the same size class or in neighbouring ones
         size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(den / num)) + 1e-9)
         keyed = rest.withColumn("sc", size_class(F.col("n")))
+        # lists are cut in blocks of positions, too: linked sets can be shifted against one
+        # another by what either may have that the other has not
+        ratio = F.lit(den / num)
+        width = lambda sc: F.greatest(F.lit(1), F.floor((den - num) * F.pow(ratio, sc + 1) / F.lit(num + den))).cast("int")
+        keyed = keyed.withColumn("block", F.floor(F.col("pos") / width(F.col("sc"))).cast("int"))
         x = keyed.filter("comp <> c0").select(*(F.col(c).alias(f"x_{c}") for c in keyed.columns)).withColumn("near", F.explode(F.array(F.col("x_sc") - 1, F.col("x_sc"), F.col("x_sc") + 1)))
+        after = (den * F.pow(ratio, F.col("near") + 1) - num * F.col("x_n")) / F.lit(num + den) + 1
+        before = (den * F.col("x_n") - num * F.pow(ratio, F.col("near"))) / F.lit(num + den) + 1
+        low = F.floor(F.greatest(F.col("x_pos") - before, F.lit(0)) / width(F.col("near"))).cast("int")
+        high = F.floor((F.col("x_pos") + after) / width(F.col("near"))).cast("int")
+        x = x.withColumn("at", F.explode(F.when((before >= 0) & (high >= low), F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))))
         y = keyed.select(*(F.col(c).alias(f"y_{c}") for c in keyed.columns))
         xn, yn = F.col("x_n"), F.col("y_n")
         need = _needed(xn, yn, num, den)
@@ -366,7 +398,7 @@ class _Join:
         most = first_end(xn - F.col("x_lone"), yn - F.col("y_lone"))
         sized = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & (room >= need) & (most >= need)
         known = (F.col("x_ref") == F.col("y_ref")) & F.col("x_close") & F.col("y_close")
-        met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("near") == F.col("y_sc")) & (F.col("x_comp") != F.col("y_comp")) & once & sized & ~F.coalesce(known, F.lit(False)))
+        met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("near") == F.col("y_sc")) & (F.col("at") == F.col("y_block")) & (F.col("x_comp") != F.col("y_comp")) & once & sized & ~F.coalesce(known, F.lit(False)))
         # shingles past the prefix that ends first in the global order can still be shared
         past = first_end(xn - F.col("x_p"), yn - F.col("y_p"))
         xo, yo, same = F.col("x_overlap"), F.col("y_overlap"), F.col("x_ref") == F.col("y_ref")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.arrow import lists, slices
+from brindle.llm.arrow import lists, slices, small_batches
 from brindle.llm.columns import numbered
 
 # Fixed value: the public pre-token pattern of byte-level vocabularies.
@@ -308,6 +308,7 @@ def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch
 
 def _encoded(df: DataFrame, vocabulary: str, text: str, ids: str, decoded: str | None) -> DataFrame:
     source = read_vocabulary(df.sparkSession, vocabulary)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(source.value)

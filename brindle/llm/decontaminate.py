@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.arrow import slices
+from brindle.llm.arrow import slices, small_batches
 from brindle.llm.columns import numbered
 from brindle.llm.work import Work
 
@@ -167,6 +167,7 @@ def blocks_of(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tupl
 def _passed(docs: DataFrame, items: DataFrame, step) -> DataFrame:
     """``docs`` after step(docs, block) for every block of items, written between."""
     work, first = Work(docs.sparkSession), True
+    small_batches(docs.sparkSession)
     for block in blocks_of(items):
         docs = step(docs if first else work.saved(docs), docs.sparkSession.sparkContext.broadcast(block))
         first = False

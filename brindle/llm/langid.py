@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.arrow import slices
+from brindle.llm.arrow import slices, small_batches
 from brindle.llm.columns import numbered
 
 #: Length of the vectors, seed of the letters, rows bundled at a time.
@@ -135,6 +135,7 @@ class Profiles:
 
 def learn(labelled: DataFrame) -> Profiles:
     """Profiles of the languages in columns text and lang."""
+    small_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -199,6 +200,7 @@ def label(docs: DataFrame, known: Profiles, share: float = SHARE) -> DataFrame:
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(names, pa.string()))
             yield batch.filter(pa.array(native))
 
+    small_batches(docs.sparkSession)
     rows = numbered(docs, "text", "lang")
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 

@@ -40,13 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.llm.arrow import slices
+from brindle.llm.arrow import slices, small_batches
 from brindle.llm.packing import binaries, gaps, packed, unpacked
 from brindle.llm.work import Work
 
 #: Postings of a block and (about) of a segment; results of an item; characters of the
 #: items that are searched together and sent to the tasks.
-BLOCK, SEGMENT, K, ITEM_CHARS = 128, 2_000_000, 50, 500_000
+BLOCK, SEGMENT, K, ITEM_CHARS = 128, 1_500_000, 50, 500_000
 #: Documents scored together at most.
 RUN = 4096
 _INDEX = "segment string, term string, first int, last int, n int, total long, impacts binary, docs binary, tfs binary"
@@ -133,6 +133,8 @@ def build_index(docs: DataFrame, work: Work) -> DataFrame:
     """The index of all rows, a written table: a row for each segment (term is null) and each
     block of postings."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, segment = TaskContext.get().partitionId(), 0, _Builder()
         for batch, texts in slices(batches):

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.arrow import lists, slices
+from brindle.llm.arrow import lists, slices, small_batches
 from brindle.llm.packing import binaries, gaps, packed, unpacked
 from brindle.llm.shingles import mix, words_of
 from brindle.llm.work import Work
@@ -50,6 +50,8 @@ SIZE, BLOCK = 50, 25
 #: Buckets of hashes for each shuffle partition (hashed buckets spread evenly), and the
 #: windows of one bucket, which a task holds at once, that more buckets are made for.
 SPREAD, HELD = 4, 1_000_000
+#: Characters of a slice of documents, about.
+SLICE = 2_000_000
 #: Ids of wanted texts that are sent to the tasks at most.
 SENT = 2_000_000
 _RNG = np.random.default_rng(20_25)
@@ -121,7 +123,7 @@ def _probes(known: DataFrame, buckets: int) -> DataFrame:
     class), the other windows and the anchors once more, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (batch, texts) in enumerate(slices(batches)):
+        for k, (batch, texts) in enumerate(slices(batches, size=SLICE)):
             name = f"{TaskContext.get().partitionId()}.{k}"
             words, counts = words_of(texts)
             edges = np.concatenate(([0], np.cumsum(counts)))
@@ -242,7 +244,7 @@ def _windows(docs: DataFrame, buckets: int) -> DataFrame:
     and the greatest id that has them in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (batch, texts) in enumerate(slices(batches)):
+        for k, (batch, texts) in enumerate(slices(batches, size=SLICE)):
             name = f"{TaskContext.get().partitionId()}.{k}"
             ids = np.asarray(batch.column("doc_id"))
             words, counts = words_of(texts)
@@ -354,6 +356,7 @@ def repeats(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2, ranges) of the documents that lose some words, and (doc_id, h1, h2,
     n_words) of the copies, which lose all: a row for each id and sequence of words."""
     spark = docs.sparkSession
+    small_batches(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = _identified(docs).filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= SIZE))
     seen = work.saved(known.select("doc_id", "h1", "h2", "n_words"))

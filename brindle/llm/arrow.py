@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import SparkSession
 
 #: Rows and text characters of one slice of a batch; bounds a task's memory.
-SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -25,6 +26,22 @@ def small_batches(spark: SparkSession) -> None:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Pieces of the batches, of about ``size`` characters at most, with the texts of each
     piece; null texts come as ''."""
+    try:
+        yield from _slices(batches, text, size)
+    finally:
+        _give_back()
+
+
+def _give_back() -> None:
+    """Returns what a finished task has freed to the machine: Spark keeps its Python workers
+    for further tasks, and several of them share a machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         if not len(column):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import tracemalloc
 import zlib
 
@@ -188,3 +189,56 @@ def test_nothing_to_learn_from():
 def test_toxicity_query(spark, sf):
     rows = QUERIES["op8_toxicity"](spark, sf).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == HELD(r.doc_id) for r in rows)
+
+
+def plain_score(net, text):
+    """The greatest window score of a text, window by window and word by word."""
+    w, mask = net.w, (1 << 64) - 1
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        codes = [ord(c) for c in f"\x02{word}\x03"]
+        whole = sum(c * pow(0xC4CEB9FE1A85EC53, i + 1, 1 << 64) for i, c in enumerate(codes)) & mask
+        grams = []
+        for n in (3, 4, 5):
+            for i in range(len(codes) - n + 1):
+                code = 0
+                for c in codes[i : i + n]:
+                    code = (code * 0x9E3779B97F4A7C15 + c) & mask
+                grams.append(((code * 0xD1B54A32D192ED03 & mask) >> 40) % toxicity.GRAMS)
+        return np.concatenate((w["word"][(whole >> 37) % toxicity.WORDS], np.mean([w["gram"][g] for g in grams], axis=0)))
+
+    def read(d, vectors):
+        h, out, size = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for v in vectors if d == "l" else vectors[::-1]:
+            x, g = v @ w[f"x{d}"] + w[f"b{d}"], h @ w[f"h{d}"]
+            r, z = sigmoid(x[:size] + g[:size]), sigmoid(x[size : 2 * size] + g[size : 2 * size])
+            h = (1 - z) * np.tanh(x[2 * size :] + r * g[2 * size :]) + z * h
+            out.append(h)
+        return out if d == "l" else out[::-1]
+
+    words = re.findall(r"\w+", text.lower())
+    starts = list(range(0, max(1, len(words) - toxicity.WINDOW), toxicity.STRIDE)) + ([len(words) - toxicity.WINDOW] if len(words) > toxicity.WINDOW else [])
+    known = {x: vector(x) for x in set(words)}
+    best = -np.inf
+    for s in starts:
+        window = [known[x] for x in words[s : s + toxicity.WINDOW]]
+        if not window:
+            best = max(best, float(w["bias"][0]))
+            continue
+        states = np.concatenate((read("l", window), read("r", window)), axis=1)
+        weight = np.exp(np.clip(np.tanh(states @ w["att"]) @ w["key"], -30, 30))
+        best = max(best, float((weight / weight.sum()) @ states @ w["out"] + w["bias"][0]))
+    return sigmoid(best)
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.fit(*toxicity.sample(docs, labels))
+    got = {r.doc_id: r.score for r in QUERIES["op8_toxicity"](spark, sf).collect()}
+    rows = [r for r in docs.orderBy("doc_id").collect()][::3]
+    for r in rows:
+        assert abs(got[r.doc_id] - plain_score(net, r.text or "")) < 1e-4
+    odd = ["", "one", " ".join(["word"] * 20), " ".join(f"w{i}" for i in range(21)), "é 漢字 😀 x_y"]
+    scores = toxicity.Scorer(net).texts([toxicity.words_of(t) for t in odd])
+    assert all(abs(a - plain_score(net, t)) < 1e-4 for a, t in zip(scores, odd, strict=True))

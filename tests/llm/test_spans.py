@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 import time
@@ -206,3 +208,48 @@ def test_no_python_in_the_plans(spark, sf):
     for q in (pii.op7_pii, secrets.op10_secrets, op5_chat):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_random(text, model, level=0.001, rate=0.01):
+    """(start, end, encoding) of the random runs of a text, run by run in plain Python."""
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * max(-8, min(8, z)) + 0.070565956 * max(-8, min(8, z)) ** 3))
+    rows = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        code = re.sub("=+$", "", m[0]).replace("-", "+").replace("_", "/")
+        name = next((k for k, (shape, _) in secrets.ALPHABETS.items() if re.search(shape, code)), None)
+        if name is None or len(code) < 20 or not re.search("[0-9]", code) or not re.search("[A-Za-z]", code):
+            continue
+        alphabet, own = secrets.ALPHABETS[name][1], code.lower() if name == "hex" else code
+        n, size = len(own), len(alphabet)
+        chi = sum(own.count(c) ** 2 for c in alphabet) * size / n - n
+        spread = 2 / (9 * (size - 1))
+        first = tail(((max(chi, 0) / (size - 1)) ** (1 / 3) - (1 - spread)) / spread**0.5)
+        d = [alphabet.index(c) - (size - 1) / 2 for c in own]
+        high, runs = sum(x > 0 for x in d), 1 + sum((a > 0) != (b > 0) for a, b in itertools.pairwise(d))
+        mean = 2 * high * (n - high) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        second = 2 * tail(abs(runs - mean) / var**0.5) if var > 0 else 0
+        about, s = sum(x * x for x in d) - sum(d) ** 2 / n, sum(d)
+        third = 2 * tail(abs(sum(a * b for a, b in itertools.pairwise(d)) - s * s / n) / about * n**0.5) if about > 0 else 0
+        p = min(1, 3 * min(first, second, third))
+        log_e = sum(len(re.findall(c, code)) * math.log(1 / size / (share / secrets.CLASSES[c])) for c, share in model.items())
+        log_e -= max(0, -math.log(2 * math.sqrt(max(p, 1e-12))))
+        if p >= level:
+            rows.append((m.start(), m.end(), name, log_e))
+    k, total = len(rows), sum(b - a for a, b, _, _ in rows)
+    rows.sort(key=lambda r: (-(r[3] + math.log((r[1] - r[0]) * k / total)), r[0]))
+    best = max((i + 1 for i, r in enumerate(rows) if r[3] + math.log((r[1] - r[0]) * k / total) >= math.log(k / ((i + 1) * rate))), default=0)
+    return sorted(r[:3] for r in rows[:best])
+
+
+def test_random_spans_equal_a_plain_battery(spark, sf):
+    rng = random.Random(17)
+    token = lambda: rng.choice([base64.b64encode(rng.randbytes(rng.randint(14, 40))).decode(), rng.randbytes(rng.randint(8, 24)).hex().upper(), base64.b32encode(rng.randbytes(20)).decode(), base64.urlsafe_b64encode(rng.randbytes(18)).decode(), "a1" * 14, "getElementById2InDocument", "2024-01-01_some-report_v2_final", "x" * 30 + "1"])
+    texts = [" ".join(rng.choice([token(), "word", "and"]) for _ in range(rng.randint(1, 9))) for _ in range(120)] + ["", "none"]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    model = {"[a-z]": 0.8, "[A-Z]": 0.1, "[0-9]": 0.07, "[+/]": 0.03}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    found = df.select("i", secrets.random_spans(F.col("text"), model=model).alias("r")).collect()
+    got = {r.i: sorted((s.start, s.end, s.encoding) for s in r.r) for r in found}
+    assert got == {i: plain_random(t or "", model) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 60

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from brindle.functions import addresses
 from brindle.functions.html import skipped
 
-# Class names and ids of the page layout, the site's title suffix, the
-# heading of extensions, the label whose value is the description, marks of filters.
+# Class names and ids of the page layout, the heading of extensions, the label whose value is the description, marks of filters.
 HEADER, BODY, LABEL, SECTION, RULE, INNER = "header", "body", "spalte1", "body_einzeln", "line_separator", "ce_text"
-SUFFIX, EXTENSIONS, EFFECT = " - DSA Regel-Wiki", "Zaubererweiterungen", "Wirkung"
+EXTENSIONS, EFFECT = "Zaubererweiterungen", "Wirkung"
 FILTER_MARKS = ("[Alle]", "Publikation", "Tradition", "Leiteigenschaft")
 LONG, SUBSTANTIVE = 40, 80
 FOLLOW, HUB, LISTING = 3, 5, 10
@@ -136,13 +135,17 @@ def content_area(root: Element) -> Element:
     return root.find("div", id="main") or root.find("div", "inside") or root.find("div", BODY) or root.find("main") or root.find("body") or root
 
 
-def name_of(root: Element) -> str:
+def _titled(title: Element | None, site_name: str) -> str:
+    """A title without the site's name at its end."""
+    return title.text("").removesuffix(f" - {site_name}" if site_name else "").strip() if title else ""
+
+
+def name_of(root: Element, site_name: str = "") -> str:
     """The first header or heading, else the title without the site's suffix."""
     head = next((e for e in root.all() if e.tag == "h1" or (e.tag == "div" and e.has_class(HEADER))), None)
     if head and len(text := head.text()) > 1:
         return text
-    title = root.find("title")
-    return title.text("").removesuffix(SUFFIX).strip() if title else ""
+    return _titled(root.find("title"), site_name)
 
 
 def labelled(root: Element) -> list[tuple[str, Element]]:
@@ -201,11 +204,11 @@ RECORD = "name string, breadcrumbs array<string>, subcategory string, properties
 _NO_RECORD = {"name": None, "breadcrumbs": [], "subcategory": None, "properties": [], "description": None, "extensions": [], "error": None}
 
 
-def record_of(page: str) -> dict:
+def record_of(page: str, site_name: str = "") -> dict:
     root = parsed(page)
     crumbs = breadcrumbs_of(root)
     return _NO_RECORD | {
-        "name": name_of(root),
+        "name": name_of(root, site_name),
         "breadcrumbs": crumbs,
         "subcategory": crumbs[-2] if len(crumbs) > 1 else None,
         "properties": [{"k": k, "v": v} for k, v in properties_of(root).items()],
@@ -214,8 +217,8 @@ def record_of(page: str) -> dict:
     }
 
 
-def record(html: Column) -> Column:
-    """The record of each page (X8); a null page is empty, one that fails has its
+def record(html: Column, site_name: str = "") -> Column:
+    """The record of each page (X8) of the site of that name; a null page is empty, one that fails has its
     error instead of a record."""
 
     @F.pandas_udf(RECORD)
@@ -223,7 +226,7 @@ def record(html: Column) -> Column:
         rows = []
         for page in pages:
             try:
-                rows.append(record_of(page or ""))
+                rows.append(record_of(page or "", site_name))
             except Exception as e:  # noqa: BLE001  a page that cannot be read is a row with its error
                 rows.append(_NO_RECORD | {"error": str(e)})
         return pd.DataFrame(rows, columns=list(_NO_RECORD))
@@ -238,7 +241,7 @@ def _is_link(href: str, site: str) -> bool:
     return bool(href) and not href.startswith(("#", "mailto:")) and (site in href or not href.startswith("http"))
 
 
-def features_of(page: str, site: str, labels: tuple[str, ...]) -> dict:
+def features_of(page: str, site: str, labels: tuple[str, ...], site_name: str = "") -> dict:
     root = parsed(page)
     select = root.find("select")
     boxes = [e for e in root.all() if e.has_class("filter_einzeln")]
@@ -255,13 +258,13 @@ def features_of(page: str, site: str, labels: tuple[str, ...]) -> dict:
         "has_properties": bool(body and body.find("div", LABEL)),
         "has_text": bool(paragraphs_of(root, SUBSTANTIVE)),
         "has_labels": any(m.lower() in text for m in labels),
-        "has_name": bool(title and title.text("").removesuffix(SUFFIX).strip()) or bool(name_of(root)),
+        "has_name": bool(_titled(title, site_name) or name_of(root, site_name)),
         "n_links": sum(_is_link(h, site) for h in links),
         "hrefs": [h for e in root.find_all("a") if (h := e.attrs.get("href"))],
     }
 
 
-def features(html: Column, site: str, labels: list[str]) -> Column:
+def features(html: Column, site: str, labels: list[str], site_name: str = "") -> Column:
     """What a page's class is decided from; ``site`` is the address that internal links
     start with, ``labels`` are words that mark content.  n_all_links counts the page's links
     but those that a crawl of the site skips."""
@@ -269,7 +272,7 @@ def features(html: Column, site: str, labels: list[str]) -> Column:
 
     @F.pandas_udf(FEATURES)
     def udf(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([features_of(p or "", site, marks) for p in pages], columns=names)
+        return pd.DataFrame([features_of(p or "", site, marks, site_name) for p in pages], columns=names)
 
     counted = lambda f: F.size(F.filter(F.transform(f.hrefs, lambda h: addresses.absolute(F.lit(site), h)), lambda u: ~skipped(u, site)))
     return addresses.let(udf(html), lambda f: f.withField("n_all_links", counted(f)).dropFields("hrefs"))
@@ -292,12 +295,12 @@ def page_class(found: Column) -> Column:
     return addresses.let(found, of)
 
 
-def is_noise(url: Column, name: Column, breadcrumbs: Column, n_properties: Column) -> Column:
-    """Pages that are no record (C13): the search page, the welcome page, the root, and
-    pages with nothing but the first breadcrumb."""
+def is_noise(url: Column, name: Column, breadcrumbs: Column, n_properties: Column, site_name: str, search: str, welcome: str) -> Column:
+    """Pages that are no record (C13): the site's search page (titled ``search``) and welcome
+    page (its title begins with ``welcome``), the root, and pages with nothing but the
+    site's name as breadcrumb."""
     title = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    # Titles and breadcrumb of the site's own pages.
-    own = (title == "suche") | title.startswith("willkommen auf der seite der dsa-regel-wiki")
+    own = (title == search.lower()) | title.startswith(welcome.lower())
     root = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).isin("", "/")
-    only = (F.array_join(breadcrumbs, "\x01") == "DSA Regel-Wiki") & (F.size(breadcrumbs) == 1)
+    only = (F.array_join(breadcrumbs, "\x01") == site_name) & (F.size(breadcrumbs) == 1)
     return own | root | (F.coalesce(only, F.lit(False)) & (F.coalesce(n_properties, F.lit(0)) == 0))

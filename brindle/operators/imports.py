@@ -10,8 +10,8 @@ from brindle.operators.chunks import build_chunks
 from brindle.operators.mutations import last_of, snapshot, swap, upsert
 from brindle.sources import schemas
 
-# Names of missing things, and versions written to the rows.
-UNTITLED, GENERAL, SCRAPER, PARSER = "Untitled Rule", "general", "dsa_scraper_v3", "export_embeddings_v1"
+# Names of missing things; versions written to the rows where none are given.
+UNTITLED, GENERAL, SCRAPER, PARSER = "Untitled Rule", "general", "scraper_v3", "export_embeddings_v1"
 
 
 LEDGER = "stream string, batch_id long"
@@ -49,7 +49,7 @@ def _pairs(docs: DataFrame) -> Column:
     return F.map_from_arrays(labels, F.transform(labels, last))
 
 
-def page_rows(docs: DataFrame, snapshot_at: Column) -> DataFrame:
+def page_rows(docs: DataFrame, snapshot_at: Column, scraper: str = SCRAPER, parser: str = PARSER) -> DataFrame:
     """A page row for each canonical document (C17), with its metadata as JSON.  The version
     is always 1: versions that count on are sync_rules."""
     content = F.trim(F.coalesce("embedding_text", F.lit("")))
@@ -68,7 +68,7 @@ def page_rows(docs: DataFrame, snapshot_at: Column) -> DataFrame:
         _title().alias("title"), F.trim(F.coalesce(_given("category"), F.lit(GENERAL))).alias("category"), _given("resolved_category").alias("resolved_category"),
         text_of("subcategory").alias("subcategory"), _given("page_state").alias("page_state"), F.coalesce("is_unresolved", F.lit(False)).alias("is_unresolved"),
         text_of("resolution_confidence").alias("resolution_confidence"), content.alias("normalized_content"),
-        text.sha256(content).alias("content_hash"), F.lit(PARSER).alias("parser_version"), F.lit(SCRAPER).alias("scraper_version"), snapshot_at.alias("source_snapshot_at"),
+        text.sha256(content).alias("content_hash"), F.lit(parser).alias("parser_version"), F.lit(scraper).alias("scraper_version"), snapshot_at.alias("source_snapshot_at"),
         F.lit(1).alias("version"), metadata.alias("metadata"), snapshot_at.alias("last_seen_at"), F.lit(None).cast("timestamp").alias("deleted_at"),
     )
 
@@ -169,7 +169,7 @@ def import_batch(folder: str, docs: DataFrame, batch_id: int, snapshot_at: Colum
     return True
 
 
-def legacy_rows(docs: DataFrame, chunks: DataFrame, snapshot_at: Column | None = None) -> DataFrame:
+def legacy_rows(docs: DataFrame, chunks: DataFrame, snapshot_at: Column | None = None, scraper: str = SCRAPER) -> DataFrame:
     """(title, content, category, source_url, chunk_id, metadata) of each chunk: the title
     says which part of how many it is, and a title that several documents have also
     which document (F9).  An error for a chunk without a document or without doc_id."""
@@ -186,7 +186,7 @@ def legacy_rows(docs: DataFrame, chunks: DataFrame, snapshot_at: Column | None =
     part = F.when(F.col("n_parts") > 1, F.format_string(" (part %d/%d)", index + 1, F.col("n_parts"))).otherwise("")
     title = F.concat(F.col("d.__title"), part, F.when(F.col("d.n_titles") > 1, F.format_string(" [%s]", F.col("doc_id"))).otherwise(""))
     metadata = _json(
-        imported_from=F.lit(SCRAPER), doc_id=F.col("doc_id"), chunk_id=c("chunk_id"), source_item_id=said(d("source_item_id"), c("source_item_id")), chunk_index=index, total_chunks=F.col("n_parts").cast("int"),
+        imported_from=F.lit(scraper), doc_id=F.col("doc_id"), chunk_id=c("chunk_id"), source_item_id=said(d("source_item_id"), c("source_item_id")), chunk_index=index, total_chunks=F.col("n_parts").cast("int"),
         resolved_category=said(d("resolved_category"), c("resolved_category")), subcategory=said(d("subcategory")), page_state=said(d("page_state"), c("page_state")),
         is_unresolved=F.coalesce(d("is_unresolved", "boolean"), F.lit(False)) | F.coalesce(c("is_unresolved", "boolean"), F.lit(False)), resolution_confidence=said(d("resolution_confidence"), c("resolution_confidence")),
         breadcrumbs=F.coalesce(d("breadcrumbs", "array<string>"), c("breadcrumbs", "array<string>"), none), crawl_sources=F.coalesce(d("crawl_sources", "array<string>"), none), raw_html_path=said(d("raw_html_path")),

@@ -61,10 +61,16 @@ def part_titles(rows: DataFrame, title: str, doc: str, part: Column, n_parts: Co
 
 def roster(rows: DataFrame, session: str, order: list[Column], shown: int, alive: Column) -> DataFrame:
     """(session, shown, active, down): how many of the members after the first ``shown``
-    are up and down (E17, F10)."""
-    placed = rows.select(session, alive.alias("__up"), F.row_number().over(W.partitionBy(session).orderBy(*order)).alias("__r"))
-    rest = F.col("__r") > shown
-    return placed.groupBy(session).agg(F.count_if(~rest).alias("shown"), F.count_if(rest & F.col("__up")).alias("active"), F.count_if(rest & ~F.col("__up")).alias("down"))
+    are up and down (E17, F10).
+
+    Members are counted by session; only its first ``shown`` are ever ranked, of which each
+    task leaves no more, and taken off the counts."""
+    told = rows.select(session, alive.alias("__up"), F.row_number().over(W.partitionBy(session).orderBy(*order)).alias("__r"))
+    first = told.filter(F.col("__r") <= shown).groupBy(F.col(session).alias("__s")).agg(F.count("*").alias("shown"), F.count_if("__up").alias("__a"), F.count_if(~F.col("__up")).alias("__d"))
+    counts = rows.groupBy(session).agg(F.count_if(alive).alias("active"), F.count_if(~alive).alias("down"))
+    met = counts.join(first, F.col(session).eqNullSafe(F.col("__s")), "left")
+    off = lambda c, k: (F.col(c) - F.coalesce(F.col(k), F.lit(0))).alias(c)
+    return met.select(session, F.coalesce("shown", F.lit(0)).cast("long").alias("shown"), off("active", "__a"), off("down", "__d"))
 
 
 def tail(log: Column, n: int = 20) -> Column:

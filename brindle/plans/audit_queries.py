@@ -290,8 +290,8 @@ def c15_skipped_urls(spark, sf_dir):
 @query("c13_noise_pages", r"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) IN ('', '/') OR page_id % 50 = 0 AS noise FROM pages")
 def c13_noise_pages(spark, sf_dir):
     name = F.when(F.col("page_id") % 50 == 0, " Suche ").otherwise("a page")
-    crumbs = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("DSA Regel-Wiki"))).otherwise(F.array(F.lit("x"), F.lit("y")))
-    return table(spark, sf_dir, "pages").select("page_id", pages.is_noise(F.col("url"), name, crumbs, F.lit(1)).alias("noise"))
+    crumbs = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("Example Wiki"))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    return table(spark, sf_dir, "pages").select("page_id", pages.is_noise(F.col("url"), name, crumbs, F.lit(1), "Example Wiki", "Suche", "Welcome to").alias("noise"))
 
 
 @query("x8_page_records")

@@ -26,18 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     if not top and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = f"{top or f'file://{tempfile.gettempdir()}/brindle'}/{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    if not _FOLDERS:
+        atexit.register(_remove)
+    _FOLDERS.append((spark, folder))
+    return folder
+
+
+_FOLDERS: list[tuple[SparkSession, str]] = []
 
-    def remove() -> None:
+
+def _remove() -> None:
+    """Deletes the folders given out, when the driver's Python ends."""
+    for spark, folder in _FOLDERS:
         try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop
             path = hadoop.fs.Path(folder)
             path.getFileSystem(hadoop.conf.Configuration()).delete(path, True)
         except Exception:  # noqa: BLE001  the driver's JVM is gone: what is left is a folder of files
             pass
 
-    atexit.register(remove)
-    return folder
-
 
 def query(name: str, sql: str | None = None):
     """Registers a query, with the SQL that gives the same rows where there is one."""

@@ -133,7 +133,7 @@ def test_tail_of_short_arrays(spark):
     assert [r.t for r in df.select(ranking.tail(F.col("a"), 2).alias("t")).collect()] == [[2, 3], []]
 
 
-PAGE = """<!DOCTYPE html><html><head><title>Fire - DSA Regel-Wiki</title><script>var p="</p><p>no";</script></head><body><nav><a href="/x">x</a></nav>
+PAGE = """<!DOCTYPE html><html><head><title>Fire - Example Wiki</title><script>var p="</p><p>no";</script></head><body><nav><a href="/x">x</a></nav>
 <div class="breadcrumb_boxed"><a>Home</a> <a>Rules</a> <a> Fire </a></div><div id="main"><div class="header">Fire <b>bolt</b></div><div class="body">
 <div class="spalte1">Cost:</div><div class="spalte2">4 <i>AsP</i></div><div class="spalte1">Wirkung:</div><div>Burns &amp; hurts</div><div class="spalte1">Alone</div><div class="spalte1">Next:</div><div></div>
 <div class="body_einzeln">Zaubererweiterungen</div><p>intro</p><p>#More</p><p>hotter</p><p>still</p><p># Far</p><div class="line_separator"></div><p>#Not this</p></div></div></body></html>"""
@@ -143,7 +143,7 @@ def test_page_records(spark):
     article = "<html><body><h1>Plain</h1><p>short<p>" + "long " * 10 + "<p>" + "more " * 10 + "</body></html>"
     nested = f'<html><body><h1>Outside</h1><div class="ce_text">{PAGE}</div></body></html>'
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, article), (5, nested), (6, "<p><b><div")], "id int, html string")
-    r = {x.id: x.r for x in df.select("id", pages.record(F.col("html")).alias("r")).collect()}
+    r = {x.id: x.r for x in df.select("id", pages.record(F.col("html"), "Example Wiki").alias("r")).collect()}
     assert r[1].name == "Fire bolt" and r[1].breadcrumbs == ["Home", "Rules", "Fire"] and r[1].subcategory == "Rules"
     assert [tuple(p) for p in r[1].properties] == [("Cost", "4 AsP"), ("Wirkung", "Burns & hurts")] and r[1].description == "Burns & hurts"
     assert [tuple(e) for e in r[1].extensions] == [("More", "hotter still"), ("Far", "")]

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions import html, pages, text
+from brindle.functions import addresses, html, pages, text
 from brindle.operators import audit, chunks, crawl, imports, mutations
 from brindle.plans.base import query, shared_folder, table
+from brindle.plans.corpus_queries import HEADING
 from brindle.sources import schemas
 
 INDEX = """SELECT *, 0 AS position FROM (SELECT 'u' || doc_id AS url, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '' ELSE 'unresolved' END AS category, CASE WHEN doc_id % 7 = 0 THEN 'en' END AS provisional_category,
@@ -407,8 +408,9 @@ def i8_first_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.first_of(lang, F.col("source"), F.lit("none")).alias("label"))
 
 
-@query("i10_decoded_urls", "SELECT page_id, lower('/%41' || page_id || 'A +b' || CASE WHEN page_id % 2 = 0 THEN '?q=ü&r=1' ELSE '' END) AS decoded FROM (SELECT page_id FROM pages)".replace("/%41", "/A"))
+@query("i10_decoded_urls", rf"""SELECT page_id, lower('/' || regexp_replace(t, '[%?#]', '', 'g') || '?q=' || page_id) AS decoded FROM (SELECT page_id, {HEADING} AS t FROM pages)""")
 def i10_decoded_urls(spark, sf_dir):
-    """Path and query, escapes of bytes resolved, plus signs kept."""
-    url = F.concat(F.lit("https://h/%41"), F.col("page_id"), F.lit("A%20+b"), F.when(F.col("page_id") % 2 == 0, "?q=%C3%BC&r=1").otherwise(""))
+    """Addresses made of the pages' titles, encoded and decoded again."""
+    title = F.regexp_replace(html.heading(F.col("html")), "[%?#]", "")
+    url = addresses.encoded(F.concat(F.lit("https://h/"), title, F.lit("?q="), F.col("page_id")))
     return table(spark, sf_dir, "pages").select("page_id", html.decoded(url).alias("decoded"))

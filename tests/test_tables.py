@@ -157,11 +157,14 @@ def test_page_classes(spark):
     found = {
         "content": text, "content with few links": text + link * 2, "hybrid": text + link * 3, "hub": link * 5, "properties": '<div class="body"><div class="spalte1">A</div></div>',
         "listing": "<select><option>[Alle]</option></select>" + text + link * 10, "filter": "<select><option>Tradition</option></select>", "filter with text": '<div class="filter"><select></select></div>' + text,
-        "marked": "<h1>Name</h1>Kosten", "unmarked": "<h1>Name</h1>", "far links": text + '<a href="http://far/x">x</a>' * 9, "select": "<select><option>one</option></select>" + text,
+        "marked": "<h1>Name</h1>Kosten", "unmarked": "<h1>Name</h1>", "far links": text + '<a href="http://far/x">x</a>' * 9,
+        # links outside the content count where it has none, but those that a crawl skips
+        "skipped links": '<nav><a href="http://far/x">x</a><a href="mailto:a@b">m</a><a href="/kontakt.html">k</a></nav><div id="main">' + text + "</div>",
+        "links elsewhere": f'<nav>{link * 3}</nav><div id="main">{text}</div>', "select": "<select><option>one</option></select>" + text,
     }
     df = spark.createDataFrame(list(found.items()), "name string, html string").select("name", pages.features(F.col("html"), "https://site/", ["kosten"]).alias("f"))
     got = {r.name: r.s for r in df.select("name", pages.page_class(F.col("f")).page_state.alias("s")).collect()}
-    assert got == {"content": "content", "content with few links": "content", "hybrid": "hybrid", "hub": "crawl_only", "properties": "content", "listing": "crawl_only", "filter": "crawl_only", "filter with text": "hybrid", "marked": "content", "unmarked": "crawl_only", "far links": "hybrid", "select": "content"}
+    assert got == {"content": "content", "content with few links": "content", "hybrid": "hybrid", "hub": "crawl_only", "properties": "content", "listing": "crawl_only", "filter": "crawl_only", "filter with text": "hybrid", "marked": "content", "unmarked": "crawl_only", "far links": "content", "skipped links": "content", "links elsewhere": "hybrid", "select": "content"}
 
 
 def test_links_of_a_page(spark):

@@ -57,7 +57,7 @@ from brindle.llm.work import Work
 #: log2 of the hash buckets that count shingles, and of those sent in one row.
 BUCKETS, CHUNK = 22, 16
 #: log2 of the least and of the greatest number of bits of the filter that says which
-#: documents' sets are wanted; it has some eight for each.
+#: documents' sets are wanted; it has some sixty for each.
 WANTED = (16, 27)
 #: Leaders that a set is compared with at most, and the length of a list from which
 #: on its members are compared however few lists they share with the leader.
@@ -159,11 +159,11 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarra
 def _sets_of(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """(h1, h2, shingles) of the documents whose h1 may be among ``wanted``.
 
-    What is sent to the tasks is a filter of about eight bits for each one wanted, made in
+    What is sent to the tasks is a filter of 64 bits or more for each one wanted, made in
     tasks as packed rows; the join with the exact classes drops what slips through.  Of more
-    than 2**(WANTED[1] - 3) wanted, more and more slip through."""
+    than 2**(WANTED[1] - 6) wanted, more and more slip through."""
     spark, count = docs.sparkSession, wanted.count()
-    bits = min(max(count.bit_length() + 3, WANTED[0]), WANTED[1])
+    bits = min(max(count.bit_length() + 6, WANTED[0]), WANTED[1])
     place = F.shiftrightunsigned("h1", 64 - bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

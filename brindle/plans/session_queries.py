@@ -3,7 +3,6 @@ fixed catalogues."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import rules, text

@@ -56,6 +56,27 @@ def ascii_folded(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+@cache
+def _single_uppers() -> dict[str, str]:
+    """Characters that Spark's upper makes several of, with the one that stands for each: its
+    title case where that is one character, the capital sharp s, or else itself."""
+    chars = (chr(c) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {c: "\u1e9e" if c == "\xdf" else t if len(t := c.title()) == 1 else c for c in chars if len(c.upper()) > 1}
+
+
+def upper(c: Column) -> Column:
+    """Upper case character by character, as SQL's upper has it in DuckDB: every character
+    stays one, so a sharp s becomes a capital sharp s and not SS.
+
+    Only in texts that have a character that Spark's upper makes several of, it is kept apart."""
+    table = _single_uppers()
+    marks = "[" + "".join(table) + "]"
+    pieces = F.split(c, f"(?<={marks})|(?={marks})")
+    one = F.transform(pieces, lambda p: F.when(p.rlike(f"^{marks}$"), F.translate(p, "".join(table), "".join(table.values()))).otherwise(F.upper(p)))
+    # no character becomes less than one
+    return F.when(F.char_length(F.upper(c)) > F.char_length(c), F.array_join(one, "")).otherwise(F.upper(c))
+
+
 def first_of(*cs: Column) -> Column:
     """The first value that is neither null nor blank."""
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs))

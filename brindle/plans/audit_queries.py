@@ -220,7 +220,7 @@ def _synced(spark, sf_dir):
         return rows.withColumns({"chunk_id": chunks.chunk_id(F.col("doc_id"), F.col("chunk_index")), "chunk_text": F.col("c.text"), "char_start": F.col("c.start"), "char_end": F.col("c.end")})
 
     old = d.filter("lang <> 'es'").withColumn("embedding_text", F.col("text"))
-    new = d.filter("lang <> 'de'").withColumn("embedding_text", F.when(F.col("lang") == "fr", F.upper(F.substring("text", 1, 3000))).otherwise(F.col("text")))
+    new = d.filter("lang <> 'de'").withColumn("embedding_text", F.when(F.col("lang") == "fr", text.upper(F.substring("text", 1, 3000))).otherwise(F.col("text")))
     held = imports.page_rows(old, before).join(old.select("doc_id", "number"), "doc_id")
     pages = held.withColumn("version", (F.col("number") % 3 + 1).cast("int")).withColumn("deleted_at", F.when(F.col("number") % 10 == 0, before))
     rows = imports.chunk_rows(cut(old), pages).join(pages.select(F.col("id").alias("page_id"), F.col("deleted_at").isNull().alias("live")), "page_id").withColumn("is_active", F.col("live"))
@@ -263,7 +263,7 @@ SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN o
 def p12_versions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     old = d.filter("lang <> 'es'").select("doc_id", text.sha256(F.col("text")).alias("h"), (F.col("doc_id") % 3 + 1).cast("int").alias("version"), (F.col("doc_id") % 10 == 0).alias("deleted"))
-    new = d.filter("lang <> 'de'").select("doc_id", text.sha256(F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text"))).alias("h"))
+    new = d.filter("lang <> 'de'").select("doc_id", text.sha256(F.when(F.col("lang") == "fr", text.upper(F.col("text"))).otherwise(F.col("text"))).alias("h"))
     return mutations.sync_versions(old, new, "doc_id", "h")
 
 

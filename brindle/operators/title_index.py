@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Fills the last trigrams; no title has it.
 END = "\x01"
+#: Titles found for a term that join the askers of the term at once; more go in runs of so many.
+RUN = 1024
 
 
 def _grams(text: Column, n: Column) -> Column:
@@ -43,11 +45,13 @@ def search(index: DataFrame, titles: DataFrame, terms: DataFrame, key: str, titl
     long = asked.filter("size >= 3").select("term", F.explode(_grams(F.col("term"), F.col("size") - 2)).alias("gram")).distinct()
     rarest = long.join(counts, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     met = rarest.join(index, "gram").select("term", key)
+    most = rarest.join(counts, "gram").select("term", "n")
     # a short term is the beginning of a trigram
     for n in (1, 2):
         short = asked.filter(F.col("size") == n).select("term").distinct()
         heads = index.select(F.left("gram", F.lit(n)).alias("term"), key).distinct()
         met = met.union(short.join(heads, "term").select("term", key))
+        most = most.union(short.join(heads.groupBy("term").agg(F.count("*").alias("n")), "term").select("term", "n"))
     known = met.join(titles, key)
     low = F.lower(F.col(title))
     tier = F.when(low == F.col("term"), 1).when(low.startswith(F.col("term")), 2).when(low.contains(F.col("term")), 3)
@@ -58,4 +62,11 @@ def search(index: DataFrame, titles: DataFrame, terms: DataFrame, key: str, titl
     place = F.row_number().over(W.partitionBy("term").orderBy("tier", *order))
     ranked = hits.withColumn("place", place)
     ranked = ranked if limit is None else ranked.filter(F.col("place") <= limit)
-    return asked.select("term_id", "term").join(ranked, "term").select("term_id", "place", "tier", *titles.columns)
+    # a term that many ask for and many titles contain meets its titles in runs of places,
+    # so that its rows are dealt over the tasks
+    last = F.col("n") if limit is None else F.least("n", F.lit(limit))
+    runs = asked.select("term_id", "term").join(most, "term").select("term_id", "term", F.explode(F.sequence(F.lit(0), F.floor((last - 1) / RUN).cast("int"))).alias("__run"))
+    ranked = ranked.withColumn("__run", F.floor((F.col("place") - 1) / RUN).cast("int"))
+    if limit is None:
+        ranked = ranked.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term", "__run")
+    return runs.join(ranked, ["term", "__run"]).select("term_id", "place", "tier", *titles.columns)

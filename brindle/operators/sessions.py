@@ -1,7 +1,7 @@
 """Session and combatant mutations.
 
-Commands are rows; those of one session take effect one after the other, as a fold over
-the session's commands in their order.  A mutation is a plan from the present snapshots to
+Commands are rows; those of one session take effect one after the other, found by windows
+over the session's commands in their order.  A mutation is a plan from the present snapshots to
 the next ones.  What breaks a rule comes back with its reason and changes nothing, so a
 command takes effect in all its tables or in none.
 
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.operators import ranking
 from brindle.operators.mutations import rejected
 
 # Lines that a fight's log begins and ends with.
@@ -49,76 +48,97 @@ def _split(commands: DataFrame, sessions: DataFrame, rules: dict[str, Column]) -
 
 # The kinds of commands.
 KINDS = ("start", "end", "next", "turn_start", "turn_end", "pause", "resume")
-#: Commands of one session that are folded in one go; a session with more is folded block by
-#: block, each written, so that none is ever one row.
-BLOCK = 10_000
-_COMMAND = "struct<seq:bigint,kind:string,turn_order:array<string>,rolls:array<struct<key:string,value:int>>,reason:string>"
-_STATE = {"state": "string", "turn_order": "array<string>", "at": "int", "log": "array<string>", "rolls": "array<struct<key:string,value:int>>", "cleared": "boolean", "on": "array<string>", "off": "array<string>", "answers": "array<struct<seq:bigint,kind:string,reason:string>>"}
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _refusal(a: Column, c: Column) -> Column:
-    """Why command c breaks a rule in state a; null if it does not."""
-    return (
-        F.when(~F.coalesce(c.kind.isin(*KINDS), F.lit(False)), "invalid action")
-        .when((c.kind == "start") & ~F.coalesce(F.size(c.turn_order) >= 2, F.lit(False)), "fewer than two participants")
-        .when(c.kind.isin("start", "turn_start") & ~F.coalesce(a.state == "SETUP", F.lit(False)), "not in setup")
-        .when((c.kind == "turn_start") & (F.size(a.turn_order) == 0), "no combatants in turn order")
-        .when((c.kind == "end") & (a.state == "ENDED"), "already ended")
-        .when((c.kind == "pause") & ~F.coalesce(a.state == "RUNNING", F.lit(False)), "not running")
-        .when((c.kind == "resume") & ~F.coalesce(a.state == "PAUSED", F.lit(False)), "not paused")
-    )
-
-
-def _step(a: Column, c: Column) -> Column:
-    """The state after one command: changed if the command breaks no rule, and its answer
-    in any case."""
-    none = F.array().cast("array<string>")
-
-    def after(why: Column) -> Column:
-        did = lambda *kinds: why.isNull() & c.kind.isin(*kinds)
-        order = F.when(did("start"), c.turn_order).otherwise(a.turn_order)
-        n, was = F.size(a.turn_order), F.coalesce(a["at"], F.lit(0))
-        moves = did("next") & (n > 0)
-        at = F.when(did("start", "turn_start"), 0).when(moves, F.pmod(was + 1, n)).when(did("next"), was).otherwise(a["at"])
-        over, begins = did("end", "turn_end"), did("start", "turn_start")
-        left = F.when(moves, F.array(F.get(a.turn_order, was))).otherwise(none)
-        came = F.when(moves | begins, F.array(F.get(order, at))).otherwise(none)
-        line = F.when(F.coalesce(c.reason, F.lit("")) != "", F.format_string(ENDED_BY, c.reason)).otherwise(ENDED)
-        return F.struct(
-            F.when(begins | did("resume"), "RUNNING").when(over, "ENDED").when(did("pause"), "PAUSED").otherwise(a.state).alias("state"),
-            order.alias("turn_order"),
-            at.cast("int").alias("at"),
-            F.when(did("start"), F.array_append(a.log, F.lit(STARTED))).when(did("end"), F.array_append(a.log, line)).otherwise(a.log).alias("log"),
-            F.when(did("start"), F.coalesce(c.rolls, a.rolls)).otherwise(a.rolls).alias("rolls"),
-            (a.cleared | over).alias("cleared"),
-            F.when(over, none).otherwise(F.array_union(F.array_except(a.on, left), came)).alias("on"),
-            F.when(over, none).otherwise(F.array_except(F.array_union(a.off, left), came)).alias("off"),
-            F.array_append(a.answers, F.struct(c.seq.alias("seq"), c.kind.alias("kind"), why.alias("reason"))).alias("answers"),
-        )
-
-    return _let(_refusal(a, c), after)
+_COMMAND = {"seq": "long", "kind": "string", "turn_order": "array<string>", "rolls": "array<struct<key:string,value:int>>", "reason": "string"}
 
 
 def _commands(commands: DataFrame) -> DataFrame:
-    """session_id and the command as c; columns that are not there are null, seq 0."""
-    given = lambda name, kind: (F.col(name) if name in commands.columns else F.lit(None)).cast(kind)
+    """session_id and the command's columns (_COMMAND); those that are not there are null, seq 0."""
+    given = {k: (F.col(k) if k in commands.columns else F.lit(None)).cast(t) for k, t in _COMMAND.items()}
     rolls = F.map_entries("initiatives") if "initiatives" in commands.columns else F.lit(None)
-    c = F.struct(
-        F.coalesce(given("seq", "long"), F.lit(0)).alias("seq"),
-        given("kind", "string").alias("kind"),
-        given("turn_order", "array<string>").alias("turn_order"),
-        F.array_sort(rolls.cast("array<struct<key:string,value:int>>")).alias("rolls"),
-        given("reason", "string").alias("reason"),
+    given |= {"seq": F.coalesce(given["seq"], F.lit(0)), "rolls": F.sort_array(rolls.cast(_COMMAND["rolls"]))}
+    # of other kinds neither changes anything, not even which of two equal ones is first
+    used = F.coalesce(given["kind"].isin("start", "end"), F.lit(False))
+    given |= {c: F.when(used, given[c]) for c in ("turn_order", "rolls")}
+    return commands.select("session_id", *(c.alias(k) for k, c in given.items()))
+
+
+def _judged(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """The commands of known sessions, with their place (i), why each is refused, and how the
+    session stands after it.
+
+    What a session does is fixed by a few places among its commands.  SETUP is left once:
+    by the first start or turn_start that is good in itself (opened), if no end comes
+    before it.  The first end (closed) is the last change of state.  Between them the last
+    pause or resume tells the state, whether it was refused or not.  The index moves on with
+    every next since ``opened``.  So windows over the commands in their order, which Spark
+    spills, find all of it, however many commands a session has."""
+    own = W.partitionBy("session_id").orderBy(*_COMMAND)
+    rows = asked.join(held, "session_id").withColumn("i", F.row_number().over(own).cast("long"))
+    placed = W.partitionBy("session_id").orderBy("i")
+    now, before = placed.rowsBetween(W.unboundedPreceding, W.currentRow), placed.rowsBetween(W.unboundedPreceding, -1)
+    i, kind, sure = F.col("i"), F.col("kind"), lambda c: F.coalesce(c, F.lit(False))
+    # only commands that may begin a fight carry their lists from here on
+    may = (kind == "start") & (F.col("s0") == "SETUP")
+    rows = rows.withColumns({"m": F.size("turn_order"), "given": F.when(may & (F.size("turn_order") >= 2), F.struct("turn_order", "rolls"))}).drop("turn_order", "rolls")
+    enough = sure(F.col("m") >= 2)
+    opens = ((kind == "start") & enough) | ((kind == "turn_start") & (F.col("n0") > 0))
+    first = lambda c: F.min(F.when(c, i)).over(now)
+    rows = rows.withColumns({"opened": first(opens), "closed": first(kind.isin("end", "turn_end")), "nexts": F.count(F.when(kind == "next", 1)).over(now)})
+    rows = rows.withColumn("opened", F.when((F.col("s0") == "SETUP") & ~sure(F.col("closed") < F.col("opened")), F.col("opened")))
+    here = sure(i == F.col("opened"))
+    mark = F.when(here | (kind == "resume"), "RUNNING").when(kind == "pause", "PAUSED")
+    rows = rows.withColumns({
+        "was": F.last(mark, ignorenulls=True).over(before),
+        "since": F.max(F.when(here, F.col("nexts"))).over(now),
+        "n1": F.max(F.when(here & (kind == "start"), F.col("m"))).over(now),
+    })
+    over, begun = sure(F.col("s0") == "ENDED") | sure(F.col("closed") < i), sure(F.col("opened") < i)
+    setup = sure(F.col("s0") == "SETUP") & ~over & ~begun
+    runs = F.when(~over & (begun | sure(F.col("s0").isin("RUNNING", "PAUSED"))), F.coalesce("was", "s0"))
+    why = (
+        F.when(~sure(kind.isin(*KINDS)), "invalid action")
+        .when((kind == "start") & ~enough, "fewer than two participants")
+        .when(kind.isin("start", "turn_start") & ~setup, "not in setup")
+        .when((kind == "turn_start") & (F.col("n0") == 0), "no combatants in turn order")
+        .when((kind == "end") & over, "already ended")
+        .when((kind == "pause") & ~sure(runs == "RUNNING"), "not running")
+        .when((kind == "resume") & ~sure(runs == "PAUSED"), "not paused")
     )
-    return commands.select("session_id", c.cast(_COMMAND).alias("c"))
-
-
-def run(sessions: DataFrame, combatants: DataFrame, commands: DataFrame, folder: str | None = None, block: int = BLOCK) -> Step:
+    begins = F.col("since").isNotNull()
+    return rows.withColumns({
+        "why": why, "here": here, "mark": F.coalesce(mark, F.col("was")), "moved": F.col("nexts") - F.coalesce("since", F.lit(0)),
+        "base": F.when(begins, 0).otherwise(F.coalesce("at0", F.lit(0))).cast("long"), "n": F.coalesce("n1", "n0").cast("long"),
+    })
+
+
+def _after(judged: DataFrame) -> DataFrame:
+    """What all its commands make of each session."""
+    good, kind = F.col("why").isNull(), F.col("kind")
+    begun = F.first(F.when(F.col("here") & (kind == "start"), F.col("given")), ignorenulls=True)
+    ended = F.first(F.when(good & (kind == "end"), F.struct(F.coalesce("reason", F.lit("")).alias("reason"))), ignorenulls=True)
+    last = F.max_by(F.struct("opened", "mark", "moved", "base", "n", "s0", "at0"), "i")
+    # the last place of an end that took effect
+    over = F.max(F.when(good & kind.isin("end", "turn_end"), F.col("i")))
+    return judged.groupBy("session_id").agg(begun.alias("begun"), ended.alias("ended"), last.alias("z"), over.alias("over"))
+
+
+def _touched(judged: DataFrame, after: DataFrame, held: DataFrame) -> DataFrame:
+    """(session_id, on, off): the members that have, or had and lost, the turn since the last
+    end: the last command that touched a member counts."""
+    n, at = F.col("n"), F.col("base") + F.col("moved")
+    touch = lambda place, t, fresh: F.struct(place.cast("int").alias("place"), t.alias("t"), fresh.alias("fresh"))
+    left, came, fresh = 2 * F.col("i"), 2 * F.col("i") + 1, F.col("n1").isNotNull()
+    moves = F.array(touch(F.when(F.col("moved") == 1, F.col("base")).otherwise(F.pmod(at - 1, n)), left, fresh), touch(F.pmod(at, n), came, fresh))
+    both = F.when(F.col("here"), F.array(touch(F.lit(0), came, fresh))).when((F.col("kind") == "next") & (n > 0), moves)
+    places = judged.select("session_id", F.inline(both)).groupBy("session_id", "fresh", "place").agg(F.max("t").alias("t"))
+    met = places.join(after.select("session_id", "over", F.col("begun.turn_order").alias("o1")), "session_id").filter(F.col("t") > 2 * F.coalesce("over", F.lit(0)) + 1)
+    met = met.join(held.select("session_id", "o0"), "session_id")
+    named = met.select("session_id", "t", F.get(F.when(F.col("fresh"), F.col("o1")).otherwise(F.col("o0")), F.col("place")).alias("id")).filter("id is not null")
+    last = named.groupBy("session_id", "id").agg((F.max("t") % 2 == 1).alias("has"))
+    return last.groupBy("session_id").agg(F.collect_list(F.when(F.col("has"), F.col("id"))).alias("on"), F.collect_list(F.when(~F.col("has"), F.col("id"))).alias("off"))
+
+
+def run(sessions: DataFrame, combatants: DataFrame, commands: DataFrame, folder: str | None = None, block: int | None = None) -> Step:
     """The sessions and combatants after all commands, each session's in the order of seq,
     one after the other (P1, P2, P3, P10, C19).
 
@@ -130,61 +150,43 @@ def run(sessions: DataFrame, combatants: DataFrame, commands: DataFrame, folder:
 
     start writes rolls and log, the first in order has the turn; next goes to the following
     place, whoever is down, and without an order only makes a missing index 0; turn_start and
-    turn_end write no log; both ends take the turn from all members.  A session's commands
-    are folded in SQL; where one has more than ``block``, ``folder`` takes the state between
-    blocks."""
+    turn_end write no log; both ends take the turn from all members.  ``folder``,
+    where given, takes the commands as judged, which are then computed once for all that is
+    made of them.  No session's commands are ever one row, so ``block`` is without effect."""
     asked = _commands(commands)
-    zero = F.struct(
-        F.col("state").alias("state"), F.coalesce("turn_order", F.array().cast("array<string>")).alias("turn_order"), F.col("current_turn_index").cast("int").alias("at"),
-        F.coalesce("combat_log", F.array().cast("array<string>")).alias("log"), *(F.lit(v).cast(_STATE[k]).alias(k) for k, v in (("rolls", None), ("cleared", False))),
-        *(F.array().cast(_STATE[k]).alias(k) for k in ("on", "off", "answers")),
-    )
-    kind = f"struct<{','.join(f'{k}:{v}' for k, v in _STATE.items())}>"
-    held = sessions.select(F.col("id").alias("session_id"), zero.cast(kind).alias("a"))
-    known = asked.join(held.select("session_id"), "session_id", "left_semi")
-    most = known.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
-    if most <= block:
-        listed = known.groupBy("session_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-        done = held.join(listed, "session_id").select("session_id", F.aggregate("cs", F.col("a"), _step).alias("a"))
-        answers = done.select("session_id", F.explode("a.answers").alias("r"))
-    else:
-        done, answers = _in_blocks(held, known, folder, block)
-    told = done.select("session_id", "a")
-    final = sessions.join(told.withColumnRenamed("session_id", "id"), "id", "left")
-    changes = {"state": "state", "turn_order": "turn_order", "current_turn_index": "at", "combat_log": "log"}
-    after = final.select(*(F.when(F.col("a").isNotNull(), F.col(f"a.{changes[c]}")).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in sessions.columns))
+    none = F.array().cast("array<string>")
+    order = F.coalesce("turn_order", none)
+    held = sessions.select(F.col("id").alias("session_id"), F.col("state").alias("s0"), F.col("current_turn_index").cast("long").alias("at0"), F.size(order).alias("n0"))
+    judged = _judged(asked, held)
+    if folder is not None:
+        at = f"{folder}/{uuid.uuid4().hex}"
+        judged.write.parquet(at)
+        judged = sessions.sparkSession.read.schema(judged.schema).parquet(at)
+    done = _after(judged)
+    z = lambda c: F.col(f"z.{c}")
+    live = z("opened").isNotNull() | F.coalesce(z("s0").isin("RUNNING", "PAUSED"), F.lit(False))
+    line = F.when(F.col("ended.reason") != "", F.format_string(ENDED_BY, F.col("ended.reason"))).otherwise(ENDED)
+    some = lambda c, value: F.when(F.col(c).isNotNull(), F.array(value)).otherwise(none)
+    changes = {
+        "state": F.when(F.col("over").isNotNull(), "ENDED").when(live, F.coalesce(z("mark"), z("s0"))).otherwise(z("s0")),
+        "turn_order": F.coalesce("begun.turn_order", order),
+        "current_turn_index": F.when(z("moved") == 0, F.when(z("opened").isNotNull(), 0).otherwise(z("at0"))).when(z("n") > 0, F.pmod(z("base") + z("moved"), z("n"))).otherwise(z("base")).cast("int"),
+        "combat_log": F.concat(F.coalesce("combat_log", none), some("begun", F.lit(STARTED)), some("ended", line)),
+    }
+    final = sessions.join(done.withColumnRenamed("session_id", "id"), "id", "left")
+    after = final.select(*(F.when(F.col("z").isNotNull(), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in sessions.columns))
+    touched = _touched(judged, done, sessions.select(F.col("id").alias("session_id"), order.alias("o0")))
+    told = done.select("session_id", F.col("begun.rolls").alias("__rolls"), F.col("over").isNotNull().alias("__over")).join(touched.select("session_id", F.col("on").alias("__on"), F.col("off").alias("__off")), "session_id", "left")
     met = combatants.join(told, "session_id", "left")
-    roll = F.element_at(F.map_from_entries("a.rolls"), F.col("id"))
-    active = F.when(F.array_contains("a.on", F.col("id")), True).when(F.array_contains("a.off", F.col("id")), False).when(F.col("a.cleared"), False).otherwise(F.col("is_active_turn"))
+    roll = F.element_at(F.map_from_entries("__rolls"), F.col("id"))
+    active = F.when(F.array_contains("__on", F.col("id")), True).when(F.array_contains("__off", F.col("id")), False).when(F.col("__over"), False).otherwise(F.col("is_active_turn"))
     members = {"initiative_roll": F.coalesce(roll, "initiative_roll"), "is_active_turn": active}
     members = met.select(*(members[c].alias(c) if c in members else F.col(c) for c in combatants.columns))
     lost = asked.join(held.select("session_id"), "session_id", "left_anti")
-    why = F.when((F.col("c.kind") == "start") & ~F.coalesce(F.size("c.turn_order") >= 2, F.lit(False)), "fewer than two participants").otherwise("session not found")
-    told = answers.select("session_id", "r.*")
-    refused = told.filter("reason is not null").union(lost.select("session_id", "c.seq", "c.kind", why.alias("reason")))
-    return Step(after, members, refused, told.filter("reason is null").drop("reason"))
-
-
-def _in_blocks(held: DataFrame, known: DataFrame, folder: str | None, block: int) -> tuple[DataFrame, DataFrame]:
-    """The last state of each session and all answers, folded block by block."""
-    if folder is None:
-        raise ValueError("sessions with very many commands need a folder for the state between blocks")
-    spark, at = held.sparkSession, f"{folder}/{uuid.uuid4().hex}"
-    flat = known.select("session_id", F.col("c.seq").alias("seq"), "c")
-    ranking.batches(flat, ["session_id"], "seq", block, ["c"]).write.partitionBy("batch").parquet(f"{at}/commands")
-    blocks = spark.read.parquet(f"{at}/commands")
-    numbers = sorted(r["batch"] for r in blocks.select("batch").distinct().collect())
-    now, parts = held, []
-    for k in numbers:
-        listed = blocks.filter(F.col("batch") == k).groupBy("session_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-        fresh = F.col("a").withField("answers", F.array().cast(_STATE["answers"]))
-        now.join(listed, "session_id", "left").select("session_id", F.when(F.col("cs").isNull(), fresh).otherwise(F.aggregate("cs", fresh, _step)).alias("a")).write.parquet(f"{at}/state={k}")
-        now = spark.read.parquet(f"{at}/state={k}")
-        parts.append(now.select("session_id", F.explode("a.answers").alias("r")))
-    answers = parts[0]
-    for part in parts[1:]:
-        answers = answers.union(part)
-    return now, answers
+    why = F.when((F.col("kind") == "start") & ~F.coalesce(F.size("turn_order") >= 2, F.lit(False)), "fewer than two participants").otherwise("session not found")
+    answers = judged.select("session_id", "seq", "kind", F.col("why").alias("reason"))
+    refused = answers.filter("reason is not null").union(lost.select("session_id", "seq", "kind", why.alias("reason")))
+    return Step(after, members, refused, answers.filter("reason is null").drop("reason"))
 
 
 def start(sessions: DataFrame, combatants: DataFrame, commands: DataFrame) -> Step:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import rules, text
 from brindle.operators import categorize, mutations, ranking, search, sessions
-from brindle.plans.base import query, table
+from brindle.plans.base import query, shared_folder, table
 from brindle.plans.search_queries import first_vector
 from brindle.sources import schemas
 
@@ -26,7 +26,7 @@ def _tables(spark, sf_dir):
         F.when(F.col("l_returnflag") == "R", F.col("part").cast("string")).alias("discord_user_id"), F.lit("x").alias("name"), F.lit(30).alias("max_hp"), F.col("l_quantity").cast("int").alias("current_hp"),
         F.lit(0).alias("initiative_base"), F.lit(0).alias("initiative_roll"), (F.col("part") == 1).alias("is_active_turn"),
     )
-    order = members.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.split_part("id", F.lit("."), F.lit(2)).cast("int").alias("k"), "id"))).alias("o")).select(F.col("session_id").alias("id"), F.transform("o", lambda x: x.id).alias("turn_order"))
+    order = members.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(F.split_part("id", F.lit("."), F.lit(2)).cast("int").alias("k"), "id"))).alias("o")).select(F.col("session_id").alias("id"), F.transform("o", lambda x: x.id).alias("turn_order"))
     held = s.join(order, "id", "left").select("id", "channel_id", "state", F.coalesce("turn_order", F.array().cast("array<string>")).alias("turn_order"), F.col("idx").alias("current_turn_index"), F.array(F.lit("begun")).alias("combat_log"))
     return held, members
 
@@ -112,14 +112,14 @@ def _ordered(spark, sf_dir):
     asked = lines.select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("part").alias("seq"), F.element_at(kinds, ((F.col("l_orderkey") * 5 + F.col("l_linenumber") * 3 + F.col("part")) % 8 + 1).cast("int")).alias("kind"))
     orders = held.select(F.col("id").alias("session_id"), F.col("turn_order").alias("o"))
     asked = asked.join(orders, "session_id").select("session_id", "seq", "kind", F.when(F.col("seq") % 3 == 0, F.slice("o", 1, 1)).otherwise(F.col("o")).alias("turn_order"), F.map_from_arrays("o", F.transform("o", lambda x, i: i + 5)).alias("initiatives"))
-    return held, sessions.run(held, members, asked)
+    return held, sessions.run(held, members, asked, shared_folder(spark))
 
 
 @query("p10_ordered_commands", ORDERED + f"SELECT s.id, coalesce(o.state, s.state) AS state, coalesce(o.idx, s.idx)::BIGINT AS turn, coalesce(o.log, 'begun') AS log, coalesce(refused, '') AS refused FROM ({SESSIONS}) s LEFT JOIN o ON o.id = s.id")
 def p10_ordered_commands(spark, sf_dir):
     """Up to seven commands of all kinds for each session, one after the other."""
     _, step = _ordered(spark, sf_dir)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda r: F.concat(F.lit("|"), r.seq.cast("string"), F.lit(" "), r.reason))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("seq", "reason"))), lambda r: F.concat(F.lit("|"), r.seq.cast("string"), F.lit(" "), r.reason))
     refused = step.refused.groupBy(F.col("session_id").alias("id")).agg(F.array_join(lines, "").alias("refused"))
     return _log(step.sessions).join(refused, "id", "left").withColumn("refused", F.coalesce("refused", F.lit("")))
 

@@ -50,6 +50,8 @@ SIZE, BLOCK = 50, 25
 #: Buckets of hashes for each shuffle partition (hashed buckets spread evenly), and the
 #: windows of one bucket, which a task holds at once, that more buckets are made for.
 SPREAD, HELD = 4, 1_000_000
+#: Windows that a bucket is made for at least: every slice has a row for each bucket.
+FEW = 20_000
 #: Characters of a slice of documents, about.
 SLICE = 2_000_000
 #: Ids of wanted texts that are sent to the tasks at most.
@@ -105,6 +107,11 @@ def _identified(docs: DataFrame, digest: bool = False) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, text string, n_words long, h1 long, h2 long")
 
 
+def _buckets(windows: int, held: int, width: int) -> int:
+    """Buckets for so many windows, of which ``held`` are kept in memory."""
+    return max(min(SPREAD * width, windows // FEW + 1), held // HELD)
+
+
 def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -365,13 +372,13 @@ def repeats(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     copies = seen.join(least, ["h1", "h2", "doc_id"], "left_anti").select("doc_id", "h1", "h2", "n_words")
 
     grouped = lambda rows, n, *order: rows.repartition(n, order[0]).sortWithinPartitions(*order)
-    buckets = max(SPREAD * width, total // BLOCK // HELD)
+    buckets = _buckets(total, total // BLOCK, width)
     hits = _hits(grouped(_probes(known, buckets), max(width, buckets // SPREAD), "bucket", "kind"))
     places = work.saved(_places(grouped(hits, width, "slice", "kind")).join(least, ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2", "doc_id"]))
     asked = places.agg(F.sum(F.size("places"))).first()[0] or 0
     # in one order, so that a task run again makes the same slices
     near = _texts(known, places, "places").sortWithinPartitions("doc_id", "h1", "h2")
-    buckets = max(SPREAD * width, asked * SIZE // 2 // HELD)
+    buckets = _buckets(asked * SIZE // 2, asked * SIZE // 2, width)
     answers = _answers(grouped(_windows(near, buckets), max(width, buckets // SPREAD), "bucket", "kind"))
     return work.saved(_removed(grouped(answers, width, "slice", "kind")).dropDuplicates(["doc_id", "h1", "h2"])), copies.dropDuplicates(["doc_id", "h1", "h2"])
 

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import audit, ranked, repeats
 from brindle.llm.packing import packed, unpacked
@@ -224,3 +225,20 @@ def test_words_of_the_audit_do_not_shuffle(spark, sf):
     docs = audit._documents(spark.read.parquet(f"{sf}/documents.parquet"))
     plan = audit.word_counts(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_rows_of_slices_and_buckets_follow_the_words(spark):
+    """Many partitions of few words do not meet in as many buckets each (op12_repeats)."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: (i * 7919 + F.col("id") * 104729) % 1_000_003), " ").alias("text")).repartition(40)
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    made = []
+    plain = repeats._probes
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        repeats._probes = lambda known, buckets: made.append(plain(known, buckets).count()) or plain(known, buckets)
+        repeats.repeats(docs, Work(spark))
+    finally:
+        repeats._probes = plain
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    # a row for the documents of a slice, and for each kind and bucket: 24,000 words fill two buckets
+    assert made == [n for n in made if n <= 40 * (1 + 3 * 2)] and made

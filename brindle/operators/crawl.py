@@ -129,9 +129,11 @@ def crawl(pages: DataFrame, seeds: list[tuple[str, DataFrame]], folder: str, sit
     """Crawls ``pages`` (url, html, error) from the seeds (url) of one category after the
     other (X11, X12, A6, J6), and writes every round to ``folder``.
 
-    A round fetches the frontier's addresses; one without a page fails, with its error or
-    ``not found``.  Pages are classified (X10), and only those whose class says so are
-    expanded, to their links on ``site`` (X9) that a crawl does not skip (C15).  A link to
+    A round takes the frontier's addresses; one without a page, or with one that cannot be
+    read, fails, with its error or ``not found``.  Pages are classified (X10), and only those
+    whose class says so are expanded, to their links on ``site`` (X9) that a crawl does not
+    skip (C15).  A call reads each page once, before its first round, and the rounds meet
+    addresses and links only, so their number does not count against the pages.  A link to
     a page that is completed adds the category to its sources and is not followed again; an
     address that failed is tried again by the next category that meets it.
 
@@ -140,7 +142,6 @@ def crawl(pages: DataFrame, seeds: list[tuple[str, DataFrame]], folder: str, sit
     ``again`` asks for another run over the seeds and what is pending.  A page's
     address is once in ``pages``; of several rows any one counts."""
     spark, rounds = pages.sparkSession, _Rounds(pages.sparkSession, folder)
-    own = pages.groupBy("url").agg(F.max(F.struct("html", "error")).alias("p")).select("url", "p.html", "p.error")
 
     def begin(number: int, run: int, category: int, upto: int) -> dict:
         """Writes the first frontier of a category; where it is empty, of the next that has any."""
@@ -165,16 +166,14 @@ def crawl(pages: DataFrame, seeds: list[tuple[str, DataFrame]], folder: str, sit
         now = begin(0, 0, 0, -1)
     elif again and now["category"] >= len(seeds):
         now = begin(now["round"] + 1, now["run"] + 1, 0, now["round"])
-    ran = 0
+    ran, read = 0, None
     while now["category"] < len(seeds) and (max_rounds is None or ran < max_rounds):
         k, name = now["round"], seeds[now["category"]][0]
-        met = rounds.events("frontier", k, k).select("url").join(own, "url", "left")
-        seen = met.withColumn("c", F.when(F.col("html").isNotNull(), page_views.page_class(page_views.features(F.col("html"), site, labels))))
-        own_links = F.filter(F.transform(link_targets(F.col("html"), F.col("url")), addresses.encoded), lambda u: u.startswith(site) & ~html.skipped(u, site))
-        links = F.when(F.col("c.follow") & F.lit(follow), F.array_distinct(own_links))
-        # a page is read once in its round
+        if read is None:
+            _read(pages, site, labels, follow).write.mode("overwrite").parquet(f"{folder}/read")
+            read = spark.read.parquet(f"{folder}/read")
         path = f"{folder}/fetched/round={k}"
-        seen.select("url", F.col("c.page_state").alias("page_state"), "error", links.alias("links")).write.mode("overwrite").parquet(path)
+        rounds.events("frontier", k, k).select("url").join(read, "url", "left").write.mode("overwrite").parquet(path)
         got = spark.read.parquet(path)
         targets = got.select(F.explode("links").alias("url")).distinct()
         before = rounds.events("completed", k).select("url")
@@ -193,6 +192,18 @@ def crawl(pages: DataFrame, seeds: list[tuple[str, DataFrame]], folder: str, sit
     return _result(rounds, now, seeds)
 
 
+def _read(pages: DataFrame, site: str, labels: list[str], follow: bool) -> DataFrame:
+    """(url, page_state, error, links): each address with its page's class, or why it has
+    none, and the links that a crawl follows from it."""
+    own = pages.groupBy("url").agg(F.max(F.struct("html", "error")).alias("p")).select("url", "p.html", "p.error")
+    seen = own.withColumn("f", page_views.features(F.col("html"), site, labels, told=True))
+    good = F.col("html").isNotNull() & F.col("f.error").isNull()
+    c = seen.withColumn("c", F.when(good, page_views.page_class(F.col("f"))))
+    own_links = F.filter(F.transform(link_targets(F.col("html"), F.col("url")), addresses.encoded), lambda u: u.startswith(site) & ~html.skipped(u, site))
+    links = F.when(F.col("c.follow") & F.lit(follow), F.array_distinct(own_links))
+    return c.select("url", F.col("c.page_state").alias("page_state"), F.coalesce("error", "f.error").alias("error"), links.alias("links"))
+
+
 def _pending(rounds: _Rounds, k: int, name: str | None) -> DataFrame:
     """(category, url) of what failed and is not completed, and of the frontier left of a
     category."""

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import crawl
 
@@ -120,3 +121,26 @@ def test_crawl_of_nothing(spark, tmp_path):
     assert crawl.crawl(none, [], f"{tmp_path}/a", SITE, []).completed.count() == 0
     found = crawl.crawl(none, [("a", spark.createDataFrame([("https://h/x",)], "url string"))], f"{tmp_path}/b", SITE, [])
     assert found.finished and told(found) == ({}, {"https://h/x": "not found"}, {("a", "https://h/x")})
+
+
+def test_a_page_is_read_once_however_many_rounds(spark, tmp_path):
+    read, bodies = spark.sparkContext.accumulator(0), [page([f"p{i + 1}", "p0", "p1", "p2", "p3"], True) for i in range(8)]
+
+    @F.udf("string")
+    def html(i):
+        read.add(1)
+        return bodies[i]
+
+    pages = spark.range(8).select(F.concat(F.lit(f"{SITE}p"), "id").alias("url"), html("id").alias("html"), F.lit(None).cast("string").alias("error"))
+    found = crawl.crawl(pages, [("a", spark.createDataFrame([(f"{SITE}p0",)], "url string"))], str(tmp_path), SITE, [])
+    assert {(r.url, r.hop) for r in found.completed.collect()} == {(f"{SITE}p{i}", max(i - 2, 1) if i else 0) for i in range(8)}
+    assert read.value == 8
+
+
+def test_a_page_that_cannot_be_read_fails_alone(spark, tmp_path):
+    bad = "<![1x[" + page([], True)
+    pages = {f"{SITE}p0": page(["p1"] * 5, True), f"{SITE}p1": bad, f"{SITE}p2": bad}
+    df = spark.createDataFrame([(u, h, None) for u, h in pages.items()], "url string, html string, error string")
+    found = crawl.crawl(df, [("a", spark.createDataFrame([(f"{SITE}p0",)], "url string"))], str(tmp_path), SITE, [])
+    done, failed, pending = told(found)
+    assert set(done) == {f"{SITE}p0"} and set(failed) == {f"{SITE}p1"} and "expected name token" in failed[f"{SITE}p1"] and pending == {("a", f"{SITE}p1")}

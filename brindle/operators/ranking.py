@@ -45,6 +45,14 @@ def batches(rows: DataFrame, group: list[str], order: str, size: int, ties: list
     return met.withColumn("batch", F.floor((rank - 1) / size)).drop("__range", "__before")
 
 
+def dealt(rows: DataFrame, group: str, most: int = 250_000) -> DataFrame:
+    """The rows dealt over tasks by group, in as many tasks as it takes for about ``most``
+    rows each, so that what a task sorts does not grow with the table.  Windows and joins on
+    the group keep this dealing.  A group is not divided."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+    return rows.repartition(tasks, group)
+
+
 def parts(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Adds part and n_parts: k of n within a group."""
     by = W.partitionBy(group)

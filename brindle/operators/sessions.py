@@ -246,7 +246,8 @@ def in_turn_order(sessions: DataFrame, combatants: DataFrame) -> DataFrame:
 
 def targets(combatants: DataFrame) -> DataFrame:
     """(session_id, actor, target): whom each member can attack (C12): another, alive, of
-    the other side.  An equi-join within sessions, whose members are a handful."""
+    the other side.  An equi-join within sessions, whose members are a handful; combatants
+    that are ``ranking.dealt`` by session are joined where they are."""
     a = combatants.select("session_id", F.col("id").alias("actor"), F.col("allegiance").alias("__side"))
     b = combatants.filter("current_hp > 0").select("session_id", F.col("id").alias("target"), "allegiance")
     return a.join(b, "session_id").filter((F.col("actor") != F.col("target")) & (F.col("__side") != F.col("allegiance"))).select("session_id", "actor", "target")

@@ -16,13 +16,17 @@ SESSIONS = "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 = 0 THEN
 MEMBERS = "SELECT l_orderkey::VARCHAR AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_linenumber, l_returnflag, l_quantity FROM lineitem"
 
 
+def _lines(spark, sf_dir):
+    """The lines with the session of each and their number in it, dealt by session once for all that follows."""
+    li = table(spark, sf_dir, "lineitem").withColumn("session_id", F.col("l_orderkey").cast("string"))
+    return ranking.parts(ranking.dealt(li, "session_id"), "session_id", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
 def _tables(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    o, m = table(spark, sf_dir, "orders"), _lines(spark, sf_dir)
     s = spark.sql(SESSIONS.replace("::VARCHAR", "::STRING").replace("FROM orders", "FROM {o}"), o=o)
-    m = ranking.parts(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-    session = F.col("l_orderkey").cast("string")
     members = m.select(
-        F.concat_ws(".", session, F.col("part").cast("string")).alias("id"), session.alias("session_id"), F.lit("NPC").alias("type"), F.when(F.col("part") % 2 == 0, "A").otherwise("B").alias("allegiance"),
+        F.concat_ws(".", "session_id", F.col("part").cast("string")).alias("id"), "session_id", F.lit("NPC").alias("type"), F.when(F.col("part") % 2 == 0, "A").otherwise("B").alias("allegiance"),
         F.when(F.col("l_returnflag") == "R", F.col("part").cast("string")).alias("discord_user_id"), F.lit("x").alias("name"), F.lit(30).alias("max_hp"), F.col("l_quantity").cast("int").alias("current_hp"),
         F.lit(0).alias("initiative_base"), F.lit(0).alias("initiative_roll"), (F.col("part") == 1).alias("is_active_turn"),
     )
@@ -107,9 +111,9 @@ ORDERED = f"""WITH RECURSIVE c AS (SELECT session_id, k, ['start', 'next', 'paus
 
 def _ordered(spark, sf_dir):
     held, members = _tables(spark, sf_dir)
-    lines = ranking.parts(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    lines = _lines(spark, sf_dir)
     kinds = F.array(*map(F.lit, ("start", "next", "pause", "resume", "next", "end", "turn_start", "dance")))
-    asked = lines.select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("part").alias("seq"), F.element_at(kinds, ((F.col("l_orderkey") * 5 + F.col("l_linenumber") * 3 + F.col("part")) % 8 + 1).cast("int")).alias("kind"))
+    asked = lines.select("session_id", F.col("part").alias("seq"), F.element_at(kinds, ((F.col("l_orderkey") * 5 + F.col("l_linenumber") * 3 + F.col("part")) % 8 + 1).cast("int")).alias("kind"))
     orders = held.select(F.col("id").alias("session_id"), F.col("turn_order").alias("o"))
     asked = asked.join(orders, "session_id").select("session_id", "seq", "kind", F.when(F.col("seq") % 3 == 0, F.slice("o", 1, 1)).otherwise(F.col("o")).alias("turn_order"), F.map_from_arrays("o", F.transform("o", lambda x, i: i + 5)).alias("initiatives"))
     return held, sessions.run(held, members, asked, shared_folder(spark))

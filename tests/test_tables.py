@@ -416,3 +416,21 @@ def test_the_last_row_of_a_repeated_address_counts(spark):
     # of one category: the address's last row of that category, and unresolved records of its pages alone
     assert [r.filepath for r in audit.expected(index, ["a"]).orderBy("filepath").collect()] == ["p1", "p4"]
     assert audit.emitted_rows(emitted, index, ["c"]).count() == 0
+
+
+def test_rows_are_dealt_by_group_over_tasks_that_grow_with_them(spark):
+    rows = spark.range(40_000).withColumn("k", F.col("id") % 5_000)
+    at = ranking.dealt(rows, "k", 2_000).withColumn("task", F.spark_partition_id())
+    assert at.groupBy("task").count().agg(F.max("count")).first()[0] < 4_000
+    assert at.groupBy("k").agg(F.countDistinct("task").alias("n")).filter("n > 1").isEmpty() and at.count() == 40_000
+
+
+def test_targets_are_found_where_the_lines_were_dealt(spark, sf, capsys):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["c12_targets"](spark, sf).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan

@@ -167,8 +167,10 @@ TERMS = "SELECT p_partkey AS term_id, CASE p_partkey % 300 WHEN 0 THEN upper(p_n
     f"SELECT term_id, row_number() OVER (PARTITION BY term_id ORDER BY tier, p_partkey) AS place, tier, p_partkey, p_name FROM (SELECT term_id, p_partkey, p_name, CASE WHEN lower(p_name) = lower(term) THEN 1 WHEN starts_with(lower(p_name), lower(term)) THEN 2 ELSE 3 END AS tier FROM part JOIN ({TERMS}) t ON contains(lower(p_name), lower(term)))",
 )
 def s4_title_index(spark, sf_dir):
-    """Whole names, middles and beginnings of two characters, looked up among all names."""
+    """Whole names, middles and beginnings of two characters, looked up among all names;
+    parts of the same name are one entry of the index."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     terms = spark.sql(TERMS.replace("FROM part", "FROM {p}"), p=p)
-    found = title_index.search(title_index.postings(p, "p_partkey", "p_name"), p, terms, "p_partkey", "p_name", ["p_partkey"], None)
+    names = p.select("p_name").distinct()
+    found = title_index.search(title_index.postings(names, "p_name", "p_name"), p, terms, "p_name", "p_name", ["p_partkey"], None)
     return found.withColumn("place", F.col("place").cast("long"))
